@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import classifier, fingerprints, jaccard, packing, repetition, secrets, sharding, url_rules
+from tallyloom.llm import classifier, counts, fingerprints, jaccard, packing, pieces, repetition, secrets, sharding, url_rules
 
 #: Rules of op2: host, path, verdict.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -43,6 +43,17 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", counts.sample_edits())
+    return counts.edited_counts(docs, byte_bpe())
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked_documents(read(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -56,7 +67,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_packing, op2_url_rules, op3_quality, op4_secrets, op5_repetition, op7_jaccard, op9_sharding, op10_fingerprints)}
+QUERIES = {q.__name__: q for q in (op1_packing, op2_url_rules, op3_quality, op4_secrets, op5_repetition, op6_pieces, op7_jaccard, op8_counts, op9_sharding, op10_fingerprints)}
 
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
