@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tallyloom.plans import audit_queries, bindings, corpus_queries, vector_queries  # noqa: F401
+
+QUERIES, ORACLES = bindings.QUERIES, bindings.ORACLES
