@@ -1,19 +1,21 @@
 """Exact n-gram Jaccard join by a token-group matrix.
 
-1. Documents with equal shingle sets form a class; a class is compared once.
+1. Documents with equal texts form a class with one number. The most copied texts, a bounded list, send one document
+   and get the smallest numbers, so that they become leaders.
 2. A set is cut into blocks by the range of its shingles' hashes, as many as the most shingles in which two linked
    sets can differ, and some more. So linked sets agree on at least ``need`` non-empty blocks, whose hashes are the
    tokens of the matrix. Sets of neighbouring size classes share a way of cutting. A set with too many empty blocks
    also gives its first shingles as tokens, enough that two such sets share one.
-3. Classes that share a token with its first class (the leader) are checked against it; those that link form the
-   first components. Large groups of near copies collapse here by one check each.
+3. Each class is checked against the leader (first class of a token) with which it shares most tokens; those that
+   link form the first components. Large groups of near copies collapse here by one check each.
 4. Classes whose tokens also lie with other components are put into groups of similar classes (same leader), of
    bounded size. Each group stores the union of its members' tokens. A class is compared with a group only if it
    shares ``need`` tokens with that union and the group is not all of its own component; in an open group, sketches
    bound the distance to each member before sets are compared.
 5. Links join into components.
 
-Sketches hold the parity of shingles in 1024 cells: two sketches differ in at most as many cells as the sets differ
+Sketches hold the parity of shingles in 1024 cells, twice as many for each doubling of sets above 2048 shingles; the
+longer of two is folded onto the shorter. Two sketches differ in at most as many cells as the sets differ
 in shingles, so they never hide a link.
 """
 
@@ -37,6 +39,10 @@ CELLS = 1024
 #: Members of a group, on average at most; rows with one key that meet in one run of a task.
 GROUP_ROWS = 256
 CACHE_WORDS = 500_000
+#: A text is hot if its copies are at least this part of all rows: there are never more hot texts than this.
+HOT_PART = 2000
+#: Bits of a token.
+TOKEN_MASK = U((1 << 48) - 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -102,46 +108,68 @@ def tokens(x: np.ndarray, tag: int, percent: int) -> tuple[list[int], int]:
     own = mix(sums[edges[filled + 1]] - sums[edges[filled]] + mix(filled.astype(U) + U(tag << 32)))
     empty = blocks - len(filled)
     if empty < need:
-        return own.view(np.int64).tolist(), need - empty
+        return (own & TOKEN_MASK).view(np.int64).tolist(), need - empty
     prefix = len(x) - -(-percent * len(x) // 100) + 1
     more = mix(x[:prefix] ^ mix(np.array([tag], U) + U(0xD1B54A32D192ED03)))
-    return [*own.view(np.int64).tolist(), *more.view(np.int64).tolist()], 1
+    return [*(own & TOKEN_MASK).view(np.int64).tolist(), *(more & TOKEN_MASK).view(np.int64).tolist()], 1
 
 
 def sketch(x: np.ndarray) -> list[int]:
-    cells = np.bincount((mix(x ^ U(0x2545F4914F6CDD1D)) % U(CELLS)).astype(np.int64), minlength=CELLS) & 1
+    n = CELLS
+    while 2 * n < len(x):
+        n *= 2
+    cells = np.bincount((mix(x ^ U(0x2545F4914F6CDD1D)) % U(n)).astype(np.int64), minlength=n) & 1
     return np.packbits(cells.astype(np.uint8)).view(np.int64).tolist()
 
 
-def profile(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, text_hash, n, h1, h2 (of the set), and tokens, needs and sketch of every row; null where the set is empty."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    tagged = pa.list_(pa.int64())
+def folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    """Sketches of so many numbers: halves are laid over each other."""
+    while sketches.shape[-1] > width:
+        half = sketches.shape[-1] // 2
+        sketches = sketches[..., :half] ^ sketches[..., half:]
+    return sketches
+
+
+def token_rows(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """node, tag, need and token: a row for each token of every row of (node, text), under both its tags."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = size_classes(percent)[1]
         for b in batches:
-            n, h1, h2, mine, after, needs, sketches = [], [], [], [], [], [], []
-            last = size_classes(percent)[1]
-            for t in b.column("text").to_pylist():
+            out: list[tuple[int, int, int, list[int]]] = []
+            held = 0
+            for node, t in zip(b.column("node").to_pylist(), b.column("text").to_pylist(), strict=True):
                 x = shingles(t, words)
-                n.append(len(x))
-                h1.append(int(mix(x).sum(dtype=U).view(np.int64)) if len(x) else 0)
-                h2.append(int(mix(x + U(1)).sum(dtype=U).view(np.int64)) if len(x) else 0)
                 if not len(x):
-                    for out in (mine, after, needs, sketches):
-                        out.append(None)
                     continue
-                tag = int(np.searchsorted(last, len(x)))
-                (a, need_a), (c, need_c) = tokens(x, tag, percent), tokens(x, tag + 1, percent)
-                mine.append(a)
-                after.append(c)
-                needs.append([need_a, need_c])
-                sketches.append(sketch(x))
-            arrays = [b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), *(pa.array(v, tagged) for v in (mine, after, needs, sketches))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "n", "h1", "h2", "mine", "after", "needs", "sketch"])
+                own = int(np.searchsorted(last, len(x)))
+                for tag in (0, 1):
+                    found, need = tokens(x, own + tag, percent)
+                    out.append((node, tag, need, found))
+                    held += len(found)
+                if held > 500_000:
+                    yield flat(out)
+                    out, held = [], 0
+            yield flat(out)
+
+    def flat(out: list[tuple[int, int, int, list[int]]]) -> pa.RecordBatch:
+        size = [len(x[3]) for x in out]
+        columns = [np.repeat(np.array([x[k] for x in out], kind), size) for k, kind in ((0, np.int64), (1, np.int32), (2, np.int32))]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.array([t for x in out for t in x[3]], np.int64))], names=["node", "tag", "need", "token"])
+
+    return texts.mapInArrow(run, "node long, tag int, need int, token long")
+
+
+def counted_keys(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, text_hash, size and n, the number of distinct shingles, of every row."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [len(shingles(t, words)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), b.column("size"), pa.array(n, pa.int64())], names=["doc_id", "text_hash", "size", "n"])
 
-    docs = docs.withColumn("text_hash", F.xxhash64("text"))
-    return docs.mapInArrow(run, f"doc_id {id_type}, text_hash long, n long, h1 long, h2 long, mine array<long>, after array<long>, needs array<long>, sketch array<long>")
+    return docs.select("doc_id", "text_hash", "size", "text").mapInArrow(run, f"doc_id {id_type}, text_hash long, size int, n long")
 
 
 def most_apart(n1: Column, n2: Column, percent: int) -> Column:
@@ -152,9 +180,13 @@ def may_link(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches allow a link."""
     for k in ("a", "b"):
         pairs = pairs.join(facts.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")), k)
-    differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    # sizes of linked sets are near, so one sketch is at most twice the other; others say nothing here
+    half = lambda s: F.zip_with(F.slice(s, F.lit(1), F.expr(f"size({s}) div 2")), F.slice(s, F.expr(f"size({s}) div 2 + 1"), F.expr(f"size({s}) div 2")), lambda x, y: x.bitwiseXOR(y))
+    a = F.when(F.size("s_a") == 2 * F.size("s_b"), half("s_a")).otherwise(F.col("s_a"))
+    b = F.when(F.size("s_b") == 2 * F.size("s_a"), half("s_b")).otherwise(F.col("s_b"))
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(F.bit_count(x.bitwiseXOR(y)), F.lit(0))), F.lit(0), lambda s, x: s + x)
     near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differ <= most_apart(F.col("n_a"), F.col("n_b"), percent))
-    return pairs.filter(near).select("a", "b")
+    return pairs.filter(near)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -164,7 +196,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("runs"))
     first = runs.join(sets.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run"), F.lit(None).cast("long").alias("b"), "set")
-    rest = pairs.join(sets.withColumnRenamed("node", "b"), "b").join(runs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("runs")).alias("run"), "b", "set")
+    dealt = pairs.join(runs, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("runs")).alias("run"))
+    rest = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "run", "b", "set")
     rows = first.unionByName(rest).repartition("a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,12 +240,19 @@ def opened(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                 if not held:
                     continue
                 if table is None:
-                    table = [np.array([m[k] for m in held], np.int64) for k in range(4)]
-                nodes, parts, sizes, sketches = table
-                apart = np.bitwise_count(sketches ^ np.array(cells, np.int64)).sum(axis=1, dtype=np.int64)
-                near = (parts != component) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
-                near &= apart <= (100 - percent) * (sizes + n) // (100 + percent)
-                got = nodes[near].tolist()
+                    by_width: dict[int, list] = {}
+                    for m in held:
+                        by_width.setdefault(len(m[3]), []).append(m)
+                    table = [[np.array([m[k] for m in ms], np.int64) for k in range(4)] for ms in by_width.values()]
+                own = np.array(cells, np.int64).view(U)
+                got: list[int] = []
+                for nodes, parts, sizes, sketches in table:
+                    width = min(len(own), sketches.shape[1])
+                    # as unsigned numbers: bits of signed ones are counted in their absolute value
+                    apart = np.bitwise_count(folded(sketches.view(U), width) ^ folded(own, width)).sum(axis=1, dtype=np.int64)
+                    near = (parts != component) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+                    near &= apart <= (100 - percent) * (sizes + n) // (100 + percent)
+                    got += nodes[near].tolist()
                 a += [min(node, m) for m in got]
                 b += [max(node, m) for m in got]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -221,48 +261,59 @@ def opened(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def set_table(docs: DataFrame, classes: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, set) for the given nodes, from the text of one document of each."""
+    """node, n, sketch and set for the given nodes, from the text of the first document of each."""
     wanted = nodes.join(classes.select("node", F.col("doc_id").alias("w_doc"), F.col("text_hash").alias("w_hash")), "node")
-    texts = docs.withColumn("text_hash", F.xxhash64("text"))
-    rows = wanted.join(texts, F.col("w_doc").eqNullSafe(F.col("doc_id")) & (F.col("w_hash") == F.col("text_hash"))).select("node", "text")
+    rows = wanted.join(docs, F.col("w_doc").eqNullSafe(F.col("doc_id")) & (F.col("w_hash") == F.col("text_hash"))).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingles(t, words).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["node", "set"])
+            x = [shingles(t, words) for t in b.column("text").to_pylist()]
+            arrays = [b.column("node"), pa.array([len(y) for y in x], pa.int64()), pa.array([sketch(y) for y in x], pa.list_(pa.int64())), pa.array([y.tobytes() for y in x], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["node", "n", "sketch", "set"])
 
-    return rows.mapInArrow(run, "node long, set binary")
+    return rows.mapInArrow(run, "node long, n long, sketch array<long>, set binary")
 
 
-def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shared_tokens(rows: DataFrame) -> DataFrame:
+    """The rows whose token several nodes have, with the token's smallest node as leader."""
+    by = Window.partitionBy("token")
+    return rows.withColumn("leader", F.min("node").over(by)).withColumn("most", F.max("node").over(by)).filter("leader < most").drop("most")
+
+
+def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", counted: bool = True) -> DataFrame:
     """doc_id, text_hash, n_shingles and component of every row; component is null for texts without words.
 
     Two rows link when 100 * intersection >= percent * union of their sets of ``words``-word shingles, A-Z
-    lower-cased; rows with equal sets always do. component is a number of the class that stands for it.
+    lower-cased; rows with equal texts always do. component is a number of the class that stands for it.
 
     Null texts are empty and link with nothing. Repeated rows and ids are rows of their own; ids may be null.
+    Without ``counted`` n_shingles is only 0 or 1, for texts with words.
     """
-    docs = narrowed(docs, doc_id=doc_id, text=text)
-    rows = written(profile(docs, words, percent), "profiles")
-    filled = rows.filter("n > 0").withColumn("set_hash", F.xxhash64("h1", "h2", "n"))
-    # a class's number starts with its number of copies, falling: the most copied text of a group becomes its leader
-    sizes = filled.groupBy("set_hash").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
-    rank = F.lit(31) - F.least(F.lit(31), F.floor(2 * F.log2("copies")).cast("int"))
-    sizes = sizes.select("set_hash", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), (F.shiftleft(rank.cast("long"), 58) + F.shiftrightunsigned("set_hash", 6)).alias("node"))
-    classes = written(sizes, "classes")
-    c = classes.select(F.col("doc_id").alias("c_doc"), F.col("text_hash").alias("c_hash"), "node")
-    facts = filled.join(c, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("text_hash") == F.col("c_hash")))
-    facts = written(facts.dropDuplicates(["node"]).select("node", "n", "mine", "after", "needs", "sketch"), "facts")
-
-    both = F.array(*[F.struct(F.col(k).alias("tokens"), F.lit(i).alias("tag"), F.get("needs", F.lit(i)).alias("need")) for i, k in enumerate(("mine", "after"))])
-    held = facts.select("node", F.explode(both).alias("t")).select("node", "t.tag", "t.need", F.explode("t.tokens").alias("token"))
-    by = Window.partitionBy("token")
-    held = held.withColumn("leader", F.min("node").over(by)).withColumn("most", F.max("node").over(by)).filter("leader < most").drop("most")
-    held = written(held, "shared")
-    near = written(may_link(held.filter("leader < node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), facts, percent), "near")
+    docs = narrowed(docs, doc_id=doc_id, text=text).withColumn("text_hash", F.xxhash64("text")).withColumn("size", F.octet_length("text"))
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]").cast("long")
+    keys = written(counted_keys(docs, words) if counted else docs.select("doc_id", "text_hash", "size", worded.alias("n")), "keys")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    classes = keys.groupBy("text_hash", "size").agg(F.count("*").alias("copies"), first).select("text_hash", "size", "copies", F.col("first.doc_id").alias("doc_id"))
+    hot = (F.col("copies") > 1) & (F.col("copies") * HOT_PART >= keys.count())
+    code = F.shiftrightunsigned(F.xxhash64("text_hash", "size"), 2)
+    classes = written(classes.withColumn("hot", hot).withColumn("node", F.when(F.col("hot"), code).otherwise(code + (1 << 62))), "classes")
+    hot = F.broadcast(classes.filter("hot").select(F.col("text_hash").alias("h_hash"), F.col("size").alias("h_size"), F.col("doc_id").alias("h_doc")))  # at most HOT_PART rows
+    is_hot = (F.col("text_hash") == F.col("h_hash")) & F.col("size").eqNullSafe(F.col("h_size"))
+    texts = docs.join(hot, is_hot, "left").filter(F.col("h_hash").isNull() | F.col("doc_id").eqNullSafe(F.col("h_doc")))
+    texts = texts.select(F.when(F.col("h_hash").isNotNull(), code).otherwise(code + (1 << 62)).alias("node"), "text")
+    held = written(shared_tokens(token_rows(texts, words, percent)).drop("leader").distinct(), "shared")
+    # a node whose shared tokens under a tag are fewer than a link needs has no link under that tag
+    enough = held.groupBy("node", "tag", "need").agg(F.count("*").alias("n")).filter("n >= need").select("node", "tag")
+    held = written(shared_tokens(held.join(enough, ["node", "tag"])), "shared")
     sets = written(set_table(docs, classes, held.select("node").distinct(), words), "sets")
-    links = written(verified(near, sets, percent), "links")
+    facts = sets.select("node", "n", "sketch")
+    near = held.filter("leader < node").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
+    near = may_link(near, facts, percent).groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
+    near = written(near.select("a", "b"), "near")
+    links = written(verified(near, sets.select("node", "set"), percent), "links")
     parts = written(components(links), "parts")
 
+    by = Window.partitionBy("token")
     held = held.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("leader")
     spread = held.withColumn("low", F.min("component").over(by)).withColumn("high", F.max("component").over(by)).withColumn("leader", F.min("node").over(by)).filter("low < high")
     spread = written(spread.drop("low", "high"), "spread")
@@ -273,14 +324,14 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, do
     matrix = spread.select("node", "token").join(homes, "node").groupBy("token", "home", "chunk").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     asks = spread.select("node", "component", "tag", "need", "token").join(matrix, "token").filter((F.col("low") != F.col("component")) | (F.col("high") != F.col("component")))
     asks = asks.groupBy("node", "component", "home", "chunk", "tag", "need").agg(F.count("*").alias("shared")).filter("shared >= need").select("node", "component", "home", "chunk").distinct()
-    facts = facts.select("node", "n", "sketch")
     more = opened(asks.join(facts, "node"), homes.join(facts, "node"), percent).distinct().join(near, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(written(more, "near"), sets, percent))
+    links = links.unionByName(verified(written(more, "near"), sets.select("node", "set"), percent))
     final = components(links).select(F.col("node").alias("l_node"), "component")
 
-    nodes = classes.select("set_hash", "node").join(final, F.col("node") == F.col("l_node"), "left").select("set_hash", F.coalesce("component", "node").alias("component"))
-    rows = rows.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.xxhash64("h1", "h2", "n")).alias("set_hash"))
-    return written(rows.join(nodes, "set_hash", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component"), "components")
+    nodes = classes.select(F.col("text_hash").alias("c_hash"), F.col("size").alias("c_size"), "node").join(final, F.col("node") == F.col("l_node"), "left")
+    nodes = nodes.select("c_hash", "c_size", F.coalesce("component", "node").alias("component"))
+    out = keys.join(nodes, F.col("text_hash").eqNullSafe(F.col("c_hash")) & F.col("size").eqNullSafe(F.col("c_size")))
+    return written(out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).alias("component")), "components")
 
 
 def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -295,7 +346,7 @@ def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
 
 def representatives(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component of docs, with all columns: the smallest id, null ids last; rows without words all stay."""
-    rows = similarity_components(docs, words, percent, doc_id, text)
+    rows = similarity_components(docs, words, percent, doc_id, text, counted=False)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
     best = rows.filter("component is not null").groupBy("component").agg(F.min(order).alias("k"))
     gone = rows.join(best, "component").filter(~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_hash") == F.col("k.text_hash"))))
