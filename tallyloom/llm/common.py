@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Largest number of rows that may be broadcast; every table broadcast here has a few short columns.
 MAX_BROADCAST_ROWS = 200_000
 
+#: A key is hot if it holds at least this part of all rows: there are never more hot keys than this.
+HOT_PART = 2000
+
 #: The characters that separate words: space and tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -39,6 +42,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
 
+def hot_join(rows: DataFrame, lookup: DataFrame, key: list[str]) -> DataFrame:
+    """Inner join with a table that has each key once and a column ``hot``, true for at most HOT_PART of its keys.
+
+    Rows with a hot key meet it by a broadcast of those keys and are never shuffled; the others are dealt by key.
+    """
+    few, rest = F.broadcast(lookup.filter("hot").drop("hot")), lookup.filter("not hot").drop("hot")
+    return rows.join(few, key).unionByName(rows.join(few.select(*key), key, "left_anti").join(rest, key))
+
+
 def exclusive_sum(value: str, order: list[str]) -> Column:
     """Sum of the rows before this one, over a table with a row per partition or bucket."""
     return F.coalesce(F.sum(value).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

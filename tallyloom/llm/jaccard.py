@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import narrowed, written
+from tallyloom.llm.common import HOT_PART, hot_join, narrowed, written
 from tallyloom.llm.graph import components
 
 U = np.uint64
@@ -39,8 +39,6 @@ CELLS = 1024
 #: Members of a group, on average at most; rows with one key that meet in one run of a task.
 GROUP_ROWS = 256
 CACHE_WORDS = 500_000
-#: A text is hot if its copies are at least this part of all rows: there are never more hot texts than this.
-HOT_PART = 2000
 #: Bits of a token.
 TOKEN_MASK = U((1 << 48) - 1)
 
@@ -289,7 +287,7 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, do
     Null texts are empty and link with nothing. Repeated rows and ids are rows of their own; ids may be null.
     Without ``counted`` n_shingles is only 0 or 1, for texts with words.
     """
-    docs = narrowed(docs, doc_id=doc_id, text=text).withColumn("text_hash", F.xxhash64("text")).withColumn("size", F.octet_length("text"))
+    docs = narrowed(docs, doc_id=doc_id, text=text).withColumn("text_hash", F.xxhash64("text")).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(-1)))
     worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]").cast("long")
     keys = written(counted_keys(docs, words) if counted else docs.select("doc_id", "text_hash", "size", worded.alias("n")), "keys")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
@@ -328,28 +326,33 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, do
     links = links.unionByName(verified(written(more, "near"), sets.select("node", "set"), percent))
     final = components(links).select(F.col("node").alias("l_node"), "component")
 
-    nodes = classes.select(F.col("text_hash").alias("c_hash"), F.col("size").alias("c_size"), "node").join(final, F.col("node") == F.col("l_node"), "left")
-    nodes = nodes.select("c_hash", "c_size", F.coalesce("component", "node").alias("component"))
-    out = keys.join(nodes, F.col("text_hash").eqNullSafe(F.col("c_hash")) & F.col("size").eqNullSafe(F.col("c_size")))
+    nodes = classes.join(final, F.col("node") == F.col("l_node"), "left").select("text_hash", "size", "hot", F.coalesce("component", "node").alias("component"))
+    out = hot_join(keys, nodes, ["text_hash", "size"])
     return written(out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).alias("component")), "components")
 
 
+def per_component(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """The rows that have a component, with an aggregate of it. rows: a written table."""
+    hot = F.count("*") * HOT_PART >= rows.count()
+    rows = rows.filter("component is not null")
+    return hot_join(rows, written(rows.groupBy("component").agg(value.alias(name), hot.alias("hot")), name), ["component"])
+
+
 def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach, itself included) of every row.
 
     See similarity_components for what links. A row without words is its own component.
     """
     rows = similarity_components(docs, words, percent, doc_id, text)
-    least = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    linked = per_component(rows, F.min("doc_id"), "least").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+    return linked.unionByName(rows.filter("component is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def representatives(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component of docs, with all columns: the smallest id, null ids last; rows without words all stay."""
     rows = similarity_components(docs, words, percent, doc_id, text, counted=False)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
-    best = rows.filter("component is not null").groupBy("component").agg(F.min(order).alias("k"))
-    gone = rows.join(best, "component").filter(~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_hash") == F.col("k.text_hash"))))
+    gone = per_component(rows, F.min(order), "k").filter(~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_hash") == F.col("k.text_hash"))))
     gone = gone.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).distinct()
     same = F.xxhash64(docs[text])
     left = docs.join(gone, docs[doc_id].eqNullSafe(F.col("__doc")) & (same == F.col("__hash")), "left_anti")
