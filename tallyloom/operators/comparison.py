@@ -123,3 +123,24 @@ def placed(tokens: Column, new: Column, position: str) -> Column:
         return F.concat(rest, F.array(new))
     half = F.floor(F.size(rest) / 2).cast("int")
     return F.concat(F.slice(rest, F.lit(1), half), F.array(new), F.slice(rest, half + 1, F.size(rest) - half))
+
+
+def drawn_subsets(tokens: DataFrame, sizes: list[int], key: str = "row_id") -> DataFrame:
+    """key, k, evidence: the k tokens of a row with the smallest hashes of (row, token), sorted; rows with fewer have none."""
+    t = tokens.select(key, "token").distinct()
+    ordered = t.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.md5(F.concat_ws("|", key, "token")).alias("h"), "token"))), lambda z: z["token"]).alias("ts"))
+    sets = ordered.select(key, "ts", F.explode(F.array(*[F.lit(k) for k in sizes])).alias("k")).filter(F.size("ts") >= F.col("k"))
+    return sets.select(key, "k", F.array_sort(F.slice("ts", F.lit(1), F.col("k"))).alias("evidence"))
+
+
+def split_half_shift(rows: DataFrame) -> DataFrame:
+    """case_id, agreement, r_squared, slope: entry by entry, the shifts of two halves of the retests from the permutations' mean.
+
+    Halves are even and odd places of the arm. agreement is the share of entries whose shifts have one sign.
+    """
+    side = F.when(F.col("arm") == "permutation", "base").when((F.col("arm") == "retest") & (F.col("idx") % 2 == 0), "even").when(F.col("arm") == "retest", "odd")
+    long = rows.withColumn("side", side).filter("side is not null").select("case_id", "side", F.posexplode("v").alias("i", "x"))
+    mean = lambda k: F.avg(F.when(F.col("side") == k, F.col("x")))
+    wide = long.groupBy("case_id", "i").agg(mean("base").alias("base"), mean("even").alias("even"), mean("odd").alias("odd")).dropna()
+    a, b = F.col("even") - F.col("base"), F.col("odd") - F.col("base")
+    return wide.groupBy("case_id").agg(F.avg((F.signum(a) == F.signum(b)).cast("int")).alias("agreement"), (F.corr(a, b) * F.corr(a, b)).alias("r_squared"), F.regr_slope(b, a).alias("slope"))

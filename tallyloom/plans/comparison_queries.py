@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import vectors as V
 from tallyloom.operators import arms, comparison as M, conditioning as K
-from tallyloom.plans.bindings import ARMS, JSD, P, query, r6, responses
+from tallyloom.plans.bindings import ARMS, C, JSD, P, query, r6, responses
 from tallyloom.plans.corpus_queries import COND, L, conditioned, frames
 from tallyloom.plans.vector_queries import EFFECT, RESP
 
@@ -124,3 +124,24 @@ def decisive_items(spark, d):
     best = rows.select("row_id", "tokens").join(M.decisive_token(tokens, rows, 3, 50), "row_id")
     z = F.explode(F.array(*[F.struct(F.lit(k).alias("position"), F.array_join(M.placed(F.col("tokens"), F.col("token"), k), " ").alias("tokens")) for k in ("first", "middle", "last")]))
     return best.select("row_id", "token", r6(F.col("decisiveness")).alias("decisiveness"), z.alias("z")).select("row_id", "token", "decisiveness", "z.position", "z.tokens")
+
+
+@query("o117_noise_ceiling", f"""WITH {P}, s AS (SELECT label, i, avg(x) FILTER (WHERE rn <= 10) AS base, avg(x) FILTER (WHERE rn > 10 AND rn % 2 = 1) AS even, avg(x) FILTER (WHERE rn > 10 AND rn % 2 = 0) AS odd FROM l WHERE rn <= 16 GROUP BY 1, 2)
+    SELECT label AS case_id, round(avg((sign(even - base) = sign(odd - base))::INT), 6) AS agreement, round(corr(even - base, odd - base) ** 2, 6) AS r_squared, round(regr_slope(odd - base, even - base), 6) AS slope
+    FROM s WHERE base IS NOT NULL AND even IS NOT NULL AND odd IS NOT NULL GROUP BY 1""")
+def noise_ceiling(spark, d):
+    return M.split_half_shift(responses(spark, d)).select("case_id", *[r6(F.col(c)).alias(c) for c in ("agreement", "r_squared", "slope")])
+
+
+@query("o142_feasibility", f"""WITH {C}, o AS (SELECT row_id, list(token ORDER BY md5(row_id || '|' || token), token) AS ts FROM t GROUP BY 1), e AS (SELECT row_id, k, list_sort(ts[1:k]) AS ev FROM o, (VALUES (1), (2), (3)) z(k) WHERE len(ts) >= k),
+    f AS (SELECT DISTINCT ev FROM e), u AS (SELECT ev, unnest(ev) AS token FROM f), h AS (SELECT ev, row_id FROM u JOIN t USING (token) GROUP BY ev, row_id HAVING count(*) = len(ev)), s AS (SELECT ev, count(*) AS support FROM h GROUP BY 1)
+    SELECT k::INT AS k, count(*) AS n, median(support)::DOUBLE AS median_support, quantile_cont(support, 0.1)::DOUBLE AS p10_support, round(avg((support >= 500)::INT), 6) AS share FROM e JOIN s USING (ev) GROUP BY 1""")
+def feasibility(spark, d):
+    """Rows with equal subsets share one look-up: there are at most as many as the vocabulary has subsets of that size."""
+    rows, tokens = frames(spark, d)
+    drawn = M.drawn_subsets(tokens, [1, 2, 3])
+    key = F.array_join("evidence", "|")
+    items = drawn.select(key.alias("item_id"), "evidence").distinct()
+    support = K.matches(items, tokens, rows).groupBy("item_id").agg(F.count("*").alias("support"))
+    s = F.col("support")
+    return drawn.select("k", key.alias("item_id")).join(support, "item_id").groupBy("k").agg(F.count("*").alias("n"), F.median(s).alias("median_support"), F.percentile(s, 0.1).alias("p10_support"), r6(F.avg((s >= 500).cast("int"))).alias("share"))
