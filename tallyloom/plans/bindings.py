@@ -50,11 +50,16 @@ ARMS = [("permutation", 1, 10), ("retest", 11, 16), ("canonical", 17, 18), ("shu
 ARM_SQL = "CASE " + " ".join(f"WHEN rn BETWEEN {a} AND {b} THEN '{k}'" for k, a, b in ARMS) + " END"
 
 
+def runs(rows: DataFrame, size: int) -> DataFrame:
+    """rows with case_id, the label and the number of its run of ``size`` places, and rn from 1 in the run: no row is left out."""
+    return rows.withColumn("case_id", F.concat_ws("|", "label", F.expr(f"(rn - 1) div {size}"))).withColumn("rn", (F.col("rn") - 1) % size + 1)
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """case_id, arm, idx (from 0 in the arm) and v."""
-    p = posteriors(spark, sf_dir).filter("rn <= 20")
+    """case_id (label and run of 20 places), vec_id, arm, idx (from 0 in the arm) and v, of all embeddings."""
+    p = runs(posteriors(spark, sf_dir), 20)
     first = F.expr("CASE " + " ".join(f"WHEN rn BETWEEN {a} AND {b} THEN {a}" for _, a, b in ARMS) + " END")
-    return p.select(F.col("label").alias("case_id"), "vec_id", F.expr(ARM_SQL).alias("arm"), (F.col("rn") - first).alias("idx"), "v")
+    return p.select("case_id", "vec_id", F.expr(ARM_SQL).alias("arm"), (F.col("rn") - first).alias("idx"), "v")
 
 
 #: term of the Jensen-Shannon divergence of entries x and y
