@@ -53,7 +53,7 @@ def top_k_jaccard(spark, d):
     SELECT vec_id, round(CASE WHEN nx > 0 AND ny > 0 THEN c / sqrt(nx::DOUBLE * ny) ELSE 0 END, 6) AS value FROM q""")
 def kendall(spark, d):
     """Tau-b; entries of a pair of vectors are joined with each other, a fixed number."""
-    s = neighbours(spark, d).filter("rn <= 10").select("vec_id", F.posexplode(F.arrays_zip("a", "b")).alias("i", "z")).select("vec_id", "i", "z.a", "z.b")
+    s = neighbours(spark, d).select("vec_id", F.posexplode(F.arrays_zip("a", "b")).alias("i", "z")).select("vec_id", "i", "z.a", "z.b")
     t = s.select("vec_id", F.col("i").alias("j"), F.col("a").alias("c"), F.col("b").alias("e"))
     q = s.join(t, "vec_id").filter("i < j").groupBy("vec_id").agg(
         F.sum(F.signum(F.col("a") - F.col("c")) * F.signum(F.col("b") - F.col("e"))).alias("s"), F.count_if(F.col("a") != F.col("c")).alias("nx"), F.count_if(F.col("b") != F.col("e")).alias("ny")

@@ -59,3 +59,14 @@ def test_ceiling_is_over_all_pairs_of_cases(spark, made):
     firsts = [vs[0] for vs in cases(by, 20).values()]
     got = Q["o093_ceiling"](spark, at).first()
     assert got.n_pairs == 10 and got.ceiling == pytest.approx(mean_jsd(firsts), abs=2e-6)
+
+
+def test_kendall_scores_every_pair_of_neighbours(spark, made):
+    at, by = made
+    want = {}
+    for label, vs in by.items():
+        for k, (a, b) in enumerate(itertools.pairwise(vs)):
+            x, y = (np.sign(v[:, None] - v[None, :])[np.triu_indices(64, 1)] for v in (a, b))
+            want[100 * label + k] = (x * y).sum() / math.sqrt((x != 0).sum() * (y != 0).sum())
+    got = {r.vec_id: r.value for r in Q["o054_kendall"](spark, at).collect()}
+    assert got == pytest.approx(want, abs=2e-6)
