@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import vectors as V
 from tallyloom.operators import arms
-from tallyloom.plans.bindings import ARM_SQL, JSD, P, RESP, posteriors, query, r6, responses
+from tallyloom.plans.bindings import ARM_SQL, JSD, P, RESP, posteriors, query, r6, responses, runs
 
 PAIR = "FROM l a JOIN l b ON a.label = b.label AND a.i = b.i AND b.rn = a.rn + 1 GROUP BY a.vec_id"
 
@@ -145,8 +145,9 @@ def instability(spark, d):
     FROM l a JOIN l b ON a.label = b.label AND a.i = b.i AND b.rn = a.rn + 10 WHERE a.rn <= 10 GROUP BY 1)
     SELECT item_id::INT AS item_id, round(jsd, 6) AS jsd, round(entropy_change, 6) AS entropy_change, flip, round(max_change, 6) AS max_change FROM t""")
 def redundancy(spark, d):
-    p = posteriors(spark, d).filter("rn <= 20")
-    rows = p.select((F.col("label") * 1000 + (F.col("rn") - 1) % 10 + 1).alias("item_id"), F.when(F.col("rn") <= 10, "without").otherwise("with").alias("phase"), "v")
+    """Items are the places 1 to 10 of each run of 20, with the place ten further as the other phase."""
+    p = runs(posteriors(spark, d), 20)
+    rows = p.select(F.concat_ws("|", "case_id", (F.col("rn") - 1) % 10 + 1).alias("item_id"), F.when(F.col("rn") <= 10, "without").otherwise("with").alias("phase"), "v")
     out = arms.phase_change(rows)
     return out.select("item_id", r6(F.col("jsd")).alias("jsd"), r6(F.col("entropy_change")).alias("entropy_change"), "flip", r6(F.col("max_change")).alias("max_change"))
 
@@ -163,7 +164,7 @@ POSITION = "CASE WHEN {rn} <= 4 THEN 'first' WHEN {rn} <= 8 THEN 'middle' ELSE '
     h AS (SELECT case_id, sum((m - g) ** 2) AS sb, sum((lo - g) ** 2) AS st FROM e GROUP BY 1)
     SELECT case_id, round(within, 6) AS within, round(between_, 6) AS between, round(CASE WHEN st > 1e-12 THEN sb / st END, 6) AS eta_squared FROM w JOIN b USING (case_id) JOIN h USING (case_id)""")
 def position_effect(spark, d):
-    rows = posteriors(spark, d).filter("rn <= 12").select(F.col("label").alias("case_id"), "vec_id", F.expr(POSITION.format(rn="rn")).alias("position"), "v")
+    rows = runs(posteriors(spark, d), 12).select("case_id", "vec_id", F.expr(POSITION.format(rn="rn")).alias("position"), "v")
     return arms.position_effect(rows).select("case_id", *[r6(F.col(c)).alias(c) for c in ("within", "between", "eta_squared")])
 
 
@@ -172,8 +173,8 @@ def position_effect(spark, d):
 def position_slope(spark, d):
     from pyspark.sql import Window
 
-    lo = posteriors(spark, d).filter("rn <= 12").select("label", F.expr("CASE WHEN rn <= 4 THEN -1 WHEN rn <= 8 THEN 0 ELSE 1 END").alias("code"), F.posexplode(V.log_odds(F.col("v"))).alias("i", "lo"))
-    y = lo.withColumn("y", F.col("lo") - F.avg("lo").over(Window.partitionBy("label", "i")))
+    lo = runs(posteriors(spark, d), 12).select("case_id", F.expr("CASE WHEN rn <= 4 THEN -1 WHEN rn <= 8 THEN 0 ELSE 1 END").alias("code"), F.posexplode(V.log_odds(F.col("v"))).alias("i", "lo"))
+    y = lo.withColumn("y", F.col("lo") - F.avg("lo").over(Window.partitionBy("case_id", "i")))
     return y.agg(r6(F.regr_slope("y", "code")).alias("slope"))
 
 
@@ -186,7 +187,7 @@ def uniform_collapse(spark, d):
 
 @query("o123_displacement", f"WITH {RESP} SELECT round(avg(jsd), 6) AS mean, round(median(jsd), 6) AS median, round(quantile_cont(jsd, 0.95), 6) AS p95, count(*) AS n FROM pa WHERE a_rn + 10 = b_rn")
 def displacement(spark, d):
-    p = arms.pairs(posteriors(spark, d).filter("rn <= 20").withColumnRenamed("label", "case_id"), keep=("rn",)).filter("a_rn + 10 = b_rn")
+    p = arms.pairs(runs(posteriors(spark, d), 20), keep=("rn",)).filter("a_rn + 10 = b_rn")
     return p.agg(r6(F.avg("jsd")).alias("mean"), r6(F.median("jsd")).alias("median"), r6(F.percentile("jsd", 0.95)).alias("p95"), F.count("*").alias("n"))
 
 

@@ -70,3 +70,35 @@ def test_kendall_scores_every_pair_of_neighbours(spark, made):
             want[100 * label + k] = (x * y).sum() / math.sqrt((x != 0).sum() * (y != 0).sum())
     got = {r.vec_id: r.value for r in Q["o054_kendall"](spark, at).collect()}
     assert got == pytest.approx(want, abs=2e-6)
+
+
+def test_phases_and_displacement_use_every_run(spark, made):
+    at, by = made
+    want = {f"{c}|{k + 1}": jsd(vs[k], vs[k + 10]) for c, vs in cases(by, 20).items() for k in range(max(0, min(10, len(vs) - 10)))}
+    got = {r.item_id: r.jsd for r in Q["o102_redundancy"](spark, at).collect()}
+    assert got == pytest.approx(want, abs=2e-6)
+    row, x = Q["o123_displacement"](spark, at).first(), list(want.values())
+    assert row.n == len(x) == 30 and [row["mean"], row["median"], row["p95"]] == pytest.approx([np.mean(x), np.median(x), np.quantile(x, 0.95)], abs=2e-6)
+
+
+def test_positions_use_every_run(spark, made):
+    at, by = made
+    code = [-1] * 4 + [0] * 4 + [1] * 4
+    want, xs, ys = {}, [], []
+    for c, vs in cases(by, 12).items():
+        p = np.clip(np.array(vs), 1e-4, 1 - 1e-4)
+        lo, own = np.log(p / (1 - p)), np.array(code[: len(vs)])
+        centred = lo - lo.mean(0)
+        xs.append(np.repeat(own, 64))
+        ys.append(centred.ravel())
+        if len(vs) < 6:
+            continue
+        d = {(i, j): jsd(vs[i], vs[j]) for i, j in itertools.combinations(range(len(vs)), 2)}
+        between = [np.mean([x for (i, j), x in d.items() if (own[i], own[j]) == z]) for z in sorted({(own[i], own[j]) for i, j in d if own[i] != own[j]})]
+        spread = sum((own == k).sum() * (centred[own == k].mean(0) ** 2).sum() for k in set(own))
+        want[c] = (np.mean([x for (i, j), x in d.items() if own[i] == own[j]]), np.mean(between), spread / (centred**2).sum())
+    got = {r.case_id: (r.within, r.between, r.eta_squared) for r in Q["o103_position_effect"](spark, at).collect()}
+    assert got.keys() == want.keys() and len(got) == 7
+    for c, x in want.items():
+        assert got[c] == pytest.approx(x, abs=2e-6)
+    assert Q["o104_position_slope"](spark, at).first().slope == pytest.approx(np.polyfit(np.concatenate(xs), np.concatenate(ys), 1)[0], abs=2e-6)
