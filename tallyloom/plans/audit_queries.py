@@ -219,7 +219,7 @@ def token_split(spark, d):
 
 @query("o022_depersonalise", r"SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace('Do you hurt yourself? Your ' || left(text, 60), '(?i)\byour\b', 'their', 'g'), '(?i)\byourself\b', 'themselves', 'g'), '(?i)\byou\b', 'they', 'g') AS text FROM conversations")
 def depersonalise(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", T.depersonalised(F.concat(F.lit("Do you hurt yourself? Your "), F.substring("text", 1, 60))).alias("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.depersonalised(F.concat(F.lit("Do you hurt yourself? Your "), "text")).alias("text"))
 
 
 @query("o024_bullets", "SELECT p_brand, string_agg('- ' || upper(left(p_type, 1)) || lower(substr(p_type, 2)), chr(10) ORDER BY p_type) AS text FROM (SELECT DISTINCT p_brand, p_type FROM part) GROUP BY 1")
