@@ -29,6 +29,22 @@ def group_split(df: DataFrame, group: str, test_share: float, seed: str = "g") -
     return df.withColumn("split", F.when(u < test_share, "test").otherwise("train"))
 
 
+def numbered(df: DataFrame, order: list[str], parts: int = 64) -> DataFrame:
+    """df with place, from 0 in the order of columns of which the first is a number; nulls come last.
+
+    Quantiles of the first column bound ranges, the ranges' counts give offsets and a window inside each range the rest,
+    so no task sees more than one range. The bounds are constants: a task that runs again finds the same ranges.
+    """
+    bounds = df.agg(F.percentile_approx(order[0], [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or []
+    key = F.col(order[0])
+    part = F.when(key.isNull(), parts).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= key)))
+    rows = df.withColumn("__part", part)
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row per range
+    offsets = rows.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*[F.col(c).asc_nulls_last() for c in order]))
+    return rows.join(F.broadcast(offsets), "__part").withColumn("place", F.col("__before") + inside - 1).drop("__part", "__before")
+
+
 def bootstrap_means(values: DataFrame, value: str, key: str, n_rows: int, replicates: int, seed: str = "b") -> DataFrame:
     """replicate and the mean of n_rows draws with replacement. values has a row per unit and place, from 0, in key."""
     draws = values.sparkSession.range(n_rows).crossJoin(F.broadcast(values.sparkSession.range(replicates).withColumnRenamed("id", "replicate")))  # as many rows as replicates

@@ -323,10 +323,8 @@ def group_split(spark, d):
 
 @query("o094_bootstrap", "WITH v AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS place, c_acctbal AS x FROM customer), n AS (SELECT count(*) AS n FROM v), d AS (SELECT r, ('0x' || substr(sha1('b|' || r || '|' || i), 1, 8))::BIGINT % n AS place FROM n, range(50) a(r), (SELECT unnest(range(n)) AS i FROM n)) SELECT r AS replicate, round(avg(x), 4) AS mean FROM d JOIN v USING (place) GROUP BY 1")
 def bootstrap(spark, d):
-    """The customers' keys are dense from 0, so the key is the place."""
-    v = table(spark, d, "customer").select(F.col("c_custkey").alias("place"), "c_acctbal")
-    low = v.agg(F.min("place"), F.count("*")).first()
-    return S.bootstrap_means(v.withColumn("place", F.col("place") - low[0]), "c_acctbal", "place", low[1], 50).withColumn("mean", F.round("mean", 4))
+    v = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    return S.bootstrap_means(S.numbered(v, ["c_custkey", "c_acctbal"]), "c_acctbal", "place", v.count(), 50).withColumn("mean", F.round("mean", 4))
 
 
 @query("o152_jobs", "SELECT o_orderkey, phase, o_orderkey || ':' || phase AS job_id FROM orders, (VALUES ('before'), ('after')) p(phase)")

@@ -1,7 +1,10 @@
 """Audit queries on small tables against plain Python."""
 
+import hashlib
 import re
 
+import pytest
+
 from tallyloom.plans import catalog
 
 Q = catalog.QUERIES
@@ -19,3 +22,15 @@ def test_depersonalise_takes_the_whole_text(spark, tmp_path):
         want[k] = x
     assert {r.conv_id: r.text for r in Q["o022_depersonalise"](spark, str(tmp_path)).collect()} == want
     assert want[0].endswith("are they sure of their answer, do it themselves")
+
+
+def test_bootstrap_draws_every_customer_when_keys_have_gaps(spark, tmp_path):
+    rows = [(k * k + 7, float(k)) for k in range(150)] + [(7, 1000.0), (1_000_000, 5000.0), (1_000_000, 4000.0)]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    values = [x for _, x in sorted(rows)]
+    n = len(values)
+    want = {}
+    for r in range(50):
+        drawn = [values[int(hashlib.sha1(f"b|{r}|{i}".encode()).hexdigest()[:8], 16) % n] for i in range(n)]
+        want[r] = sum(drawn) / n
+    assert {r["replicate"]: r["mean"] for r in Q["o094_bootstrap"](spark, str(tmp_path)).collect()} == pytest.approx(want, abs=1e-4)
