@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,12 +31,44 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables written in each open ``tidied`` block.
+_OPEN: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut and a lost executor loses nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes scratch folders, wherever the shared folder is."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """A block at whose end the tables written in it are deleted, but for those appended to what it yields.
+
+    What the block returns may read only those. They go to the block around it, if there is one.
+    """
+    kept: list[DataFrame] = []
+    _OPEN.append([])
+    try:
+        yield kept
+    finally:
+        own, stay = _OPEN.pop(), {df.scratch for df in kept}
+        removed(spark, *[p for p in own if p not in stay])
+        if _OPEN:
+            _OPEN[-1] += [p for p in own if p in stay]
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

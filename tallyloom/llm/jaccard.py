@@ -8,11 +8,14 @@
    also gives its first shingles as tokens, enough that two such sets share one.
 3. Each class is checked against the leader (first class of a token) with which it shares most tokens; those that
    link form the first components. Large groups of near copies collapse here by one check each.
-4. Classes whose tokens also lie with other components are put into groups of similar classes (same leader), of
-   bounded size. Each group stores the union of its members' tokens. A class is compared with a group only if it
-   shares ``need`` tokens with that union and the group is not all of its own component; in an open group, sketches
-   bound the distance to each member before sets are compared.
-5. Links join into components.
+4. Classes whose tokens also lie with other components are put into groups of bounded size: a component that fills
+   groups has groups of its own, the others share groups with what met the same leader. Each group stores the union of
+   its members' tokens. A class takes the ``tokens - need + 1`` rarest of its tokens to find groups, for a group that
+   shares ``need`` of them must hold one of these; it opens those with which it then shares ``need`` tokens in all.
+   Of two groups only the earlier one's classes ask, so each two classes meet once.
+5. In an open group, sketches bound the distance to each member. For each component there the nearest member is
+   compared as a set first; other members only where the components have not become one by that.
+6. Links join into components.
 
 Sketches hold the parity of shingles in 1024 cells, twice as many for each doubling of sets above 2048 shingles; the
 longer of two is folded onto the shorter. Two sketches differ in at most as many cells as the sets differ
@@ -31,14 +34,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import HOT_PART, hot_join, narrowed, written
+from tallyloom.llm.common import HOT_PART, hot_join, narrowed, tidied, written
 from tallyloom.llm.graph import components
 
 U = np.uint64
 CELLS = 1024
 #: Members of a group, on average at most; rows with one key that meet in one run of a task.
 GROUP_ROWS = 256
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Bits of a token.
 TOKEN_MASK = U((1 << 48) - 1)
 
@@ -96,7 +99,7 @@ def cutting(tag: int, percent: int) -> tuple[int, int]:
     return apart + need, need
 
 
-def tokens(x: np.ndarray, tag: int, percent: int) -> tuple[list[int], int]:
+def tokens(x: np.ndarray, tag: int, percent: int) -> tuple[np.ndarray, int]:
     """Tokens of a set under a tag, and how many of them a linked set's group has to share."""
     blocks, need = cutting(tag, percent)
     # block of a hash: its high 32 bits times the number of blocks, shifted back; sorted hashes give sorted blocks
@@ -105,11 +108,10 @@ def tokens(x: np.ndarray, tag: int, percent: int) -> tuple[list[int], int]:
     filled = np.flatnonzero(np.diff(edges))
     own = mix(sums[edges[filled + 1]] - sums[edges[filled]] + mix(filled.astype(U) + U(tag << 32)))
     empty = blocks - len(filled)
-    if empty < need:
-        return (own & TOKEN_MASK).view(np.int64).tolist(), need - empty
-    prefix = len(x) - -(-percent * len(x) // 100) + 1
-    more = mix(x[:prefix] ^ mix(np.array([tag], U) + U(0xD1B54A32D192ED03)))
-    return [*(own & TOKEN_MASK).view(np.int64).tolist(), *(more & TOKEN_MASK).view(np.int64).tolist()], 1
+    if empty >= need:
+        prefix = len(x) - -(-percent * len(x) // 100) + 1
+        own = np.concatenate([own, mix(x[:prefix] ^ mix(np.array([tag], U) + U(0xD1B54A32D192ED03)))])
+    return (own & TOKEN_MASK).view(np.int64), max(1, need - empty)
 
 
 def sketch(x: np.ndarray) -> list[int]:
@@ -128,13 +130,14 @@ def folded(sketches: np.ndarray, width: int) -> np.ndarray:
     return sketches
 
 
-def token_rows(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """node, tag, need and token: a row for each token of every row of (node, text), under both its tags."""
+def token_sets(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """node, tag, need and tokens of every row of (node, text) with words, under both its tags."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = size_classes(percent)[1]
         for b in batches:
-            out: list[tuple[int, int, int, list[int]]] = []
+            rows: list[tuple[int, int, int]] = []
+            found: list[np.ndarray] = []
             held = 0
             for node, t in zip(b.column("node").to_pylist(), b.column("text").to_pylist(), strict=True):
                 x = shingles(t, words)
@@ -142,20 +145,22 @@ def token_rows(texts: DataFrame, words: int, percent: int) -> DataFrame:
                     continue
                 own = int(np.searchsorted(last, len(x)))
                 for tag in (0, 1):
-                    found, need = tokens(x, own + tag, percent)
-                    out.append((node, tag, need, found))
-                    held += len(found)
-                if held > 500_000:
-                    yield flat(out)
-                    out, held = [], 0
-            yield flat(out)
+                    got, need = tokens(x, own + tag, percent)
+                    rows.append((node, tag, need))
+                    found.append(got)
+                    held += len(got)
+                if held > 300_000:
+                    yield flat(rows, found)
+                    rows, found, held = [], [], 0
+            yield flat(rows, found)
 
-    def flat(out: list[tuple[int, int, int, list[int]]]) -> pa.RecordBatch:
-        size = [len(x[3]) for x in out]
-        columns = [np.repeat(np.array([x[k] for x in out], kind), size) for k, kind in ((0, np.int64), (1, np.int32), (2, np.int32))]
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.array([t for x in out for t in x[3]], np.int64))], names=["node", "tag", "need", "token"])
+    def flat(rows: list[tuple[int, int, int]], found: list[np.ndarray]) -> pa.RecordBatch:
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)]).astype(np.int32)
+        every = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+        arrays = [pa.array([x[k] for x in rows], kind) for k, kind in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()))]
+        return pa.RecordBatch.from_arrays([*arrays, every], names=["node", "tag", "need", "tokens"])
 
-    return texts.mapInArrow(run, "node long, tag int, need int, token long")
+    return texts.mapInArrow(run, "node long, tag int, need int, tokens array<long>")
 
 
 def counted_keys(docs: DataFrame, words: int) -> DataFrame:
@@ -217,21 +222,26 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def opened(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a query and a member of its group, of different components, whose sizes and sketches allow a link.
+    """a, b, apart, own and other of a query and a member of its group, of the components own and other, whose sizes and
+    sketches allow a link; apart counts the cells in which their sketches differ.
 
-    queries: node, n, sketch, component, home, chunk for each group it opens; members: the same for each group.
+    queries: node, n, sketch, component, grp for each group it opens; members: the same for each group. The queries of
+    a group are dealt out in runs of GROUP_ROWS on average, each of which gets the group's members, a bounded number.
     """
-    columns = ["home", "chunk", "node", "component", "n", "sketch"]
-    rows = members.select(*columns, F.lit(0).alias("asks")).unionByName(queries.select(*columns, F.lit(1).alias("asks")))
-    rows = rows.repartition("home", "chunk").sortWithinPartitions("home", "chunk", "asks")
+    columns = ["grp", "run", "node", "component", "n", "sketch"]
+    runs = queries.groupBy("grp").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("runs"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run")
+    held = members.join(runs, "grp").select("grp", every, "node", "component", "n", "sketch", F.lit(0).alias("asks"))
+    asking = queries.join(runs, "grp").select("grp", F.pmod(F.xxhash64("node"), F.col("runs")).alias("run"), "node", "component", "n", "sketch", F.lit(1).alias("asks"))
+    rows = held.unionByName(asking).repartition("grp", "run").sortWithinPartitions("grp", "run", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, table = None, [], None
         for batch in batches:
-            a, b = [], []
-            for home, chunk, node, component, n, cells, asks in zip(*(batch.column(k).to_pylist() for k in [*columns, "asks"]), strict=True):
-                if (home, chunk) != key:
-                    key, held, table = (home, chunk), [], None
+            out: list[tuple[int, int, int, int, int]] = []
+            for grp, part, node, component, n, cells, asks in zip(*(batch.column(k).to_pylist() for k in [*columns, "asks"]), strict=True):
+                if (grp, part) != key:
+                    key, held, table = (grp, part), [], None
                 if not asks:
                     held.append((node, component, n, cells))
                     continue
@@ -243,19 +253,16 @@ def opened(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                         by_width.setdefault(len(m[3]), []).append(m)
                     table = [[np.array([m[k] for m in ms], np.int64) for k in range(4)] for ms in by_width.values()]
                 own = np.array(cells, np.int64).view(U)
-                got: list[int] = []
                 for nodes, parts, sizes, sketches in table:
                     width = min(len(own), sketches.shape[1])
                     # as unsigned numbers: bits of signed ones are counted in their absolute value
                     apart = np.bitwise_count(folded(sketches.view(U), width) ^ folded(own, width)).sum(axis=1, dtype=np.int64)
                     near = (parts != component) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
                     near &= apart <= (100 - percent) * (sizes + n) // (100 + percent)
-                    got += nodes[near].tolist()
-                a += [min(node, m) for m in got]
-                b += [max(node, m) for m in got]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    out += [(node, m, d, component, p) for m, d, p in zip(nodes[near].tolist(), apart[near].tolist(), parts[near].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(5)], names=["a", "b", "apart", "own", "other"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, apart long, own long, other long")
 
 
 def set_table(docs: DataFrame, classes: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -272,10 +279,49 @@ def set_table(docs: DataFrame, classes: DataFrame, nodes: DataFrame, words: int)
     return rows.mapInArrow(run, "node long, n long, sketch array<long>, set binary")
 
 
-def shared_tokens(rows: DataFrame) -> DataFrame:
-    """The rows whose token several nodes have, with the token's smallest node as leader."""
-    by = Window.partitionBy("token")
-    return rows.withColumn("leader", F.min("node").over(by)).withColumn("most", F.max("node").over(by)).filter("leader < most").drop("most")
+def by_token(rows: DataFrame, value: str = "node") -> DataFrame:
+    """The rows whose token comes with several values, with the token's smallest node as leader and its number of rows.
+
+    Counts and extremes are combined before the shuffle; frequent tokens then meet their rows by a broadcast.
+    """
+    by = rows.groupBy("token").agg(F.min("node").alias("leader"), F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("n")).filter("low < high")
+    by = written(by.drop("low", "high"), "tokens")
+    total = by.agg(F.sum("n")).first()[0] or 0
+    return hot_join(rows, by.withColumn("hot", F.col("n") * HOT_PART >= total), ["token"])
+
+
+def groups_of(spread: DataFrame) -> DataFrame:
+    """node, component and grp of every node: groups of GROUP_ROWS nodes on average. Those of one component come last."""
+    homes = spread.groupBy("node", "component").agg(F.min("leader").alias("home"))  # the leader that a class meets first
+    sizes = homes.groupBy("home", "component").agg(F.count("*").alias("n")).withColumn("fills", F.col("n") >= GROUP_ROWS)
+    part = F.when(F.col("fills"), F.col("component")).otherwise(-1).alias("part")
+    chunks = sizes.groupBy("home", part).agg(F.ceil(F.sum("n") / GROUP_ROWS).alias("chunks"))
+    sizes = sizes.select("home", "component", "fills", part).join(chunks, ["home", "part"])
+    chunk = F.pmod(F.xxhash64(F.when(F.col("fills"), F.col("node")).otherwise(F.col("component"))), F.col("chunks"))
+    grp = F.shiftrightunsigned(F.xxhash64("home", "part", chunk), 2) + F.col("fills").cast("long") * (1 << 62)
+    return homes.join(sizes, ["home", "component"]).select("node", "component", grp.alias("grp"))
+
+
+def asked(spread: DataFrame, homes: DataFrame) -> DataFrame:
+    """node, component and grp of the groups that each node opens."""
+    held = spread.select("node", "component", "tag", "need", "token", "n").join(homes.select("node", F.col("grp").alias("own_grp")), "node")
+    matrix = spread.select("node", "token").join(homes, "node").groupBy("token", "grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    matrix = written(matrix, "matrix")
+    by = Window.partitionBy("node", "tag")  # a node's tokens: at most a few for each hundred shingles
+    place = F.row_number().over(by.orderBy("n", "token"))
+    rare = held.withColumn("place", place).withColumn("size", F.count("*").over(by)).filter("place <= size - need + 1")
+    other = (F.col("grp") >= F.col("own_grp")) & ((F.col("low") != F.col("component")) | (F.col("high") != F.col("component")))
+    met = written(rare.join(matrix, "token").filter(other).select("node", "tag", "need", "component", "grp").distinct(), "met")
+    counted = met.join(spread.select("node", "tag", "token"), ["node", "tag"]).join(matrix.select("token", "grp"), ["token", "grp"])
+    return counted.groupBy("node", "component", "grp", "tag", "need").agg(F.count("*").alias("shared")).filter("shared >= need").select("node", "component", "grp").distinct()
+
+
+def joined(parts: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, component) after the components of parts have been joined by more, a table of (node, component) of them."""
+    other = more.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    moved = parts.join(other, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    alone = more.join(parts.select("node"), "node", "left_anti").select("node", "component")
+    return written(moved.unionByName(alone), "parts")
 
 
 def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", counted: bool = True) -> DataFrame:
@@ -289,46 +335,53 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, do
     """
     docs = narrowed(docs, doc_id=doc_id, text=text).withColumn("text_hash", F.xxhash64("text")).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(-1)))
     worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]").cast("long")
-    keys = written(counted_keys(docs, words) if counted else docs.select("doc_id", "text_hash", "size", worded.alias("n")), "keys")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
-    classes = keys.groupBy("text_hash", "size").agg(F.count("*").alias("copies"), first).select("text_hash", "size", "copies", F.col("first.doc_id").alias("doc_id"))
-    hot = (F.col("copies") > 1) & (F.col("copies") * HOT_PART >= keys.count())
-    code = F.shiftrightunsigned(F.xxhash64("text_hash", "size"), 2)
-    classes = written(classes.withColumn("hot", hot).withColumn("node", F.when(F.col("hot"), code).otherwise(code + (1 << 62))), "classes")
-    hot = F.broadcast(classes.filter("hot").select(F.col("text_hash").alias("h_hash"), F.col("size").alias("h_size"), F.col("doc_id").alias("h_doc")))  # at most HOT_PART rows
-    is_hot = (F.col("text_hash") == F.col("h_hash")) & F.col("size").eqNullSafe(F.col("h_size"))
-    texts = docs.join(hot, is_hot, "left").filter(F.col("h_hash").isNull() | F.col("doc_id").eqNullSafe(F.col("h_doc")))
-    texts = texts.select(F.when(F.col("h_hash").isNotNull(), code).otherwise(code + (1 << 62)).alias("node"), "text")
-    held = written(shared_tokens(token_rows(texts, words, percent)).drop("leader").distinct(), "shared")
-    # a node whose shared tokens under a tag are fewer than a link needs has no link under that tag
-    enough = held.groupBy("node", "tag", "need").agg(F.count("*").alias("n")).filter("n >= need").select("node", "tag")
-    held = written(shared_tokens(held.join(enough, ["node", "tag"])), "shared")
-    sets = written(set_table(docs, classes, held.select("node").distinct(), words), "sets")
-    facts = sets.select("node", "n", "sketch")
-    near = held.filter("leader < node").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
-    near = may_link(near, facts, percent).groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-    near = written(near.select("a", "b"), "near")
-    links = written(verified(near, sets.select("node", "set"), percent), "links")
-    parts = written(components(links), "parts")
-
-    by = Window.partitionBy("token")
-    held = held.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("leader")
-    spread = held.withColumn("low", F.min("component").over(by)).withColumn("high", F.max("component").over(by)).withColumn("leader", F.min("node").over(by)).filter("low < high")
-    spread = written(spread.drop("low", "high"), "spread")
-    # the leader that a class meets first is its group's; groups are cut by the members' hashes
-    homes = spread.groupBy("node", "component").agg(F.min("leader").alias("home"))
-    counts = homes.groupBy("home").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("chunks"))
-    homes = written(homes.join(counts, "home").select("node", "component", "home", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")), "homes")
-    matrix = spread.select("node", "token").join(homes, "node").groupBy("token", "home", "chunk").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    asks = spread.select("node", "component", "tag", "need", "token").join(matrix, "token").filter((F.col("low") != F.col("component")) | (F.col("high") != F.col("component")))
-    asks = asks.groupBy("node", "component", "home", "chunk", "tag", "need").agg(F.count("*").alias("shared")).filter("shared >= need").select("node", "component", "home", "chunk").distinct()
-    more = opened(asks.join(facts, "node"), homes.join(facts, "node"), percent).distinct().join(near, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(written(more, "near"), sets.select("node", "set"), percent))
-    final = components(links).select(F.col("node").alias("l_node"), "component")
-
-    nodes = classes.join(final, F.col("node") == F.col("l_node"), "left").select("text_hash", "size", "hot", F.coalesce("component", "node").alias("component"))
-    out = hot_join(keys, nodes, ["text_hash", "size"])
-    return written(out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).alias("component")), "components")
+    with tidied(docs.sparkSession) as kept:
+        keys = written(counted_keys(docs, words) if counted else docs.select("doc_id", "text_hash", "size", worded.alias("n")), "keys")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+        classes = keys.groupBy("text_hash", "size").agg(F.count("*").alias("copies"), first).select("text_hash", "size", "copies", F.col("first.doc_id").alias("doc_id"))
+        hot = (F.col("copies") > 1) & (F.col("copies") * HOT_PART >= keys.count())
+        code = F.shiftrightunsigned(F.xxhash64("text_hash", "size"), 2)
+        classes = written(classes.withColumn("hot", hot).withColumn("node", F.when(F.col("hot"), code).otherwise(code + (1 << 62))), "classes")
+        hot = F.broadcast(classes.filter("hot").select(F.col("text_hash").alias("h_hash"), F.col("size").alias("h_size"), F.col("doc_id").alias("h_doc")))  # at most HOT_PART rows
+        is_hot = (F.col("text_hash") == F.col("h_hash")) & F.col("size").eqNullSafe(F.col("h_size"))
+        texts = docs.join(hot, is_hot, "left").filter(F.col("h_hash").isNull() | F.col("doc_id").eqNullSafe(F.col("h_doc")))
+        texts = texts.select(F.when(F.col("h_hash").isNotNull(), code).otherwise(code + (1 << 62)).alias("node"), "text")
+        every = written(token_sets(texts, words, percent), "token-sets").select("node", "tag", "need", F.explode("tokens").alias("token"))
+        held = written(by_token(every).drop("leader", "n").distinct(), "shared")
+        # a node whose shared tokens under a tag are fewer than a link needs has no link under that tag
+        enough = held.groupBy("node", "tag", "need").agg(F.count("*").alias("n")).filter("n >= need").select("node", "tag")
+        held = written(held.join(enough, ["node", "tag"]), "shared")
+        held = written(by_token(held).drop("n"), "shared")
+        sets = written(set_table(docs, classes, held.select("node").distinct(), words), "sets")
+        facts = sets.select("node", "n", "sketch")
+        near = held.filter("leader < node").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
+        near = may_link(near, facts, percent).groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
+        near = written(near.select("a", "b"), "near")
+        links = written(verified(near, sets.select("node", "set"), percent), "links")
+        parts = components(links)
+
+        held = written(held.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("leader"), "held")
+        spread = written(by_token(held, "component"), "spread")
+        homes = written(groups_of(spread), "homes")
+        more = opened(asked(spread, homes).join(facts, "node"), homes.join(facts, "node"), percent)
+        more = written(more.join(near, (F.least(more.a, more.b) == near.a) & (F.greatest(more.a, more.b) == near.b), "left_anti"), "more")
+        # of each node and each other component the nearest member first, then the rest where those did not link
+        best = written(more.groupBy("a", "own", "other").agg(F.min_by("b", F.struct("apart", "b")).alias("b")).select("a", "b", "own", "other"), "best")
+        found = verified(best.select("a", "b"), sets.select("node", "set"), percent).join(best, ["a", "b"])
+        parts = joined(parts, components(found.select(F.col("own").alias("a"), F.col("other").alias("b"))))
+        now = lambda k: parts.select(F.col("node").alias(k), F.col("component").alias(f"{k}_now"))
+        open_pairs = more.select("own", "other").distinct().join(now("own"), "own", "left").join(now("other"), "other", "left")
+        open_pairs = open_pairs.select("own", "other", F.coalesce("own_now", "own").alias("own_now"), F.coalesce("other_now", "other").alias("other_now")).filter("own_now <> other_now")
+        rest = more.join(open_pairs, ["own", "other"]).join(best.select("a", "b"), ["a", "b"], "left_anti")
+        rest = written(rest.select("a", "b", F.col("own_now").alias("own"), F.col("other_now").alias("other")), "rest")
+        found = verified(rest.select("a", "b"), sets.select("node", "set"), percent).join(rest, ["a", "b"])
+        parts = joined(parts, components(found.select(F.col("own").alias("a"), F.col("other").alias("b"))))
+        final = parts.select(F.col("node").alias("l_node"), "component")
+
+        nodes = classes.join(final, F.col("node") == F.col("l_node"), "left").select("text_hash", "size", "hot", F.coalesce("component", "node").alias("component"))
+        out = hot_join(keys, nodes, ["text_hash", "size"])
+        kept.append(written(out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).alias("component")), "components"))
+        return kept[0]
 
 
 def per_component(rows: DataFrame, value: Column, name: str) -> DataFrame:

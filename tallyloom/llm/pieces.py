@@ -36,7 +36,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_COST = 10.0
 #: Bytes of words and ids that a worker keeps, about; longer words than LONG characters are never kept.
-CACHE_BYTES = 80 << 20
+CACHE_BYTES = 160 << 20
 LONG = 64
 #: Pairs of pieces of which a worker remembers whether they stay apart: in a dictionary, and in places by hash (a power of two).
 CACHE_PAIRS, PLACES = 300_000, 1 << 18
