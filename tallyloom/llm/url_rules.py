@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import narrowed, small
+from tallyloom.llm.common import HOT_PART, hot_join, narrowed, small, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,12 +53,16 @@ def apply_rules(pages: DataFrame, rules: DataFrame, default: str = "allow", page
     # urls that share host and leading path are matched once, whatever their number
     longest = max(lengths)
     keyed = keyed.withColumn("head", F.substring("path", 1, longest))
-    heads = keyed.filter("host <> ''").select("host", "head").distinct()
+    heads = written(keyed.groupBy("host", "head").agg(F.count("*").alias("n")), "heads")
     prefixes = F.array_distinct(F.transform(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: F.substring(F.col("head"), F.lit(1), n)))
-    expressions = heads.select("host", "head", F.explode(suffixes(F.col("host"))).alias("suffix"), prefixes.alias("prefixes")).select("host", "head", "suffix", F.explode("prefixes").alias("prefix"))
+    expressions = heads.filter("host <> ''").select("host", "head", F.explode(suffixes(F.col("host"))).alias("suffix"), prefixes.alias("prefixes"))
+    expressions = expressions.select("host", "head", "suffix", F.explode("prefixes").alias("prefix"))
     expressions = expressions.withColumn("full", F.sha2(F.concat_ws("\n", "suffix", "prefix"), 256)).withColumn("short", F.substring("full", 1, 8))
     hits = expressions.join(small(rules, n_rules), "short").filter(F.col("full") == F.col("digest"))
-    best = hits.groupBy("host", "head").agg(
-        F.max(F.struct((F.length("rule_host") + F.length("rule_path")).alias("size"), F.length("rule_host").alias("host_size"), F.col("rule_verdict").alias("verdict"), F.concat("rule_host", "rule_path").alias("rule"))).alias("best")
-    )
-    return keyed.join(best, ["host", "head"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    size, name = F.length("rule_host") + F.length("rule_path"), F.concat("rule_host", "rule_path")
+    best = F.max(F.struct(size.alias("size"), F.length("rule_host").alias("host_size"), F.col("rule_verdict").alias("verdict"), name.alias("rule")))
+    best = hits.groupBy("host", "head").agg(best.alias("best"))
+    # every url has its head in the table, also where no rule fits, so a frequent one is met by a broadcast in either case
+    hot = F.col("n") * HOT_PART >= (heads.agg(F.sum("n")).first()[0] or 0)
+    told = heads.join(best, ["host", "head"], "left").select("host", "head", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"), hot.alias("hot"))
+    return hot_join(keyed, written(told, "told"), ["host", "head"]).select("page_id", "host", "path", "rule", "verdict")
