@@ -1,8 +1,9 @@
 """Document fingerprints by one-permutation MinHash, in DataFrame functions only.
 
 Each shingle of words is hashed once; its top bits choose a bin and the least hash of a bin is kept. An empty bin
-takes the value of another, tried in an order that depends on the bin alone (optimal densification). The low bits of
-every bin are the fingerprint; equal low bits by chance are taken out of the likeness.
+takes the value of the first filled one in a random order of all bins that depends on the empty bin alone (optimal
+densification): bins are ordered by a hash of both, so the first filled one is that with the least hash. The low bits
+of every bin are the fingerprint; equal low bits by chance are taken out of the likeness.
 """
 
 from __future__ import annotations
@@ -13,8 +14,6 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import SPACES, dense_rank_table, narrowed, written
 
 BINS, BIN_BITS, LOW_BITS = 128, 7, 8
-#: Bins that an empty bin tries before it takes the nonempty bin with the least hash of both.
-TRIES = 6
 
 
 def let(value: Column, body) -> Column:
@@ -41,19 +40,16 @@ def fingerprint(text: Column, words: int = 5) -> Column:
     def least(h: Column) -> Column:
         return F.filter(h, lambda x, i: (i == 0) | (place(x) != place(F.get(h, i - 1))))
 
-    def spread(m: Column) -> Column:
-        at = F.map_from_arrays(F.transform(m, lambda x: place(x).cast("int")), m)
-        return let(at, lambda t: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.try_element_at(t, b)))
+    def filled(m: Column) -> Column:
+        own = F.map_from_arrays(F.transform(m, lambda x: place(x).cast("int")), m)
 
-    def filled(p: Column, m: Column) -> Column:
-        def one(b: Column) -> Column:
-            first = [F.get(p, F.pmod(F.xxhash64(b, F.lit(k)), F.lit(BINS)).cast("int")) for k in range(TRIES)]
-            last = F.array_min(F.transform(m, lambda x: F.struct(F.xxhash64(b, place(x)).alias("h"), x.alias("x"))))["x"]
-            return F.coalesce(F.get(p, b), *first, last)
+        def one(t: Column, b: Column) -> Column:
+            first = F.array_min(F.transform(m, lambda x: F.struct(F.xxhash64(b, place(x)).alias("h"), x.alias("x"))))
+            return F.coalesce(F.try_element_at(t, b), first["x"])
 
-        return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), one)
+        return let(own, lambda t: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: one(t, b)))
 
-    bins = let(shingle_hashes(text, words), lambda h: let(least(h), lambda m: F.when(F.size(m) == BINS, m).when(F.size(m) > 0, let(spread(m), lambda p: filled(p, m)))))
+    bins = let(shingle_hashes(text, words), lambda h: let(least(h), lambda m: F.when(F.size(m) == BINS, m).when(F.size(m) > 0, filled(m))))
     return F.transform(bins, lambda x: x.bitwiseAND(F.lit((1 << LOW_BITS) - 1)).cast("short"))
 
 
