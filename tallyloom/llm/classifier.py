@@ -2,7 +2,8 @@
 
 Features are indicators of byte n-grams, hashed to a fixed width. Each is scaled by the log ratio of its smoothed
 frequencies in the two classes; a linear model with hinge loss is fitted to the scaled indicators by dual
-coordinate descent, and its margins are mapped to 0..1 by a logistic fit.
+coordinate descent. A text's margin, the sum of its weights, is divided by the root of its number of n-grams, so that
+long texts do not score higher for their length, and a logistic fit maps what results to 0..1.
 """
 
 from __future__ import annotations
@@ -61,6 +62,16 @@ def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: floa
     return w * ratio
 
 
+def log_ratios(rows: list[np.ndarray], y: np.ndarray, smooth: float) -> np.ndarray:
+    """Log of each indicator's smoothed frequency in class 1 over that in class -1."""
+    counts = np.full((2, 1 << BITS), smooth)
+    for k in (0, 1):
+        if mine := [x for x, v in zip(rows, y, strict=True) if (v > 0) == k]:
+            counts[k] += np.bincount(np.concatenate(mine), minlength=1 << BITS)
+    n = np.array([(y < 0).sum(), (y > 0).sum()]) + 2 * smooth
+    return np.log(counts[1] / n[1]) - np.log(counts[0] / n[0])
+
+
 def logistic(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
     """Slope and offset that map margins to the chance of class 1, by Newton steps with smoothed targets."""
     ones = (y > 0).sum()
@@ -120,21 +131,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 6000, cost: floa
     if len(set(y.tolist())) < 2:
         share = ((y > 0).sum() + 1) / (len(y) + 2)
         return Model(np.zeros(1 << BITS), 1.0, float(np.log(share / (1 - share))))
-    counts = np.full((2, 1 << BITS), smooth)
-    for k in (0, 1):
-        if mine := [x for x, v in zip(rows, y, strict=True) if (v > 0) == k]:
-            counts[k] += np.bincount(np.concatenate(mine), minlength=1 << BITS)
-    n = np.array([(y < 0).sum(), (y > 0).sum()]) + 2 * smooth
-    ratio = np.log(counts[1] / n[1]) - np.log(counts[0] / n[0])
     norm = [max(1.0, np.sqrt(len(x))) for x in rows]
-    # three folds give the margins that the logistic fit sees, so that its slope is not that of fitted rows
+    # three folds, each with log ratios and a model of the other two, give the margins that the logistic fit sees
     fold, margin = np.arange(len(rows)) % 3, np.zeros(len(rows))
     for k in range(3):
         own = np.flatnonzero(fold != k)
-        w = descend([rows[i] for i in own], y[own], ratio, cost, rounds, seed)
+        others = [rows[i] for i in own]
+        w = descend(others, y[own], log_ratios(others, y[own], smooth), cost, rounds, seed)
         for i in np.flatnonzero(fold == k):
             margin[i] = w[rows[i]].sum() / norm[i]
-    weights = descend(rows, y, ratio, cost, rounds, seed)
+    weights = descend(rows, y, log_ratios(rows, y, smooth), cost, rounds, seed)
     return Model(weights, *logistic(margin, y))
 
 
@@ -159,7 +165,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", t
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The rows of docs, with all their columns, whose score reaches the threshold."""
+    """The rows of docs, with all their columns, whose score reaches the threshold; see quality_scores.
+
+    Null and empty texts are judged by the score of a text without n-grams. Rows with equal texts are kept or dropped
+    alike, repeated rows and null ids too; an empty table stays empty. Column names of docs are free, also ``score``.
+    """
     model, at = fit(narrowed(docs, doc_id=doc_id, text=text), train_rows(labels, label), **settings), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
