@@ -402,15 +402,19 @@ def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
 
 
 def representatives(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component of docs, with all columns: the smallest id, null ids last; rows without words all stay."""
+    """One row of each component of docs, with all columns: the smallest id, null ids last; rows without words all stay.
+
+    Rows with the same id and text are one document: one of them stays. See similarity_components for what links. An
+    empty table stays empty; the names of docs' columns are free.
+    """
     rows = similarity_components(docs, words, percent, doc_id, text, counted=False)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
     gone = per_component(rows, F.min(order), "k").filter(~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_hash") == F.col("k.text_hash"))))
-    gone = gone.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).distinct()
-    same = F.xxhash64(docs[text])
-    left = docs.join(gone, docs[doc_id].eqNullSafe(F.col("__doc")) & (same == F.col("__hash")), "left_anti")
+    gone = gone.select("doc_id", "text_hash").distinct().alias("g")
+    same = F.xxhash64(F.col(f"d.`{text}`")) == F.col("g.text_hash")
+    left = docs.alias("d").join(gone, F.col(f"d.`{doc_id}`").eqNullSafe(F.col("g.doc_id")) & same, "left_anti")
     repeated = rows.filter("n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     if not repeated:
         return left
-    worded = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    worded = F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     return left.filter(worded).dropDuplicates([doc_id, text]).unionByName(left.filter(~worded))

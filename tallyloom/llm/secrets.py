@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import narrowed, written
+from tallyloom.llm.common import narrowed, tidied, written
 
 #: Kind, pattern, group whose length counts, least length. The first three are strong.
 KINDS = [
@@ -102,8 +102,11 @@ def secret_spans(docs: DataFrame, scope: int = 400, doc_id: str = "doc_id", text
     Rows with the same id and the same text share their spans; null ids are an id of their own and a null text is
     an empty one. Texts without a match, and empty tables, give no spans. Other columns are ignored.
     """
-    marks = written(marked(narrowed(docs, doc_id=doc_id, text=text)), "marks")
-    return marks.select("doc_id", "text_hash"), written(linked(written(candidates(marks), "candidates"), scope), "spans")
+    with tidied(docs.sparkSession) as kept:
+        marks = written(marked(narrowed(docs, doc_id=doc_id, text=text)), "marks")
+        spans = written(linked(written(candidates(marks), "candidates"), scope), "spans")
+        kept += [marks, spans]
+    return marks.select("doc_id", "text_hash"), spans
 
 
 def joined(spans: Column) -> Column:
@@ -128,17 +131,24 @@ def scan(docs: DataFrame, scope: int = 400, doc_id: str = "doc_id", text: str =
 
 
 def redacted(docs: DataFrame, scope: int = 400, mark: str = "[secret]", doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """docs with every span replaced by mark, and n_chars, if there, set to the new length. Other rows stay as they are."""
-    _, spans = secret_spans(docs, scope, doc_id, text)
-    before = F.max("end").over(Window.partitionBy("doc_id", "text_hash").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
-    block = F.sum(F.when(F.col("before") >= F.col("start"), 0).otherwise(1)).over(Window.partitionBy("doc_id", "text_hash").orderBy("start", "end"))
-    merged = spans.withColumn("before", before).withColumn("block", block).groupBy("doc_id", "text_hash", "block").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    by = merged.groupBy(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cut"))
-    own = F.col(f"__d.{text}")
-    out = docs.alias("__d").join(by, F.col(f"__d.{doc_id}").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.coalesce(own, F.lit(""))) == F.col("__hash")), "left")
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("__cut", lambda s: s["end"]))
-    starts = F.concat(F.transform("__cut", lambda s: s["start"]), F.array(F.length(own).cast("long")))
+    """docs with every span replaced by mark, and n_chars, if there, set to the new length. Other rows stay as they are.
+
+    Spans that overlap or touch are replaced together. Rows with the same id and text change alike; null ids are an id of their
+    own and null texts stay null. An empty table stays empty; the names of docs' columns are free.
+    """
+    with tidied(docs.sparkSession) as kept:
+        _, spans = secret_spans(docs, scope, doc_id, text)
+        before = F.max("end").over(Window.partitionBy("doc_id", "text_hash").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+        block = F.sum(F.when(F.col("before") >= F.col("start"), 0).otherwise(1)).over(Window.partitionBy("doc_id", "text_hash").orderBy("start", "end"))
+        merged = spans.withColumn("before", before).withColumn("block", block).groupBy("doc_id", "text_hash", "block").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        cuts = merged.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cut"))  # the spans of one text
+        kept.append(written(cuts, "cuts"))
+    own, cut = F.col(f"d.`{text}`"), F.col("c.cut")
+    out = docs.alias("d").join(kept[0].alias("c"), F.col(f"d.`{doc_id}`").eqNullSafe(F.col("c.doc_id")) & (F.xxhash64(F.coalesce(own, F.lit(""))) == F.col("c.text_hash")), "left")
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(cut, lambda s: s["end"]))
+    starts = F.concat(F.transform(cut, lambda s: s["start"]), F.array(F.length(own).cast("long")))
     parts = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda p: F.substring(own, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")))
-    new = F.when(F.col("__cut").isNotNull(), F.array_join(parts, mark)).otherwise(own)
-    columns = [new.alias(c) if c == text else F.when(F.col("__cut").isNotNull(), F.length(new).cast(t)).otherwise(F.col(f"__d.{c}")).alias(c) if c == n_chars else F.col(f"__d.{c}") for c, t in docs.dtypes]
+    new = F.when(cut.isNotNull(), F.array_join(parts, mark)).otherwise(own)
+    as_was = lambda c: F.col(f"d.`{c}`")
+    columns = [new.alias(c) if c == text else F.when(cut.isNotNull(), F.length(new).cast(t)).otherwise(as_was(c)).alias(c) if c == n_chars else as_was(c) for c, t in docs.dtypes]
     return out.select(*columns)
