@@ -1,4 +1,4 @@
-"""The pipeline stage by stage against brute force, and Viterbi against a plain dynamic programme."""
+"""The pipeline stage by stage against brute force."""
 
 import random
 import zlib
@@ -9,7 +9,7 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from tallyloom.llm import classifier, pieces  # noqa: E402
+from tallyloom.llm import classifier  # noqa: E402
 from tallyloom.llm.common import written  # noqa: E402
 from test_llm import brute_components, brute_repeats  # noqa: E402
 
@@ -89,36 +89,3 @@ def test_stages_and_run(spark, tmp_path):
     assert done == {i: len(x) for i, x in ids.items()} and at_place > 2048
 
 
-def best_split(word, score, least):
-    """Score and pieces of the best split, by trying every start of every end."""
-    best = [(0.0, [])]
-    for end in range(1, len(word) + 1):
-        ways = []
-        for start in range(end):
-            part = word[start:end]
-            if part in score or end - start == 1:
-                ways.append((best[start][0] + score.get(part, least), [*best[start][1], part]))
-        best.append(max(ways, key=lambda w: w[0]))
-    return best[-1]
-
-
-def test_viterbi(tmp_path):
-    import sentencepiece
-
-    rng = random.Random(5)
-    made = ["".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 5))) for _ in range(40)]
-    lines = [" ".join("".join(rng.choices(made, k=rng.randrange(1, 4))) for _ in range(12)) for _ in range(300)]
-    (tmp_path / "lines.txt").write_text("\n".join(lines))
-    sentencepiece.SentencePieceTrainer.train(input=str(tmp_path / "lines.txt"), model_prefix=str(tmp_path / "tiny"), model_type="unigram", vocab_size=60, normalization_rule_name="identity", minloglevel=2)
-    m = pieces.PieceModel(str(tmp_path / "tiny.model"))
-    assert m.kind == pieces.UNIGRAM
-    score = {w: float(m.score[i]) for i, w in enumerate(m.words) if i in set(m.ids.tolist())}
-    texts = [*lines[:60], "abxcd qa", "", "f", "  ab   c "]
-    for text, packed in zip(texts, m.encode(texts), strict=True):
-        got = np.frombuffer(packed, "<i4").tolist()
-        want = [best_split(w, score, m.least) for w in m.split(text)]
-        assert sum(m.score[i] if i != m.unknown else m.least for i in got) == pytest.approx(sum(s for s, _ in want))
-        assert [m.words[i] for i in got if i != m.unknown] == [p for _, ps in want for p in ps if p in score]
-    for own, library in zip(m.encode(lines), m.sp.encode(lines), strict=True):  # equal sums may be split in two ways
-        own = np.frombuffer(own, "<i4").tolist()
-        assert m.sp.decode(own) == m.sp.decode(library) and m.score[own].sum() == pytest.approx(m.score[library].sum())
