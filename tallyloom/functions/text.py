@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The shape of an evidence token, a number, the bounds of weights, and the bands of words for weights.
+# The shape of an evidence token, of a number, of a note's header, of a mask, the end of a sentence; the bounds of
+# weights; the replaced pronouns.
 TOKEN = r"^(E_\d+)(?:_@_(.+))?$"
 NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
+HEADER = r"(?m)^([A-Z][A-Za-z /\-]{3,40}):"
+MASK = r"_{2,}"
+SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z(])"
 BOUND, LOW, HIGH = 7.0, 1e-3, 1e3
+PRONOUNS = [("yourself", "themselves"), ("your", "their"), ("you", "they")]
+
+#: White space at the ends that is stripped.
+SPACE = " \t\n\x0b\f\r"
+
+
+def stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(SPACE))
 
 
 def token_code(token: Column) -> Column:
@@ -26,8 +38,8 @@ def shown(value: Column, meanings: Column) -> Column:
 
 
 def depersonalised(text: Column) -> Column:
-    """The reader's pronouns become the patient's, in this order."""
-    for word, new in (("your", "their"), ("yourself", "themselves"), ("you", "they")):
+    """The reader's pronouns become the patient's."""
+    for word, new in PRONOUNS:
         text = F.regexp_replace(text, rf"(?i)\b{word}\b", new)
     return text
 
@@ -41,15 +53,28 @@ def bullets(phrases: Column) -> Column:
     return F.array_join(F.transform(phrases, lambda p: F.concat(F.lit("- "), capital(p))), "\n")
 
 
-def sentences_of_three(phrases: Column) -> Column:
-    """Phrases in their order, three to a sentence."""
+def sentences_of_three(phrases: Column, subject: str = "The patient") -> Column:
+    """Phrases in their order, three to a sentence that begins with the subject; empty without phrases."""
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(phrases) / 3) - 1).cast("int"))
-    return F.array_join(F.transform(starts, lambda i: F.concat(capital(F.array_join(F.slice(phrases, 3 * i + 1, 3), "; ")), F.lit("."))), " ")
+    one = lambda i: F.concat(F.lit(f"{subject} "), F.array_join(F.slice(phrases, 3 * i + 1, 3), "; "), F.lit("."))
+    return F.when(F.size(phrases) > 0, F.array_join(F.transform(starts, one), " ")).otherwise(F.when(phrases.isNotNull(), F.lit("")))
+
 
+def leading_value(text: Column, key: str) -> Column:
+    """What the first JSON object of a text has under key, as JSON text; null if there is no object, if it does not
+    close or parse, or if it has no such key (or null there). What follows the object is ignored."""
+    start = F.instr(text, "{")
+    rest = F.when(start > 0, F.substr(text, start))
+    return F.from_json(rest, f"`{key}` string")[key]
 
-def leading_json(text: Column) -> Column:
-    """From the first brace to the brace that closes a flat object; empty if there is none."""
-    return F.regexp_extract(text, r"(?s)\{.*?\}", 0)
+
+def number_list(raw: Column) -> Column:
+    """The numbers of a JSON array; an entry that is none is null, as is what is no array."""
+    return F.transform(F.from_json(raw, "array<string>"), lambda x: x.try_cast("double"))
+
+
+def all_finite(values: Column) -> Column:
+    return F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
 def numbers_after_bracket(text: Column, n: int) -> Column:
@@ -59,34 +84,45 @@ def numbers_after_bracket(text: Column, n: int) -> Column:
     return F.when(F.size(found) >= n, F.slice(found, 1, n))
 
 
-def probabilities(text: Column, n: int, salvage: bool = True) -> Column:
-    """n probabilities of a response: of its JSON, else of its first n numbers; clipped at 0 and scaled, all zero gives
-    uniform, another number of entries null."""
+def probabilities(text: Column, n: int, salvage: bool = True, key: str = "probabilities") -> Column:
+    """n probabilities of a response, clipped at 0 and scaled; all zero gives uniform.
+
+    They are those of its first JSON object. If that does not close or parse, or has no such key, they are the first n
+    numbers after the first bracket. Another number of entries, or one that is no finite number, gives null.
+    """
     from tallyloom.functions.vectors import normalised
 
-    parsed = F.from_json(leading_json(text), "probabilities array<double>")["probabilities"]
-    closed = leading_json(text) != ""
+    raw = leading_value(text, key)
     rescued = numbers_after_bracket(text, n) if salvage else F.lit(None).cast("array<double>")
-    values = F.when(closed, F.when((F.size(parsed) == n) & F.forall(parsed, lambda x: x.isNotNull()), parsed)).otherwise(rescued)
-    return F.when(values.isNotNull(), normalised(values))
+    values = F.when(raw.isNotNull(), number_list(raw)).otherwise(rescued)
+    return F.when((F.size(values) == n) & all_finite(values), normalised(values))
 
 
 def weights(values: Column, kind: str, bands: dict[str, float] | None = None) -> Column:
-    """Log ratios of ``numeric`` ratios (null if one is not positive), ``logodds``, or words for bands; held to +-7."""
+    """Log ratios of ``numeric`` ratios (null if one is not positive), ``logodds``, or words for bands; held to +-7.
+
+    values: numbers, or for ``ordinal`` words. One entry that is null, not finite or an unknown word makes all null.
+    """
     if kind == "ordinal":
         table = F.create_map(*[F.lit(x) for kv in (bands or {}).items() for x in kv])
         got = F.transform(values, lambda v: F.try_element_at(table, v))
     elif kind == "numeric":
-        got = F.transform(values, lambda v: F.when(v > 0, F.ln(F.least(F.greatest(v, F.lit(LOW)), F.lit(HIGH)))))
+        got = F.transform(values, lambda v: F.when((v > 0) & (v < float("inf")), F.ln(F.least(F.greatest(v, F.lit(LOW)), F.lit(HIGH)))))
     else:
         got = F.transform(values, lambda v: v.cast("double"))
-    held = F.transform(got, lambda v: F.least(F.greatest(v, F.lit(-BOUND)), F.lit(BOUND)))
-    return F.when(F.forall(got, lambda v: v.isNotNull() & ~F.isnan(v)), held)
+    return F.when(all_finite(got), F.transform(got, lambda v: F.least(F.greatest(v, F.lit(-BOUND)), F.lit(BOUND))))
+
+
+def weights_in(text: Column, n: int, kind: str = "numeric", bands: dict[str, float] | None = None, key: str = "weights") -> Column:
+    """The n log ratios of a response's first JSON object, by weights; null for another number of them. Nothing is salvaged."""
+    raw = leading_value(text, key)
+    values = F.from_json(raw, "array<string>") if kind == "ordinal" else number_list(raw)
+    return F.when(F.size(values) == n, weights(values, kind, bands))
 
 
 def index_in(text: Column, n: int, key: str = "index") -> Column:
     """The number under key, cut to an integer; null outside [0, n)."""
-    i = F.get_json_object(leading_json(text), f"$.{key}").try_cast("double").cast("int")
+    i = leading_value(text, key).try_cast("double").cast("int")
     return F.when((i >= 0) & (i < n), i)
 
 
@@ -104,21 +140,30 @@ def numeric_target(x: Column) -> Column:
     return F.round(F.least(F.greatest(F.exp(F.least(F.greatest(x, F.lit(-BOUND)), F.lit(BOUND))), F.lit(LOW)), F.lit(HIGH)), 4)
 
 
-def sections(note: Column, header: str = r"(?m)^([A-Z][A-Za-z ]{2,40}):") -> Column:
+def sections(note: Column, header: str = HEADER) -> Column:
     """Map of a note's headers to the text below them; the last of equal headers counts."""
-    heads = F.regexp_extract_all(note, F.lit(header), F.lit(1))
-    bodies = F.transform(F.slice(F.split(note, header, -1), F.lit(2), F.greatest(F.size(heads), F.lit(1))), F.trim)
+    heads = F.transform(F.regexp_extract_all(note, F.lit(header), F.lit(1)), stripped)
+    bodies = F.transform(F.slice(F.split(note, header, -1), F.lit(2), F.greatest(F.size(heads), F.lit(1))), stripped)
     kept = F.filter(F.arrays_zip(heads.alias("h"), bodies.alias("b")), lambda z: z["h"].isNotNull())
     names = F.array_distinct(F.transform(kept, lambda z: z["h"]))
     return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(kept, lambda z: z["h"] == n), -1)["b"]))
 
 
 def segments(body: Column, least: int = 25, most: int = 400) -> Column:
-    """Sentences of a body by length."""
-    parts = F.transform(F.split(body, r"(?<=[.!?])\s+(?=[A-Z(])", -1), F.trim)
-    return F.filter(parts, lambda s: F.length(s).between(least, most))
+    """Sentences of a body by length; lines are joined first."""
+    flat = stripped(F.regexp_replace(body, r"\s*\n\s*", " "))
+    return F.filter(F.transform(F.split(flat, SENTENCE_END, -1), stripped), lambda s: F.length(s).between(least, most))
+
+
+def mask_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(MASK))
 
 
 def mask_density(text: Column) -> Column:
     """Runs of underscores for each word."""
-    return F.regexp_count(text, F.lit("_{2,}")) / F.size(F.split(F.trim(text), r"\s+", -1))
+    return mask_count(text) / F.greatest(F.size(F.split(stripped(text), r"\s+", -1)), F.lit(1))
+
+
+def one_line(text: Column, most: int = 200) -> Column:
+    """White space collapsed, and the first ``most`` characters."""
+    return F.substring(F.regexp_replace(text, r"\s+", " "), 1, most)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import vectors as V
+from tallyloom.operators import sampling as S
+from tallyloom.operators.conditioning import log_odds
 
 
 def pairs(rows: DataFrame, case: str = "case_id", key: str = "vec_id", keep: tuple[str, ...] = ("arm", "idx")) -> DataFrame:
@@ -68,22 +70,54 @@ def instability(rows: DataFrame, severity: DataFrame, k: int = 5, most: int = 2)
     return odd.groupBy("case_id").agg(F.max("bad").alias("unstable"))
 
 
+#: The code of each position in the slope.
+POSITIONS = {"first": -1, "middle": 0, "last": 1}
+
+
+def target_log_odds(rows: DataFrame) -> DataFrame:
+    """case_id, position, code and lo, the log-odds of the target's entry, of the cases with six rows or more."""
+    big = rows.groupBy("case_id").agg(F.count("*").alias("n")).filter("n >= 6").select("case_id")
+    code = F.when(F.col("position") == "first", POSITIONS["first"]).when(F.col("position") == "last", POSITIONS["last"]).otherwise(POSITIONS["middle"])
+    return rows.join(big, "case_id").select("case_id", "position", code.alias("code"), log_odds(F.get("v", F.col("target"))).alias("lo"))
+
+
 def position_effect(rows: DataFrame) -> DataFrame:
-    """A row per case with positions first, middle, last: mean JSD inside positions, mean over position pairs, eta squared of log-odds.
+    """A row per case with positions first, middle, last: n, within (mean JSD inside positions), between (mean over the
+    position pairs' means), the target's mean log-odds at each position, eta squared of these and flip.
 
-    rows: case_id, vec_id, position, v. Cases with fewer than six rows are dropped; eta squared is null without spread.
+    rows: case_id, vec_id, position, target (entry from 0), v. flip tells whether the modal top entries of the positions
+    differ, the smallest entry among equals. Cases with fewer than six rows are dropped; what has no rows is null, eta
+    squared also without spread.
     """
     big = rows.groupBy("case_id").agg(F.count("*").alias("n")).filter("n >= 6").select("case_id")
-    rows = rows.join(big, "case_id")
-    p = pairs(rows, keep=("position",))
+    p = pairs(rows.join(big, "case_id"), keep=("position",))
     within = p.filter("a_position = b_position").groupBy("case_id").agg(F.avg("jsd").alias("within"))
-    between = p.filter("a_position <> b_position").groupBy("case_id", F.array_sort(F.array("a_position", "b_position")).alias("pp")).agg(F.avg("jsd").alias("m")).groupBy("case_id").agg(F.avg("m").alias("between"))
-    lo = rows.select("case_id", "position", F.posexplode(V.log_odds(F.col("v"))).alias("i", "lo"))
-    means = lo.groupBy("case_id", "i", "position").agg(F.avg("lo").alias("m"), F.count("*").alias("n"), F.sum(F.col("lo") * F.col("lo")).alias("ss"))
-    parts = means.groupBy("case_id", "i").agg(F.sum(F.col("m") * F.col("n")).alias("s"), F.sum("n").alias("n"), F.sum(F.col("m") * F.col("m") * F.col("n")).alias("sb"), F.sum("ss").alias("ss"))
-    eta = parts.groupBy("case_id").agg(F.sum(F.col("sb") - F.col("s") * F.col("s") / F.col("n")).alias("b"), F.sum(F.col("ss") - F.col("s") * F.col("s") / F.col("n")).alias("t"))
-    eta = eta.select("case_id", F.when(F.col("t") > 1e-12, F.col("b") / F.col("t")).alias("eta_squared"))
-    return within.join(between, "case_id").join(eta, "case_id")
+    two = F.array_sort(F.array("a_position", "b_position")).alias("two")
+    between = p.filter("a_position <> b_position").groupBy("case_id", two).agg(F.avg("jsd").alias("m")).groupBy("case_id").agg(F.avg("m").alias("between"))
+    by = Window.partitionBy("case_id")
+    lo = target_log_odds(rows).withColumn("grand", F.avg("lo").over(by)).withColumn("mean", F.avg("lo").over(Window.partitionBy("case_id", "position")))  # a case's rows are few
+    at = lambda k: F.avg(F.when(F.col("position") == k, F.col("lo"))).alias(f"logodds_{k}")
+    square = lambda a, b: F.sum((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)))
+    spread = lo.groupBy("case_id").agg(F.count("*").alias("n"), *[at(k) for k in POSITIONS], square("mean", "grand").alias("b"), square("lo", "grand").alias("t"))
+    eta = F.when(F.col("t") > 1e-12, F.col("b") / F.col("t")).alias("eta_squared")
+    tops = rows.join(big, "case_id").groupBy("case_id", "position", V.top1(F.col("v")).alias("top")).agg(F.count("*").alias("k"))
+    modal = tops.groupBy("case_id", "position").agg(F.min_by("top", F.struct((-F.col("k")).alias("k"), "top")).alias("modal"))
+    flips = modal.groupBy("case_id").agg((F.count_distinct("modal") > 1).alias("flip"))
+    out = spread.select("case_id", "n", *[f"logodds_{k}" for k in POSITIONS], eta).join(flips, "case_id")
+    return out.join(within, "case_id", "left").join(between, "case_id", "left")
+
+
+def position_slope(rows: DataFrame, replicates: int) -> DataFrame:
+    """One row: slope of the target's log-odds, centred in each case, on the position's code; its interval over resampled
+    cases, and the number of cases."""
+    lo = target_log_odds(rows).withColumn("y", F.col("lo") - F.avg("lo").over(Window.partitionBy("case_id")))
+    x, y = F.col("code"), F.col("y")
+    case = lo.groupBy("case_id").agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"), F.sum(x * x).alias("sxx"))
+    slope = lambda: (F.col("sxy") / F.col("n") - F.col("sx") * F.col("sy") / (F.col("n") * F.col("n"))) / F.nullif(F.col("sxx") / F.col("n") - F.col("sx") * F.col("sx") / (F.col("n") * F.col("n")), F.lit(0.0))
+    sums = ["n", "sx", "sy", "sxy", "sxx"]
+    point = case.agg(*[F.sum(c).alias(c) for c in sums], F.count("*").alias("n_cases")).select(slope().alias("slope"), "n_cases")
+    drawn = S.resampled(case, "case_id", sums, replicates, "a4").select(slope().alias("v"))
+    return point.join(F.broadcast(S.interval(drawn)))  # a row each
 
 
 def phase_change(rows: DataFrame) -> DataFrame:

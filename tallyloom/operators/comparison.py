@@ -36,13 +36,12 @@ def named_means(rows: DataFrame) -> DataFrame:
 
 
 def residuals(rows: DataFrame, halves: list[tuple] = HALVES) -> DataFrame:
-    """case_id, method, jsd between a method's two halves, over the cases for which every method has both."""
+    """case_id, method, jsd between a method's two halves, over the cases that have every row that some method asks for."""
     inside = lambda h: (F.col("arm") == h[2]) & F.col("idx").between(h[3], h[4])
     spread = F.array_compact(F.array(*[F.when(inside(h), F.struct(F.lit(h[0]).alias("method"), F.lit(h[1]).alias("half"))) for h in halves]))
     parts = rows.select("case_id", "v", F.explode(spread).alias("z")).select("case_id", "z.method", "z.half", "v")
-    out = divergence_of(mean_vectors(parts, ["case_id", "method", "half"]), ["case_id", "method"], "half", 0, 1)
-    whole = out.groupBy("case_id").agg(F.count("*").alias("n")).filter(F.col("n") == len({h[0] for h in halves})).select("case_id")
-    return out.join(whole, "case_id")
+    whole = parts.groupBy("case_id").agg(F.count("*").alias("n")).filter(F.col("n") == sum(h[4] - h[3] + 1 for h in halves)).select("case_id")
+    return divergence_of(mean_vectors(parts.join(whole, "case_id"), ["case_id", "method", "half"]), ["case_id", "method"], "half", 0, 1)
 
 
 def ensemble_curve(rows: DataFrame, sizes: list[int], draws: int) -> DataFrame:

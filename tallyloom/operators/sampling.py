@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import e, factorial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,29 +32,44 @@ def group_split(df: DataFrame, group: str, test_share: float, seed: str = "g") -
     return df.withColumn("split", F.when(u < test_share, "test").otherwise("train"))
 
 
-def numbered(df: DataFrame, order: list[str], parts: int = 64) -> DataFrame:
-    """df with place, from 0 in the order of columns of which the first is a number; nulls come last.
+#: Chances that a unit is drawn up to 0, 1, 2, ... times, by the rule of the Poisson distribution of mean 1.
+UP_TO = [sum(1 / factorial(i) for i in range(k + 1)) / e for k in range(9)]
+
+
+def times(seed: str, key: str) -> Column:
+    """How often a unit stands in a replicate: by a hash of both, as a Poisson number of mean 1."""
+    u = F.conv(F.substring(draw(seed, "replicate", key), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return reduce(lambda a, b: a + b, [(u >= p).cast("int") for p in UP_TO])
+
+
+def weights_sql(table: str, key: str, seed: str, replicates: int) -> str:
+    """The same as a common table expression ``weights`` of r, key and w."""
+    u = f"('0x' || substr(sha1('{seed}|' || r || '|' || {key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+    return f"weights AS (SELECT r, {key}, len(list_filter([{', '.join(f'{p!r}::DOUBLE' for p in UP_TO)}], lambda p: p <= {u})) AS w FROM (SELECT DISTINCT {key} FROM {table}), range({replicates}) q(r))"
+
+
+def resampled(units: DataFrame, key: str, sums: list[str], replicates: int, seed: str) -> DataFrame:
+    """replicate and the sums of columns over a Poisson bootstrap: each unit counts as often as its hash says.
+
+    One pass: rows are multiplied in the task that reads them and combined there, so a row per replicate and task is
+    shuffled. units has a row per unit, with its sums, so that clusters are resampled whole.
+    """
+    every = units.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__w", times(seed, key))
+    return every.groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("__w")).alias(c) for c in sums])
+
+
+def interval(values: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """One row: low and high, quantiles of the column v of replicates; null with fewer than two."""
+    q = F.percentile("v", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
+    return values.agg(F.when(F.count("v") >= 2, q).alias("q")).select(F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
+
+
+def bootstrap_mean(rows: DataFrame, value: str, cluster: str, replicates: int, seed: str = "b") -> DataFrame:
+    """One row: mean of a column over all rows, its interval over resampled clusters, n rows and n_clusters.
 
-    Quantiles of the first column bound ranges, the ranges' counts give offsets and a window inside each range the rest,
-    so no task sees more than one range. The bounds are constants: a task that runs again finds the same ranges.
+    Rows without a value are left out. With a key of rows as cluster this is the bootstrap of independent rows.
     """
-    bounds = df.agg(F.percentile_approx(order[0], [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or []
-    key = F.col(order[0])
-    part = F.when(key.isNull(), parts).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= key)))
-    rows = df.withColumn("__part", part)
-    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row per range
-    offsets = rows.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*[F.col(c).asc_nulls_last() for c in order]))
-    return rows.join(F.broadcast(offsets), "__part").withColumn("place", F.col("__before") + inside - 1).drop("__part", "__before")
-
-
-def bootstrap_means(values: DataFrame, value: str, key: str, n_rows: int, replicates: int, seed: str = "b") -> DataFrame:
-    """replicate and the mean of n_rows draws with replacement. values has a row per unit and place, from 0, in key."""
-    draws = values.sparkSession.range(n_rows).crossJoin(F.broadcast(values.sparkSession.range(replicates).withColumnRenamed("id", "replicate")))  # as many rows as replicates
-    place = F.conv(F.substring(draw(seed, "replicate", "id"), 1, 8), 16, 10).cast("long") % n_rows
-    return draws.withColumn("place", place).join(values.select(F.col(key).alias("place"), value), "place").groupBy("replicate").agg(F.avg(value).alias("mean"))
-
-
-def insertion(items: Column, new: Column, place: Column) -> Column:
-    """items with new before the given place (from 0)."""
-    return F.concat(F.slice(items, F.lit(1), place), F.array(new), F.slice(items, place + 1, F.size(items)))
+    units = rows.select(F.col(cluster).alias("unit"), F.col(value).cast("double").alias("s")).dropna(subset=["s"]).groupBy("unit").agg(F.sum("s").alias("s"), F.count("*").alias("n"))
+    point = units.agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("n_clusters"))
+    drawn = resampled(units, "unit", ["s", "n"], replicates, seed).select((F.col("s") / F.col("n")).alias("v"))
+    return point.join(F.broadcast(interval(drawn)))  # a row each

@@ -217,7 +217,7 @@ def token_split(spark, d):
     return k.select("token", T.token_code(F.col("token")).alias("code"), T.token_value(F.col("token")).alias("value"))
 
 
-@query("o022_depersonalise", r"SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace('Do you hurt yourself? Your ' || left(text, 60), '(?i)\byour\b', 'their', 'g'), '(?i)\byourself\b', 'themselves', 'g'), '(?i)\byou\b', 'they', 'g') AS text FROM conversations")
+@query("o022_depersonalise", r"SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace('Do you hurt yourself? Your ' || text, '(?i)\byourself\b', 'themselves', 'g'), '(?i)\byour\b', 'their', 'g'), '(?i)\byou\b', 'they', 'g') AS text FROM conversations")
 def depersonalise(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.depersonalised(F.concat(F.lit("Do you hurt yourself? Your "), "text")).alias("text"))
 
@@ -227,18 +227,27 @@ def bullets(spark, d):
     return table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("t")).select("p_brand", T.bullets(F.col("t")).alias("text"))
 
 
-@query("o025_narrative", "WITH k AS (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY p_type) - 1 AS i FROM (SELECT DISTINCT p_brand, p_type FROM part)), s AS (SELECT p_brand, i // 3 AS g, string_agg(p_type, '; ' ORDER BY i) AS t FROM k GROUP BY 1, 2) SELECT p_brand, string_agg(upper(left(t, 1)) || lower(substr(t, 2)) || '.', ' ' ORDER BY g) AS text FROM s GROUP BY 1")
+@query("o025_narrative", """WITH k AS (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY p_type) - 1 AS i FROM (SELECT DISTINCT p_brand, p_type FROM part)),
+    s AS (SELECT p_brand, i // 3 AS g, string_agg(p_type, '; ' ORDER BY i) AS t FROM k GROUP BY 1, 2)
+    SELECT p_brand, string_agg('The patient ' || t || '.', ' ' ORDER BY g) AS text FROM s GROUP BY 1""")
 def narrative(spark, d):
     return table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("t")).select("p_brand", T.sentences_of_three(F.col("t")).alias("text"))
 
 
-@query("o030_probabilities", """WITH k AS (SELECT event_id, (props->>'$.k')::INT AS k FROM events), v AS (SELECT event_id, k, greatest(k - 10, 0)::DOUBLE AS a, greatest(k % 7 - 3, 0)::DOUBLE AS b, greatest(40 - k, 0)::DOUBLE AS c FROM k), s AS (SELECT *, a + b + c AS s FROM v)
-    SELECT event_id, CASE WHEN k % 5 = 4 THEN NULL WHEN s > 0 THEN round(a / s, 6) ELSE round(1.0 / 3, 6) END AS first FROM s""")
+#: Kinds of responses: good; unclosed with enough numbers; another key, so salvaged; braces in a string and a nested
+#: object before the key; a wrong number of entries; a word among the numbers; unclosed with too few numbers.
+RESPONSES = """CASE k % 7 WHEN 0 THEN 'so {"probabilities": [' || b || ']} tail } [9, 9, 9]' WHEN 1 THEN '{"probabilities": [' || b || ', 2, ' WHEN 2 THEN '{"scores": [' || b || ']}'
+    WHEN 3 THEN '{"note": "a } b {", "more": {"x": [7]}, "probabilities": [' || b || ']}' WHEN 4 THEN '{"probabilities": [' || b || ', 1]}' WHEN 5 THEN '{"probabilities": [' || b || ', "none"]}' ELSE '{"probabilities": [1, 2' END"""
+BODY = "(k - 10) || ', ' || (k % 5 - 2) || ', ' || (40 - k)"
+
+
+@query("o030_probabilities", """WITH k AS (SELECT event_id, (props->>'$.k')::INT AS k FROM events),
+    v AS (SELECT event_id, k % 7 AS z, greatest(k - 10, 0)::DOUBLE AS a, greatest(k % 5 - 2, 0)::DOUBLE AS b, greatest(40 - k, 0)::DOUBLE AS c FROM k), s AS (SELECT *, a + b + c AS s FROM v)
+    SELECT event_id, CASE WHEN z >= 4 THEN NULL WHEN s > 0 THEN round(a / s, 6) ELSE round(1.0 / 3, 6) END AS first, CASE WHEN z >= 4 THEN NULL WHEN s > 0 THEN round(c / s, 6) ELSE round(1.0 / 3, 6) END AS last FROM s""")
 def probabilities(spark, d):
-    k = F.get_json_object("props", "$.k").cast("int")
-    body = F.concat_ws(", ", k - 10, k % 7 - 3, 40 - k)
-    text = F.when(k % 5 == 4, F.concat(F.lit('{"probabilities": ['), body, F.lit(", 1]}"))).when(k % 5 == 3, F.concat(F.lit('thinking {"probabilities": ['), body, F.lit(", 2, "))).otherwise(F.concat(F.lit('so {"probabilities": ['), body, F.lit("]} \t\n")))
-    return table(spark, d, "events").select("event_id", r6(F.get(T.probabilities(text, 3), F.lit(0))).alias("first"))
+    rows = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")).withColumn("b", F.expr(BODY))
+    p = rows.select("event_id", T.probabilities(F.expr(RESPONSES), 3).alias("p"))
+    return p.select("event_id", *[r6(F.get("p", F.lit(i))).alias(c) for i, c in ((0, "first"), (2, "last"))])
 
 
 @query("o032_index", "WITH k AS (SELECT event_id, (props->>'$.k')::INT AS k FROM events) SELECT event_id, CASE WHEN k < 49 THEN k END AS idx FROM k")
@@ -247,10 +256,15 @@ def index(spark, d):
     return table(spark, d, "events").select("event_id", T.index_in(T.after_last(text, "assistantfinal"), 49).alias("idx"))
 
 
-@query("o031_weights", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN NULL ELSE round(least(greatest(ln(least(greatest(p_retailprice * (p_size % 4), 1e-3), 1e3)), -7), 7), 6) END AS w FROM part")
+@query("o031_weights", """SELECT p_partkey, CASE WHEN p_size % 4 IN (0, 3) THEN NULL ELSE round(least(greatest(ln(least(greatest(p_retailprice * (p_size % 4), 1e-3), 1e3)), -7), 7), 6) END AS w,
+    CASE p_size % 3 WHEN 0 THEN 2.302585::DOUBLE WHEN 1 THEN -0.693147::DOUBLE END AS band FROM part""")
 def weights(spark, d):
-    values = F.array(F.col("p_retailprice") * (F.col("p_size") % 4), F.lit(1.0))
-    return table(spark, d, "part").select("p_partkey", r6(F.get(T.weights(values, "numeric"), F.lit(0))).alias("w"))
+    from tallyloom.functions.wording import ORDINAL_BANDS
+
+    rows = table(spark, d, "part")
+    text = F.expr("""concat('{"weights": [', p_retailprice * (p_size % 4), ', 1', if(p_size % 4 = 3, ', 2', ''), ']} end')""")
+    words = F.expr("""concat('{"weights": ["', CASE p_size % 3 WHEN 0 THEN 'strongly_argues_for' WHEN 1 THEN 'weakly_argues_against' ELSE 'maybe' END, '"]}')""")
+    return rows.select("p_partkey", r6(F.get(T.weights_in(text, 2), F.lit(0))).alias("w"), F.get(T.weights_in(words, 1, "ordinal", ORDINAL_BANDS), F.lit(0)).alias("band"))
 
 
 BANDS = {"strong against": -3.0, "against": -1.0, "neutral": 0.0, "for": 1.0, "strong for": 3.0}
@@ -266,18 +280,47 @@ def targets(spark, d):
     return table(spark, d, "part").select("p_partkey", T.numeric_target(F.col("p_size") / 4 - 6).alias("numeric"))
 
 
-@query("o038_sections")
+#: A note built of a document: headers with a slash and a hyphen, one twice, one that is too short.
+NOTE = "'Chief Complaint:\n' || source || '  \nHistory/Past-Illness:\n' || coalesce(text, '') || '\nAge: 7\nChief Complaint: ' || lang || ' again \n'"
+SECTION_SQL = r"""n AS (SELECT doc_id, replace({note}, '\n', chr(10)) AS note FROM documents),
+    h AS (SELECT doc_id, regexp_extract_all(note, '(?m)^([A-Z][A-Za-z /\-]{{3,40}}):', 1) AS h, string_split_regex(note, '(?m)^([A-Z][A-Za-z /\-]{{3,40}}):') AS b FROM n)"""
+
+
+def noted(spark, d):
+    return table(spark, d, "documents").select("*", F.expr(NOTE.replace("\n", "\\n")).alias("note"))
+
+
+@query("o038_sections", "WITH " + SECTION_SQL.format(note=NOTE.replace("\n", "\\n")) + r""" SELECT doc_id, len(list_distinct(h))::INT AS n_sections,
+    trim(b[len(h) - list_position(list_reverse(h), 'Chief Complaint') + 2], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS complaint,
+    length(trim(b[len(h) - list_position(list_reverse(h), 'History/Past-Illness') + 2], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))::INT AS n_history FROM h""")
 def sections(spark, d):
-    note = F.concat(F.lit("Chief Complaint:\n"), F.col("source"), F.lit("\nHistory of Illness:\n"), F.coalesce("text", F.lit("")), F.lit("\nChief Complaint:\nagain"))
-    m = T.sections(note)
-    return table(spark, d, "documents").select("doc_id", F.try_element_at(m, F.lit("Chief Complaint")).alias("complaint"), F.length(F.try_element_at(m, F.lit("History of Illness"))).alias("n_history"))
+    m = noted(spark, d).select("doc_id", T.sections(F.col("note")).alias("m"))
+    at = lambda k: F.try_element_at("m", F.lit(k))
+    return m.select("doc_id", F.size("m").alias("n_sections"), at("Chief Complaint").alias("complaint"), F.length(at("History/Past-Illness")).alias("n_history"))
+
 
+CUT_SQL = r"""string_split(regexp_replace(trim(regexp_replace({t}, '\s*\n\s*', ' ', 'g')), '([.!?])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1))"""
 
-@query("o039_sentences")
+
+@query("o039_sentences", "SELECT doc_id, len(list_filter(list_transform(" + CUT_SQL.format(t="coalesce(text, '')") + ", lambda s: trim(s)), lambda s: length(s) BETWEEN 25 AND 400))::INT AS n_sentences FROM documents")
 def sentence_lengths(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(T.segments(F.coalesce("text", F.lit("")))).alias("n_sentences"))
 
 
+@query("o041_cases", r"""WITH k AS (SELECT doc_id, source, text, len(regexp_extract_all(text, '_{2,}'))::INT AS n_deid, len(regexp_split_to_array(trim(text), '\s+')) AS n_words,
+      list_filter(list_transform(""" + CUT_SQL.format(t="text") + r""", lambda s: trim(s)), lambda s: length(s) BETWEEN 25 AND 400) AS f FROM documents WHERE length(text) >= 400)
+    SELECT doc_id AS note_id, left(regexp_replace(source || ' ' || source, '\s+', ' ', 'g'), 200) AS chief_complaint, len(f)::INT AS n_findings, f[1] AS first_finding, n_deid, length(text)::INT AS n_chars
+    FROM k WHERE n_deid / greatest(n_words, 1) <= 0.02 AND len(f) BETWEEN 6 AND 20""")
+def note_cases(spark, d):
+    from tallyloom.operators import notes
+
+    docs = table(spark, d, "documents")
+    note = F.concat(F.lit("Chief Complaint: "), "source", F.lit("\n "), "source", F.lit("\nHistory of Present Illness:"), "text")
+    # documents hold no header of their own
+    out = notes.cases(docs.select(F.col("doc_id").alias("note_id"), note.alias("text")))
+    return out.select("note_id", "chief_complaint", F.size("findings").alias("n_findings"), F.get("findings", F.lit(0)).alias("first_finding"), "n_deid", "n_chars")
+
+
 @query("o040_mask_density", r"SELECT doc_id, round(len(regexp_extract_all(replace(coalesce(text, ''), 'the', '___'), '_{2,}')) / len(regexp_split_to_array(trim(replace(coalesce(text, ''), 'the', '___')), '\s+')), 6) AS density FROM documents")
 def mask_density(spark, d):
     return table(spark, d, "documents").select("doc_id", r6(T.mask_density(F.replace(F.coalesce("text", F.lit("")), F.lit("the"), F.lit("___")))).alias("density"))
@@ -321,10 +364,24 @@ def group_split(spark, d):
     return S.group_split(table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n")).filter("n >= 10"), "p_brand", 0.3)
 
 
-@query("o094_bootstrap", "WITH v AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS place, c_acctbal AS x FROM customer), n AS (SELECT count(*) AS n FROM v), d AS (SELECT r, ('0x' || substr(sha1('b|' || r || '|' || i), 1, 8))::BIGINT % n AS place FROM n, range(50) a(r), (SELECT unnest(range(n)) AS i FROM n)) SELECT r AS replicate, round(avg(x), 4) AS mean FROM d JOIN v USING (place) GROUP BY 1")
+def bootstrap_sql(units: str, seed: str) -> str:
+    """SQL of S.bootstrap_mean over units (unit, s, n), 50 replicates."""
+    return f"""WITH u AS ({units}), {S.weights_sql("u", "unit", seed, 50)}, b AS (SELECT r, sum(w * s) / sum(w * n) AS v FROM u JOIN weights USING (unit) GROUP BY 1)
+      SELECT round((SELECT sum(s) / sum(n) FROM u), 6) AS mean, (SELECT sum(n)::BIGINT FROM u) AS n, (SELECT count(*) FROM u) AS n_clusters, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM b"""
+
+
+def bootstrapped(out):
+    return out.select(r6(F.col("mean")).alias("mean"), "n", "n_clusters", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"))
+
+
+@query("o094_bootstrap", bootstrap_sql("SELECT c_custkey AS unit, sum(c_acctbal) AS s, count(*) AS n FROM customer GROUP BY 1", "b"))
 def bootstrap(spark, d):
-    v = table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    return S.bootstrap_means(S.numbered(v, ["c_custkey", "c_acctbal"]), "c_acctbal", "place", v.count(), 50).withColumn("mean", F.round("mean", 4))
+    return bootstrapped(S.bootstrap_mean(table(spark, d, "customer"), "c_acctbal", "c_custkey", 50))
+
+
+@query("o112_cluster_bootstrap", bootstrap_sql("SELECT l_orderkey AS unit, sum(l_discount) AS s, count(*) AS n FROM lineitem GROUP BY 1", "c"))
+def cluster_bootstrap(spark, d):
+    return bootstrapped(S.bootstrap_mean(table(spark, d, "lineitem"), "l_discount", "l_orderkey", 50, "c"))
 
 
 @query("o152_jobs", "SELECT o_orderkey, phase, o_orderkey || ':' || phase AS job_id FROM orders, (VALUES ('before'), ('after')) p(phase)")

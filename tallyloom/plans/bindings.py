@@ -45,6 +45,17 @@ P = """p AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER B
     FROM (SELECT vec_id, label, c, list_sum(c) AS s FROM (SELECT vec_id, label, list_transform(embedding, lambda x: greatest(x::DOUBLE, 0)) AS c FROM embeddings))),
   l AS (SELECT vec_id, label, rn, unnest(v) AS x, unnest(range(len(v)))::INT AS i FROM p)"""
 
+
+
+def cased(size: int) -> str:
+    """P with a run of ``size`` places as label (the label and the run's number) and the place in the run as rn, as runs does."""
+    own = P.replace("p AS (", "p0 AS (", 1).split(",\n  l AS")[0]
+    run = f"p AS (SELECT vec_id, label::VARCHAR || '|' || ((rn - 1) // {size}) AS label, label AS target, ((rn - 1) % {size} + 1)::INT AS rn, v FROM p0)"
+    return own + ",\n  " + run + ",\n  l AS (SELECT vec_id, label, target, rn, unnest(v) AS x, unnest(range(len(v)))::INT AS i FROM p)"
+
+
+P20, P12 = cased(20), cased(12)
+
 #: Arms of a case by place: ten permutations, six retests, two canonical, two shuffled.
 ARMS = [("permutation", 1, 10), ("retest", 11, 16), ("canonical", 17, 18), ("shuffled", 19, 20)]
 ARM_SQL = "CASE " + " ".join(f"WHEN rn BETWEEN {a} AND {b} THEN '{k}'" for k, a, b in ARMS) + " END"
@@ -65,7 +76,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: term of the Jensen-Shannon divergence of entries x and y
 JSD_TERM = """CASE WHEN {x} > 1e-12 THEN {x} * log2({x} / greatest(({x} + {y}) / 2, 1e-12)) / 2 ELSE 0 END + CASE WHEN {y} > 1e-12 THEN {y} * log2({y} / greatest(({x} + {y}) / 2, 1e-12)) / 2 ELSE 0 END"""
 JSD = "least(1, greatest(0, sum(" + JSD_TERM.format(x="a.x", y="b.x") + ")))"
-RESP = P + f""", r AS (SELECT label AS case_id, vec_id, {ARM_SQL} AS arm, rn FROM p WHERE rn <= 20),
+RESP = P20 + f""", r AS (SELECT label AS case_id, vec_id, {ARM_SQL} AS arm, rn FROM p WHERE rn <= 20),
   pr AS (SELECT a.label AS case_id, a.vec_id AS a_id, b.vec_id AS b_id, a.rn AS a_rn, b.rn AS b_rn, {JSD} AS jsd
          FROM l a JOIN l b ON a.label = b.label AND a.i = b.i AND a.rn < b.rn AND b.rn <= 20 GROUP BY ALL),
   pa AS (SELECT *, {ARM_SQL.replace("rn", "a_rn")} AS a_arm, {ARM_SQL.replace("rn", "b_rn")} AS b_arm FROM pr)"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import vectors as V
 from tallyloom.operators import arms, comparison as M, conditioning as K
-from tallyloom.plans.bindings import ARMS, C, JSD, P, query, r6, responses
+from tallyloom.plans.bindings import ARMS, C, JSD, P20, query, r6, responses
 from tallyloom.plans.corpus_queries import COND, L, conditioned, frames
 from tallyloom.plans.vector_queries import EFFECT, RESP
 
@@ -15,14 +15,14 @@ _HALVES = ", ".join(f"('{m}', {h}, {_FIRST[arm] + a}, {_FIRST[arm] + b})" for m,
 MEANS = "nm(method, lo, hi) AS (VALUES ('direct', 1, 1), ('single', 11, 11), ('self_consistency', 11, 16), ('ensemble', 1, 10), ('canonical', 17, 18)), mv AS (SELECT label, method, i, avg(x) AS x FROM l JOIN nm ON rn BETWEEN lo AND hi GROUP BY ALL)"
 
 
-@query("o105_baselines", f"""WITH {P}, {MEANS} SELECT label AS case_id, method, round(sum(CASE WHEN x > 1e-12 THEN -x * log2(x) ELSE 0 END), 6) AS entropy, round(max(x), 6) AS largest
+@query("o105_baselines", f"""WITH {P20}, {MEANS} SELECT label AS case_id, method, round(sum(CASE WHEN x > 1e-12 THEN -x * log2(x) ELSE 0 END), 6) AS entropy, round(max(x), 6) AS largest
     FROM mv WHERE method <> 'single' GROUP BY 1, 2""")
 def baselines(spark, d):
     v = F.col("v")
     return M.named_means(responses(spark, d)).select("case_id", "method", r6(V.entropy(v)).alias("entropy"), r6(F.array_max(v)).alias("largest"))
 
 
-@query("o106_ensemble_curve", f"""WITH {P}, o AS (SELECT label, vec_id, draw, row_number() OVER (PARTITION BY label, draw ORDER BY md5(draw || '|' || vec_id), vec_id) AS place FROM p, range(1, 21) z(draw) WHERE rn <= 10),
+@query("o106_ensemble_curve", f"""WITH {P20}, o AS (SELECT label, vec_id, draw, row_number() OVER (PARTITION BY label, draw ORDER BY md5(draw || '|' || vec_id), vec_id) AS place FROM p, range(1, 21) z(draw) WHERE rn <= 10),
     n AS (SELECT label, count(*) AS n FROM p WHERE rn <= 10 GROUP BY 1),
     h AS (SELECT label, draw, vec_id, k, (place > k)::INT AS half FROM o JOIN n USING (label), (VALUES (1), (2), (3), (5)) y(k) WHERE place <= 2 * k AND 2 * k <= n.n),
     m AS (SELECT h.label, draw, k, half, i, avg(x) AS x FROM h JOIN l USING (vec_id) GROUP BY ALL),
@@ -32,7 +32,7 @@ def ensemble_curve(spark, d):
     return M.ensemble_curve(responses(spark, d), [1, 2, 3, 5], 20).groupBy("k").agg(F.count("*").alias("n"), r6(F.avg("jsd")).alias("residual"))
 
 
-@query("o107_method_table", f"""WITH {P}, mh(method, half, lo, hi) AS (VALUES {_HALVES}), ok AS (SELECT label FROM p WHERE rn <= 16 GROUP BY 1 HAVING count(*) = 16),
+@query("o107_method_table", f"""WITH {P20}, mh(method, half, lo, hi) AS (VALUES {_HALVES}), ok AS (SELECT label FROM p WHERE rn <= 16 GROUP BY 1 HAVING count(*) = 16),
     mv AS (SELECT label, method, half, i, avg(x) AS x FROM l JOIN mh ON rn BETWEEN lo AND hi WHERE label IN (SELECT label FROM ok) GROUP BY ALL),
     q AS (SELECT a.label, a.method, {JSD} AS jsd FROM mv a JOIN mv b ON a.label = b.label AND a.method = b.method AND a.i = b.i AND a.half = 0 AND b.half = 1 GROUP BY ALL)
     SELECT method, count(*) AS n_cases, round(avg(jsd), 6) AS residual, round(median(jsd), 6) AS median_residual FROM q GROUP BY 1""")
@@ -40,7 +40,7 @@ def method_table(spark, d):
     return M.residuals(responses(spark, d)).groupBy("method").agg(F.count("*").alias("n_cases"), r6(F.avg("jsd")).alias("residual"), r6(F.median("jsd")).alias("median_residual"))
 
 
-@query("o113_canonical_baseline", f"""WITH {P}, {MEANS} SELECT a.label AS case_id, round({JSD}, 6) AS jsd,
+@query("o113_canonical_baseline", f"""WITH {P20}, {MEANS} SELECT a.label AS case_id, round({JSD}, 6) AS jsd,
     min_by(a.i, struct_pack(p := -a.x, q := a.i)) <> min_by(b.i, struct_pack(p := -b.x, q := b.i)) AS flip FROM mv a JOIN mv b ON a.label = b.label AND a.i = b.i AND a.method = 'canonical' AND b.method = 'direct' GROUP BY 1""")
 def canonical_baseline(spark, d):
     pick = lambda k: F.max_by("v", F.when(F.col("method") == k, F.lit(1)))
@@ -48,7 +48,7 @@ def canonical_baseline(spark, d):
     return wide.select("case_id", r6(V.jsd(F.col("a"), F.col("b"))).alias("jsd"), (V.top1(F.col("a")) != V.top1(F.col("b"))).alias("flip"))
 
 
-@query("o115_averaging_gain", f"""WITH {P}, {MEANS}, q AS (SELECT a.label, a.method, {JSD} AS jsd FROM mv a JOIN mv b ON a.label = b.label AND a.i = b.i AND b.method = 'ensemble' WHERE a.method IN ('single', 'self_consistency') GROUP BY ALL)
+@query("o115_averaging_gain", f"""WITH {P20}, {MEANS}, q AS (SELECT a.label, a.method, {JSD} AS jsd FROM mv a JOIN mv b ON a.label = b.label AND a.i = b.i AND b.method = 'ensemble' WHERE a.method IN ('single', 'self_consistency') GROUP BY ALL)
     SELECT u.label AS case_id, round(u.jsd, 6) AS single, round(w.jsd, 6) AS averaged, round(u.jsd - w.jsd, 6) AS gain FROM q u JOIN q w ON u.label = w.label AND u.method = 'single' AND w.method = 'self_consistency'""")
 def averaging_gain(spark, d):
     return M.averaging_gain(responses(spark, d)).select("case_id", *[r6(F.col(c)).alias(c) for c in ("single", "averaged", "gain")])
@@ -126,7 +126,7 @@ def decisive_items(spark, d):
     return best.select("row_id", "token", r6(F.col("decisiveness")).alias("decisiveness"), z.alias("z")).select("row_id", "token", "decisiveness", "z.position", "z.tokens")
 
 
-@query("o117_noise_ceiling", f"""WITH {P}, s AS (SELECT label, i, avg(x) FILTER (WHERE rn <= 10) AS base, avg(x) FILTER (WHERE rn > 10 AND rn % 2 = 1) AS even, avg(x) FILTER (WHERE rn > 10 AND rn % 2 = 0) AS odd FROM l WHERE rn <= 16 GROUP BY 1, 2)
+@query("o117_noise_ceiling", f"""WITH {P20}, s AS (SELECT label, i, avg(x) FILTER (WHERE rn <= 10) AS base, avg(x) FILTER (WHERE rn > 10 AND rn % 2 = 1) AS even, avg(x) FILTER (WHERE rn > 10 AND rn % 2 = 0) AS odd FROM l WHERE rn <= 16 GROUP BY 1, 2)
     SELECT label AS case_id, round(avg((sign(even - base) = sign(odd - base))::INT), 6) AS agreement, round(corr(even - base, odd - base) ** 2, 6) AS r_squared, round(regr_slope(odd - base, even - base), 6) AS slope
     FROM s WHERE base IS NOT NULL AND even IS NOT NULL AND odd IS NOT NULL GROUP BY 1""")
 def noise_ceiling(spark, d):

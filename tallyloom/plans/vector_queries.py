@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions import vectors as V
-from tallyloom.operators import arms
-from tallyloom.plans.bindings import ARM_SQL, JSD, P, RESP, posteriors, query, r6, responses, runs
+from tallyloom.operators import arms, sampling as S
+from tallyloom.plans.bindings import ARM_SQL, JSD, P, P12, P20, RESP, posteriors, query, r6, responses, runs
 
 PAIR = "FROM l a JOIN l b ON a.label = b.label AND a.i = b.i AND b.rn = a.rn + 1 GROUP BY a.vec_id"
 
@@ -48,7 +48,7 @@ def top_k_jaccard(spark, d):
     return neighbours(spark, d).select("vec_id", r6(V.jaccard(V.top_k(F.col("a"), 5), V.top_k(F.col("b"), 5))).alias("value"))
 
 
-@query("o054_kendall", f"""WITH {P}, s AS (SELECT a.vec_id, a.i, a.x, b.x AS y FROM l a JOIN l b ON a.label = b.label AND a.i = b.i AND b.rn = a.rn + 1 WHERE a.rn <= 10),
+@query("o054_kendall", f"""WITH {P}, s AS (SELECT a.vec_id, a.i, a.x, b.x AS y FROM l a JOIN l b ON a.label = b.label AND a.i = b.i AND b.rn = a.rn + 1),
     q AS (SELECT u.vec_id, sum(sign(u.x - w.x) * sign(u.y - w.y)) AS c, count(*) FILTER (WHERE u.x <> w.x) AS nx, count(*) FILTER (WHERE u.y <> w.y) AS ny FROM s u JOIN s w ON u.vec_id = w.vec_id AND u.i < w.i GROUP BY 1)
     SELECT vec_id, round(CASE WHEN nx > 0 AND ny > 0 THEN c / sqrt(nx::DOUBLE * ny) ELSE 0 END, 6) AS value FROM q""")
 def kendall(spark, d):
@@ -95,7 +95,7 @@ def order_effect(spark, d):
     return arms.order_effect(responses(spark, d)).select("case_id", *[r6(c).alias(c) for c in COLUMNS])
 
 
-@query("o091_case_shape", f"""WITH {P}, t AS (SELECT vec_id, label, min_by(i, struct_pack(a := -x, b := i)) AS top, sum(CASE WHEN x > 1e-12 THEN -x * log2(x) ELSE 0 END) AS h, bool_or(abs(x - 1.0 / 64) > 1e-6 + 1e-5 / 64) AS told FROM l WHERE rn <= 10 GROUP BY 1, 2),
+@query("o091_case_shape", f"""WITH {P20}, t AS (SELECT vec_id, label, min_by(i, struct_pack(a := -x, b := i)) AS top, sum(CASE WHEN x > 1e-12 THEN -x * log2(x) ELSE 0 END) AS h, bool_or(abs(x - 1.0 / 64) > 1e-6 + 1e-5 / 64) AS told FROM l WHERE rn <= 10 GROUP BY 1, 2),
     m AS (SELECT label, top, count(*) AS n FROM t GROUP BY 1, 2)
     SELECT label AS case_id, count(DISTINCT top) > 1 AS flips, round((SELECT max(n) FROM m WHERE m.label = t.label) / count(*), 6) AS modal_share, round(avg(h), 6) AS mean_entropy, round(avg(told::INT), 6) AS informative_share FROM t GROUP BY label""")
 def case_shape(spark, d):
@@ -114,12 +114,12 @@ def summary(spark, d):
     return both.select(r6(F.col("e")).alias("order_effect"), r6(F.when(room > 1e-9, F.col("e") / room)).alias("normalised"))
 
 
-@query("o093_ceiling", f"WITH {P}, {CEILING} SELECT round(avg(jsd), 6) AS ceiling, count(*) AS n_pairs FROM q")
+@query("o093_ceiling", f"WITH {P20}, {CEILING} SELECT round(avg(jsd), 6) AS ceiling, count(*) AS n_pairs FROM q")
 def ceiling(spark, d):
     return arms.ceiling(responses(spark, d)).select(r6(F.col("ceiling")).alias("ceiling"), "n_pairs")
 
 
-@query("o095_informative_by_arm", f"WITH {P}, t AS (SELECT vec_id, rn, bool_or(abs(x - 1.0 / 64) > 1e-6 + 1e-5 / 64) AS told FROM l WHERE rn <= 20 GROUP BY 1, 2) SELECT {ARM_SQL} AS arm, round(avg(told::INT), 6) AS informative_rate FROM t GROUP BY 1")
+@query("o095_informative_by_arm", f"WITH {P20}, t AS (SELECT vec_id, rn, bool_or(abs(x - 1.0 / 64) > 1e-6 + 1e-5 / 64) AS told FROM l WHERE rn <= 20 GROUP BY 1, 2) SELECT {ARM_SQL} AS arm, round(avg(told::INT), 6) AS informative_rate FROM t GROUP BY 1")
 def by_arm(spark, d):
     return responses(spark, d).groupBy("arm").agg(r6(F.avg(V.informative(F.col("v")).cast("int"))).alias("informative_rate"))
 
@@ -131,7 +131,7 @@ def k_sweep(spark, d):
     return sweep.groupBy("k", "case_id").agg(r6(F.avg("jsd")).alias("jsd_permutation"))
 
 
-@query("o097_instability", f"""WITH {P}, k AS (SELECT label, i FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS z FROM l WHERE rn <= 10) WHERE z <= 5),
+@query("o097_instability", f"""WITH {P20}, k AS (SELECT label, i FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS z FROM l WHERE rn <= 10) WHERE z <= 5),
     c AS (SELECT label, i, count(*) AS n FROM k GROUP BY 1, 2) SELECT label AS case_id, bool_or(n < 10 AND coalesce(p_size % 5, 5) <= 2) AS unstable FROM c LEFT JOIN part ON p_partkey = i GROUP BY 1""")
 def instability(spark, d):
     from tallyloom.plans.bindings import table
@@ -140,10 +140,10 @@ def instability(spark, d):
     return arms.instability(responses(spark, d), severity)
 
 
-@query("o102_redundancy", f"""WITH {P}, t AS (SELECT a.label * 1000 + a.rn AS item_id, {JSD} AS jsd, sum(CASE WHEN b.x > 1e-12 THEN -b.x * log2(b.x) ELSE 0 END) - sum(CASE WHEN a.x > 1e-12 THEN -a.x * log2(a.x) ELSE 0 END) AS entropy_change,
+@query("o102_redundancy", f"""WITH {P20}, t AS (SELECT a.label || '|' || a.rn AS item_id, {JSD} AS jsd, sum(CASE WHEN b.x > 1e-12 THEN -b.x * log2(b.x) ELSE 0 END) - sum(CASE WHEN a.x > 1e-12 THEN -a.x * log2(a.x) ELSE 0 END) AS entropy_change,
       min_by(a.i, struct_pack(p := -a.x, q := a.i)) <> min_by(b.i, struct_pack(p := -b.x, q := b.i)) AS flip, max(b.x) - max(a.x) AS max_change
     FROM l a JOIN l b ON a.label = b.label AND a.i = b.i AND b.rn = a.rn + 10 WHERE a.rn <= 10 GROUP BY 1)
-    SELECT item_id::INT AS item_id, round(jsd, 6) AS jsd, round(entropy_change, 6) AS entropy_change, flip, round(max_change, 6) AS max_change FROM t""")
+    SELECT item_id, round(jsd, 6) AS jsd, round(entropy_change, 6) AS entropy_change, flip, round(max_change, 6) AS max_change FROM t""")
 def redundancy(spark, d):
     """Items are the places 1 to 10 of each run of 20, with the place ten further as the other phase."""
     p = runs(posteriors(spark, d), 20)
@@ -153,29 +153,40 @@ def redundancy(spark, d):
 
 
 POSITION = "CASE WHEN {rn} <= 4 THEN 'first' WHEN {rn} <= 8 THEN 'middle' ELSE 'last' END"
+LO = "ln(least(greatest(x, 1e-4), 1 - 1e-4) / (1 - least(greatest(x, 1e-4), 1 - 1e-4)))"
+#: o: the target's log-odds of every response of the cases with six or more.
+PLACED = f"""{P12}, big AS (SELECT label FROM p GROUP BY 1 HAVING count(*) >= 6),
+    o AS (SELECT label AS case_id, {POSITION.format(rn="rn")} AS position, CASE WHEN rn <= 4 THEN -1 WHEN rn <= 8 THEN 0 ELSE 1 END AS code, {LO} AS lo FROM l WHERE i = target AND label IN (SELECT label FROM big))"""
 
 
-@query("o103_position_effect", f"""WITH {P}, z AS (SELECT label AS case_id, i, x, rn, {POSITION.format(rn="rn")} AS position FROM l WHERE rn <= 12),
-    j AS (SELECT a.label AS case_id, a.rn AS ra, b.rn AS rb, {JSD} AS jsd FROM l a JOIN l b ON a.label = b.label AND a.i = b.i AND a.rn < b.rn AND b.rn <= 12 GROUP BY ALL),
+def positioned(spark, d):
+    """Runs of 12 places as cases, four at each position; the label is the target's entry."""
+    return runs(posteriors(spark, d), 12).select("case_id", "vec_id", F.expr(POSITION.format(rn="rn")).alias("position"), F.col("label").alias("target"), "v")
+
+
+@query("o103_position_effect", f"""WITH {PLACED},
+    j AS (SELECT a.label AS case_id, a.rn AS ra, b.rn AS rb, {JSD} AS jsd FROM l a JOIN l b ON a.label = b.label AND a.i = b.i AND a.rn < b.rn WHERE a.label IN (SELECT label FROM big) GROUP BY ALL),
     k AS (SELECT *, {POSITION.format(rn="ra")} AS pa, {POSITION.format(rn="rb")} AS pb FROM j),
-    w AS (SELECT case_id, avg(jsd) AS within FROM k WHERE pa = pb GROUP BY 1), b AS (SELECT case_id, avg(m) AS between_ FROM (SELECT case_id, pa, pb, avg(jsd) AS m FROM k WHERE pa <> pb GROUP BY ALL) GROUP BY 1),
-    o AS (SELECT *, ln(least(greatest(x, 1e-4), 1 - 1e-4) / (1 - least(greatest(x, 1e-4), 1 - 1e-4))) AS lo FROM z),
-    e AS (SELECT *, avg(lo) OVER (PARTITION BY case_id, i) AS g, avg(lo) OVER (PARTITION BY case_id, i, position) AS m FROM o),
-    h AS (SELECT case_id, sum((m - g) ** 2) AS sb, sum((lo - g) ** 2) AS st FROM e GROUP BY 1)
-    SELECT case_id, round(within, 6) AS within, round(between_, 6) AS between, round(CASE WHEN st > 1e-12 THEN sb / st END, 6) AS eta_squared FROM w JOIN b USING (case_id) JOIN h USING (case_id)""")
+    w AS (SELECT case_id, avg(jsd) AS within FROM k WHERE pa = pb GROUP BY 1),
+    b AS (SELECT case_id, avg(m) AS between_ FROM (SELECT case_id, pa, pb, avg(jsd) AS m FROM k WHERE pa <> pb GROUP BY ALL) GROUP BY 1),
+    e AS (SELECT *, avg(lo) OVER (PARTITION BY case_id) AS g, avg(lo) OVER (PARTITION BY case_id, position) AS m FROM o),
+    h AS (SELECT case_id, count(*) AS n, sum((m - g) ** 2) AS sb, sum((lo - g) ** 2) AS st, avg(lo) FILTER (WHERE code = -1) AS f, avg(lo) FILTER (WHERE code = 0) AS md, avg(lo) FILTER (WHERE code = 1) AS la FROM e GROUP BY 1),
+    t AS (SELECT label AS case_id, {POSITION.format(rn="rn")} AS position, min_by(i, struct_pack(a := -x, b := i)) AS top FROM l WHERE label IN (SELECT label FROM big) GROUP BY label, vec_id, rn),
+    m AS (SELECT case_id, position, min_by(top, struct_pack(a := -n, b := top)) AS modal FROM (SELECT case_id, position, top, count(*) AS n FROM t GROUP BY ALL) GROUP BY 1, 2),
+    z AS (SELECT case_id, count(DISTINCT modal) > 1 AS flip FROM m GROUP BY 1)
+    SELECT case_id, n, round(within, 6) AS within, round(between_, 6) AS between, round(f, 6) AS logodds_first, round(md, 6) AS logodds_middle, round(la, 6) AS logodds_last,
+      round(CASE WHEN st > 1e-12 THEN sb / st END, 6) AS eta_squared, flip FROM h JOIN z USING (case_id) LEFT JOIN w USING (case_id) LEFT JOIN b USING (case_id)""")
 def position_effect(spark, d):
-    rows = runs(posteriors(spark, d), 12).select("case_id", "vec_id", F.expr(POSITION.format(rn="rn")).alias("position"), "v")
-    return arms.position_effect(rows).select("case_id", *[r6(F.col(c)).alias(c) for c in ("within", "between", "eta_squared")])
+    out = arms.position_effect(positioned(spark, d))
+    return out.select("case_id", "n", "flip", *[r6(F.col(c)).alias(c) for c in ("within", "between", "logodds_first", "logodds_middle", "logodds_last", "eta_squared")])
 
 
-@query("o104_position_slope", f"""WITH {P}, o AS (SELECT label, i, CASE WHEN rn <= 4 THEN -1 WHEN rn <= 8 THEN 0 ELSE 1 END AS code, ln(least(greatest(x, 1e-4), 1 - 1e-4) / (1 - least(greatest(x, 1e-4), 1 - 1e-4))) AS lo FROM l WHERE rn <= 12),
-    c AS (SELECT code, lo - avg(lo) OVER (PARTITION BY label, i) AS y FROM o) SELECT round(regr_slope(y, code), 6) AS slope FROM c""")
+@query("o104_position_slope", f"""WITH {PLACED}, c AS (SELECT case_id, code, lo - avg(lo) OVER (PARTITION BY case_id) AS y FROM o), {S.weights_sql("c", "case_id", "a4", 50)},
+    b AS (SELECT r, (sum(w * code * y) / sum(w) - sum(w * code) / sum(w) * sum(w * y) / sum(w)) / (sum(w * code * code) / sum(w) - (sum(w * code) / sum(w)) ** 2) AS slope FROM c JOIN weights USING (case_id) GROUP BY 1)
+    SELECT round((SELECT regr_slope(y, code) FROM c), 6) AS slope, round(quantile_cont(slope, 0.025), 6) AS low, round(quantile_cont(slope, 0.975), 6) AS high, (SELECT count(DISTINCT case_id) FROM c) AS n_cases FROM b""")
 def position_slope(spark, d):
-    from pyspark.sql import Window
-
-    lo = runs(posteriors(spark, d), 12).select("case_id", F.expr("CASE WHEN rn <= 4 THEN -1 WHEN rn <= 8 THEN 0 ELSE 1 END").alias("code"), F.posexplode(V.log_odds(F.col("v"))).alias("i", "lo"))
-    y = lo.withColumn("y", F.col("lo") - F.avg("lo").over(Window.partitionBy("case_id", "i")))
-    return y.agg(r6(F.regr_slope("y", "code")).alias("slope"))
+    out = arms.position_slope(positioned(spark, d), 50)
+    return out.select(*[r6(F.col(c)).alias(c) for c in ("slope", "low", "high")], "n_cases")
 
 
 @query("o124_uniform_collapse", f"""WITH {P}, t AS (SELECT label, vec_id, count(DISTINCT round(x, 5)) AS n, max(x) AS m, bool_or(abs(x - 1.0 / 64) > 1e-6 + 1e-5 / 64) AS told FROM l GROUP BY 1, 2)
