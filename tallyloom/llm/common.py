@@ -76,13 +76,19 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
 
-def hot_join(rows: DataFrame, lookup: DataFrame, key: list[str]) -> DataFrame:
-    """Inner join with a table that has each key once and a column ``hot``, true for at most HOT_PART of its keys.
+def hot_join(rows: DataFrame, lookup: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """Join (inner or left) with a table that has each key once and a column ``hot``, true for at most HOT_PART of its keys.
 
-    Rows with a hot key meet it by a broadcast of those keys and are never shuffled; the others are dealt by key.
+    Rows with a hot key meet it by a broadcast of those keys and are never shuffled; the others are dealt by key. The
+    hashes of the hot keys, a bounded list, tell on either side which way a row goes.
     """
-    few, rest = F.broadcast(lookup.filter("hot").drop("hot")), lookup.filter("not hot").drop("hot")
-    return rows.join(few, key).unionByName(rows.join(few.select(*key), key, "left_anti").join(rest, key))
+    code = F.xxhash64(*key)
+    hot = [r[0] for r in lookup.filter("hot").select(code).collect()]  # at most HOT_PART
+    lookup = lookup.drop("hot")
+    if not hot:
+        return rows.join(lookup, key, how)
+    is_hot = F.coalesce(code.isin(hot), F.lit(False))
+    return rows.filter(is_hot).join(F.broadcast(lookup.filter(is_hot)), key, how).unionByName(rows.filter(~is_hot).join(lookup.filter(~is_hot), key, how))
 
 
 def exclusive_sum(value: str, order: list[str]) -> Column:

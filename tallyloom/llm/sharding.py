@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import HOT_PART, small, tidied, written
+from tallyloom.llm.common import HOT_PART, hot_join, small, tidied, written
 
 #: Rows of a bucket that one window task numbers, and buckets whose counts one window task sums.
 BUCKET_ROWS, SUPER = 20_000, 1024
@@ -115,8 +115,7 @@ def assign_shards(rows: DataFrame, hub: list[str], key: str, shards: int = 8, ro
         upto = F.sum("n").over(Window.partitionBy("hub").orderBy("shard")) / F.sum("n").over(Window.partitionBy("hub"))
         parts = cells.withColumn("upto", upto).groupBy("hub").agg(F.array_sort(F.collect_list(F.struct("upto", "shard"))).alias("parts"), F.sum("n").alias("n"))  # at most a part per shard
         parts = written(parts.select("hub", "parts", (F.col("n") * HOT_PART >= total).alias("hot")), "parts")
-        few, rest = F.broadcast(parts.filter("hot").drop("hot")), parts.filter("not hot").drop("hot")  # at most HOT_PART
-        aimed = placed.join(few, "hub").unionByName(placed.join(few.select("hub"), "hub", "left_anti").join(rest, "hub", "left"))
+        aimed = hot_join(placed, parts, ["hub"], "left")
         u = share(F.lit("part"), key, *hub)
         aim = F.get(F.filter("parts", lambda p: p["upto"] > u), F.lit(0))["shard"]
         # lanes: the documents of hubs by shard, and those without a partner
