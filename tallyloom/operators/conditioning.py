@@ -15,26 +15,41 @@ def prior(rows: DataFrame, label: str = "label") -> DataFrame:
     return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("all")))).select(label, "n", (F.col("n") / F.col("all")).alias("p"))  # one row
 
 
+def known_evidence(items: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(item_id, token): the distinct tokens of each item that some row has."""
+    wanted = items.select("item_id", F.explode(F.array_distinct("evidence")).alias("token"))
+    return wanted.join(tokens.select("token").join(F.broadcast(wanted.select("token").distinct()), "token", "left_semi").distinct(), "token")  # the items' own tokens
+
+
+def found(items: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(item_id, row_id, label) of the rows that hold all known tokens of an item that has any. See matches."""
+    wanted = known_evidence(items, tokens)
+    need = wanted.groupBy("item_id").agg(F.count("*").alias("need"))
+    hits = wanted.join(tokens, "token").groupBy("item_id", "row_id", "label").agg(F.count_distinct("token").alias("have"))
+    return hits.join(need, "item_id").filter("have = need").select("item_id", "row_id", "label")
+
+
 def matches(items: DataFrame, tokens: DataFrame, rows: DataFrame) -> DataFrame:
     """(item_id, row_id, label) of the rows that hold all known tokens of an item.
 
     items: item_id and evidence (array). Relational division: one join of items' tokens with (row_id, label, token)
-    and a count. Tokens that no row has are left out of the evidence; an item without any then matches every row.
+    and a count. Tokens that no row has are left out of the evidence; an item without any then matches every row, so
+    what only counts rows should use conditioned, which takes such items from the labels' counts.
     """
-    known = tokens.select("token").distinct()
-    wanted = items.select("item_id", F.explode(F.array_distinct("evidence")).alias("token")).join(known, "token")
-    need = wanted.groupBy("item_id").agg(F.count("*").alias("need"))
-    hits = wanted.join(tokens.distinct(), "token").groupBy("item_id", "row_id", "label").agg(F.count("*").alias("have"))
-    some = hits.join(need, "item_id").filter("have = need").select("item_id", "row_id", "label")
-    free = items.join(need, "item_id", "left_anti").select("item_id")
-    return some.unionByName(free.join(rows.select("row_id", "label")).select("item_id", "row_id", "label"))
+    free = items.join(known_evidence(items, tokens).select("item_id").distinct(), "item_id", "left_anti").select("item_id")
+    return found(items, tokens).unionByName(free.join(rows.select("row_id", "label")).select("item_id", "row_id", "label"))
 
 
 def conditioned(items: DataFrame, tokens: DataFrame, rows: DataFrame) -> DataFrame:
-    """item_id, label, n, support and p for every label; uniform where an item has no support."""
-    found = matches(items, tokens, rows).groupBy("item_id", "label").agg(F.count("*").alias("n"))
-    axis = rows.select("label").distinct()
-    full = items.select("item_id").join(axis).join(found, ["item_id", "label"], "left").fillna(0, ["n"])
+    """item_id, label, n, support and p for every label; uniform where an item has no support.
+
+    An item without a known token has the labels' own counts.
+    """
+    axis = rows.groupBy("label").agg(F.count("*").alias("n_d"))
+    counts = found(items, tokens).groupBy("item_id", "label").agg(F.count("*").alias("n"))
+    bound = known_evidence(items, tokens).select("item_id", F.lit(True).alias("bound")).distinct()
+    full = items.select("item_id").join(bound, "item_id", "left").crossJoin(F.broadcast(axis))  # the labels
+    full = full.join(counts, ["item_id", "label"], "left").withColumn("n", F.when(F.col("bound"), F.coalesce("n", F.lit(0))).otherwise(F.col("n_d")))
     by = Window.partitionBy("item_id")
     full = full.withColumn("support", F.sum("n").over(by)).withColumn("size", F.count("*").over(by))
     return full.select("item_id", "label", "n", "support", F.when(F.col("support") > 0, F.col("n") / F.col("support")).otherwise(1.0 / F.col("size")).alias("p"))
@@ -113,20 +128,100 @@ def fused(sums: DataFrame, priors: DataFrame, scale: float | Column = 1.0) -> Da
     return scores.select("row_id", "label", share_of("score", ["row_id"]).alias("p"))
 
 
-def scale_losses(sums: DataFrame, priors: DataFrame, truth: DataFrame, grid: list[float]) -> DataFrame:
-    """row_id, tau, nll and hit for every scale of the grid. truth: row_id, truth."""
-    scores = sums.join(priors.select("label", F.ln(F.greatest("p", F.lit(1e-9))).alias("lp")), "label").withColumn("tau", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-    scores = scores.withColumn("score", F.col("lp") + F.col("tau") * F.col("s"))
-    p = scores.select("row_id", "tau", "label", share_of("score", ["row_id", "tau"]).alias("p")).join(truth, "row_id")
-    own = F.max(F.when(F.col("label") == F.col("truth"), F.col("p")))
-    top = F.max(F.struct("p", F.col("label")))["p"]
-    return p.groupBy("row_id", "tau").agg((-F.ln(F.greatest(own, F.lit(LOSS_FLOOR)))).alias("nll"), (own >= top).cast("int").alias("hit"))
+#: The scales among which one is fitted, and those of the frontier.
+FIT_GRID = [round(0.02 * k, 2) for k in range(1, 26)] + [round(0.55 + 0.05 * k, 2) for k in range(20)]
+FRONTIER_GRID = [0.0, 0.02, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8, 1.0, 1.5, 2.0, 3.0]
+
+
+def label_axis(rows: DataFrame) -> list[str]:
+    """The labels in order: the axis of the arrays below. A few names."""
+    return [r["label"] for r in rows.select("label").distinct().orderBy("label").collect()]
+
+
+def wide_sums(cases: DataFrame, weights: DataFrame, axis: list[str]) -> DataFrame:
+    """row_id and s, the sums of evidence_sums as an array over the axis: one shuffle, combined before it."""
+    w = F.least(F.greatest("log_ratio", F.lit(-RATIO_BOUND)), F.lit(RATIO_BOUND))
+    by_token = weights.groupBy("token").agg(*[F.max(F.when(F.col("label") == k, w)).alias(f"w{i}") for i, k in enumerate(axis)])
+    sums = cases.join(by_token, "token").groupBy("row_id").agg(*[F.sum(f"w{i}").alias(f"w{i}") for i in range(len(axis))])
+    return sums.select("row_id", F.array(*[f"w{i}" for i in range(len(axis))]).alias("s"))
+
+
+def scale_losses(sums: DataFrame, priors: DataFrame, truth: DataFrame, axis: list[str], grid: list[float], top: int = 5) -> DataFrame:
+    """row_id, tau, nll, top1, top5 (of ``top``) and entropy (bits) of every case and scale. sums: of wide_sums; truth: row_id, truth.
+
+    A case is one row; the scales are laid out in it, and nothing is shuffled after the truth has been joined.
+    """
+    logs = {r["label"]: r["lp"] for r in priors.select("label", F.ln(F.greatest("p", F.lit(1e-9))).alias("lp")).collect()}  # a row per label
+    base = F.array(*[F.lit(float(logs.get(k, -20.7))) for k in axis])
+    at = F.array_position(F.array(*[F.lit(k) for k in axis]), F.col("truth")).cast("int") - 1
+    rows = sums.join(truth, "row_id").select("row_id", "s", at.alias("at")).filter("at >= 0")
+    rows = rows.withColumn("tau", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
+    rows = rows.withColumn("z", F.zip_with(base, "s", lambda a, b: a + F.col("tau") * b))
+    rows = rows.withColumn("m", F.array_max("z")).withColumn("e", F.transform("z", lambda x: F.exp(x - F.col("m"))))
+    rows = rows.withColumn("t", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
+    rows = rows.withColumn("p", F.transform("e", lambda x: x / F.col("t"))).withColumn("own", F.get("p", F.col("at")))
+    above = F.size(F.filter("p", lambda x, i: (x > F.col("own")) | ((x == F.col("own")) & (i < F.col("at")))))
+    h = F.aggregate(F.transform("p", lambda x: F.when(x > 0, -x * F.log2(x)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("row_id", "tau", (-F.ln(F.greatest("own", F.lit(LOSS_FLOOR)))).alias("nll"), (above == 0).cast("int").alias("top1"), (above < top).cast("int").alias("top5"), h.alias("entropy"))
+
+
+def scale_trace(losses: DataFrame, by: list[str]) -> DataFrame:
+    """by, tau and the means of a scale's losses: nll, error, top1, top5, entropy, and the number of cases."""
+    return losses.groupBy(*by, "tau").agg(F.count("*").alias("n"), F.avg("nll").alias("nll"), (1 - F.avg("top1")).alias("error"), F.avg("top1").alias("top1"), F.avg("top5").alias("top5"), F.avg("entropy").alias("entropy"))
+
+
+def fitted_scale(trace: DataFrame, by: list[str], objective: str = "nll") -> DataFrame:
+    """by and tau, the scale of the least loss; of equal ones (to nine digits) the smallest."""
+    return trace.groupBy(*by).agg(F.min_by("tau", F.struct(F.round(objective, 9), "tau")).alias("tau"))
+
+
+def invariance(cases: DataFrame, weights: DataFrame, priors: DataFrame, axis: list[str], orders: int) -> DataFrame:
+    """row_id, mean_jsd and max_deviation of the fused vectors over hash-ordered permutations of a case's tokens.
+
+    Sums run in the order of each permutation, so what is left is rounding. cases: row_id, token.
+    """
+    from tallyloom.functions.vectors import jsd, softmax
+
+    w = F.least(F.greatest("log_ratio", F.lit(-RATIO_BOUND)), F.lit(RATIO_BOUND))
+    by_token = weights.groupBy("token").agg(F.array(*[F.max(F.when(F.col("label") == k, w)) for k in axis]).alias("w"))
+    logs = {r["label"]: r["lp"] for r in priors.select("label", F.ln(F.greatest("p", F.lit(1e-9))).alias("lp")).collect()}  # a row per label
+    base = F.array(*[F.lit(float(logs[k])) for k in axis])
+    own = cases.join(by_token, "token").groupBy("row_id").agg(F.collect_list(F.struct("token", "w")).alias("ts"))  # the tokens of a case
+    own = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))))
+    keyed = F.array_sort(F.transform("ts", lambda t: F.struct(F.sha1(F.concat_ws("|", F.lit("v"), F.col("row_id").cast("string"), F.col("j").cast("string"), t["token"])).alias("h"), t["w"].alias("w"))))
+    own = own.select("row_id", "j", softmax(F.aggregate(keyed, base, lambda s, t: F.zip_with(s, t["w"], lambda a, b: a + b))).alias("p"))
+    side = lambda k: own.select("row_id", F.col("j").alias(f"j_{k}"), F.col("p").alias(f"p_{k}"))
+    far = F.array_max(F.zip_with("p_a", "p_b", lambda a, b: F.abs(a - b)))
+    return side("a").join(side("b"), "row_id").filter("j_a < j_b").groupBy("row_id").agg(F.avg(jsd(F.col("p_a"), F.col("p_b"))).alias("mean_jsd"), F.max(F.when(F.col("j_a") == 0, far)).alias("max_deviation"))
+
+
+def redundancy(contexts: DataFrame, tokens: DataFrame, rows: DataFrame, least_support: int, limit: int, most_jsd: float | None = None) -> DataFrame:
+    """item_id, token, support and jsd: for each context up to ``limit`` tokens outside it that move its posterior least.
+
+    A token counts if ``least_support`` rows hold it with the context, and the context itself has as many; with
+    ``most_jsd`` only tokens that move it by no more. Equal ones (to nine digits) come by token. contexts: item_id, evidence.
+    """
+    base = conditioned(contexts, tokens, rows).filter(F.col("support") >= least_support).select("item_id", "label", F.col("p").alias("y"))
+    held = found(contexts, tokens).join(tokens.select("row_id", "token").distinct(), "row_id")
+    held = held.join(contexts.select("item_id", "evidence"), "item_id").filter(~F.array_contains("evidence", F.col("token")))
+    counts = held.groupBy("item_id", "token", "label").agg(F.count("*").alias("n"))
+    full = counts.select("item_id", "token").distinct().join(base, "item_id").join(counts, ["item_id", "token", "label"], "left").fillna(0, ["n"])
+    support = F.sum("n").over(Window.partitionBy("item_id", "token"))  # a row per label
+    x, y = F.col("x"), F.col("y")
+    term = lambda a: F.when(a > 1e-12, a * F.log2(a / ((x + y) / 2)) / 2).otherwise(0.0)
+    moved = full.withColumn("support", support).withColumn("x", F.col("n") / F.col("support")).groupBy("item_id", "token", "support").agg(F.sum(term(x) + term(y)).alias("jsd"))
+    moved = moved.filter(F.col("support") >= least_support)
+    if most_jsd is not None:
+        moved = moved.filter(F.col("jsd") <= most_jsd)
+    k = F.row_number().over(Window.partitionBy("item_id").orderBy(F.round("jsd", 9), "token"))  # the vocabulary at most
+    return moved.withColumn("k", k).filter(F.col("k") <= limit).drop("k")
 
 
 def token_pairs(tokens: DataFrame, rows: DataFrame, least: int) -> DataFrame:
     """label, a, b, phi and mi (nats) of every pair of tokens inside a label whose counts lie in [least, n - least].
 
-    Pairs come from a row's own tokens, whose number is bounded; pairs that never meet count as zero meetings.
+    Pairs come from a row's own tokens, whose number is bounded; pairs that never meet count as zero meetings. The result
+    itself has a row for every two tokens of a label, the vocabulary squared.
     """
     t = tokens.distinct()
     n = rows.groupBy("label").agg(F.count("*").alias("n"))

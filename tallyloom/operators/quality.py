@@ -44,18 +44,58 @@ def balance(df: DataFrame, label: str) -> DataFrame:
     return n.crossJoin(F.broadcast(tot)).select(label, "n", (F.col("n") / F.col("all")).alias("share"), "imbalance", "entropy")  # one row
 
 
+def placed(df: DataFrame, by: list[str], value: str, parts: int = 64) -> DataFrame:
+    """by, value, n, before and all: the distinct values of each group with their counts, the rows with smaller ones and
+    the group's rows. Null values and NaN are left out.
+
+    Values are counted before they are shuffled. Ranges of the value, bounded by its approximate quantiles over all
+    groups, and a sum of the ranges' counts give places without a task that sees a whole group.
+    """
+    rows = df.select(*by, F.col(value).alias("value")).filter(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
+    bounds = rows.agg(F.percentile_approx("value", [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or []
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("value"))) if bounds else F.lit(0)
+    cells = rows.groupBy(*by, "value").agg(F.count("*").alias("n")).withColumn("part", part)
+    before = lambda *order: F.coalesce(F.sum("n").over(Window.partitionBy(*by, *order[:-1]).orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = cells.groupBy(*by, "part").agg(F.sum("n").alias("n"))
+    sums = sums.select(*by, "part", before("part").alias("base"), F.sum("n").over(Window.partitionBy(*by)).alias("all"))  # a row per range and group
+    keyed = cells.withColumn("inner", before("part", "value"))
+    return keyed.join(sums.withColumnRenamed("n", "in_part"), [*by, "part"]).select(*by, "value", "n", (F.col("base") + F.col("inner")).alias("before"), "all")
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """by and a column for each of at (name: share): the group's exact quantile, interpolated between two places."""
+    cells = placed(df, by, value)
+    here = lambda i: F.max(F.when((F.col("before") <= i) & (i < F.col("before") + F.col("n")), F.col("value").cast("double")))
+    h = lambda q: (F.col("all") - 1) * F.lit(q)
+    # products like 0.07 * 100 that miss a whole number by an ulp are taken as that number
+    low = lambda q: F.floor(h(q) + 1e-9)
+    wanted = [x for k, q in at.items() for x in (here(low(q)).alias(f"{k}_a"), here(F.least(low(q) + 1, F.col("all") - 1)).alias(f"{k}_b"), F.max(F.greatest(h(q) - low(q), F.lit(0.0))).alias(f"{k}_f"))]
+    out = cells.groupBy(*by).agg(*wanted)
+    return out.select(*by, *[(F.col(f"{k}_a") + (F.col(f"{k}_b") - F.col(f"{k}_a")) * F.col(f"{k}_f")).alias(k) for k in at])
+
+
+def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """by, the value and name, its average rank (from 1) in its group."""
+    return placed(df, by, value).select(*by, F.col("value").alias(value), (F.col("before") + (F.col("n") + 1) / 2).alias(name))
+
+
+def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """by and the rank correlation of two columns, equal values at their average rank. Rows with a null are left out."""
+    rows = df.select(*by, x, y).dropna(subset=[x, y])
+    ranked = rows.join(average_ranks(rows, by, x, "__x"), [*by, x]).join(average_ranks(rows, by, y, "__y"), [*by, y])
+    return ranked.groupBy(*by).agg(F.corr("__x", "__y").alias("spearman"))
+
+
 def outliers(df: DataFrame, value: str) -> DataFrame:
     """One row: quartiles, Tukey's upper fence and the rows above it."""
-    q = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(*[F.get("q", F.lit(i)).alias(k) for i, k in enumerate(("q1", "median", "q3"))]).withColumn("fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
+    q = quantiles(df, [], value, {"q1": 0.25, "median": 0.5, "q3": 0.75}).withColumn("fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     return df.crossJoin(F.broadcast(q)).groupBy("q1", "median", "q3", "fence").agg(F.count_if(F.col(value) > F.col("fence")).alias("n_above"))  # one row
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, share: float) -> DataFrame:
-    """The value at the nearest place to ``share`` of a group's sorted values."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("k", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    return ranked.filter(F.col("k") == F.round(share * (F.col("n") - 1)).cast("int")).select(*by, F.col(value).alias("value"), "n")
+    """The value at the nearest place to ``share`` of a group's sorted values, and the group's rows."""
+    place = F.round(share * (F.col("all") - 1)).cast("long")
+    return placed(df, by, value).filter((F.col("before") <= place) & (place < F.col("before") + F.col("n"))).select(*by, "value", F.col("all").alias("n"))
 
 
 def accuracy(rows: DataFrame, by: list[str], truth: str, predicted: str, z: float = 1.96) -> DataFrame:

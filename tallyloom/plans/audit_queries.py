@@ -21,18 +21,21 @@ def duplicates(spark, d):
     return Q.duplicates(docs, F.sha2("text", 256), F.col("source"))
 
 
-@query("o128_multiset_duplicates", f"WITH {C}, k AS (SELECT label, sex, string_agg(token, ',' ORDER BY token) AS m, row_id FROM t JOIN c USING (row_id, label) GROUP BY row_id, label, sex), g AS (SELECT label, sex, m, count(*) AS n FROM k GROUP BY ALL) SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_keys FROM g")
+@query("o128_multiset_duplicates", """WITH k AS (SELECT l_orderkey, l_returnflag AS first, string_agg(l_quantity::INT::VARCHAR, ',' ORDER BY l_quantity::INT::VARCHAR) AS m, min(year(l_shipdate)) AS split FROM lineitem GROUP BY 1, 2),
+    g AS (SELECT first, m, count(*) AS n, count(DISTINCT split) AS s FROM k GROUP BY ALL)
+    SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_keys, sum(n - 1)::BIGINT AS n_beyond, count(*) FILTER (WHERE s > 1) AS keys_across, coalesce(sum(n) FILTER (WHERE s > 1), 0)::BIGINT AS rows_across FROM g""")
 def multiset_duplicates(spark, d):
-    rows = corpus(spark, d)
-    key = F.sha2(F.concat_ws("|", "label", "sex", F.array_join(F.array_sort("tokens"), ",")), 256)
-    return Q.duplicates(rows, key, F.col("split")).select("n_rows", "n_keys")
+    """Quantities of an order's lines of one flag as a multiset: equal ones may stand several times."""
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.collect_list(F.col("l_quantity").cast("int").cast("string")).alias("m"), F.min(F.year("l_shipdate")).alias("split"))
+    key = F.sha2(F.concat_ws("|", "l_returnflag", F.array_join(F.array_sort("m"), ",")), 256)
+    return Q.duplicates(rows, key, F.col("split"))
 
 
 @query("o129_quantiles", "WITH q AS (SELECT unnest([0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0])::DOUBLE AS q, unnest(quantile_cont(c_acctbal, [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0])) AS v FROM customer) SELECT q, round(v, 4) AS value FROM q")
 def quantiles(spark, d):
     at = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
-    row = table(spark, d, "customer").agg(F.percentile("c_acctbal", F.array(*[F.lit(q) for q in at])).alias("v"))
-    return row.select(F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in at]).alias("q"), F.col("v").alias("v"))).alias("z")).select("z.q", F.round("z.v", 4).alias("value"))
+    row = Q.quantiles(table(spark, d, "customer"), [], "c_acctbal", {f"q{i}": q for i, q in enumerate(at)})
+    return row.select(F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.round(f"q{i}", 4).alias("value")) for i, q in enumerate(at)])).alias("z")).select("z.*")
 
 
 @query("o130_token_validity", "SELECT p_brand AS token, count(*) AS n, CASE WHEN regexp_matches(p_brand, '^Brand#[0-9]+$') THEN CASE WHEN substr(p_brand, 7)::INT <= 20 THEN 'known' ELSE 'unknown' END ELSE 'malformed' END AS kind FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 ORDER BY n DESC, token LIMIT 30")
@@ -51,12 +54,19 @@ def order_shares(spark, d):
     return s.select("l_orderkey", F.transform("z", lambda q: -q["x"]).alias("v"), F.col("z.l_partkey").alias("parts"), "t")
 
 
-@query("o131_wellformed", f"{SHARES} SELECT count(*) AS n, count(*) FILTER (WHERE abs(list_sum(v) / t - 1) > 1e-6) AS off_sum, count(*) FILTER (WHERE v[1] < v[len(v)]) AS rising, max(len(v))::INT AS most FROM s")
+@query("o131_wellformed", """WITH e AS (SELECT l_orderkey, l_extendedprice - 3000 AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k FROM lineitem),
+    f AS (SELECT *, lag(x) OVER (PARTITION BY l_orderkey ORDER BY k) AS before FROM e),
+    s AS (SELECT l_orderkey, count(*) AS n, sum(x) AS t, max(o_totalprice) AS total, bool_or(x > before + 1e-12) AS rising, bool_or(x < 0) AS negative FROM f JOIN orders ON o_orderkey = l_orderkey GROUP BY 1)
+    SELECT count(*) AS n, count(*) FILTER (WHERE abs(t / total - 1) > 1e-6) AS off_sum, count(*) FILTER (WHERE coalesce(rising, false)) AS rising, count(*) FILTER (WHERE negative) AS negative, max(n)::INT AS most FROM s""")
 def wellformed(spark, d):
+    """Lines in the order of their numbers, less 3000: lists that rise, fall below 0 and miss their total."""
     from tallyloom.functions.vectors import falling, total
 
-    s = order_shares(spark, d)
-    return s.agg(F.count("*").alias("n"), F.count_if(F.abs(total(F.col("v")) / F.col("t") - 1) > 1e-6).alias("off_sum"), F.count_if(~falling(F.col("v"))).alias("rising"), F.max(F.size("v")).alias("most"))
+    z = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    s = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(z)).alias("z")).join(table(spark, d, "orders"), "o_orderkey")
+    s = s.select(F.transform("z", lambda q: q["l_extendedprice"] - 3000).alias("v"), "o_totalprice")
+    v = F.col("v")
+    return s.agg(F.count("*").alias("n"), F.count_if(F.abs(total(v) / F.col("o_totalprice") - 1) > 1e-6).alias("off_sum"), F.count_if(~falling(v)).alias("rising"), F.count_if(F.array_min(v) < 0).alias("negative"), F.max(F.size(v)).alias("most"))
 
 
 @query("o132_truth_rank", "WITH r AS (SELECT l_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem), f AS (SELECT l_orderkey, min(k) AS k FROM r WHERE l_partkey % 3 = 0 GROUP BY 1), o AS (SELECT DISTINCT l_orderkey FROM lineitem) SELECT count(*) AS n, count(k) AS contained, round(avg((k = 1)::INT), 6) AS top1, round(avg((k <= 5)::INT), 6) AS top5, round(avg(k), 6) AS mean_rank, round(median(k), 6) AS median_rank FROM o LEFT JOIN f USING (l_orderkey)")
@@ -83,20 +93,22 @@ def replicate_differences(spark, d):
 
 REPL = """WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, [l_quantity, l_extendedprice / 1000, l_discount * 100, l_tax * 100] AS w FROM lineitem), n AS (SELECT *, list_transform(w, lambda x: x / list_sum(w)) AS v, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, w) AS k FROM b),
   e AS (SELECT l_orderkey, l_linenumber, k, unnest(v) AS x, unnest(range(4)) AS i FROM n),
-  j AS (SELECT a.l_orderkey, a.l_linenumber, a.k, b.k AS kk, least(1, greatest(0, sum(CASE WHEN a.x > 1e-12 THEN a.x * log2(a.x / ((a.x + b.x) / 2)) / 2 ELSE 0 END + CASE WHEN b.x > 1e-12 THEN b.x * log2(b.x / ((a.x + b.x) / 2)) / 2 ELSE 0 END))) AS jsd, sum(abs(a.x - b.x)) AS l1 FROM e a JOIN e b USING (l_orderkey, l_linenumber, i) WHERE a.k < b.k GROUP BY ALL)"""
+  j AS (SELECT a.l_orderkey, a.l_linenumber, a.k, b.k AS kk, least(1, greatest(0, sum(CASE WHEN a.x > 1e-12 THEN a.x * log2(a.x / ((a.x + b.x) / 2)) / 2 ELSE 0 END + CASE WHEN b.x > 1e-12 THEN b.x * log2(b.x / ((a.x + b.x) / 2)) / 2 ELSE 0 END))) AS jsd, sum(abs(a.x - b.x)) AS l1, (min_by(i, struct_pack(p := -a.x, q := i)) <> min_by(i, struct_pack(p := -b.x, q := i)))::INT AS flip FROM e a JOIN e b USING (l_orderkey, l_linenumber, i) WHERE a.k < b.k GROUP BY ALL)"""
 
 
-@query("o134_replicates", REPL + " SELECT count(*) AS n_pairs, count(*) FILTER (WHERE jsd > 1e-9) AS n_differ, round(avg(jsd), 6) AS mean_jsd, round(median(jsd), 6) AS median_jsd, round(quantile_cont(jsd, 0.9), 6) AS p90, round(quantile_cont(jsd, 0.99), 6) AS p99, round(max(jsd), 6) AS max_jsd, round(avg(l1), 6) AS mean_l1 FROM j")
+@query("o134_replicates", REPL + " SELECT count(*) AS n_pairs, count(*) FILTER (WHERE jsd > 1e-9) AS n_differ, round(avg(jsd), 6) AS mean_jsd, round(median(jsd), 6) AS median_jsd, round(quantile_cont(jsd, 0.9), 6) AS p90, round(quantile_cont(jsd, 0.99), 6) AS p99, round(max(jsd), 6) AS max_jsd, round(avg(l1), 6) AS mean_l1, round(avg(flip), 6) AS flip_rate FROM j")
 def replicates(spark, d):
-    from tallyloom.functions.vectors import jsd, l1, normalised
+    from tallyloom.functions.vectors import jsd, l1, normalised, top1
 
     w = F.array("l_quantity", F.col("l_extendedprice") / 1000, F.col("l_discount") * 100, F.col("l_tax") * 100)
     key = ["l_orderkey", "l_linenumber"]
     rows = table(spark, d, "lineitem").select(*key, "l_partkey", "l_suppkey", w.alias("w"))
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("l_partkey", "l_suppkey", "w"))).select(*key, "k", normalised(F.col("w")).alias("v"))
-    p = rows.join(rows.select(*key, F.col("k").alias("kk"), F.col("v").alias("u")), key).filter("k < kk").select(jsd(F.col("v"), F.col("u")).alias("jsd"), l1(F.col("v"), F.col("u")).alias("l1"))
+    p = rows.join(rows.select(*key, F.col("k").alias("kk"), F.col("v").alias("u")), key).filter("k < kk").select(jsd(F.col("v"), F.col("u")).alias("jsd"), l1(F.col("v"), F.col("u")).alias("l1"), (top1(F.col("v")) != top1(F.col("u"))).cast("int").alias("flip"))
     j = F.col("jsd")
-    return p.agg(F.count("*").alias("n_pairs"), F.count_if(j > 1e-9).alias("n_differ"), r6(F.avg(j)).alias("mean_jsd"), r6(F.median(j)).alias("median_jsd"), r6(F.percentile(j, 0.9)).alias("p90"), r6(F.percentile(j, 0.99)).alias("p99"), r6(F.max(j)).alias("max_jsd"), r6(F.avg("l1")).alias("mean_l1"))
+    means = p.agg(F.count("*").alias("n_pairs"), F.count_if(j > 1e-9).alias("n_differ"), r6(F.avg(j)).alias("mean_jsd"), r6(F.max(j)).alias("max_jsd"), r6(F.avg("l1")).alias("mean_l1"), r6(F.avg("flip")).alias("flip_rate"))
+    places = Q.quantiles(p, [], "jsd", {"median_jsd": 0.5, "p90": 0.9, "p99": 0.99})
+    return means.crossJoin(F.broadcast(places.select(*[r6(F.col(c)).alias(c) for c in places.columns])))  # a row each
 
 
 @query("o135_class_balance", "WITH n AS (SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY 1) SELECT label, n, round(n / sum(n) OVER (), 6) AS share, round(max(n) OVER () / min(n) OVER (), 6) AS imbalance, round((SELECT sum(-(n / s) * log2(n / s)) FROM n, (SELECT sum(n) AS s FROM n)), 6) AS entropy FROM n")
@@ -175,9 +187,7 @@ def weighted_line(spark, d):
 
 @query("o100_spearman", "WITH r AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS a, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2 AS b FROM lineitem) SELECT l_returnflag, round(corr(a, b), 6) AS spearman FROM r GROUP BY 1")
 def spearman(spark, d):
-    by = Window.partitionBy("l_returnflag")
-    rank = lambda c: F.rank().over(by.orderBy(c)) + (F.count("*").over(Window.partitionBy("l_returnflag", c)) - 1) / 2
-    return table(spark, d, "lineitem").select("l_returnflag", rank("l_quantity").alias("a"), rank("l_extendedprice").alias("b")).groupBy("l_returnflag").agg(r6(F.corr("a", "b")).alias("spearman"))
+    return Q.spearman(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice").withColumn("spearman", r6(F.col("spearman")))
 
 
 @query("o118_entropy_control", "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS with_price, round(corr(l_quantity, l_discount), 6) AS with_discount, round(corr(l_quantity, l_tax), 6) AS with_tax FROM lineitem GROUP BY 1")
@@ -194,8 +204,8 @@ def ladders(spark, d):
 
 @query("o125_figure_percentiles", "WITH q AS (SELECT event_type, quantile_cont(value, [0.25, 0.5, 0.75, 0.95]) AS q FROM events GROUP BY 1) SELECT event_type, round(q[1], 6) AS p25, round(q[2], 6) AS p50, round(q[3], 6) AS p75, round(q[4], 6) AS p95 FROM q")
 def figure_percentiles(spark, d):
-    q = table(spark, d, "events").groupBy("event_type").agg(F.percentile("value", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.95)])).alias("q"))
-    return q.select("event_type", *[r6(F.get("q", F.lit(i))).alias(k) for i, k in enumerate(("p25", "p50", "p75", "p95"))])
+    q = Q.quantiles(table(spark, d, "events"), ["event_type"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95})
+    return q.select("event_type", *[r6(F.col(c)).alias(c) for c in ("p25", "p50", "p75", "p95")])
 
 
 @query("o125_histogram", "SELECT event_type, floor(value / 5)::INT AS bin, count(*) AS n FROM events GROUP BY 1, 2")

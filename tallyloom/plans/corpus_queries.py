@@ -24,10 +24,20 @@ L = f"""{C}, nd AS (SELECT label, count(*) AS n_d FROM c GROUP BY 1), de AS (SEL
   cr AS (SELECT label, token, ln(least(greatest(p, 1e-9), 1 - 1e-9)) - ln(least(greatest((sum(n_de) OVER (PARTITION BY token) - n_de + 0.5) / (sum(n_d) OVER (PARTITION BY token) - n_d + 1), 1e-9), 1 - 1e-9)) AS log_ratio FROM lk),
   es AS (SELECT t.row_id, w.label, sum(least(greatest(log_ratio, -7), 7)) AS s FROM t JOIN cr w USING (token) GROUP BY 1, 2),
   pr AS (SELECT label, n_d / (SELECT count(*) FROM c) AS p FROM nd)"""
-GRID = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0]
-TAU = f"""{L}, g AS (SELECT es.row_id, tau, es.label, ln(greatest(p, 1e-9)) + tau * s AS z FROM es JOIN pr USING (label) CROSS JOIN (VALUES {", ".join(f"({g}::DOUBLE)" for g in GRID)}) v(tau)),
-  sm AS (SELECT *, exp(z - max(z) OVER (PARTITION BY row_id, tau)) / sum(exp(z)) OVER (PARTITION BY row_id, tau) * exp(max(z) OVER (PARTITION BY row_id, tau)) AS p FROM g),
-  ls AS (SELECT sm.row_id, tau, -ln(greatest(max(p) FILTER (WHERE sm.label = c.label), 1e-12)) AS nll, (max(z) FILTER (WHERE sm.label = c.label) >= max(z))::INT AS hit FROM sm JOIN c USING (row_id) GROUP BY 1, 2)"""
+GRID = K.FIT_GRID
+
+
+def tau_sql(grid):
+    """z: scores by row, scale and label; ls: losses by row and scale."""
+    return f"""{L}, g AS (SELECT es.row_id, tau, es.label, ln(greatest(p, 1e-9)) + tau * s AS z FROM es JOIN pr USING (label) CROSS JOIN (VALUES {", ".join(f"({g}::DOUBLE)" for g in grid)}) v(tau)),
+  sm AS (SELECT *, exp(z - max(z) OVER w) / sum(exp(z)) OVER w * exp(max(z) OVER w) AS p FROM g WINDOW w AS (PARTITION BY row_id, tau)),
+  rk AS (SELECT sm.row_id, tau, sm.label, c.label AS truth, p, row_number() OVER (PARTITION BY sm.row_id, tau ORDER BY p DESC, sm.label) AS k FROM sm JOIN c USING (row_id)),
+  ls AS (SELECT row_id, tau, -ln(greatest(max(p) FILTER (WHERE label = truth), 1e-12)) AS nll, max((k = 1)::INT) FILTER (WHERE label = truth) AS top1, max((k <= 2)::INT) FILTER (WHERE label = truth) AS top2,
+      sum(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END) AS entropy FROM rk GROUP BY 1, 2)"""
+
+
+TAU = tau_sql(GRID)
+TRACE = ["nll", "error", "top1", "top5", "entropy"]
 
 
 def frames(spark, d):
@@ -102,16 +112,8 @@ def scorable(spark, d):
     SELECT item_id, token, support, round(jsd, 6) AS jsd FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(jsd, 9), token) AS k FROM j WHERE support >= 100) WHERE k <= 3""")
 def redundancy_candidates(spark, d):
     rows, tokens = frames(spark, d)
-    q = K.conditioned(items(spark), tokens, rows).filter("item_id between 101 and 125")
-    m = K.matches(items(spark), tokens, rows).filter("item_id between 101 and 125")
-    with_token = m.join(tokens.select("row_id", "token"), "row_id").filter(F.col("item_id") - 100 != F.substring("token", 7, 3).cast("int")).groupBy("item_id", "token", "label").agg(F.count("*").alias("n"))
-    full = with_token.select("item_id", "token").distinct().join(q.select("item_id", "label", F.col("p").alias("y")), "item_id").join(with_token, ["item_id", "token", "label"], "left").fillna(0, ["n"])
-    support = F.sum("n").over(Window.partitionBy("item_id", "token"))
-    x, y = F.col("x"), F.col("y")
-    term = lambda a: F.when(a > 1e-12, a * F.log2(a / ((x + y) / 2)) / 2).otherwise(0.0)
-    j = full.withColumn("support", support).withColumn("x", F.col("n") / F.col("support")).groupBy("item_id", "token", "support").agg(F.sum(term(x) + term(y)).alias("jsd")).filter("support >= 100")
-    k = F.row_number().over(Window.partitionBy("item_id").orderBy(F.round("jsd", 9), "token"))
-    return j.withColumn("k", k).filter("k <= 3").select("item_id", "token", "support", r6(F.col("jsd")).alias("jsd"))
+    out = K.redundancy(items(spark).filter("item_id between 101 and 125"), tokens, rows, 100, 3)
+    return out.select("item_id", "token", "support", r6(F.col("jsd")).alias("jsd"))
 
 
 @query("o074_likelihood", f"WITH {L} SELECT label, token, n_de, n_d, round(p, 6) AS p, round(log_prior, 6) AS log_prior FROM lk")
@@ -154,11 +156,13 @@ for _absences in (False, True):
       + CASE WHEN cb > k THEN (cb - k) / m * ln((cb - k) * m / ((m - ca) * cb)) ELSE 0 END + CASE WHEN m - ca - cb + k > 0 THEN (m - ca - cb + k) / m * ln((m - ca - cb + k) * m / ((m - ca) * (m - cb))) ELSE 0 END AS mi FROM h)
     SELECT label, count(*) AS n_pairs, round(avg(abs(phi)), 6) AS mean_phi, round(median(abs(phi)), 6) AS median_phi, round(quantile_cont(abs(phi), 0.95), 6) AS p95_phi, round(max(abs(phi)), 6) AS max_phi, round(avg((abs(phi) > 0.1)::INT), 6) AS share, round(avg(mi), 8) AS mean_mi FROM f GROUP BY 1""")
 def independence(spark, d):
+    from tallyloom.operators import quality as Q
+
     rows, tokens = frames(spark, d)
-    phi = F.abs("phi")
-    return K.token_pairs(tokens, rows, 20).groupBy("label").agg(
-        F.count("*").alias("n_pairs"), r6(F.avg(phi)).alias("mean_phi"), r6(F.median(phi)).alias("median_phi"), r6(F.percentile(phi, 0.95)).alias("p95_phi"), r6(F.max(phi)).alias("max_phi"), r6(F.avg((phi > 0.1).cast("int"))).alias("share"), F.round(F.avg("mi"), 8).alias("mean_mi")
-    )
+    pairs = K.token_pairs(tokens, rows, 20).withColumn("phi", F.abs("phi"))
+    means = pairs.groupBy("label").agg(F.count("*").alias("n_pairs"), r6(F.avg("phi")).alias("mean_phi"), r6(F.max("phi")).alias("max_phi"), r6(F.avg((F.col("phi") > 0.1).cast("int"))).alias("share"), F.round(F.avg("mi"), 8).alias("mean_mi"))
+    places = Q.quantiles(pairs, ["label"], "phi", {"median_phi": 0.5, "p95_phi": 0.95})
+    return means.join(places.select("label", r6(F.col("median_phi")).alias("median_phi"), r6(F.col("p95_phi")).alias("p95_phi")), "label")
 
 
 @query("o081_fusion", f"WITH {L}, z AS (SELECT row_id, label, ln(greatest(p, 1e-9)) + s AS g FROM es JOIN pr USING (label)) SELECT row_id, label, round(exp(g) / sum(exp(g)) OVER (PARTITION BY row_id), 5) AS p FROM z")
@@ -173,9 +177,12 @@ def evidence_sums(spark, d):
     return K.evidence_sums(tokens.select("row_id", "token"), K.count_ratio(tokens, rows)).withColumn("s", F.round("s", 5))
 
 
-def losses(spark, d):
+def losses(spark, d, grid=GRID):
+    """Losses by row and scale, with two labels in place of the top five: there are five."""
     rows, tokens = frames(spark, d)
-    return K.scale_losses(K.evidence_sums(tokens.select("row_id", "token"), K.count_ratio(tokens, rows)), K.prior(rows), rows.select("row_id", F.col("label").alias("truth")), GRID)
+    axis = K.label_axis(rows)
+    sums = K.wide_sums(tokens.select("row_id", "token"), K.count_ratio(tokens, rows), axis)
+    return K.scale_losses(sums, K.prior(rows), rows.select("row_id", F.col("label").alias("truth")), axis, grid, top=2)
 
 
 @query("o083_scaled_fusion", f"WITH {L}, z AS (SELECT row_id, label, ln(greatest(p, 1e-9)) + 0.5 * s AS g FROM es JOIN pr USING (label)) SELECT row_id, label, round(exp(g) / sum(exp(g)) OVER (PARTITION BY row_id), 5) AS p FROM z")
@@ -184,17 +191,21 @@ def scaled_fusion(spark, d):
     return K.fused(K.evidence_sums(tokens.select("row_id", "token"), K.count_ratio(tokens, rows)), K.prior(rows), 0.5).withColumn("p", F.round("p", 5))
 
 
-@query("o084_tau_grid", f"WITH {TAU} SELECT tau, round(avg(nll), 5) AS nll FROM ls GROUP BY 1")
+@query("o084_tau_grid", f"""WITH {TAU}, tr AS (SELECT tau, avg(nll) AS nll, 1 - avg(top1) AS error FROM ls GROUP BY 1),
+    b AS (SELECT min_by(tau, struct_pack(a := round(nll, 9), b := tau)) AS by_nll, min_by(tau, struct_pack(a := round(error, 9), b := tau)) AS by_error FROM tr)
+    SELECT tau, round(nll, 5) AS nll, round(error, 6) AS error, by_nll, by_error FROM tr, b""")
 def tau_grid(spark, d):
-    return losses(spark, d).groupBy("tau").agg(F.round(F.avg("nll"), 5).alias("nll"))
+    trace = K.scale_trace(losses(spark, d), [])
+    best = K.fitted_scale(trace, []).select(F.col("tau").alias("by_nll")).crossJoin(K.fitted_scale(trace, [], "error").select(F.col("tau").alias("by_error")))  # a row each
+    return trace.crossJoin(F.broadcast(best)).select("tau", F.round("nll", 5).alias("nll"), r6(F.col("error")).alias("error"), "by_nll", "by_error")
 
 
 @query("o085_cross_fit", f"""WITH {TAU}, f AS (SELECT tau, (('0x' || substr(sha1(row_id::VARCHAR), 1, 1))::INT % 2)::INT AS fold, nll FROM ls), gg AS (SELECT fold, tau, avg(nll) AS nll FROM f GROUP BY 1, 2),
     b AS (SELECT fold AS fit_fold, min_by(tau, struct_pack(a := round(nll, 9), b := tau)) AS tau FROM gg GROUP BY 1) SELECT gg.fold, gg.tau, round(gg.nll, 5) AS nll FROM gg JOIN b ON b.fit_fold <> gg.fold AND b.tau = gg.tau""")
 def cross_fit(spark, d):
     fold = (F.conv(F.substring(F.sha1(F.col("row_id").cast("string")), 1, 1), 16, 10).cast("int") % 2).alias("fold")
-    g = losses(spark, d).groupBy(fold, "tau").agg(F.avg("nll").alias("nll"))
-    best = g.groupBy(F.col("fold").alias("fit_fold")).agg(F.min_by("tau", F.struct(F.round("nll", 9), "tau")).alias("best"))
+    g = K.scale_trace(losses(spark, d).withColumn("fold", fold), ["fold"])
+    best = K.fitted_scale(g, ["fold"]).select(F.col("fold").alias("fit_fold"), F.col("tau").alias("best"))
     return g.join(best, (F.col("fold") != F.col("fit_fold")) & (F.col("tau") == F.col("best"))).select("fold", "tau", F.round("nll", 5).alias("nll"))
 
 
@@ -218,6 +229,7 @@ def band_prior(spark, d):
     return rows.join(known, F.col("age").between(F.col("lo"), F.col("hi")) & (F.col("sex") == F.col("s")), "left").crossJoin(fallback).select("row_id", r6(F.coalesce("p", "q")).alias("p"))
 
 
-@query("o108_frontier", f"WITH {TAU} SELECT tau, round(avg(nll), 5) AS nll, count(*) AS n FROM ls WHERE tau > 0 GROUP BY 1")
+@query("o108_frontier", f"WITH {tau_sql(K.FRONTIER_GRID)} SELECT tau, count(*) AS n, round(avg(nll), 5) AS nll, round(1 - avg(top1), 6) AS error, round(avg(top1), 6) AS top1, round(avg(top2), 6) AS top5, round(avg(entropy), 5) AS entropy FROM ls GROUP BY 1")
 def frontier(spark, d):
-    return losses(spark, d).filter("tau > 0").groupBy("tau").agg(F.round(F.avg("nll"), 5).alias("nll"), F.count("*").alias("n"))
+    t = K.scale_trace(losses(spark, d, K.FRONTIER_GRID), [])
+    return t.select("tau", "n", *[F.round(c, 5 if c in ("nll", "entropy") else 6).alias(c) for c in TRACE])
