@@ -47,6 +47,13 @@ def case_shape(rows: DataFrame) -> DataFrame:
     )
 
 
+def top_overlap(rows: DataFrame, k: int) -> DataFrame:
+    """case_id, n_pairs and top5_jaccard: mean Jaccard of the k largest entries over the pairs of a case's permutations."""
+    own = rows.filter("arm = 'permutation'").select("case_id", "vec_id", V.top_k(F.col("v"), k).alias("top"))
+    both = own.join(own.select("case_id", F.col("vec_id").alias("other"), F.col("top").alias("other_top")), "case_id").filter("vec_id < other")
+    return both.groupBy("case_id").agg(F.count("*").alias("n_pairs"), F.avg(V.jaccard(F.col("top"), F.col("other_top"))).alias("top5_jaccard"))
+
+
 def ceiling(rows: DataFrame, parts: int = 16) -> DataFrame:
     """Mean JSD between the first permutations of different cases, over all pairs of cases.
 

@@ -22,11 +22,16 @@ def known_evidence(items: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def found(items: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(item_id, row_id, label) of the rows that hold all known tokens of an item that has any. See matches."""
+    """(item_id, row_id, label) of the rows that hold all known tokens of an item that has any. See matches.
+
+    An item meets the rows of its rarest token only, and its other tokens are looked up in the row.
+    """
     wanted = known_evidence(items, tokens)
-    need = wanted.groupBy("item_id").agg(F.count("*").alias("need"))
-    hits = wanted.join(tokens, "token").groupBy("item_id", "row_id", "label").agg(F.count_distinct("token").alias("have"))
-    return hits.join(need, "item_id").filter("have = need").select("item_id", "row_id", "label")
+    rows = tokens.groupBy("row_id", "label").agg(F.collect_set("token").alias("held"))  # the tokens of a row
+    counts = tokens.join(F.broadcast(wanted.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("n"))  # the items' own tokens
+    rare = wanted.join(F.broadcast(counts), "token").groupBy("item_id").agg(F.min(F.struct("n", "token"))["token"].alias("token"), F.collect_set("token").alias("need"))
+    met = rows.select("row_id", "label", "held", F.explode("held").alias("token")).join(rare, "token")
+    return met.filter(F.size(F.array_except("need", "held")) == 0).select("item_id", "row_id", "label")
 
 
 def matches(items: DataFrame, tokens: DataFrame, rows: DataFrame) -> DataFrame:

@@ -28,6 +28,17 @@ def replicate_pairs(df: DataFrame, key: list[str], value: str) -> DataFrame:
     return groups.agg(F.sum(pairs).alias("n_pairs"), F.sum(pairs - F.col("same")).alias("n_differ"))
 
 
+def replicate_noise(rows: DataFrame) -> DataFrame:
+    """One row, mean_jsd over the pairs of equal case_id. Equal vectors of a case are one row with a count before they meet."""
+    from tallyloom.functions.vectors import jsd
+
+    cells = rows.groupBy("case_id", "v").agg(F.count("*").alias("n"))
+    side = lambda k: cells.select("case_id", F.col("v").alias(f"v_{k}"), F.col("n").alias(f"n_{k}"))
+    apart = side("a").join(side("b"), "case_id").filter("v_a < v_b").groupBy().agg(F.sum(jsd(F.col("v_a"), F.col("v_b")) * F.col("n_a") * F.col("n_b")).alias("s"))
+    pairs = cells.groupBy("case_id").agg(F.sum("n").alias("n")).agg(F.sum(F.expr("n * (n - 1) div 2")).alias("pairs"))
+    return apart.crossJoin(F.broadcast(pairs)).select((F.coalesce("s", F.lit(0.0)) / F.nullif(F.col("pairs"), F.lit(0))).alias("mean_jsd"))  # a row each
+
+
 def stability_index(df: DataFrame, split: Column, category: Column, base: str) -> DataFrame:
     """split and the population stability index of its categories against the base split."""
     cells = df.select(split.cast("string").alias("split"), category.alias("category")).groupBy("split", "category").agg(F.count("*").alias("n"))

@@ -48,28 +48,35 @@ def weights_sql(table: str, key: str, seed: str, replicates: int) -> str:
     return f"weights AS (SELECT r, {key}, len(list_filter([{', '.join(f'{p!r}::DOUBLE' for p in UP_TO)}], lambda p: p <= {u})) AS w FROM (SELECT DISTINCT {key} FROM {table}), range({replicates}) q(r))"
 
 
-def resampled(units: DataFrame, key: str, sums: list[str], replicates: int, seed: str) -> DataFrame:
-    """replicate and the sums of columns over a Poisson bootstrap: each unit counts as often as its hash says.
+def resampled(units: DataFrame, key: str, sums: list[str], replicates: int, seed: str, by: list[str] | None = None) -> DataFrame:
+    """by, replicate and the sums of columns over a Poisson bootstrap: each unit counts as often as its hash says.
 
     One pass: rows are multiplied in the task that reads them and combined there, so a row per replicate and task is
     shuffled. units has a row per unit, with its sums, so that clusters are resampled whole.
     """
     every = units.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__w", times(seed, key))
-    return every.groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("__w")).alias(c) for c in sums])
+    return every.groupBy(*(by or []), "replicate").agg(*[F.sum(F.col(c) * F.col("__w")).alias(c) for c in sums])
 
 
-def interval(values: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """One row: low and high, quantiles of the column v of replicates; null with fewer than two."""
-    q = F.percentile("v", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
-    return values.agg(F.when(F.count("v") >= 2, q).alias("q")).select(F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
+def beside(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Two tables of a row per group next to each other; without groups they have a row each."""
+    return a.join(b, by, "left") if by else a.crossJoin(F.broadcast(b))
 
 
-def bootstrap_mean(rows: DataFrame, value: str, cluster: str, replicates: int, seed: str = "b") -> DataFrame:
-    """One row: mean of a column over all rows, its interval over resampled clusters, n rows and n_clusters.
+def interval(values: DataFrame, alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
+    """by, low and high: quantiles of the column v of replicates; null with fewer than two."""
+    q = F.percentile("v", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))  # a value per replicate
+    own = values.groupBy(*(by or [])).agg(F.when(F.count("v") >= 2, q).alias("q"))
+    return own.select(*(by or []), F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
+
+
+def bootstrap_mean(rows: DataFrame, value: str, cluster: str, replicates: int, seed: str = "b", by: list[str] | None = None) -> DataFrame:
+    """A row per group of by: mean of a column, its interval over resampled clusters, n rows and n_clusters.
 
     Rows without a value are left out. With a key of rows as cluster this is the bootstrap of independent rows.
     """
-    units = rows.select(F.col(cluster).alias("unit"), F.col(value).cast("double").alias("s")).dropna(subset=["s"]).groupBy("unit").agg(F.sum("s").alias("s"), F.count("*").alias("n"))
-    point = units.agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("n_clusters"))
-    drawn = resampled(units, "unit", ["s", "n"], replicates, seed).select((F.col("s") / F.col("n")).alias("v"))
-    return point.join(F.broadcast(interval(drawn)))  # a row each
+    by = by or []
+    units = rows.select(*by, F.col(cluster).alias("unit"), F.col(value).cast("double").alias("s")).dropna(subset=["s"]).groupBy(*by, "unit").agg(F.sum("s").alias("s"), F.count("*").alias("n"))
+    point = units.groupBy(*by).agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("n_clusters"))
+    drawn = resampled(units, "unit", ["s", "n"], replicates, seed, by).select(*by, (F.col("s") / F.nullif(F.col("n"), F.lit(0))).alias("v"))
+    return beside(point, interval(drawn, by=by), by)

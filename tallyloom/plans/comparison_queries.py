@@ -105,12 +105,6 @@ def change_points(spark, d):
     return points(spark, d).select("item_id", "label", *[r6(F.col(c)).alias(c) for c in ("true_delta", "stated_delta", "se")])
 
 
-@query("o101_change_by_label", f"WITH {POINTS} SELECT label, count(*) AS n, round(avg((sign(true_delta) = sign(stated_delta))::INT), 6) AS agreement, round(corr(true_delta, stated_delta), 6) AS pearson FROM pt GROUP BY 1 HAVING count(*) >= 10")
-def change_by_label(spark, d):
-    a, b = F.col("true_delta"), F.col("stated_delta")
-    return points(spark, d).groupBy("label").agg(F.count("*").alias("n"), r6(F.avg((F.signum(a) == F.signum(b)).cast("int"))).alias("agreement"), r6(F.corr(a, b)).alias("pearson")).filter("n >= 10")
-
-
 DECISIVE = f"""{L}, su AS (SELECT token, count(*) AS support FROM t GROUP BY 1), lo AS (SELECT label, token, least(greatest(n_de / support, 1e-4), 1 - 1e-4) AS a, least(greatest(pr.p, 1e-4), 1 - 1e-4) AS b FROM de JOIN su USING (token) JOIN pr USING (label) WHERE support >= 50),
   mo AS (SELECT label, token, round(abs(ln(a / (1 - a)) - ln(b / (1 - b))), 9) AS m FROM lo),
   de2 AS (SELECT row_id, min_by(token, struct_pack(a := -m, b := token)) FILTER (WHERE m IS NOT NULL) AS token, max(m) AS m, list(token ORDER BY token) AS ts FROM t LEFT JOIN mo USING (label, token) GROUP BY 1 HAVING count(*) >= 3 AND max(m) IS NOT NULL),
