@@ -40,7 +40,7 @@ from tallyloom.llm.graph import components
 U = np.uint64
 CELLS = 1024
 #: Members of a group, on average at most; rows with one key that meet in one run of a task.
-GROUP_ROWS = 64
+GROUP_ROWS = 128
 CACHE_WORDS = 200_000
 #: Bits of a token.
 TOKEN_MASK = U((1 << 48) - 1)
@@ -225,27 +225,31 @@ def opened(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """a, b, apart, own and other of a query and a member of its group, of the components own and other, whose sizes and
     sketches allow a link; apart counts the cells in which their sketches differ.
 
-    queries: node, n, sketch, component, grp for each group it opens; members: the same for each group. The queries of
-    a group are dealt out in runs of GROUP_ROWS on average, each of which gets the group's members, a bounded number.
+    queries: node, n, sketch, component, asks (need and tokens under each tag) and grp for each group that it found;
+    members: the same for each group. A group is opened for a query that shares need of its tokens under some tag with
+    the union of its members' tokens. The queries of a group are dealt out in runs of GROUP_ROWS on average, each of
+    which gets the group's members, a bounded number.
     """
-    columns = ["grp", "run", "node", "component", "n", "sketch"]
+    columns = ["grp", "run", "node", "component", "n", "sketch", "asks"]
     runs = queries.groupBy("grp").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("runs"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run")
-    held = members.join(runs, "grp").select("grp", every, "node", "component", "n", "sketch", F.lit(0).alias("asks"))
-    asking = queries.join(runs, "grp").select("grp", F.pmod(F.xxhash64("node"), F.col("runs")).alias("run"), "node", "component", "n", "sketch", F.lit(1).alias("asks"))
-    rows = held.unionByName(asking).repartition("grp", "run").sortWithinPartitions("grp", "run", "asks")
+    held = members.join(runs, "grp").select("grp", every, "node", "component", "n", "sketch", "asks", F.lit(0).alias("kind"))
+    asking = queries.join(runs, "grp").select("grp", F.pmod(F.xxhash64("node"), F.col("runs")).alias("run"), "node", "component", "n", "sketch", "asks", F.lit(1).alias("kind"))
+    rows = held.unionByName(asking).repartition("grp", "run").sortWithinPartitions("grp", "run", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, table = None, [], None
+        key, held, table, union = None, [], None, set()
         for batch in batches:
             out: list[tuple[int, int, int, int, int]] = []
-            for grp, part, node, component, n, cells, asks in zip(*(batch.column(k).to_pylist() for k in [*columns, "asks"]), strict=True):
+            for grp, part, node, component, n, cells, asks, kind in zip(*(batch.column(k).to_pylist() for k in [*columns, "kind"]), strict=True):
                 if (grp, part) != key:
-                    key, held, table = (grp, part), [], None
-                if not asks:
+                    key, held, table, union = (grp, part), [], None, set()
+                if not kind:
                     held.append((node, component, n, cells))
+                    for ask in asks:
+                        union.update(ask["tokens"])
                     continue
-                if not held:
+                if not any(sum(map(union.__contains__, ask["tokens"])) >= ask["need"] for ask in asks):
                     continue
                 if table is None:
                     by_width: dict[int, list] = {}
@@ -303,17 +307,14 @@ def groups_of(spread: DataFrame) -> DataFrame:
 
 
 def asked(spread: DataFrame, homes: DataFrame) -> DataFrame:
-    """node, component and grp of the groups that each node opens."""
+    """node, component and grp of the groups that hold one of a node's rarest tokens."""
     held = spread.select("node", "component", "tag", "need", "token", "n").join(homes.select("node", F.col("grp").alias("own_grp")), "node")
     matrix = spread.select("node", "token").join(homes, "node").groupBy("token", "grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    matrix = written(matrix, "matrix")
     by = Window.partitionBy("node", "tag")  # a node's tokens: at most a few for each hundred shingles
     place = F.row_number().over(by.orderBy("n", "token"))
     rare = held.withColumn("place", place).withColumn("size", F.count("*").over(by)).filter("place <= size - need + 1")
     other = (F.col("grp") >= F.col("own_grp")) & ((F.col("low") != F.col("component")) | (F.col("high") != F.col("component")))
-    met = written(rare.join(matrix, "token").filter(other).select("node", "tag", "need", "component", "grp").distinct(), "met")
-    counted = met.join(spread.select("node", "tag", "token"), ["node", "tag"]).join(matrix.select("token", "grp"), ["token", "grp"])
-    return counted.groupBy("node", "component", "grp", "tag", "need").agg(F.count("*").alias("shared")).filter("shared >= need").select("node", "component", "grp").distinct()
+    return rare.join(matrix, "token").filter(other).select("node", "component", "grp").distinct()
 
 
 def joined(parts: DataFrame, more: DataFrame) -> DataFrame:
@@ -363,6 +364,8 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, do
         held = written(held.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("leader"), "held")
         spread = written(by_token(held, "component"), "spread")
         homes = written(groups_of(spread), "homes")
+        asks = spread.groupBy("node", "tag").agg(F.max("need").alias("need"), F.collect_list("token").alias("tokens"))  # a node's tokens
+        facts = written(asks.groupBy("node").agg(F.collect_list(F.struct("need", "tokens")).alias("asks")).join(facts, "node"), "facts")
         more = opened(asked(spread, homes).join(facts, "node"), homes.join(facts, "node"), percent)
         more = written(more.join(near, (F.least(more.a, more.b) == near.a) & (F.greatest(more.a, more.b) == near.b), "left_anti"), "more")
         # of each node and each other component the nearest member first, then the rest where those did not link
