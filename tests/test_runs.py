@@ -86,19 +86,23 @@ def test_positions_use_every_run(spark, made):
     code = [-1] * 4 + [0] * 4 + [1] * 4
     want, xs, ys = {}, [], []
     for c, vs in cases(by, 12).items():
-        p = np.clip(np.array(vs), 1e-4, 1 - 1e-4)
-        lo, own = np.log(p / (1 - p)), np.array(code[: len(vs)])
-        centred = lo - lo.mean(0)
-        xs.append(np.repeat(own, 64))
-        ys.append(centred.ravel())
         if len(vs) < 6:
             continue
+        target, own = int(c.split("|")[0]), np.array(code[: len(vs)])
+        p = np.clip(np.array(vs)[:, target], 1e-4, 1 - 1e-4)
+        lo = np.log(p / (1 - p))
+        centred = lo - lo.mean()
+        xs.append(own)
+        ys.append(centred)
         d = {(i, j): jsd(vs[i], vs[j]) for i, j in itertools.combinations(range(len(vs)), 2)}
         between = [np.mean([x for (i, j), x in d.items() if (own[i], own[j]) == z]) for z in sorted({(own[i], own[j]) for i, j in d if own[i] != own[j]})]
-        spread = sum((own == k).sum() * (centred[own == k].mean(0) ** 2).sum() for k in set(own))
-        want[c] = (np.mean([x for (i, j), x in d.items() if own[i] == own[j]]), np.mean(between), spread / (centred**2).sum())
-    got = {r.case_id: (r.within, r.between, r.eta_squared) for r in Q["o103_position_effect"](spark, at).collect()}
+        spread = sum((own == k).sum() * centred[own == k].mean() ** 2 for k in set(own))
+        tops = np.array(vs).argmax(1)
+        modal = {np.bincount(tops[own == k]).argmax() for k in set(own)}
+        want[c] = (np.mean([x for (i, j), x in d.items() if own[i] == own[j]]), np.mean(between), spread / (centred**2).sum(), lo[own == -1].mean(), len(modal) > 1)
+    got = {r.case_id: (r.within, r.between, r.eta_squared, r.logodds_first, r.flip) for r in Q["o103_position_effect"](spark, at).collect()}
     assert got.keys() == want.keys() and len(got) == 7
     for c, x in want.items():
         assert got[c] == pytest.approx(x, abs=2e-6)
-    assert Q["o104_position_slope"](spark, at).first().slope == pytest.approx(np.polyfit(np.concatenate(xs), np.concatenate(ys), 1)[0], abs=2e-6)
+    row = Q["o104_position_slope"](spark, at).first()
+    assert row.slope == pytest.approx(np.polyfit(np.concatenate(xs), np.concatenate(ys), 1)[0], abs=2e-6) and row.n_cases == 7 and row.low <= row.slope <= row.high

@@ -48,6 +48,41 @@ def test_responses(spark):
     assert value(spark, T.token_code(F.lit("X_1"))) is None
 
 
+def test_responses_with_nested_and_broken_objects(spark):
+    p = lambda text, n=2: value(spark, T.probabilities(F.lit(text), n))
+    assert p('x {"note": "a } b", "more": {"y": [1]}, "probabilities": [1, 3]} } [5, 5]') == [0.25, 0.75]
+    assert p('{"scores": [1, 3]}') == [0.25, 0.75]  # closed, without the key: the first numbers
+    assert p('{"probabilities": [1, "x"]}') is None and p('{"probabilities": [1]}') is None and p('{"probabilities": "no"}') is None
+    assert p('{"probabilities": [-1, 2]}') == [0, 1] and p("no object at all") is None and p("") is None and p("[1, 1]") == [0.5, 0.5]
+    assert p('{"probabilities": [1e400, 1]}') is None
+    w = lambda text, n, kind="numeric", bands=None: value(spark, T.weights_in(F.lit(text), n, kind, bands))
+    assert w('{"weights": [1, 2000]}', 2) == pytest.approx([0, 6.907755]) and w('{"weights": [1, 0]}', 2) is None and w('{"weights": [1]}', 2) is None
+    assert w('{"weights": [9, -9]} tail', 2, "logodds") == [7, -7] and w('{"weights": [1, 2', 2) is None
+    assert w('{"weights": ["a", "b"]}', 2, "ordinal", {"a": 1.5, "b": -1.5}) == [1.5, -1.5] and w('{"weights": ["a", "z"]}', 2, "ordinal", {"a": 1.5}) is None
+    assert value(spark, T.index_in(F.lit('{"a": {"index": 1}, "index": 3.9}'), 5)) == 3 and value(spark, T.index_in(F.lit('{"index": "x"}'), 5)) is None
+
+
+def test_notes(spark):
+    note = "Intro\nChief Complaint: pain \nPast/Other-History:\n a\n\n b \nabc: no\nChief Complaint:\n worse\t\n"
+    got = value(spark, T.sections(F.lit(note)))
+    assert got == {"Chief Complaint": "worse", "Past/Other-History": "a\n\n b \nabc: no"}
+    assert value(spark, T.sections(F.lit("no header"))) == {}
+    body = "A first sentence that is long\n  enough to stay. Short one. Is this other one long enough too? (Yes it is long enough, I think.) x" + "y" * 400
+    assert value(spark, T.segments(F.lit(body))) == ["A first sentence that is long enough to stay.", "Is this other one long enough too?"]
+    from tallyloom.operators import notes
+
+    history = "The patient has a pain that is new. " * 14
+    rows = [(1, f"Chief Complaint: a  \n b\nHistory of Present Illness:\n{history}\nAllergies: x"), (2, "History of Present Illness: short."), (3, None), (4, f"History of Present Illness: {history} {'___ ' * 30}")]
+    out = notes.cases(spark.createDataFrame(rows, "note_id int, text string")).collect()
+    assert [(r.note_id, r.chief_complaint, len(r.findings), r.n_deid, r.n_chars) for r in out] == [(1, "a b", 14, 0, len(history.strip()))]
+
+
+def test_narrative(spark):
+    words = lambda *xs: F.array(*[F.lit(x) for x in xs])
+    assert value(spark, T.sentences_of_three(words("has A", "is b", "c", "D"))) == "The patient has A; is b; c. The patient D."
+    assert value(spark, T.sentences_of_three(F.array().cast("array<string>"), "She")) == ""
+
+
 def test_conditioning(spark):
     from tallyloom.operators import conditioning as K
 
