@@ -4,6 +4,8 @@ A text is cut before each space that follows a non-space; a pre-token never cros
 depends on the other, so segments are encoded apart. Leaves hold runs of segments, inner nodes the sums of
 characters and tokens below. An edit re-encodes the segments that it touches and one to either side, whose
 boundaries are then the same in the old and the new text, and updates the sums on the paths to the root.
+
+leaf_table writes the leaves out, a row each; edited_leaves changes the few leaves that an edit touches in such a table.
 """
 
 from __future__ import annotations
@@ -12,9 +14,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import narrowed
 from tallyloom.llm.packing import TextTokens, chunks, text_tokens
 
 LEAF = 64
@@ -60,11 +63,12 @@ class TokenTree:
     def __init__(self, parts: list[str], counts: list[int], counter: Counter) -> None:
         self.counter = counter
         self.leaves = [parts[i : i + LEAF] for i in range(0, len(parts), LEAF)] or [[]]
+        self.counts = [counts[i : i + LEAF] for i in range(0, len(parts), LEAF)] or [[]]
         self.width = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
         for k, leaf in enumerate(self.leaves):
             self.chars[self.width + k] = sum(map(len, leaf))
-            self.tokens[self.width + k] = sum(counts[k * LEAF : k * LEAF + len(leaf)])
+            self.tokens[self.width + k] = sum(self.counts[k])
         for node in range(self.width - 1, 0, -1):
             self.pull(node)
         self.encoded = 0
@@ -112,19 +116,15 @@ class TokenTree:
         region = region[: at - place] + inserted + region[end - place :]
         new = segments(region)
         self.encoded += len(region)
-        old_tokens = sum(self.tokens[self.width + k] for k in range(first, last + 1))
-        delta = sum(self.counter.counts(new)) - sum(self.counter.counts(parts[low:high]))
         # the new segments go where the old ones were; their leaf may grow
-        kept = parts[:low] + new + parts[high:]
+        old = [c for leaf in self.counts[first : last + 1] for c in leaf]
+        kept, counts = parts[:low] + new + parts[high:], old[:low] + self.counter.counts(new) + old[high:]
         share = -(-len(kept) // (last - first + 1)) if kept else 1
-        spent = 0
         for k in range(first, last + 1):
-            leaf = kept[(k - first) * share : (k - first + 1) * share]
-            self.leaves[k] = leaf
-            node = self.width + k
-            self.chars[node] = sum(map(len, leaf))
-            self.tokens[node] = old_tokens + delta - spent if k == last else sum(self.counter.counts(leaf))
-            spent += self.tokens[node]
+            own = slice((k - first) * share, (k - first + 1) * share)
+            self.leaves[k], self.counts[k] = kept[own], counts[own]
+            self.chars[self.width + k] = sum(map(len, self.leaves[k]))
+            self.tokens[self.width + k] = sum(self.counts[k])
         nodes = {(self.width + k) >> 1 for k in range(first, last + 1)}
         while nodes - {0}:
             for node in nodes - {0}:
@@ -176,6 +176,81 @@ def edited_counts(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
     return rows.mapInArrow(run, f"doc_id {id_type}, n_tokens long, n_tokens_edited long, n_chars_edited long, n_chars_encoded long")
 
 
+def leaf_table(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, leaf (from 0), text, chars and tokens of every leaf: the text of a document is that of its leaves in order.
+
+    Null and empty texts have one empty leaf. Ids should be distinct: leaves of rows with one id are not told apart.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = counter(tokenizer_path)
+        for b in batches:
+            ids, texts = b.column("doc_id"), [t or "" for t in b.column("text").to_pylist()]
+            for lo, hi in chunks(texts):
+                row, leaf, pieces, tokens = [], [], [], []
+                for i in range(lo, hi):
+                    parts = segments(texts[i]) if texts[i] else []
+                    tree = TokenTree(parts, own.counts(parts), own)
+                    row += [i] * len(tree.leaves)
+                    leaf += range(len(tree.leaves))
+                    pieces += map("".join, tree.leaves)
+                    tokens += map(sum, tree.counts)
+                arrays = [ids.take(pa.array(row, pa.int64())), pa.array(leaf, pa.int32()), pa.array(pieces, pa.string()), pa.array([len(x) for x in pieces], pa.int64()), pa.array(tokens, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "leaf", "text", "chars", "tokens"])
+
+    return narrowed(docs, doc_id=doc_id, text=text).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, leaf int, text string, chars long, tokens long")
+
+
+def edited_leaves(leaves: DataFrame, edits: DataFrame, tokenizer_path: str) -> DataFrame:
+    """leaves after one edit (doc_id, position, deleted, inserted) of some documents.
+
+    Only sizes are read of the leaves that an edit does not touch; those from the one before it to the one after it are
+    put together, changed, cut into segments and counted again. Positions and lengths beyond a text are held to it, null
+    ones are 0 and a null insertion is empty. A document may have one edit; further ones are made on the result.
+    """
+    by = Window.partitionBy("doc_id").orderBy("leaf")
+    sizes = leaves.select("doc_id", "leaf", "chars").join(edits.select("doc_id"), "doc_id", "left_semi")
+    sizes = sizes.withColumn("before", F.sum("chars").over(by) - F.col("chars"))
+    total = sizes.groupBy("doc_id").agg(F.sum("chars").alias("total"))
+    at = F.least(F.greatest(F.coalesce("position", F.lit(0)), F.lit(0)), F.col("total"))
+    own = edits.join(total, "doc_id").select("doc_id", at.cast("long").alias("at"), F.greatest(F.coalesce("deleted", F.lit(0)), F.lit(0)).alias("deleted"), F.coalesce("inserted", F.lit("")).alias("inserted"), "total")
+    own = own.withColumn("end", F.least(F.col("total"), F.col("at") + F.col("deleted")).cast("long")).drop("deleted", "total")
+    touched = sizes.join(own, "doc_id").filter((F.col("before") + F.col("chars") >= F.col("at") - 1) & (F.col("before") <= F.col("end")))
+    span = touched.groupBy("doc_id").agg((F.min("leaf") - 1).alias("first"), (F.max("leaf") + 1).alias("last"))
+    inside = sizes.join(span, "doc_id").filter("leaf between first and last").select("doc_id", "leaf", "before").join(own, "doc_id")
+    rows = leaves.select("doc_id", "leaf", "text").join(inside, ["doc_id", "leaf"]).repartition("doc_id").sortWithinPartitions("doc_id", "leaf")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(tokenizer_path)
+
+        def changed(doc: list[dict]) -> Iterator[tuple]:
+            first = doc[0]
+            text, a, b = "".join(r["text"] for r in doc), first["at"] - first["before"], first["end"] - first["before"]
+            parts = segments(text[:a] + first["inserted"] + text[b:])
+            n, share = count.counts(parts), -(-len(parts) // len(doc)) if parts else 1
+            for k, r in enumerate(doc):
+                own = slice(k * share, (k + 1) * share)
+                piece = "".join(parts[own])
+                yield r["doc_id"], r["leaf"], piece, len(piece), sum(n[own])
+
+        held: list[dict] = []
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if held and held[0]["doc_id"] != r["doc_id"]:
+                    out += changed(held)
+                    held = []
+                held.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], b.schema.field("doc_id").type if not k else kind) for k, kind in enumerate(kinds)], names=names)
+        if held:
+            out = list(changed(held))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], b.schema.field("doc_id").type if not k else kind) for k, kind in enumerate(kinds)], names=names)
+
+    names, kinds = ["doc_id", "leaf", "text", "chars", "tokens"], [None, pa.int32(), pa.string(), pa.int64(), pa.int64()]
+    new = rows.mapInArrow(run, f"doc_id {leaves.schema['doc_id'].dataType.simpleString()}, leaf int, text string, chars long, tokens long")
+    return leaves.select(*names).join(inside.select("doc_id", "leaf"), ["doc_id", "leaf"], "left_anti").unionByName(new)
+
+
 def sample_edits(text: str = "text"):
     """Three edits made from the text itself: a deletion, an insertion and a replacement at the end."""
     t = F.coalesce(F.col(text), F.lit(""))
