@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import exclusive_sum, narrowed, small, written
 
-#: Pre-tokens of a byte-level BPE: a fixed value of the public vocabularies of this kind.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts with other characters are left to the tokenizer, so that no class of characters is judged by two regex engines.
 PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\u024f]")
 
@@ -50,6 +48,7 @@ class TextTokens:
 
     def ranked(self, spec: dict):
         import tiktoken
+        from public_tokenizers import PATTERN
 
         pre, vocab, merges = spec.get("pre_tokenizer") or {}, spec["model"].get("vocab", {}), spec["model"].get("merges", [])
         if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer") or spec["model"].get("type") != "BPE":
