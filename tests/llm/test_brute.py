@@ -323,3 +323,42 @@ def test_counts_of_odd_tables(spark):
     assert (by[3].n_tokens, by[3].n_tokens_edited) == (size(long), size("start " + edited)) and by[3].n_chars_encoded < 200
     assert by[None].n_tokens_edited == size(" b") and by[2].n_tokens_edited == size("x")
     assert counts.edited_counts(spark.createDataFrame([], kind), path).count() == 0
+
+
+def test_leaves_after_edits(spark):
+    from tokenizers import Tokenizer
+
+    from tallyloom.llm.common import written
+
+    path, rng = P.path("byte_bpe_50k.json"), random.Random(8)
+    t = Tokenizer.from_file(path)
+    texts = {i: "".join(rng.choice(["word", " it's", " 12", "\n", "  ", " é"]) for _ in range(n)) for i, n in enumerate((0, 1, 40, 500, 900, 2500))}
+    leaves = written(counts.leaf_table(spark.createDataFrame([(i, x, 1) for i, x in texts.items()] + [(9, None, 1)], "doc_id long, text string, leaf long"), path), "leaves")
+    texts[9] = ""
+    for turn in range(4):
+        edits = [(i, rng.choice([0, len(x), len(x) + 9, rng.randrange(len(x) + 1), rng.randrange(len(x) + 1)]), rng.choice([0, 3, 60, 10_000]), rng.choice(["", "x", " new words", "\n "])) for i, x in texts.items() if i % 2 == turn % 2 or turn > 1]
+        leaves = written(counts.edited_leaves(leaves, spark.createDataFrame(edits, "doc_id long, position long, deleted long, inserted string"), path), "leaves")
+        for i, a, k, new in edits:
+            a = min(a, len(texts[i]))
+            texts[i] = texts[i][:a] + new + texts[i][a + k :]
+        got = defaultdict(list)
+        for r in leaves.collect():
+            got[r.doc_id].append((r.leaf, r.text, r.chars, r.tokens))
+        for i, x in texts.items():
+            rows = sorted(got[i])
+            assert "".join(r[1] for r in rows) == x and all(r[2] == len(r[1]) for r in rows)
+            assert sum(r[3] for r in rows) == len(t.encode(x, add_special_tokens=False).ids)
+    assert counts.leaf_table(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
+
+
+def test_plain_texts_of_every_language_by_ranks(spark):
+    from tokenizers import Tokenizer
+
+    from tallyloom.llm import packing
+
+    path = P.path("byte_bpe_50k.json")
+    t, own = Tokenizer.from_file(path), packing.text_tokens(path)
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("lang", "text").collect()
+    texts = [r.text or "" for r in rows]
+    assert len({r.lang for r in rows}) >= 4 and sum(map(own.plain, texts)) > len(texts) // 2
+    assert own.encode(texts) == [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)]
