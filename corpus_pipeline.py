@@ -1,7 +1,9 @@
 """A corpus pipeline of five stages over documents: quality rules, classifier, near duplicates, secrets, packing.
 
 Each stage is a function of (spark, docs, sf_dir); what it returns is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents, whatever these are called. Null texts count as empty:
+they fail the first stage. Rows with equal texts are judged alike; of equal rows, and of near duplicates, one stays. An
+empty table gives an empty one in every stage.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import classifier, jaccard, packing, repetition, secrets
-from tallyloom.llm.common import written
+from tallyloom.llm.common import removed, tidied, written
 from tallyloom.llm.queries import byte_bpe, read
 
 
@@ -48,12 +50,17 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Tokenisation and a fitted model have no SQL form: tests/llm compares the stages with brute force.
+#: Tokenisation and a fitted model have no SQL form: tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with tidied(spark) as kept:
+            before = docs
+            docs = written(stage(spark, before, sf_dir), name.replace(" ", "-"))
+            kept.append(docs)
+        if hasattr(before, "scratch"):
+            removed(spark, before.scratch)
     return STAGES[-1][1](spark, docs, sf_dir)
