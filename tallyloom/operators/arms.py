@@ -118,13 +118,7 @@ def position_slope(rows: DataFrame, replicates: int) -> DataFrame:
     """One row: slope of the target's log-odds, centred in each case, on the position's code; its interval over resampled
     cases, and the number of cases."""
     lo = target_log_odds(rows).withColumn("y", F.col("lo") - F.avg("lo").over(Window.partitionBy("case_id")))
-    x, y = F.col("code"), F.col("y")
-    case = lo.groupBy("case_id").agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"), F.sum(x * x).alias("sxx"))
-    slope = lambda: (F.col("sxy") / F.col("n") - F.col("sx") * F.col("sy") / (F.col("n") * F.col("n"))) / F.nullif(F.col("sxx") / F.col("n") - F.col("sx") * F.col("sx") / (F.col("n") * F.col("n")), F.lit(0.0))
-    sums = ["n", "sx", "sy", "sxy", "sxx"]
-    point = case.agg(*[F.sum(c).alias(c) for c in sums], F.count("*").alias("n_cases")).select(slope().alias("slope"), "n_cases")
-    drawn = S.resampled(case, "case_id", sums, replicates, "a4").select(slope().alias("v"))
-    return point.join(F.broadcast(S.interval(drawn)))  # a row each
+    return S.slope(lo, "code", "y", "case_id", replicates, "a4").withColumnRenamed("n_clusters", "n_cases")
 
 
 def phase_change(rows: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def null_counts(df: DataFrame) -> DataFrame:
-    """column and its number of nulls, in one pass."""
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("nulls")) for c in df.columns])).alias("z")).select("z.*")
+    """column, its nulls and its empties (lists or texts without an entry), in one pass."""
+    nothing = lambda c, t: F.count_if(F.size(c) == 0) if t.startswith("array") else F.count_if(F.length(c) == 0) if t == "string" else F.lit(0).cast("long")
+    row = df.agg(*[x for c, t in df.dtypes for x in (F.count_if(F.col(c).isNull()).alias(f"{c}__nulls"), nothing(c, t).alias(f"{c}__empty"))])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}__nulls").alias("nulls"), F.col(f"{c}__empty").alias("empty")) for c in df.columns])).alias("z")).select("z.*")
 
 
 def duplicates(df: DataFrame, key: Column, split: Column) -> DataFrame:

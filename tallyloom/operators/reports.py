@@ -92,6 +92,19 @@ def named_ranks(rows: DataFrame) -> DataFrame:
     })
 
 
+def belief_gap(rows: DataFrame) -> DataFrame:
+    """One row over rows (v, named, truth, told): n, those that only the stated vector or only the named answer gets right,
+    agreement of both over all and over the informative (told), the share that is not, their accuracy, and McNemar's statistic."""
+    hits = named_ranks(rows).withColumn("same", (V.top1(F.col("v")) == F.col("named")).cast("int"))
+    told, a, b = F.col("told"), F.col("stated_hit") == 1, F.col("named_hit") == 1
+    n = hits.agg(
+        F.count("*").alias("n"), F.count_if(a & ~b).alias("only_stated"), F.count_if(~a & b).alias("only_named"), F.avg("same").alias("agreement"), F.avg(F.when(told, F.col("same"))).alias("agreement_informative"),
+        F.avg((~told).cast("int")).alias("uniform_share"), F.avg(F.when(told, F.col("stated_hit"))).alias("accuracy_informative"),
+    )
+    x, y = F.col("only_stated"), F.col("only_named")
+    return n.withColumn("chi_squared", F.when(x + y > 0, (F.abs(x - y) - 1) * (F.abs(x - y) - 1) / (x + y)))
+
+
 def finding(check: str, rows: DataFrame, severity: Column | str, headline: Column) -> DataFrame:
     """check, severity and headline of a table of one row."""
     level = F.lit(severity) if isinstance(severity, str) else severity

@@ -13,10 +13,11 @@ def draw(seed: str, *parts: Column | str) -> Column:
     return F.sha1(F.concat_ws("|", F.lit(seed), *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]))
 
 
-def stratified(df: DataFrame, stratum: str, key: str, per: int, seed: str = "s") -> DataFrame:
-    """Up to ``per`` rows of each stratum, by hash order."""
+def stratified(df: DataFrame, stratum: str, key: str, per: int, seed: str = "s", most: int | None = None) -> DataFrame:
+    """Up to ``per`` rows of each stratum, by hash order; with ``most`` only so many of all of them, by another one."""
     k = F.row_number().over(Window.partitionBy(stratum).orderBy(draw(seed, key), key))
-    return df.withColumn("__k", k).filter(F.col("__k") <= per).drop("__k")
+    out = df.withColumn("__k", k).filter(F.col("__k") <= per).drop("__k")
+    return out if most is None else out.orderBy(draw(f"{seed}{seed}", key), key).limit(most)
 
 
 def permutations(df: DataFrame, key: str, items: str, n: int, seed: str = "p") -> DataFrame:
@@ -80,3 +81,15 @@ def bootstrap_mean(rows: DataFrame, value: str, cluster: str, replicates: int, s
     point = units.groupBy(*by).agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("n_clusters"))
     drawn = resampled(units, "unit", ["s", "n"], replicates, seed, by).select(*by, (F.col("s") / F.nullif(F.col("n"), F.lit(0))).alias("v"))
     return beside(point, interval(drawn, by=by), by)
+
+
+def slope(rows: DataFrame, x: str, y: str, cluster: str, replicates: int, seed: str) -> DataFrame:
+    """One row: slope of y on x over all rows, and its interval over resampled clusters; null without spread."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    units = rows.dropna(subset=[x, y]).groupBy(F.col(cluster).alias("unit")).agg(F.count("*").cast("double").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * b).alias("sxy"), F.sum(a * a).alias("sxx"))
+    m = lambda c: F.col(c) / F.nullif(F.col("n"), F.lit(0.0))
+    spread = m("sxx") - m("sx") * m("sx")
+    of = F.when(spread > 1e-12, (m("sxy") - m("sx") * m("sy")) / spread)
+    sums = ["n", "sx", "sy", "sxy", "sxx"]
+    point = units.agg(*[F.sum(c).alias(c) for c in sums], F.count("*").alias("n_clusters")).select(of.alias("slope"), "n_clusters")
+    return beside(point, interval(resampled(units, "unit", sums, replicates, seed).select(of.alias("v"))), [])

@@ -6,13 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
-from tallyloom.operators import arms, quality as Q, sampling as S
+from tallyloom.operators import arms, jobs, quality as Q, sampling as S
 from tallyloom.plans.bindings import C, corpus, query, r6, table
 
 
-@query("o127_nulls", "SELECT 'event_id' AS \"column\", count(*) FILTER (WHERE event_id IS NULL) AS nulls FROM events UNION ALL SELECT 'user_id', count(*) FILTER (WHERE user_id IS NULL) FROM events UNION ALL SELECT 'props', count(*) FILTER (WHERE props IS NULL) FROM events")
+@query("o127_nulls", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS nulls, {e} AS empty FROM documents" for c, e in (("doc_id", "0::BIGINT"), ("text", "count(*) FILTER (WHERE text = '')"), ("lang", "count(*) FILTER (WHERE lang = '')"), ("words", "count(*) FILTER (WHERE text = '')"))).replace("words IS NULL", "text IS NULL"))
 def nulls(spark, d):
-    return Q.null_counts(table(spark, d, "events").select("event_id", "user_id", "props"))
+    return Q.null_counts(table(spark, d, "documents").select("doc_id", "text", "lang", F.when(F.length("text") == 0, F.array().cast("array<string>")).otherwise(F.split("text", " ")).alias("words")))
 
 
 @query("o128_duplicates", "WITH k AS (SELECT text, count(*) AS n, count(DISTINCT source) AS s FROM documents GROUP BY 1) SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_keys, sum(n - 1)::BIGINT AS n_beyond, count(*) FILTER (WHERE s > 1) AS keys_across, coalesce(sum(n) FILTER (WHERE s > 1), 0)::BIGINT AS rows_across FROM k")
@@ -38,6 +38,11 @@ def quantiles(spark, d):
     return row.select(F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.round(f"q{i}", 4).alias("value")) for i, q in enumerate(at)])).alias("z")).select("z.*")
 
 
+@query("o129_ranges", "SELECT count(*) AS n, count(*) FILTER (WHERE c_acctbal NOT BETWEEN 0 AND 9000) AS outside, count(DISTINCT c_mktsegment) AS n_segments, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS segments FROM customer")
+def ranges(spark, d):
+    return table(spark, d, "customer").agg(F.count("*").alias("n"), F.count_if(~F.col("c_acctbal").between(0, 9000)).alias("outside"), F.count_distinct("c_mktsegment").alias("n_segments"), F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("segments"))  # the few segments
+
+
 @query("o130_token_validity", "SELECT p_brand AS token, count(*) AS n, CASE WHEN regexp_matches(p_brand, '^Brand#[0-9]+$') THEN CASE WHEN substr(p_brand, 7)::INT <= 20 THEN 'known' ELSE 'unknown' END ELSE 'malformed' END AS kind FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 ORDER BY n DESC, token LIMIT 30")
 def token_validity(spark, d):
     n = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("token")).agg(F.count("*").alias("n"))
@@ -117,6 +122,12 @@ def class_balance(spark, d):
     return Q.balance(rows, "label").select("label", "n", *[r6(F.col(c)).alias(c) for c in ("share", "imbalance", "entropy")])
 
 
+@query("o135_severity_mass", "SELECT round(sum(n) FILTER (WHERE severity <= 2) / sum(n), 6) AS severe_share, round(sum(n * severity) / sum(n), 6) AS mean_severity FROM (SELECT left(o_orderpriority, 1)::INT AS severity, count(*) AS n FROM orders GROUP BY 1)")
+def severity_mass(spark, d):
+    n = table(spark, d, "orders").groupBy(F.substring("o_orderpriority", 1, 1).cast("int").alias("severity")).agg(F.count("*").alias("n"))
+    return n.agg(r6(F.sum(F.when(F.col("severity") <= 2, F.col("n"))) / F.sum("n")).alias("severe_share"), r6(F.sum(F.col("n") * F.col("severity")) / F.sum("n")).alias("mean_severity"))
+
+
 @query("o136_evidence_load", f"WITH {C}, n AS (SELECT row_id, count(*) AS n FROM t GROUP BY 1), q AS (SELECT quantile_cont(n, 0.25) AS q1, median(n) AS median, quantile_cont(n, 0.75) AS q3 FROM n) SELECT q1, median::DOUBLE AS median, q3, q3 + 1.5 * (q3 - q1) AS fence, (SELECT count(*) FROM n WHERE n > q3 + 1.5 * (q3 - q1)) AS n_above FROM q")
 def evidence_load(spark, d):
     return Q.outliers(corpus(spark, d).select(F.size("tokens").alias("n")), "n")
@@ -190,11 +201,6 @@ def spearman(spark, d):
     return Q.spearman(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice").withColumn("spearman", r6(F.col("spearman")))
 
 
-@query("o118_entropy_control", "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS with_price, round(corr(l_quantity, l_discount), 6) AS with_discount, round(corr(l_quantity, l_tax), 6) AS with_tax FROM lineitem GROUP BY 1")
-def entropy_control(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(*[r6(F.corr("l_quantity", c)).alias(k) for c, k in (("l_extendedprice", "with_price"), ("l_discount", "with_discount"), ("l_tax", "with_tax"))])
-
-
 @query("o119_ladders", "WITH s AS (SELECT c_mktsegment, year(o_orderdate)::INT AS y, avg(o_totalprice) AS m FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2), g AS (SELECT *, lag(m) OVER (PARTITION BY c_mktsegment ORDER BY y) AS p FROM s) SELECT c_mktsegment, round(min_by(m, y), 4) AS first, round(max_by(m, y), 4) AS last, coalesce(bool_and(m >= p), true) AS rising FROM g GROUP BY 1")
 def ladders(spark, d):
     s = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment", F.year("o_orderdate").alias("y")).agg(F.avg("o_totalprice").alias("m"))
@@ -221,6 +227,14 @@ def load_regression(spark, d):
     return r.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.round(F.avg("y"), 3).alias("mean")).crossJoin(line)
 
 
+@query("o158_slope", f"""WITH {C}, n AS (SELECT row_id AS unit, count(*) AS x FROM t GROUP BY 1), q AS (SELECT unit, x, o_totalprice AS y FROM n JOIN orders ON o_orderkey = unit), {S.weights_sql("q", "unit", "load", 50)},
+    b AS (SELECT r, (sum(w * x * y) / sum(w) - sum(w * x) / sum(w) * sum(w * y) / sum(w)) / (sum(w * x * x) / sum(w) - (sum(w * x) / sum(w)) ** 2) AS v FROM q JOIN weights USING (unit) GROUP BY 1)
+    SELECT round((SELECT regr_slope(y, x) FROM q), 3) AS slope, round(quantile_cont(v, 0.025), 3) AS low, round(quantile_cont(v, 0.975), 3) AS high FROM b""")
+def load_slope(spark, d):
+    r = corpus(spark, d).select(F.col("row_id").alias("o_orderkey"), F.size("tokens").alias("x")).join(table(spark, d, "orders"), "o_orderkey").select(F.col("o_orderkey").alias("unit"), "x", F.col("o_totalprice").alias("y"))
+    return S.slope(r, "x", "y", "unit", 50, "load").select(*[F.round(c, 3).alias(c) for c in ("slope", "low", "high")])
+
+
 @query("o017_token_split", r"WITH k AS (SELECT DISTINCT CASE WHEN p_size % 3 = 0 THEN 'E_' || p_size WHEN p_size % 3 = 1 THEN 'E_' || p_size || '_@_' || p_type ELSE 'X_' || p_size END AS token FROM part) SELECT token, nullif(regexp_extract(token, '^(E_\d+)(?:_@_(.+))?$', 1), '') AS code, nullif(regexp_extract(token, '^(E_\d+)(?:_@_(.+))?$', 2), '') AS value FROM k")
 def token_split(spark, d):
     k = table(spark, d, "part").select(F.expr("CASE WHEN p_size % 3 = 0 THEN concat('E_', p_size) WHEN p_size % 3 = 1 THEN concat('E_', p_size, '_@_', p_type) ELSE concat('X_', p_size) END").alias("token")).distinct()
@@ -336,10 +350,11 @@ def mask_density(spark, d):
     return table(spark, d, "documents").select("doc_id", r6(T.mask_density(F.replace(F.coalesce("text", F.lit("")), F.lit("the"), F.lit("___")))).alias("density"))
 
 
-@query("o042_candidates", "WITH k AS (SELECT conv_id, lower(trim(role)) AS c, min(turn) AS first FROM conversations GROUP BY 1, 2) SELECT conv_id, string_agg(c, ',' ORDER BY first) AS candidates FROM k GROUP BY 1")
+@query("o042_candidates", "WITH k AS (SELECT conv_id, lower(trim(role)) AS c, min(turn) AS first FROM conversations GROUP BY 1, 2) SELECT conv_id, string_agg(c, ',' ORDER BY first) AS candidates FROM k GROUP BY 1 HAVING count(*) >= 2")
 def candidates(spark, d):
     k = table(spark, d, "conversations").groupBy("conv_id", F.lower(F.trim("role")).alias("c")).agg(F.min("turn").alias("first"))
-    return k.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("first", "c"))).alias("z")).select("conv_id", F.array_join("z.c", ",").alias("candidates"))
+    kept = k.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("first", "c"))).alias("z")).filter(F.size("z") >= 2)
+    return kept.select("conv_id", F.array_join("z.c", ",").alias("candidates"))
 
 
 @query("o043_screen", "SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%ring%' OR lower(p_name) LIKE '%bolt%' OR lower(p_name) LIKE '%red%'")
@@ -359,9 +374,12 @@ def json_path(spark, d):
     return table(spark, d, "events").groupBy("event_type", F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("o145_stratified", "SELECT o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY sha1('s|' || o_orderkey), o_orderkey) AS k FROM orders) WHERE k <= 40")
+@query("o145_stratified", f"""WITH {C}, e AS (SELECT row_id, label FROM t GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 5), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha1('s|' || row_id), row_id) AS k FROM e) WHERE k <= 40)
+    SELECT row_id, label FROM k ORDER BY sha1('ss|' || row_id), row_id LIMIT 150""")
 def stratified(spark, d):
-    return S.stratified(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", 40)
+    """Rows of two to five tokens, up to 40 of each label, 150 in all."""
+    rows = corpus(spark, d).filter(F.size("tokens").between(2, 5)).select("row_id", "label")
+    return S.stratified(rows, "label", "row_id", 40, most=150)
 
 
 @query("o146_permutations", f"WITH {C}, h AS (SELECT row_id, j, token, sha1('p|' || row_id || '|' || j || '|' || token) AS h FROM t, range(4) r(j)), o AS (SELECT row_id, j, string_agg(token, ',' ORDER BY h) AS o FROM h GROUP BY 1, 2), k AS (SELECT row_id, string_agg(token, ',' ORDER BY token) AS k FROM t GROUP BY 1), f AS (SELECT row_id, o, min(j) AS j FROM o JOIN k USING (row_id) WHERE o <> k GROUP BY 1, 2) SELECT row_id, (row_number() OVER (PARTITION BY row_id ORDER BY j) - 1)::INT AS perm_index, o AS evidence_order FROM f")
@@ -394,9 +412,35 @@ def cluster_bootstrap(spark, d):
     return bootstrapped(S.bootstrap_mean(table(spark, d, "lineitem"), "l_discount", "l_orderkey", 50, "c"))
 
 
-@query("o152_jobs", "SELECT o_orderkey, phase, o_orderkey || ':' || phase AS job_id FROM orders, (VALUES ('before'), ('after')) p(phase)")
-def jobs(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.explode(F.array(F.lit("before"), F.lit("after"))).alias("phase")).withColumn("job_id", F.concat_ws(":", "o_orderkey", "phase"))
+@query("o155_variants", f"""WITH {C}, b(lo, hi) AS (VALUES (0, 39), (40, 99)), n AS (SELECT token, lo, sex, count(*) AS n FROM t JOIN c USING (row_id) JOIN b ON age BETWEEN lo AND hi GROUP BY ALL)
+    SELECT token, lo, sex, n, CASE WHEN ('0x' || substr(sha1('g|' || token), 1, 8))::BIGINT / 4294967296.0 < 0.3 THEN 'test' ELSE 'train' END AS split FROM n WHERE n >= 20""")
+def split_variants(spark, d):
+    """Counts by token, age band and sex; all variants of a token fall on one side."""
+    rows = corpus(spark, d).select(F.explode("tokens").alias("token"), F.when(F.col("age") < 40, 0).otherwise(40).alias("lo"), "sex")
+    return S.group_split(rows.groupBy("token", "lo", "sex").agg(F.count("*").alias("n")).filter("n >= 20"), "token", 0.3)
+
+
+@query("o152_jobs", "SELECT o_orderkey, phase, 'a2' AS task, 'a2:' || o_orderkey || ':' || phase AS job_id FROM orders, (VALUES ('before'), ('after')) p(phase)")
+def phase_jobs(spark, d):
+    return jobs.phased(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", ["before", "after"], "a2")
+
+
+@query("o152_weight_jobs", f"WITH {C} SELECT token, format, 'weight:' || format || ':' || token AS job_id FROM (SELECT DISTINCT token FROM t), (VALUES ('numeric'), ('logodds'), ('ordinal')) f(format)")
+def weight_jobs(spark, d):
+    return jobs.weight_jobs(corpus(spark, d).select(F.explode("tokens").alias("token")), ["numeric", "logodds", "ordinal"])
+
+
+@query("o152_prior_jobs", f"""WITH {C}, b(lo, hi) AS (VALUES (0, 17), (18, 39), (40, 64), (65, 99)), s(sex) AS (VALUES ('F'), ('O'), ('X')), n AS (SELECT lo, sex, count(*) AS n FROM c JOIN b ON age BETWEEN lo AND hi GROUP BY 1, 2)
+    SELECT lo, hi, sex, coalesce(n, 0) AS n, 'prior:' || lo || ':' || hi || ':' || sex AS job_id FROM b CROSS JOIN s LEFT JOIN n USING (lo, sex)""")
+def prior_jobs(spark, d):
+    return jobs.prior_jobs(corpus(spark, d), [(0, 17), (18, 39), (40, 64), (65, 99)], ["F", "O", "X"])
+
+
+@query("o152_inserted", f"""WITH {C}, k AS (SELECT row_id, list(token ORDER BY token) AS ts FROM t GROUP BY 1), p AS (SELECT *, floor(('0x' || substr(sha1('d|' || row_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE * (len(ts) + 1))::INT AS p FROM k)
+    SELECT row_id, array_to_string(ts[1:p] || ['NEW'] || ts[p + 1:], ',') AS tokens FROM p""")
+def inserted(spark, d):
+    rows = corpus(spark, d)
+    return rows.select("row_id", F.array_join(jobs.inserted(F.col("tokens"), F.lit("NEW"), F.col("row_id")), ",").alias("tokens"))
 
 
 @query("o015_completeness", "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")

@@ -162,6 +162,58 @@ def named_answers(spark, d):
     return rates.crossJoin(F.broadcast(gap)).crossJoin(F.broadcast(places)).select("kind", r6(F.col("mean")).alias("top1"), r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"), "gap", "median_rank", "first_rate")
 
 
+@query("o160_belief_gap", f"""WITH {P20}, t AS (SELECT vec_id, target, min_by(i, struct_pack(a := -x, b := i)) AS top, (vec_id * 7) % 70 AS named, bool_or(abs(x - 1.0 / 64) > 1e-6 + 1e-5 / 64) AND vec_id % 5 > 0 AS told FROM l GROUP BY 1, 2),
+    n AS (SELECT count(*) AS n, count(*) FILTER (WHERE top = target AND named <> target) AS x, count(*) FILTER (WHERE top <> target AND named = target) AS y, avg((named = top)::INT) AS ag, avg((named = top)::INT) FILTER (WHERE told) AS ai, avg((NOT told)::INT) AS un, avg((top = target)::INT) FILTER (WHERE told) AS ac FROM t)
+    SELECT n, x AS only_stated, y AS only_named, round(ag, 6) AS agreement, round(ai, 6) AS agreement_informative, round(un, 6) AS uniform_share, round(ac, 6) AS accuracy_informative, round(CASE WHEN x + y > 0 THEN (abs(x - y) - 1) ** 2 / (x + y) END, 6) AS chi_squared FROM n""")
+def belief_gap(spark, d):
+    """Every fifth vector counts as one that says nothing."""
+    p = runs(posteriors(spark, d), 20).select(F.col("label").alias("truth"), "v", ((F.col("vec_id") * 7) % 70).cast("int").alias("named"), (V.informative(F.col("v")) & (F.col("vec_id") % 5 > 0)).alias("told"))
+    return rounded(R.belief_gap(p), ["n", "only_stated", "only_named"], ["agreement", "agreement_informative", "uniform_share", "accuracy_informative", "chi_squared"])
+
+
+METHODS = [("direct", 1, 1), ("self_consistency", 11, 16), ("ensemble_2", 1, 2), ("ensemble_3", 1, 3), ("ensemble_5", 1, 5)]
+
+
+@query("o107_accuracy", f"""WITH {P20}, m(method, lo, hi) AS (VALUES {", ".join(map(str, METHODS))}), ok AS (SELECT label FROM p WHERE rn <= 16 GROUP BY 1 HAVING count(*) = 16),
+    v AS (SELECT label, target, method, i, avg(x) AS x FROM l JOIN m ON rn BETWEEN lo AND hi WHERE label IN (SELECT label FROM ok) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY label, method ORDER BY x DESC, i) AS k FROM v),
+    c AS (SELECT label, method, max((k = 1)::INT) FILTER (WHERE i = target) AS top1, max((k <= 5)::INT) FILTER (WHERE i = target) AS top5, sum(CASE WHEN x > 0 THEN -x * log2(x) ELSE 0 END) AS entropy FROM k GROUP BY 1, 2)
+    SELECT method, count(*) AS n_cases, max(hi - lo + 1)::INT AS queries, round(avg(top1), 6) AS top1, round(avg(top5), 6) AS top5, round(avg(entropy), 6) AS entropy FROM c JOIN m USING (method) GROUP BY 1""")
+def method_accuracy(spark, d):
+    p = runs(posteriors(spark, d), 20)
+    method = F.array_compact(F.array(*[F.when(F.col("rn").between(a, b), F.struct(F.lit(k).alias("method"), F.lit(b - a + 1).alias("queries"))) for k, a, b in METHODS]))
+    whole = p.filter("rn <= 16").groupBy("case_id").agg(F.count("*").alias("n")).filter("n = 16").select("case_id")
+    parts = p.join(whole, "case_id").select("case_id", F.col("label").alias("truth"), "v", F.explode(method).alias("z")).select("case_id", "truth", "z.*", "v")
+    means = M.mean_vectors(parts, ["case_id", "truth", "method", "queries"])
+    v = F.col("v")
+    hit = means.select("method", "queries", (V.top1(v) == F.col("truth")).cast("int").alias("top1"), F.array_contains(V.top_k(v, 5), F.col("truth").cast("int")).cast("int").alias("top5"), V.entropy(v, 0.0).alias("entropy"))
+    return rounded(hit.groupBy("method", "queries").agg(F.count("*").alias("n_cases"), F.avg("top1").alias("top1"), F.avg("top5").alias("top5"), F.avg("entropy").alias("entropy")), ["method", "queries", "n_cases"], ["top1", "top5", "entropy"])
+
+
+@query("o118_entropy_control", f"""WITH {RESP}, e AS ({EFFECT.format(r='', e='')}), h AS (SELECT label, avg(h) AS h FROM (SELECT label, vec_id, sum(CASE WHEN x > 1e-12 THEN -x * log2(x) ELSE 0 END) AS h FROM l WHERE rn <= 10 GROUP BY 1, 2) GROUP BY 1)
+    SELECT round(corr(h, jsd_permutation), 6) AS with_permutation, round(corr(h, jsd_retest), 6) AS with_retest, round(corr(h, order_effect), 6) AS with_effect FROM e JOIN h ON label = case_id""")
+def entropy_control(spark, d):
+    """Whether a case's order effect goes with the entropy of its answers."""
+    rows = responses(spark, d)
+    both = arms.order_effect(rows).join(arms.case_shape(rows).select("case_id", "mean_entropy"), "case_id")
+    return both.agg(*[r6(F.corr("mean_entropy", c)).alias(k) for c, k in (("jsd_permutation", "with_permutation"), ("jsd_retest", "with_retest"), ("order_effect", "with_effect"))])
+
+
+@query("o113_report", f"""WITH {P20}, ok AS (SELECT label FROM p WHERE rn IN (1, 17, 18) GROUP BY 1 HAVING count(*) = 3), v AS (SELECT label, target, 'canonical' AS kind, i, avg(x) AS x FROM l WHERE rn IN (17, 18) AND label IN (SELECT label FROM ok) GROUP BY ALL UNION ALL SELECT label, target, 'direct', i, x FROM l WHERE rn = 1 AND label IN (SELECT label FROM ok)),
+    t AS (SELECT label, target, kind, min_by(i, struct_pack(a := -x, b := i)) AS top FROM v GROUP BY 1, 2, 3), w AS (SELECT label, max(target) AS target, max(top) FILTER (WHERE kind = 'canonical') AS c, max(top) FILTER (WHERE kind = 'direct') AS d FROM t GROUP BY 1),
+    h AS (SELECT 'canonical' AS kind, label AS unit, (c = target)::INT AS hit FROM w UNION ALL SELECT 'direct', label, (d = target)::INT FROM w UNION ALL SELECT 'flip', label, (c <> d)::INT FROM w), {rates_sql('h', 'kind', 'cb')}
+    SELECT kind, round(mean, 6) AS rate, round(low, 6) AS low, round(high, 6) AS high FROM rt""")
+def canonical_report(spark, d):
+    pick = lambda k: F.max_by("v", F.when(F.col("method") == k, F.lit(1)))
+    rows = responses(spark, d).withColumn("truth", F.split("case_id", r"\|")[0].cast("int"))
+    whole = rows.filter("(arm = 'permutation' and idx = 0) or arm = 'canonical'").groupBy("case_id", "truth").agg(F.count("*").alias("n")).filter("n = 3")
+    wide = M.named_means(rows).groupBy("case_id").agg(pick("canonical").alias("a"), pick("direct").alias("b")).join(whole, "case_id")
+    a, b, t = V.top1(F.col("a")), V.top1(F.col("b")), F.col("truth")
+    kinds = {"canonical": a == t, "direct": b == t, "flip": a != b}
+    hits = wide.select("case_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("int").alias("hit")) for k, c in kinds.items()])).alias("z")).select("case_id", "z.*")
+    out = S.bootstrap_mean(hits, "hit", "case_id", N, "cb", ["kind"])
+    return out.select("kind", r6(F.col("mean")).alias("rate"), r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"))
+
+
 @query("o121_scoring_rules", f"""WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding)))::INT AS i FROM embeddings), s AS (SELECT 'sum' AS scoring, vec_id, label, i, x FROM e UNION ALL SELECT 'meanlen', vec_id, label, i, x / (1 + i % 3) FROM e UNION ALL SELECT 'stated', vec_id, label, i, greatest(x, 0) FROM e),
     k AS (SELECT *, row_number() OVER (PARTITION BY scoring, vec_id ORDER BY x DESC, i) AS k FROM s), h AS (SELECT scoring, vec_id % 40 AS unit, (k = 1)::INT AS hit, (k <= 5)::INT AS five FROM k WHERE i = label), {rates_sql('h', 'scoring', 'lp')},
     f AS (SELECT scoring, avg(five) AS five FROM h GROUP BY 1)
