@@ -40,7 +40,7 @@ from tallyloom.llm.graph import components
 U = np.uint64
 CELLS = 1024
 #: Members of a group, on average at most; rows with one key that meet in one run of a task.
-GROUP_ROWS = 128
+GROUP_ROWS = 96
 CACHE_WORDS = 200_000
 #: Bits of a token.
 TOKEN_MASK = U((1 << 48) - 1)
