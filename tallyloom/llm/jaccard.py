@@ -130,12 +130,19 @@ def folded(sketches: np.ndarray, width: int) -> np.ndarray:
     return sketches
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that few rows are Python objects at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def token_sets(texts: DataFrame, words: int, percent: int) -> DataFrame:
     """node, tag, need and tokens of every row of (node, text) with words, under both its tags."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = size_classes(percent)[1]
-        for b in batches:
+        for b in sliced(batches):
             rows: list[tuple[int, int, int]] = []
             found: list[np.ndarray] = []
             held = 0
@@ -205,7 +212,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(0, U)
-        for batch in batches:
+        for batch in sliced(batches):
             found: list[tuple[int, int]] = []
             for a, b, raw in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "set")), strict=True):
                 x = np.frombuffer(raw, U)
@@ -221,25 +228,27 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def opened(queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def opened(queries: DataFrame, members: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """a, b, apart, own and other of a query and a member of its group, of the components own and other, whose sizes and
     sketches allow a link; apart counts the cells in which their sketches differ.
 
-    queries: node, n, sketch, component, asks (need and tokens under each tag) and grp for each group that it found;
-    members: the same for each group. A group is opened for a query that shares need of its tokens under some tag with
-    the union of its members' tokens. The queries of a group are dealt out in runs of GROUP_ROWS on average, each of
-    which gets the group's members, a bounded number.
+    queries: node, component and grp for each group that a node found, a written table; members: the same for each group;
+    facts: node, n, sketch and asks (need and tokens under each tag). A group is opened for a query that shares need of
+    its tokens under some tag with the union of its members' tokens. The queries of a group are dealt out in runs of
+    GROUP_ROWS on average, each of which gets the group's members, a bounded number.
     """
     columns = ["grp", "run", "node", "component", "n", "sketch", "asks"]
-    runs = queries.groupBy("grp").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("runs"))
+    counts = written(queries.groupBy("grp").agg(F.count("*").alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    runs = counts.select("grp", F.ceil(F.col("n") / GROUP_ROWS).alias("runs"), (F.col("n") * HOT_PART >= total).alias("hot"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run")
-    held = members.join(runs, "grp").select("grp", every, "node", "component", "n", "sketch", "asks", F.lit(0).alias("kind"))
-    asking = queries.join(runs, "grp").select("grp", F.pmod(F.xxhash64("node"), F.col("runs")).alias("run"), "node", "component", "n", "sketch", "asks", F.lit(1).alias("kind"))
+    held = members.join(runs.drop("hot"), "grp").select("grp", every, "node", "component").join(facts, "node").withColumn("kind", F.lit(0))
+    asking = hot_join(queries, runs, ["grp"]).select("grp", F.pmod(F.xxhash64("node"), F.col("runs")).alias("run"), "node", "component").join(facts, "node").withColumn("kind", F.lit(1))
     rows = held.unionByName(asking).repartition("grp", "run").sortWithinPartitions("grp", "run", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, table, union = None, [], None, set()
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[tuple[int, int, int, int, int]] = []
             for grp, part, node, component, n, cells, asks, kind in zip(*(batch.column(k).to_pylist() for k in [*columns, "kind"]), strict=True):
                 if (grp, part) != key:
@@ -275,7 +284,7 @@ def set_table(docs: DataFrame, classes: DataFrame, nodes: DataFrame, words: int)
     rows = wanted.join(docs, F.col("w_doc").eqNullSafe(F.col("doc_id")) & (F.col("w_hash") == F.col("text_hash"))).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             x = [shingles(t, words) for t in b.column("text").to_pylist()]
             arrays = [b.column("node"), pa.array([len(y) for y in x], pa.int64()), pa.array([sketch(y) for y in x], pa.list_(pa.int64())), pa.array([y.tobytes() for y in x], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["node", "n", "sketch", "set"])
@@ -366,7 +375,7 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, do
         homes = written(groups_of(spread), "homes")
         asks = spread.groupBy("node", "tag").agg(F.max("need").alias("need"), F.collect_list("token").alias("tokens"))  # a node's tokens
         facts = written(asks.groupBy("node").agg(F.collect_list(F.struct("need", "tokens")).alias("asks")).join(facts, "node"), "facts")
-        more = opened(asked(spread, homes).join(facts, "node"), homes.join(facts, "node"), percent)
+        more = opened(written(asked(spread, homes), "asked"), homes, facts, percent)
         more = written(more.join(near, (F.least(more.a, more.b) == near.a) & (F.greatest(more.a, more.b) == near.b), "left_anti"), "more")
         # of each node and each other component the nearest member first, then the rest where those did not link
         best = written(more.groupBy("a", "own", "other").agg(F.min_by("b", F.struct("apart", "b")).alias("b")).select("a", "b", "own", "other"), "best")
