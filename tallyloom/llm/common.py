@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,22 +32,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Paths of the tables written in each open ``tidied`` block.
-_OPEN: list[list[str]] = []
+#: Paths of the tables written in the innermost open ``tidied`` block of this thread (or task of asyncio).
+_OPEN: ContextVar[list[str] | None] = ContextVar("open", default=None)
+
+
+def _noted(spark: SparkSession, name: str) -> str:
+    """A scratch path that the open block, if there is one, deletes at its end."""
+    path, block = scratch_path(spark, name), _OPEN.get()
+    if block is not None:
+        block.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    if _OPEN:
-        _OPEN[-1].append(path)
+    path = _noted(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As ``written``, dealt to buckets by a key: joins of such tables with as many buckets on this key need no shuffle."""
+    spark = df.sparkSession
+    path, table = _noted(spark, name), f"{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(buckets, key).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # its files stay: they lie outside the warehouse
+    out.scratch = path
+    return out
+
+
 def removed(spark: SparkSession, *paths: str) -> None:
     """Deletes scratch folders, wherever the shared folder is."""
     for path in paths:
@@ -61,14 +79,16 @@ def tidied(spark: SparkSession) -> Iterator[list[DataFrame]]:
     What the block returns may read only those. They go to the block around it, if there is one.
     """
     kept: list[DataFrame] = []
-    _OPEN.append([])
+    around, own = _OPEN.get(), []
+    token = _OPEN.set(own)
     try:
         yield kept
     finally:
-        own, stay = _OPEN.pop(), {df.scratch for df in kept}
+        _OPEN.reset(token)
+        stay = {df.scratch for df in kept}
         removed(spark, *[p for p in own if p not in stay])
-        if _OPEN:
-            _OPEN[-1] += [p for p in own if p in stay]
+        if around is not None:
+            around += [p for p in own if p in stay]
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
