@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import classifier, clusters, counts, fingerprints, jaccard, packing, pieces, repetition, secrets, sharding, url_rules
+from tallyloom.llm import classifier, clusters, counts, fingerprints, jaccard, packing, pieces, repetition, secrets, sharding, trie, url_rules
 
 #: Rules of op2: host, path, verdict.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -67,15 +67,23 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(read(spark, sf_dir, "conversations"))
+
+
 def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {q.__name__: q for q in (op1_packing, op2_url_rules, op3_quality, op4_secrets, op5_repetition, op6_pieces, op7_jaccard, op8_counts, op9_sharding, op10_fingerprints, op12_clusters)}
+QUERIES = {
+    q.__name__: q
+    for q in (op1_packing, op2_url_rules, op3_quality, op4_secrets, op5_repetition, op6_pieces, op7_jaccard, op8_counts, op9_sharding, op10_fingerprints, op11_trie, op12_clusters)
+}
 
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 ORACLES = {
+    "op11_trie": trie.TRIE_SQL,
     "op12_clusters": clusters.cluster_sql(),
     "op7_jaccard": r"""
         WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
