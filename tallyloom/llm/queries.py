@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import classifier, clusters, counts, fingerprints, jaccard, packing, pieces, repetition, secrets, sharding, trie, url_rules
+from tallyloom.llm import classifier, clusters, counts, fingerprints, jaccard, language, packing, pieces, repetition, secrets, sharding, trie, url_rules
 
 #: Rules of op2: host, path, verdict.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -75,9 +75,13 @@ def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(read(spark, sf_dir, "embeddings"))
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.scored(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     q.__name__: q
-    for q in (op1_packing, op2_url_rules, op3_quality, op4_secrets, op5_repetition, op6_pieces, op7_jaccard, op8_counts, op9_sharding, op10_fingerprints, op11_trie, op12_clusters)
+    for q in (op1_packing, op2_url_rules, op3_quality, op4_secrets, op5_repetition, op6_pieces, op7_jaccard, op8_counts, op9_sharding, op10_fingerprints, op11_trie, op12_clusters, op13_language)
 }
 
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)

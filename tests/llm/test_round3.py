@@ -106,3 +106,115 @@ def test_clusters_odd_rows(spark):
     huge = rows.limit(1).withColumn("embedding", F.transform("embedding", lambda x: F.lit(1e30)))
     with pytest.raises(Exception, match="lies beyond"):
         clusters.cluster(huge).count()
+
+
+def texts(spark, n=240):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(25)]
+    made = [" ".join(rng.choice(words[: 2 + i % 24]) for i in range(rng.randint(0, 40))) for _ in range(n)]
+    rows = [(i, t.upper() if i % 7 == 0 else t) for i, t in enumerate(made)]
+    rows += [(None, "w1 w2"), (3, None), (3, ""), (5, " \t\x0b\n "), (6, "É\xa0w1 new"), (7, rows[4][1]), (7, rows[4][1]), (n + 1, "w0 w1 " * 3000)]
+    return rows, spark.createDataFrame([r + (1, "clash") for r in rows], "doc_id long, text string, part int, words string").repartition(4)
+
+
+def brute_scores(rows, order):
+    """Deleted interpolation with dictionaries and a loop over tokens."""
+    import math
+    import re
+
+    def part(i):
+        code = zlib.crc32(("" if i is None else str(i)).encode())
+        return 0 if code % 10 == 0 else 1 if code // 10 % 10 == 0 else 2
+
+    docs = [(i, part(i), [w for w in re.split("[ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] + [0]) for i, t in rows]
+
+    def counted(parts):
+        n = defaultdict(int)
+        for _, p, ws in docs:
+            if p in parts:
+                full = ["<"] * (order - 1) + ws
+                for at in range(order - 1, len(full)):
+                    for k in range(1, order + 1):
+                        n[tuple(full[at - k + 1 : at + 1])] += 1
+                        n[k, tuple(full[at - k + 1 : at])] += 1  # of the context
+        return n
+
+    def chain(n, ws):
+        full = ["<"] * (order - 1) + ws
+        for at in range(order - 1, len(full)):
+            cs = [n.get((k, tuple(full[at - k + 1 : at])), 0) for k in range(1, order + 1)]
+            yield [c.bit_length() for c in cs], [n.get(tuple(full[at - k + 1 : at + 1]), 0) / c if c else 0.0 for k, c in zip(range(1, order + 1), cs)]
+
+    size = lambda n: sum(1 for g in n if len(g) == 1)
+    fit, every = counted({2}), counted({1, 2})
+    lam = [[0.0] + [0.5] * 63 for _ in range(order)]
+    seen = [s for _, p, ws in docs if p == 1 for s in chain(fit, ws)]
+    for _ in range(30):
+        own, under = [defaultdict(float) for _ in range(order)], [defaultdict(float) for _ in range(order)]
+        for bs, ps in seen:
+            rest, r = 1.0, [0.0] * (order + 1)
+            for k in range(order, 0, -1):
+                r[k] = rest * lam[k - 1][bs[k - 1]] * ps[k - 1]
+                rest *= 1 - lam[k - 1][bs[k - 1]]
+            r[0] = rest / (size(fit) + 1)
+            for k in range(1, order + 1):
+                for b in {bs[k - 1], 64} if bs[k - 1] else ():
+                    own[k - 1][b] += r[k] / sum(r)
+                    under[k - 1][b] += sum(r[: k + 1]) / sum(r)
+        new = [[0.0] + [round(o[b if u[b] > 0 else 64] / u[b if u[b] > 0 else 64], 6) if u[64] > 0 else 0.5 for b in range(1, 64)] for o, u in zip(own, under)]
+        change = max(abs(x - y) for a, b in zip(lam, new) for x, y in zip(a, b))
+        lam = new
+        if change < 1e-4:
+            break
+    total, v = sum(c for g, c in every.items() if len(g) == 1), size(every)
+    out = []
+    for i, p, ws in docs:
+        score = 0.0
+        for bs, ps in chain(every, ws):
+            q = 1 / (v + 1)
+            for k in range(order):
+                q = lam[k][bs[k]] * ps[k] + (1 - lam[k][bs[k]]) * q
+            score += math.log10(q)
+        counts = [every.get((w,), 0) for w in ws]
+        out.append((i, p == 0, len(ws), sum(c > 0 for c in counts), total, sum(math.log10((c + 0.1) / (total + 0.1 * (v + 1))) for c in counts), score))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_language_model_against_dictionaries(spark, monkeypatch, order):
+    from tallyloom.llm import language
+
+    monkeypatch.setattr(language, "RANGE", 700)
+    rows, df = texts(spark)
+    key = lambda r: (r[0] is None, r[0] or 0, r[2], round(r[5], 6))
+    got = sorted((tuple(r) for r in language.scored(df, order).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()), key=key)
+    want = sorted(brute_scores(rows, order), key=key)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    for g, w in zip(got, want):
+        assert g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-5)
+    held = [r for r in got if r[1] and r[2] > 5]
+    assert held and sum(r[6] for r in held) > sum(r[5] for r in held) or order == 1
+
+
+def test_language_model_odd_tables(spark):
+    from tallyloom.llm import language
+
+    _, df = texts(spark, 12)
+    assert language.scored(df.limit(0)).count() == 0
+    code = lambda i: zlib.crc32(str(i).encode()) % 10
+    alone = [i for i in range(100) if code(i) == 0][:3]
+    untrained = language.scored(spark.createDataFrame([(i, "a b") for i in alone], "doc_id long, text string")).collect()
+    assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 and r.score == 0 for r in untrained)
+
+
+def test_packed_numbers():
+    import numpy as np
+
+    from tallyloom.llm import language
+
+    for values in ([], [0], [255, 256, 0], [2**64 - 1, 5], [2**32]):
+        a = np.array(values, np.uint64)
+        assert (language.unpacked(language.packed(a), len(a)) == a).all()
+    for ranges in (1, 3, 51, 1000):
+        low = [language.lowest(r, ranges) for r in range(ranges)]
+        assert all(((x >> 32) * ranges >> 32) == r and (r == 0 or ((x - 1 >> 32) * ranges >> 32) == r - 1) for r, x in enumerate(low))
