@@ -392,24 +392,31 @@ def group_split(spark, d):
     return S.group_split(table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n")).filter("n >= 10"), "p_brand", 0.3)
 
 
-def bootstrap_sql(units: str, seed: str) -> str:
-    """SQL of S.bootstrap_mean over units (unit, s, n), 50 replicates."""
-    return f"""WITH u AS ({units}), {S.weights_sql("u", "unit", seed, 50)}, b AS (SELECT r, sum(w * s) / sum(w * n) AS v FROM u JOIN weights USING (unit) GROUP BY 1)
-      SELECT round((SELECT sum(s) / sum(n) FROM u), 6) AS mean, (SELECT sum(n)::BIGINT FROM u) AS n, (SELECT count(*) FROM u) AS n_clusters, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM b"""
+DRAWS = 2000
 
 
-def bootstrapped(out):
-    return out.select(r6(F.col("mean")).alias("mean"), "n", "n_clusters", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"))
+def bootstrap_sql(table: str, unit: str, value: str, seed: str) -> str:
+    """SQL of S.bootstrap_mean over a column of two decimals, in hundredths: sums are whole numbers and the mean is rounded from them."""
+    return f"""WITH u AS (SELECT {unit} AS unit, sum(round({value} * 100)::BIGINT) AS s, count(*) AS n FROM {table} GROUP BY 1), {S.weights_sql("u", "unit", seed, DRAWS)},
+      b AS (SELECT r, sum(w * s)::DOUBLE / sum(w * n)::DOUBLE AS v FROM u JOIN weights USING (unit) GROUP BY 1)
+      SELECT ((SELECT (sum(s) * 20000 + sum(n)) // (2 * sum(n)) FROM u)::DOUBLE / 1e6) AS mean, (SELECT sum(n)::BIGINT FROM u) AS n, (SELECT count(*) FROM u) AS n_clusters,
+        round(quantile_cont(v, 0.025) / 100, 6) AS low, round(quantile_cont(v, 0.975) / 100, 6) AS high FROM b"""
 
 
-@query("o094_bootstrap", bootstrap_sql("SELECT c_custkey AS unit, sum(c_acctbal) AS s, count(*) AS n FROM customer GROUP BY 1", "b"))
+def bootstrapped(rows, value, unit, seed):
+    out = S.bootstrap_mean(rows.withColumn("hundredths", F.round(F.col(value) * 100).cast("long")), "hundredths", unit, DRAWS, seed)
+    mean = F.expr("((CAST(total AS DECIMAL(28, 0)) * 20000 + n) div (2 * n)) / CAST(1e6 AS DOUBLE)")
+    return out.select(mean.alias("mean"), "n", "n_clusters", r6(F.col("low") / 100).alias("low"), r6(F.col("high") / 100).alias("high"))
+
+
+@query("o094_bootstrap", bootstrap_sql("customer", "c_custkey", "c_acctbal", "b"))
 def bootstrap(spark, d):
-    return bootstrapped(S.bootstrap_mean(table(spark, d, "customer"), "c_acctbal", "c_custkey", 50))
+    return bootstrapped(table(spark, d, "customer"), "c_acctbal", "c_custkey", "b")
 
 
-@query("o112_cluster_bootstrap", bootstrap_sql("SELECT l_orderkey AS unit, sum(l_discount) AS s, count(*) AS n FROM lineitem GROUP BY 1", "c"))
+@query("o112_cluster_bootstrap", bootstrap_sql("lineitem", "l_orderkey", "l_discount", "c"))
 def cluster_bootstrap(spark, d):
-    return bootstrapped(S.bootstrap_mean(table(spark, d, "lineitem"), "l_discount", "l_orderkey", 50, "c"))
+    return bootstrapped(table(spark, d, "lineitem"), "l_discount", "l_orderkey", "c")
 
 
 @query("o155_variants", f"""WITH {C}, b(lo, hi) AS (VALUES (0, 39), (40, 99)), n AS (SELECT token, lo, sex, count(*) AS n FROM t JOIN c USING (row_id) JOIN b ON age BETWEEN lo AND hi GROUP BY ALL)
