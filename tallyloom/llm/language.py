@@ -4,7 +4,7 @@ The probability of a token is a chain of mixtures: in a context of k - 1 tokens,
 estimate of the k-gram and the rest times the probability in the context without its first token, down to a uniform
 share over the vocabulary and one unknown token. lambda depends on k and on the bucket of the context's frequency (the
 number of its binary digits). A part of the training texts is deleted from the counts, and expectation-maximisation
-over its tokens, as counts of equal situations, learns the lambdas. Final estimates count all training texts.
+over its tokens, as counts of a chunk's equal situations, learns the lambdas. Final estimates count all training texts.
 
 Counting is a question to and an answer from tasks that hold ranges of hashes. Texts are cut into chunks of tokens once,
 in a table bucketed by chunk. Each chunk sends its distinct n-grams with their counts, as packed arrays; the task that
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import bucketed, narrowed, tidied, written
 
-#: Tokens of a chunk, and n-grams that a task which adds counts holds at once, about.
-CHUNK, RANGE = 1 << 20, 1 << 22
+#: Tokens of a chunk, and n-grams that a task which adds counts holds at once, about. Both bound memory. A chunk sends a
+#: row for each range: on corpora where that leaves few n-grams a row, raise both with the memory of the executors.
+CHUNK, RANGE = 1 << 20, 1 << 20
 
 #: What marks the start of a text (never a token, only a context) and its end: no word contains them.
 START, END = b"\t", b"\n"
@@ -93,17 +94,20 @@ CHUNKS = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("docs", pa.list_(
 CHUNKS_SQL = "chunk long, n long, docs array<long>, parts binary, lengths binary, tokens binary, words binary"
 
 
-def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of at least CHUNK tokens (but for a task's last), numbered by task and place."""
-    at, open_ = TaskContext.get().partitionId() << 32, Chunk()
-    for batch in batches:
-        for doc in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "part", "text")], strict=True):
-            open_.add(*doc)
-            if open_.n >= CHUNK:
-                yield open_.row(at)
-                at, open_ = at + 1, Chunk()
-    if open_.n:
-        yield open_.row(at)
+def chunking(size: int):
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks of at least so many tokens (but for a task's last), numbered by task and place."""
+        at, open_ = TaskContext.get().partitionId() << 32, Chunk()
+        for batch in batches:
+            for doc in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "part", "text")], strict=True):
+                open_.add(*doc)
+                if open_.n >= size:
+                    yield open_.row(at)
+                    at, open_ = at + 1, Chunk()
+        if open_.n:
+            yield open_.row(at)
+
+    return chunked
 
 
 class Grams:
@@ -153,12 +157,12 @@ class Grams:
 
     def answered(self, answers: list[dict]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Counts of each token's gram of each order in the fitted texts and in all training texts."""
-        fit, every = ([np.zeros(len(k), np.int64) for k in self.keys] for _ in range(2))
+        deleted, every = ([np.zeros(len(k), np.int64) for k in self.keys] for _ in range(2))
         for a in answers:
             k = a["order"] - 1
             at = self.perm[k][self.cuts[k][a["range"]] : self.cuts[k][a["range"] + 1]]
-            fit[k][at], every[k][at] = unpacked(a["fit"], len(at)), unpacked(a["every"], len(at))
-        return [c[p] for c, p in zip(fit, self.place, strict=True)], [c[p] for c, p in zip(every, self.place, strict=True)]
+            deleted[k][at], every[k][at] = unpacked(a["deleted"], len(at)), unpacked(a["every"], len(at))
+        return [(e - d)[p] for e, d, p in zip(every, deleted, self.place, strict=True)], [e[p] for e, p in zip(every, self.place, strict=True)]
 
     def of_contexts(self, counts: list[np.ndarray], tokens: int, docs: int) -> list[np.ndarray]:
         """Frequency of each token's context of each order: all tokens, then the counts of the gram before it."""
@@ -176,7 +180,7 @@ def lowest(r: int, ranges: int) -> int:
 
 
 QUESTIONS = "range int, order int, chunk long, n int, keys binary, high binary, fit binary, deleted binary"
-ANSWERS = "chunk long, range int, order int, fit binary, every binary, fit_words long, every_words long"
+ANSWERS = "chunk long, range int, order int, deleted binary, every binary, fit_words long, every_words long"
 
 
 def asking(order: int, ranges: int):
@@ -211,7 +215,7 @@ def adding(ranges: int):
         words = (int((fit > 0).sum()), int((every > 0).sum())) if rows[0]["order"] == 1 else (0, 0)
         for i, r in enumerate(rows):
             own = group[at[i] : at[i + 1]]
-            out.append([r["chunk"], r["range"], r["order"], packed(fit[own]), packed(every[own]), *(words if i == 0 else (0, 0))])
+            out.append([r["chunk"], r["range"], r["order"], packed(deleted[own]), packed(every[own]), *(words if i == 0 else (0, 0))])
         types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[c.split()[0] for c in ANSWERS.split(", ")])
 
@@ -302,12 +306,12 @@ def scoring(order: int, ranges: int, known: list[list[float]], tokens: int, docs
     return score
 
 
-def scored(docs: DataFrame, order: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, order: int = 2, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK, at_once: int = RANGE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row.
 
     Words are split at white space and A-Z lower-cased; an end is a token of every text. Null texts count as empty: they
     have the end alone. A null id counts as the empty text for the choice of held-out rows. Repeated rows count and are
-    scored each time; other columns are not read. Texts are read whole: one of more than CHUNK tokens is a chunk of its
+    scored each time; other columns are not read. Texts are read whole: one of more than ``chunk`` tokens is a chunk of its
     own. An empty table gives no rows; without training texts all probabilities are uniform, and a lambda that no deleted
     token speaks for is 0.5. Words are told apart by 128-bit hashes, longer n-grams by 64-bit hashes of these.
     """
@@ -315,12 +319,12 @@ def scored(docs: DataFrame, order: int = 2, doc_id: str = "doc_id", text: str =
     with tidied(spark) as kept:
         rows = narrowed(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), part_of("doc_id").alias("part"), "text")
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-        chunks = bucketed(rows.mapInArrow(chunked, CHUNKS_SQL), "chunks", "chunk", buckets)
+        chunks = bucketed(rows.mapInArrow(chunking(chunk), CHUNKS_SQL), "chunks", "chunk", buckets)
         asked = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-        ranges = max(1, -(-asked // RANGE))
+        ranges = max(1, -(-asked // at_once))
         questions = chunks.select("chunk", "docs", "parts", "lengths", "tokens", "words").mapInArrow(asking(order, ranges), QUESTIONS)
         answers = questions.groupBy("range", "order").applyInArrow(adding(ranges), ANSWERS)
-        cell = F.struct("range", "order", "fit", "every")
+        cell = F.struct("range", "order", "deleted", "every")
         answers = answers.repartition(buckets, "chunk").groupBy("chunk").agg(F.collect_list(cell).alias("answers"), F.sum("fit_words").alias("fit_words"), F.sum("every_words").alias("every_words"))
         answers = bucketed(answers, "answers", "chunk", buckets)
         told = chunks.join(answers.select("chunk", "answers"), "chunk").drop("n")
@@ -330,8 +334,7 @@ def scored(docs: DataFrame, order: int = 2, doc_id: str = "doc_id", text: str =
         words = answers.agg(F.coalesce(F.sum("fit_words"), F.lit(0)).alias("fit"), F.coalesce(F.sum("every_words"), F.lit(0)).alias("every")).first()
         fit = (n_tokens.get(FIT, 0), n_docs.get(FIT, 0))
         held_sql = ", ".join([f"b{k} int" for k in range(1, order + 1)] + [f"p{k} double" for k in range(1, order + 1)] + ["n long"])
-        held = told.mapInArrow(situations(order, ranges, *fit), held_sql)
-        held = written(held.groupBy(*held.columns[:-1]).agg(F.sum("n").alias("n")), "situations")
+        held = written(told.mapInArrow(situations(order, ranges, *fit), held_sql), "situations")
         known = learned(held, order, words["fit"])
         every = (fit[0] + n_tokens.get(DELETED, 0), fit[1] + n_docs.get(DELETED, 0))
         out = told.mapInArrow(scoring(order, ranges, known, *every, words["every"]), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
