@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators import support as P
+
 #: The z of a 95 % interval in vectors and in scalars, bounds of probabilities, of log ratios, of likelihoods.
 Z_VECTOR, Z_SCALAR, P_FLOOR, RATIO_BOUND, LOSS_FLOOR = 1.959963984540054, 1.96, 1e-6, 7.0, 1e-12
 
@@ -18,31 +20,34 @@ def prior(rows: DataFrame, label: str = "label") -> DataFrame:
 def known_evidence(items: DataFrame, tokens: DataFrame) -> DataFrame:
     """(item_id, token): the distinct tokens of each item that some row has."""
     wanted = items.select("item_id", F.explode(F.array_distinct("evidence")).alias("token"))
-    return wanted.join(tokens.select("token").join(F.broadcast(wanted.select("token").distinct()), "token", "left_semi").distinct(), "token")  # the items' own tokens
-
+    return wanted.join(tokens.select("token").distinct(), "token")
 
-def found(items: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(item_id, row_id, label) of the rows that hold all known tokens of an item that has any. See matches.
 
-    An item meets the rows of its rarest token only, and its other tokens are looked up in the row.
-    """
-    wanted = known_evidence(items, tokens)
-    rows = tokens.groupBy("row_id", "label").agg(F.collect_set("token").alias("held"))  # the tokens of a row
-    counts = tokens.join(F.broadcast(wanted.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("n"))  # the items' own tokens
-    rare = wanted.join(F.broadcast(counts), "token").groupBy("item_id").agg(F.min(F.struct("n", "token"))["token"].alias("token"), F.collect_set("token").alias("need"))
-    met = rows.select("row_id", "label", "held", F.explode("held").alias("token")).join(rare, "token")
-    return met.filter(F.size(F.array_except("need", "held")) == 0).select("item_id", "row_id", "label")
+def bound_items(items: DataFrame, tokens: DataFrame) -> DataFrame:
+    """item_id and evidence, cut down to the tokens that some row has, of the items that have any."""
+    return known_evidence(items, tokens).groupBy("item_id").agg(F.collect_set("token").alias("evidence"))  # an item's tokens
 
 
 def matches(items: DataFrame, tokens: DataFrame, rows: DataFrame) -> DataFrame:
     """(item_id, row_id, label) of the rows that hold all known tokens of an item.
 
-    items: item_id and evidence (array). Relational division: one join of items' tokens with (row_id, label, token)
-    and a count. Tokens that no row has are left out of the evidence; an item without any then matches every row, so
-    what only counts rows should use conditioned, which takes such items from the labels' counts.
+    items: item_id and evidence (array). An item meets the rows of its rarest token, and its other tokens are looked up
+    in the row. Tokens that no row has are left out of the evidence; an item without any then matches every row. What
+    only counts rows takes supports or conditioned, which never write these pairs.
     """
-    free = items.join(known_evidence(items, tokens).select("item_id").distinct(), "item_id", "left_anti").select("item_id")
-    return found(items, tokens).unionByName(free.join(rows.select("row_id", "label")).select("item_id", "row_id", "label"))
+    wanted = known_evidence(items, tokens)
+    held = tokens.groupBy("row_id", "label").agg(F.collect_set("token").alias("held"))  # the tokens of a row
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    rare = wanted.join(counts, "token").groupBy("item_id").agg(F.min(F.struct("n", "token"))["token"].alias("token"), F.collect_set("token").alias("need"))
+    met = held.select("row_id", "label", "held", F.explode("held").alias("token")).join(rare, "token")
+    found = met.filter(F.size(F.array_except("need", "held")) == 0).select("item_id", "row_id", "label")
+    free = items.join(wanted.select("item_id").distinct(), "item_id", "left_anti").select("item_id")
+    return found.unionByName(free.join(rows.select("row_id", "label")).select("item_id", "row_id", "label"))
+
+
+def supports(items: DataFrame, tokens: DataFrame, rows: DataFrame) -> DataFrame:
+    """item_id and support, the number of rows that matches gives for an item, where there are any."""
+    return conditioned(items, tokens, rows).groupBy("item_id").agg(F.max("support").alias("support")).filter("support > 0")
 
 
 def conditioned(items: DataFrame, tokens: DataFrame, rows: DataFrame) -> DataFrame:
@@ -51,8 +56,9 @@ def conditioned(items: DataFrame, tokens: DataFrame, rows: DataFrame) -> DataFra
     An item without a known token has the labels' own counts.
     """
     axis = rows.groupBy("label").agg(F.count("*").alias("n_d"))
-    counts = found(items, tokens).groupBy("item_id", "label").agg(F.count("*").alias("n"))
-    bound = known_evidence(items, tokens).select("item_id", F.lit(True).alias("bound")).distinct()
+    own = bound_items(items, tokens)
+    counts = P.counts(own, tokens)
+    bound = own.select("item_id", F.lit(True).alias("bound"))
     full = items.select("item_id").join(bound, "item_id", "left").crossJoin(F.broadcast(axis))  # the labels
     full = full.join(counts, ["item_id", "label"], "left").withColumn("n", F.when(F.col("bound"), F.coalesce("n", F.lit(0))).otherwise(F.col("n_d")))
     by = Window.partitionBy("item_id")
@@ -207,9 +213,7 @@ def redundancy(contexts: DataFrame, tokens: DataFrame, rows: DataFrame, least_su
     ``most_jsd`` only tokens that move it by no more. Equal ones (to nine digits) come by token. contexts: item_id, evidence.
     """
     base = conditioned(contexts, tokens, rows).filter(F.col("support") >= least_support).select("item_id", "label", F.col("p").alias("y"))
-    held = found(contexts, tokens).join(tokens.select("row_id", "token").distinct(), "row_id")
-    held = held.join(contexts.select("item_id", "evidence"), "item_id").filter(~F.array_contains("evidence", F.col("token")))
-    counts = held.groupBy("item_id", "token", "label").agg(F.count("*").alias("n"))
+    counts = P.extended(bound_items(contexts, tokens), tokens)
     full = counts.select("item_id", "token").distinct().join(base, "item_id").join(counts, ["item_id", "token", "label"], "left").fillna(0, ["n"])
     support = F.sum("n").over(Window.partitionBy("item_id", "token"))  # a row per label
     x, y = F.col("x"), F.col("y")

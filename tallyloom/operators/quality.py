@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.ranges import placed
+
 
 def null_counts(df: DataFrame) -> DataFrame:
     """column, its nulls and its empties (lists or texts without an entry), in one pass."""
@@ -56,24 +58,6 @@ def balance(df: DataFrame, label: str) -> DataFrame:
     return n.crossJoin(F.broadcast(tot)).select(label, "n", (F.col("n") / F.col("all")).alias("share"), "imbalance", "entropy")  # one row
 
 
-def placed(df: DataFrame, by: list[str], value: str, parts: int = 64) -> DataFrame:
-    """by, value, n, before and all: the distinct values of each group with their counts, the rows with smaller ones and
-    the group's rows. Null values and NaN are left out.
-
-    Values are counted before they are shuffled. Ranges of the value, bounded by its approximate quantiles over all
-    groups, and a sum of the ranges' counts give places without a task that sees a whole group.
-    """
-    rows = df.select(*by, F.col(value).alias("value")).filter(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
-    bounds = rows.agg(F.percentile_approx("value", [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or []
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("value"))) if bounds else F.lit(0)
-    cells = rows.groupBy(*by, "value").agg(F.count("*").alias("n")).withColumn("part", part)
-    before = lambda *order: F.coalesce(F.sum("n").over(Window.partitionBy(*by, *order[:-1]).orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = cells.groupBy(*by, "part").agg(F.sum("n").alias("n"))
-    sums = sums.select(*by, "part", before("part").alias("base"), F.sum("n").over(Window.partitionBy(*by)).alias("all"))  # a row per range and group
-    keyed = cells.withColumn("inner", before("part", "value"))
-    return keyed.join(sums.withColumnRenamed("n", "in_part"), [*by, "part"]).select(*by, "value", "n", (F.col("base") + F.col("inner")).alias("before"), "all")
-
-
 def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
     """by and a column for each of at (name: share): the group's exact quantile, interpolated between two places."""
     cells = placed(df, by, value)
@@ -92,10 +76,17 @@ def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFr
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """by and the rank correlation of two columns, equal values at their average rank. Rows with a null are left out."""
+    """by and the rank correlation of two columns, equal values at their average rank. Rows with a null are left out.
+
+    Rows that agree in both columns are one with a count before they meet their ranks.
+    """
     rows = df.select(*by, x, y).dropna(subset=[x, y])
-    ranked = rows.join(average_ranks(rows, by, x, "__x"), [*by, x]).join(average_ranks(rows, by, y, "__y"), [*by, y])
-    return ranked.groupBy(*by).agg(F.corr("__x", "__y").alias("spearman"))
+    cells = rows.groupBy(*by, x, y).agg(F.count("*").cast("double").alias("__n"))
+    cells = cells.join(average_ranks(rows, by, x, "__x"), [*by, x]).join(average_ranks(rows, by, y, "__y"), [*by, y])
+    n, a, b = F.col("__n"), F.col("__x"), F.col("__y")
+    sums = cells.groupBy(*by).agg(F.sum(n).alias("n"), *[F.sum(n * c).alias(k) for k, c in (("a", a), ("b", b), ("ab", a * b), ("aa", a * a), ("bb", b * b))])
+    part = lambda k, i, j: F.col(k) / F.col("n") - F.col(i) / F.col("n") * F.col(j) / F.col("n")
+    return sums.select(*by, (part("ab", "a", "b") / F.nullif(F.sqrt(part("aa", "a", "a") * part("bb", "b", "b")), F.lit(0.0))).alias("spearman"))
 
 
 def outliers(df: DataFrame, value: str) -> DataFrame:

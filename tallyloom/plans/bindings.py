@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import vectors as V
+from tallyloom.operators.ranges import numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,8 +36,8 @@ def r6(c) -> F.Column:
 
 def posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, label, rn (place in the label by vec_id) and v, the normalised embedding."""
-    rn = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", rn.alias("rn"), V.normalised(F.col("embedding")).alias("v"))
+    rows = numbered(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), ["label"], "vec_id", "rn")
+    return rows.select("vec_id", "label", "rn", V.normalised(F.col("embedding")).alias("v"))
 
 
 #: The same rows in SQL: p has vectors, l one row per entry (i from 0).

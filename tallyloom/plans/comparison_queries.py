@@ -127,15 +127,20 @@ def noise_ceiling(spark, d):
     return M.split_half_shift(responses(spark, d)).select("case_id", *[r6(F.col(c)).alias(c) for c in ("agreement", "r_squared", "slope")])
 
 
-@query("o142_feasibility", f"""WITH {C}, o AS (SELECT row_id, list(token ORDER BY md5(row_id || '|' || token), token) AS ts FROM t GROUP BY 1), e AS (SELECT row_id, k, list_sort(ts[1:k]) AS ev FROM o, (VALUES (1), (2), (3)) z(k) WHERE len(ts) >= k),
-    f AS (SELECT DISTINCT ev FROM e), u AS (SELECT ev, unnest(ev) AS token FROM f), h AS (SELECT ev, row_id FROM u JOIN t USING (token) GROUP BY ev, row_id HAVING count(*) = len(ev)), s AS (SELECT ev, count(*) AS support FROM h GROUP BY 1)
+#: Sizes of the subsets whose support is looked up.
+SUBSETS = [1, 2, 3, 4, 5, 6, 8, 10]
+
+
+@query("o142_feasibility", f"""WITH {C}, o AS (SELECT row_id, list(token ORDER BY md5(row_id || '|' || token), token) AS ts FROM t GROUP BY 1), e AS (SELECT row_id, k, list_sort(ts[1:k]) AS ev FROM o, (VALUES (1), (2), (3), (4), (5), (6), (8), (10)) z(k) WHERE len(ts) >= k),
+    w AS (SELECT list(token ORDER BY token) AS ts FROM t GROUP BY row_id),
+    b AS (SELECT list_filter(ts, lambda x, i: (m >> (i - 1)) & 1 = 1) AS ev FROM (SELECT ts, unnest(range(1, 1 << len(ts))) AS m FROM w)), s AS (SELECT ev, count(*) AS support FROM b GROUP BY 1)
     SELECT k::INT AS k, count(*) AS n, median(support)::DOUBLE AS median_support, quantile_cont(support, 0.1)::DOUBLE AS p10_support, round(avg((support >= 500)::INT), 6) AS share FROM e JOIN s USING (ev) GROUP BY 1""")
 def feasibility(spark, d):
-    """Rows with equal subsets share one look-up: there are at most as many as the vocabulary has subsets of that size."""
+    """Support of a drawn subset of each size of every row; rows with equal subsets share one look-up."""
     rows, tokens = frames(spark, d)
-    drawn = M.drawn_subsets(tokens, [1, 2, 3])
+    drawn = M.drawn_subsets(tokens, SUBSETS)
     key = F.array_join("evidence", "|")
     items = drawn.select(key.alias("item_id"), "evidence").distinct()
-    support = K.matches(items, tokens, rows).groupBy("item_id").agg(F.count("*").alias("support"))
+    support = K.supports(items, tokens, rows)
     s = F.col("support")
     return drawn.select("k", key.alias("item_id")).join(support, "item_id").groupBy("k").agg(F.count("*").alias("n"), F.median(s).alias("median_support"), F.percentile(s, 0.1).alias("p10_support"), r6(F.avg((s >= 500).cast("int"))).alias("share"))

@@ -57,7 +57,7 @@ def conditioned(spark, d):
 @query("o065_matches", f"WITH {COND} SELECT item_id, count(*) AS n_rows FROM m GROUP BY 1")
 def matches(spark, d):
     rows, tokens = frames(spark, d)
-    return K.matches(items(spark), tokens, rows).groupBy("item_id").agg(F.count("*").alias("n_rows"))
+    return K.supports(items(spark), tokens, rows).withColumnRenamed("support", "n_rows")
 
 
 @query("o066_posterior", f"WITH {COND} SELECT item_id, label, n, support, round(p, 6) AS p FROM q")

@@ -311,15 +311,15 @@ def reconstruction_check(spark, d):
     return both.select(F.lit("naive_bayes_reconstruction").alias("check"), level.alias("severity"), *[F.round(c, 5).alias(c) for c in ("jsd_mean", "top1_agreement", "floor", "phi_mean", "phi_share")])
 
 
-@query("o143_oracle_vs_shipped", f"""WITH {SHIPPED}, o AS (SELECT row_id, list(token ORDER BY md5(row_id || '|' || token), token) AS ts FROM t GROUP BY 1), e AS (SELECT row_id, list_sort(ts[1:2]) AS ev FROM o WHERE len(ts) >= 2), f AS (SELECT DISTINCT ev FROM e), u AS (SELECT ev, unnest(ev) AS token FROM f),
-    h AS (SELECT ev, t.row_id, t.label FROM u JOIN t USING (token) GROUP BY ALL HAVING count(*) = 2), k AS (SELECT ev, label, count(*) AS n FROM h GROUP BY 1, 2), s AS (SELECT ev, sum(n)::BIGINT AS support FROM k GROUP BY 1 HAVING sum(n) >= 100),
+@query("o143_oracle_vs_shipped", f"""WITH {SHIPPED}, o AS (SELECT row_id, list(token ORDER BY md5(row_id || '|' || token), token) AS ts FROM t GROUP BY 1), e AS (SELECT row_id, list_sort(ts[1:3]) AS ev FROM o WHERE len(ts) >= 3), f AS (SELECT DISTINCT ev FROM e), u AS (SELECT ev, unnest(ev) AS token FROM f),
+    h AS (SELECT ev, t.row_id, t.label FROM u JOIN t USING (token) GROUP BY ALL HAVING count(*) = 3), k AS (SELECT ev, label, count(*) AS n FROM h GROUP BY 1, 2), s AS (SELECT ev, sum(n)::BIGINT AS support FROM k GROUP BY 1 HAVING sum(n) >= 25),
     j AS (SELECT row_id, max(support) AS support, {JSD.replace("a.x", "x").replace("b.x", "y")} AS jsd FROM (SELECT sv.row_id, support, x, coalesce(n, 0) / support AS y FROM e JOIN s USING (ev) JOIN sv USING (row_id) LEFT JOIN k ON k.ev = e.ev AND k.label = sv.label) GROUP BY 1)
     SELECT count(*) AS n, round(avg(jsd), 5) AS jsd_mean, round(median(jsd), 5) AS jsd_median, median(support)::DOUBLE AS median_support FROM j""")
 def oracle_vs_shipped(spark, d):
-    """Rows with equal subsets share one look-up."""
+    """Rows with equal subsets share one look-up. At least 25 rows, since the given tables are small."""
     rows, tokens = frames(spark, d)
-    drawn = M.drawn_subsets(tokens, [2]).select("row_id", F.array_join("evidence", "|").alias("item_id"), "evidence")
-    q = K.conditioned(drawn.select("item_id", "evidence").distinct(), tokens, rows).filter("support >= 100")
+    drawn = M.drawn_subsets(tokens, [3]).select("row_id", F.array_join("evidence", "|").alias("item_id"), "evidence")
+    q = K.conditioned(drawn.select("item_id", "evidence").distinct(), tokens, rows).filter("support >= 25")
     q = q.groupBy("item_id", "support").agg(F.array_sort(F.collect_list(F.struct("label", "p"))).alias("z"))  # the labels
     both = drawn.join(q.select("item_id", "support", F.col("z.p").alias("made")), "item_id").join(shipped(spark, d), "row_id")
     j = both.select("support", V.jsd(F.col("made"), F.col("shipped")).alias("jsd"))
