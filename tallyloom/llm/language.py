@@ -28,7 +28,7 @@ from tallyloom.llm.common import bucketed, narrowed, tidied, written
 
 #: Tokens of a chunk, and n-grams that a task which adds counts holds at once, about. Both bound memory. A chunk sends a
 #: row for each range: on corpora where that leaves few n-grams a row, raise both with the memory of the executors.
-CHUNK, RANGE = 1 << 20, 1 << 20
+CHUNK, RANGE = 1 << 21, 1 << 20
 
 #: What marks the start of a text (never a token, only a context) and its end: no word contains them.
 START, END = b"\t", b"\n"
@@ -38,6 +38,9 @@ HELD_OUT, DELETED, FIT = 0, 1, 2
 
 PLACES = 64
 
+#: A word's 96-bit hash: a key, which names its range, and more bits.
+WORD = np.dtype([("key", ">u8"), ("more", ">u4")])
+
 
 def packed(values: np.ndarray) -> bytes:
     """Whole numbers from 0 as planes of bytes, as many as the largest needs."""
@@ -85,7 +88,7 @@ class Chunk:
     def row(self, chunk: int) -> pa.RecordBatch:
         import xxhash
 
-        words = b"".join(map(xxhash.xxh3_128_digest, self.words))
+        words = b"".join(xxhash.xxh3_128_digest(w)[: WORD.itemsize] for w in self.words)
         cells = [chunk, self.n, self.docs, bytes(self.parts), np.array(self.lengths, "<u4").tobytes(), packed(np.concatenate(self.tokens)), words]
         return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, CHUNKS, strict=True)], schema=CHUNKS)
 
@@ -115,11 +118,11 @@ class Grams:
 
     def __init__(self, row: dict, order: int, ranges: int) -> None:
         self.docs, parts, lengths = row["docs"], np.frombuffer(row["parts"], np.uint8), np.frombuffer(row["lengths"], "<u4").astype(np.int64)
-        tokens, words = unpacked(row["tokens"], int(lengths.sum())).astype(np.int64), np.frombuffer(row["words"], ">u8").astype(np.uint64).reshape(-1, 2)
+        tokens, words = unpacked(row["tokens"], int(lengths.sum())).astype(np.int64), np.frombuffer(row["words"], WORD)
         self.starts = np.cumsum(lengths) - lengths
         self.lengths, self.doc_parts, self.parts = lengths, parts, np.repeat(parts, lengths)
-        self.high, self.ranges = words[:, 0], ranges
-        low = words[:, 1]
+        self.more, self.ranges = words["more"].astype(np.uint32), ranges
+        low = words["key"].astype(np.uint64)
         #: Of each order: places of its grams' counts by token, keys, and where each range begins in the order of questions.
         self.place, self.keys, self.perm, self.cuts = [], [], [], []
         hashes, start, index, at_start = low, low[:1], tokens, 0
@@ -133,7 +136,7 @@ class Grams:
                 hashes = mixed(mixed(contexts[grams // len(words)]) + low[grams % len(words)])
                 start, at_start = mixed(mixed(start) + low[:1]), len(grams)
             keys = hashes[1:] if k == 1 else hashes  # of words, all but the start
-            perm = np.lexsort((self.high[1:], keys)) if k == 1 else np.argsort(keys)
+            perm = np.lexsort((self.more[1:], keys)) if k == 1 else np.argsort(keys)
             self.place.append(index - 1 if k == 1 else index)
             self.keys.append(keys)
             self.perm.append(perm)
@@ -145,15 +148,15 @@ class Grams:
         return (keys >> np.uint64(32)) * np.uint64(self.ranges) >> np.uint64(32)
 
     def questions(self) -> Iterator[tuple]:
-        """(range, order, n, keys, high halves of words' keys, counts of the fitted, of the deleted) for each range."""
+        """(range, order, n, keys, more bits of words, counts of the fitted, of the deleted) for each range."""
         for k, (place, keys, perm, cuts) in enumerate(zip(self.place, self.keys, self.perm, self.cuts, strict=True), 1):
             fit, deleted = (np.bincount(place[self.parts == p], minlength=len(keys))[perm].astype(np.uint64) for p in (FIT, DELETED))
-            keys, high = keys[perm], self.high[1:][perm] if k == 1 else None
+            keys, more = keys[perm], self.more[1:][perm] if k == 1 else None
             for r in range(self.ranges):
                 s = slice(cuts[r], cuts[r + 1])
                 if cuts[r] < cuts[r + 1]:
                     steps = np.diff(keys[s], prepend=np.uint64(lowest(r, self.ranges)))
-                    yield r, k, int(cuts[r + 1] - cuts[r]), packed(steps), high[s].tobytes() if k == 1 else b"", packed(fit[s]), packed(deleted[s])
+                    yield r, k, int(cuts[r + 1] - cuts[r]), packed(steps), more[s].tobytes() if k == 1 else b"", packed(fit[s]), packed(deleted[s])
 
     def answered(self, answers: list[dict]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Counts of each token's gram of each order in the fitted texts and in all training texts."""
@@ -179,13 +182,13 @@ def lowest(r: int, ranges: int) -> int:
     return -((-r << 32) // ranges) << 32
 
 
-QUESTIONS = "range int, order int, chunk long, n int, keys binary, high binary, fit binary, deleted binary"
+QUESTIONS = "range int, order int, chunk long, n int, keys binary, more binary, fit binary, deleted binary"
 ANSWERS = "chunk long, range int, order int, deleted binary, every binary, fit_words long, every_words long"
 
 
 def asking(order: int, ranges: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("range", pa.int32()), ("order", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), *[(c, pa.binary()) for c in ("keys", "high", "fit", "deleted")]])
+        schema = pa.schema([("range", pa.int32()), ("order", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), *[(c, pa.binary()) for c in ("keys", "more", "fit", "deleted")]])
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
@@ -202,9 +205,9 @@ def adding(ranges: int):
         ns = [r["n"] for r in rows]
         keys = np.concatenate([np.cumsum(unpacked(r["keys"], r["n"])) + np.uint64(lowest(r["range"], ranges)) for r in rows])
         if rows[0]["order"] == 1:
-            high = np.concatenate([np.frombuffer(r["high"], np.uint64) for r in rows])
-            by = np.lexsort((high, keys))
-            new = np.concatenate([[True], (np.diff(keys[by]) != 0) | (high[by][1:] != high[by][:-1])])
+            more = np.concatenate([np.frombuffer(r["more"], np.uint32) for r in rows])
+            by = np.lexsort((more, keys))
+            new = np.concatenate([[True], (np.diff(keys[by]) != 0) | (more[by][1:] != more[by][:-1])])
         else:
             by = np.argsort(keys, kind="stable")
             new = np.concatenate([[True], np.diff(keys[by]) != 0])
@@ -234,23 +237,22 @@ def ratios(counts: list[np.ndarray], contexts: list[np.ndarray]) -> list[np.ndar
 
 def situations(order: int, ranges: int, tokens: int, docs: int):
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Deleted tokens as (buckets, estimates, number), once for each situation of a chunk."""
+        """Deleted tokens as (buckets, counts, counts of contexts, number), once for each situation of a chunk."""
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 grams = Grams(row, order, ranges)
                 fit, _ = grams.answered(row["answers"])
                 contexts, own = grams.of_contexts(fit, tokens, docs), grams.parts == DELETED
-                cells = np.stack([*[digits(c)[own] for c in contexts], *[p[own] for p in ratios(fit, contexts)]], axis=1)
+                cells = np.stack([x[own] for x in (*map(digits, contexts), *fit, *contexts)], axis=1)
                 cells, n = np.unique(cells, axis=0, return_counts=True)
-                names = [f"b{k}" for k in range(1, order + 1)] + [f"p{k}" for k in range(1, order + 1)]
-                yield pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int32) if j < order else c) for j, c in enumerate(cells.T)], pa.array(n)], names=[*names, "n"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cells.T), pa.array(n)], names=[*[f"{c}{k}" for c in "bnc" for k in range(1, order + 1)], "n"])
 
     return gather
 
 
 def learned(held: DataFrame, order: int, words: int, rounds: int = 30, least: float = 1e-4) -> list[list[float]]:
-    """lambda of each order and bucket by expectation-maximisation over situations (b1, ..., p1, ..., n).
+    """lambda of each order and bucket by expectation-maximisation over situations (b1, ..., n1, ..., c1, ..., n).
 
     In each round a situation's mass is dealt to the links of its chain; sums per combination of buckets, which are few,
     come to the driver. A bucket without a deleted token takes the lambda of all buckets of its order together; the
@@ -260,8 +262,9 @@ def learned(held: DataFrame, order: int, words: int, rounds: int = 30, least: fl
     for _ in range(rounds):
         rest, links = F.lit(1.0), []
         for k in range(order, 0, -1):
-            weight = F.get(F.array(*[F.lit(x) for x in known[k - 1]]), F.col(f"b{k}"))
-            links.append((rest * weight * F.col(f"p{k}")).alias(f"r{k}"))
+            weight = F.get(F.array(*[F.lit(x) for x in known[k - 1]]), F.col(f"b{k}").cast("int"))
+            estimate = F.when(F.col(f"c{k}") > 0, F.col(f"n{k}") / F.col(f"c{k}")).otherwise(0.0)
+            links.append((rest * weight * estimate).alias(f"r{k}"))
             rest = rest * (1 - weight)
         links.append((rest / (words + 1)).alias("r0"))
         shares = held.select(*[f"b{k}" for k in range(1, order + 1)], "n", *links)
@@ -313,7 +316,7 @@ def scored(docs: DataFrame, order: int = 2, doc_id: str = "doc_id", text: str =
     have the end alone. A null id counts as the empty text for the choice of held-out rows. Repeated rows count and are
     scored each time; other columns are not read. Texts are read whole: one of more than ``chunk`` tokens is a chunk of its
     own. An empty table gives no rows; without training texts all probabilities are uniform, and a lambda that no deleted
-    token speaks for is 0.5. Words are told apart by 128-bit hashes, longer n-grams by 64-bit hashes of these.
+    token speaks for is 0.5. Words are told apart by 96-bit hashes, longer n-grams by 64-bit hashes of these.
     """
     spark = docs.sparkSession
     with tidied(spark) as kept:
@@ -333,7 +336,7 @@ def scored(docs: DataFrame, order: int = 2, doc_id: str = "doc_id", text: str =
         n_docs, n_tokens = ({r["part"]: r[c] for r in totals} for c in ("docs", "tokens"))
         words = answers.agg(F.coalesce(F.sum("fit_words"), F.lit(0)).alias("fit"), F.coalesce(F.sum("every_words"), F.lit(0)).alias("every")).first()
         fit = (n_tokens.get(FIT, 0), n_docs.get(FIT, 0))
-        held_sql = ", ".join([f"b{k} int" for k in range(1, order + 1)] + [f"p{k} double" for k in range(1, order + 1)] + ["n long"])
+        held_sql = ", ".join([f"{c}{k} long" for c in "bnc" for k in range(1, order + 1)] + ["n long"])
         held = written(told.mapInArrow(situations(order, ranges, *fit), held_sql), "situations")
         known = learned(held, order, words["fit"])
         every = (fit[0] + n_tokens.get(DELETED, 0), fit[1] + n_docs.get(DELETED, 0))
