@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators import conditioning as K, sampling as S
+from tallyloom.operators.ranges import upto
 
 
 def uniform(*parts: Column) -> Column:
@@ -13,31 +14,56 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.sha1(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def shares(tokens: DataFrame) -> DataFrame:
-    """token, low and high: each token's stretch of [0, 1) by its number of occurrences, in the order of tokens. A
-    vocabulary's size."""
-    n = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("token"))
-    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("all")))).select("token", ((upto - F.col("n")) / F.col("all")).alias("low"), (upto / F.col("all")).alias("high"))  # one row
+#: Groups of tokens whose counts one window sums, and stretches of the pool that draws and tokens meet in.
+GROUPS, STRETCHES = 3, 1 << 16
+
+
+def pool(tokens: DataFrame) -> DataFrame:
+    """token, low, high and all: each token's places in the pool of all occurrences, low to high - 1 of all of them.
+
+    Tokens come by the first hexadecimal digits of their hashes and then by themselves, so that a window holds a group
+    of them, and another one the 16 ** GROUPS groups.
+    """
+    n = tokens.groupBy("token").agg(F.count("*").alias("n")).withColumn("group", F.substring(F.sha1(F.col("token").cast("binary")), 1, GROUPS))
+    groups = n.groupBy("group").agg(F.sum("n").alias("n")).select("group", upto("n", [], "group").alias("base"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    low = F.col("base") + F.col("inner")
+    return n.withColumn("inner", upto("n", ["group"], "token")).join(groups, "group").select("token", low.alias("low"), (low + F.col("n")).alias("high"), "all")
+
+
+def drawn_places(cases: DataFrame, total: DataFrame, key: str, draws: int) -> DataFrame:
+    """key, perm_index and places: for each replicate as many places of the pool as the case has tokens, none twice.
+
+    Places are hashes of case, replicate and attempt; repeats are rejected. What 2 n + 16 attempts leave open, which
+    happens only where the pool is hardly larger than n, is filled with the smallest free places. total: one row, all.
+    """
+    size = F.size("tokens")
+    place = lambda i: F.conv(F.substring(F.sha1(F.concat_ws("|", F.lit("x"), F.col(key).cast("string"), F.col("perm_index").cast("string"), i.cast("string"))), 1, 13), 16, 10).cast("long") % F.col("all")
+    tried = F.concat(F.transform(F.sequence(F.lit(0), 2 * size + 15), place), F.sequence(F.lit(0).cast("long"), (size - 1).cast("long")))
+    rows = cases.filter(size > 0).select(key, "tokens").crossJoin(F.broadcast(total)).withColumn("perm_index", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))  # one row
+    return rows.select(key, "perm_index", F.slice(F.array_distinct(tried), F.lit(1), size).alias("places"))
 
 
 def pooled(cases: DataFrame, tokens: DataFrame, key: str, draws: int) -> DataFrame:
-    """key, perm_index and evidence_order: as many tokens as the case has, each drawn from all tokens of all cases.
+    """key, perm_index and evidence_order: as many tokens as the case has, drawn without replacement from all occurrences
+    of all cases; a token may come as often as it occurs.
 
-    A draw is a hash of case, replicate and slot, looked up in the tokens' shares; tokens may come twice.
+    Places meet the tokens that hold them by stretches of the pool, a range join on equal numbers.
     """
-    table = shares(tokens).agg(F.array_sort(F.collect_list(F.struct("high", "token"))).alias("table"))  # the vocabulary
-    slots = F.sequence(F.lit(0), F.size("tokens") - 1)
-    pick = lambda j, i: F.get(F.filter("table", lambda t: t["high"] > uniform(F.lit("x"), F.col(key), j, i)), F.lit(0))["token"]
-    rows = cases.filter(F.size("tokens") > 0).crossJoin(F.broadcast(table)).withColumn("perm_index", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    return rows.select(key, "perm_index", F.transform(slots, lambda i: pick(F.col("perm_index"), i)).alias("evidence_order"))
+    table = pool(tokens)
+    width = F.greatest(F.lit(1).cast("long"), F.expr(f"all div {STRETCHES}"))
+    held = table.withColumn("width", width).select("token", "low", "high", F.explode(F.sequence(F.expr("low div width"), F.expr("(high - 1) div width"))).alias("stretch"))
+    total = tokens.agg(F.count("*").alias("all"))
+    places = drawn_places(cases, total, key, draws).select(key, "perm_index", F.posexplode("places").alias("slot", "place")).crossJoin(F.broadcast(total.select(width.alias("width"))))  # one row
+    found = places.withColumn("stretch", F.expr("place div width")).join(held, "stretch").filter((F.col("place") >= F.col("low")) & (F.col("place") < F.col("high")))
+    order = F.array_sort(F.collect_list(F.struct("slot", "token")))  # the tokens of an item
+    return found.groupBy(key, "perm_index").agg(F.transform(order, lambda z: z["token"]).alias("evidence_order"))
 
 
 def arms(cases: DataFrame, tokens: DataFrame, key: str, permutations: int = 10, retests: int = 6, canonical: int = 2, shuffled: int = 2) -> DataFrame:
     """key, arm, perm_index, replicate and evidence_order of every item.
 
     Permutations are distinct and never the canonical order; a case without any keeps its canonical order as one. Retests
-    repeat the first permutation, canonical items the given order; shuffled ones draw from all cases' tokens.
+    repeat the first permutation, canonical items the given order; shuffled ones draw from all cases' tokens without replacement.
     """
     made = S.permutations(cases, key, "tokens", permutations).select(key, "perm_index", "evidence_order")
     alone = cases.join(made.select(key).distinct(), key, "left_anti").select(key, F.lit(0).alias("perm_index"), F.col("tokens").alias("evidence_order"))

@@ -359,8 +359,9 @@ def invariance(spark, d):
 
 ARMS_SQL = f"""{C}, h AS (SELECT row_id, j, token, sha1('p|' || row_id || '|' || j || '|' || token) AS h FROM t, range(3) r(j)), o AS (SELECT row_id, j, string_agg(token, ',' ORDER BY h) AS o FROM h GROUP BY 1, 2), k AS (SELECT row_id, string_agg(token, ',' ORDER BY token) AS k, count(*) AS n FROM t GROUP BY 1),
   f AS (SELECT row_id, o, min(j) AS j FROM o JOIN k USING (row_id) WHERE o <> k GROUP BY 1, 2), g AS (SELECT row_id, (row_number() OVER (PARTITION BY row_id ORDER BY j) - 1)::INT AS perm_index, o FROM f UNION ALL SELECT row_id, 0, k FROM k WHERE row_id NOT IN (SELECT row_id FROM f)),
-  vo AS (SELECT token, (sum(n) OVER (ORDER BY token) - n) / sum(n) OVER () AS low, sum(n) OVER (ORDER BY token) / sum(n) OVER () AS high FROM (SELECT token, count(*) AS n FROM t GROUP BY 1)),
-  sl AS (SELECT row_id, i, ('0x' || substr(sha1('x|' || row_id || '|0|' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT row_id, unnest(range(n)) AS i FROM k)),
+  vo AS (SELECT token, sum(n) OVER w - n AS low, sum(n) OVER w AS high FROM (SELECT token, count(*) AS n FROM t GROUP BY 1) WINDOW w AS (ORDER BY substr(sha1(token), 1, 3), token)),
+  tr AS (SELECT row_id, n, i, CASE WHEN i < 2 * n + 16 THEN ('0x' || substr(sha1('x|' || row_id || '|0|' || i), 1, 13))::BIGINT % (SELECT count(*) FROM t) ELSE i - 2 * n - 16 END AS u FROM (SELECT row_id, n, unnest(range(3 * n + 16)) AS i FROM k)),
+  sl AS (SELECT row_id, n, u, row_number() OVER (PARTITION BY row_id ORDER BY min(i)) AS i FROM tr GROUP BY row_id, n, u QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY min(i)) <= n),
   arms(row_id, arm, perm_index, replicate, evidence_order) AS (SELECT row_id, 'permutation', perm_index, 0, o FROM g UNION ALL SELECT row_id, 'retest', 0, r::INT, o FROM g, range(2) z(r) WHERE perm_index = 0 UNION ALL SELECT row_id, 'canonical', 0, r::INT, k FROM k, range(2) z(r)
     UNION ALL SELECT row_id, 'shuffled', 0, 0, string_agg(token, ',' ORDER BY i) FROM sl JOIN vo ON u >= low AND u < high GROUP BY 1)"""
 
@@ -375,6 +376,15 @@ def battery_arms(spark, d):
     return all_arms(spark, d).withColumn("evidence_order", F.array_join("evidence_order", ","))
 
 
+@query("o151_narrated", f"""WITH {ARMS_SQL}, nt(row_id, arm, perm_index, replicate, evidence_order) AS (
+      SELECT row_id, 'permutation', 0, 0, k FROM k UNION ALL SELECT row_id, 'permutation', perm_index + 1, 0, o FROM g JOIN k USING (row_id) WHERE o <> k
+      UNION ALL SELECT row_id, 'retest', 0, r::INT, k FROM k, range(2) z(r) UNION ALL SELECT * FROM arms WHERE arm = 'shuffled') SELECT * FROM nt""")
+def narrated_arms(spark, d):
+    rows, tokens = frames(spark, d)
+    out = B.narrated(rows.select("row_id", "tokens"), tokens, "row_id", permutations=4, retests=2, shuffled=1)
+    return out.withColumn("evidence_order", F.array_join("evidence_order", ","))
+
+
 @query("o150_meta", f"WITH {ARMS_SQL} SELECT arm AS kind, count(*) AS n FROM arms GROUP BY 1 UNION ALL SELECT 'cases', count(*) FROM c")
 def battery_meta(spark, d):
     rows, _ = frames(spark, d)

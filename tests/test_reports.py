@@ -2,6 +2,7 @@
 
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -64,11 +65,33 @@ def test_arms(spark, corpus):
         first = next(r.evidence_order for r in own["permutation"] if r.perm_index == 0)
         assert [r.evidence_order for r in own["retest"]] == [first] * 3 and [r.evidence_order for r in own["canonical"]] == [ts] * 2
         assert len(own["shuffled"]) == 2 and all(len(r.evidence_order) == len(ts) for r in own["shuffled"])
+        have = Counter(t for _, _, xs in rows for t in xs)
+        assert all(n <= have[t] for r in own["shuffled"] for t, n in Counter(r.evidence_order).items())
     notes = B.narrated(df.select("row_id", "tokens"), tokens, "row_id", 3, 2, 1).filter("row_id = 63").collect()
     assert sorted(r.arm for r in notes) == ["permutation"] * 3 + ["retest"] * 2 + ["shuffled"]
     assert all(r.evidence_order == list("abcdef") for r in notes if r.arm == "retest" or (r.arm == "permutation" and r.perm_index == 0))
 
 
+def test_shuffled_arms_draw_without_replacement(spark, corpus):
+    rows, df, tokens = corpus
+    total = tokens.agg(F.count("*").alias("all"))
+    n, sizes = total.first()["all"], {i: len(ts) for i, _, ts in rows}
+    drawn = B.drawn_places(df.select("row_id", "tokens"), total, "row_id", 40).collect()
+    assert len(drawn) == 40 * sum(k > 0 for k in sizes.values())
+    for r in drawn:
+        assert len(set(r.places)) == len(r.places) == sizes[r.row_id] and all(0 <= p < n for p in r.places)
+    met = Counter(p for r in drawn for p in r.places)  # every place of the pool comes about as often
+    assert len(met) > 0.9 * n and max(met.values()) < 8 * sum(met.values()) / n
+    table = sorted((r.low, r.high, r.token) for r in B.pool(tokens).collect())
+    have = Counter(t for _, _, xs in rows for t in xs)
+    assert table[0][0] == 0 and table[-1][1] == n and all(a[1] == b[0] for a, b in itertools.pairwise(table)) and all(h - l == have[t] for l, h, t in table)
+    # a pool of one case's own tokens is drawn whole
+    alone = spark.createDataFrame([(1, list("aabbc"))], "row_id int, tokens array<string>")
+    one = tokens.limit(0).unionByName(alone.select("row_id", F.lit("x").alias("label"), F.explode("tokens").alias("token")), allowMissingColumns=True)
+    got = [r.evidence_order for r in B.pooled(alone, one, "row_id", 30).collect()]
+    assert len(got) == 30 and all(sorted(g) == list("aabbc") for g in got) and len(set(map(tuple, got))) > 5
+
+
 def posterior(rows, ev):
     hit = [y for _, y, ts in rows if set(ev) <= set(ts)]
     return len(hit), [hit.count(k) / len(hit) if hit else 0.5 for k in "xy"]
