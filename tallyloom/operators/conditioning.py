@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,11 +90,12 @@ def log_odds(p: Column, floor: float = 1e-4) -> Column:
 def likelihoods(tokens: DataFrame, rows: DataFrame, smooth: float = 0.5) -> DataFrame:
     """label, token, n_de, n_d, p and log_prior for every label and token; occurrences count, also repeated ones."""
     labels = rows.groupBy("label").agg(F.count("*").alias("n_d"))
-    labels = labels.crossJoin(F.broadcast(labels.agg(F.sum("n_d").alias("n"))))  # one row
+    labels = labels.agg(F.collect_list(F.struct("label", "n_d")).alias("labels"), F.sum("n_d").alias("all"))  # one row: the labels
     seen = tokens.groupBy("label", "token").agg(F.count("*").alias("n_de"))
-    grid = labels.crossJoin(tokens.select("token").distinct())  # labels times vocabulary: smoothing makes every cell count
-    out = grid.join(seen, ["label", "token"], "left").fillna(0, ["n_de"])
-    return out.select("label", "token", "n_de", "n_d", ((F.col("n_de") + smooth) / (F.col("n_d") + 2 * smooth)).alias("p"), F.ln(F.col("n_d") / F.col("n")).alias("log_prior"))
+    own = seen.groupBy("token").agg(F.map_from_entries(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "n_de")))).alias("own"))  # a token's labels
+    grid = own.crossJoin(F.broadcast(labels)).select("token", "own", "all", F.explode("labels").alias("d"))  # smoothing makes every cell count
+    out = grid.select(F.col("d.label").alias("label"), "token", F.coalesce(F.try_element_at("own", "d.label"), F.lit(0).cast("long")).alias("n_de"), F.col("d.n_d").alias("n_d"), "all")
+    return out.select("label", "token", "n_de", "n_d", ((F.col("n_de") + smooth) / (F.col("n_d") + 2 * smooth)).alias("p"), F.ln(F.col("n_d") / F.col("all")).alias("log_prior"))
 
 
 def mixture_ratio(table: DataFrame) -> DataFrame:
@@ -129,7 +134,7 @@ def naive_bayes(cases: DataFrame, table: DataFrame, absences: bool = False) -> D
 
 def evidence_sums(cases: DataFrame, weights: DataFrame) -> DataFrame:
     """row_id, label, s: sums of bounded log ratios; a token that stands twice adds twice, cases without a known one go."""
-    w = weights.select("label", "token", F.least(F.greatest("log_ratio", F.lit(-RATIO_BOUND)), F.lit(RATIO_BOUND)).alias("w"))
+    w = weights.select("label", "token", bounded().alias("w"))
     return cases.join(w, "token").groupBy("row_id", "label").agg(F.sum("w").alias("s"))
 
 
@@ -144,63 +149,108 @@ FIT_GRID = [round(0.02 * k, 2) for k in range(1, 26)] + [round(0.55 + 0.05 * k,
 FRONTIER_GRID = [0.0, 0.02, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8, 1.0, 1.5, 2.0, 3.0]
 
 
-def label_axis(rows: DataFrame) -> list[str]:
-    """The labels in order: the axis of the arrays below. A few names."""
-    return [r["label"] for r in rows.select("label").distinct().orderBy("label").collect()]
+def bounded(ratio: str = "log_ratio") -> Column:
+    return F.least(F.greatest(ratio, F.lit(-RATIO_BOUND)), F.lit(RATIO_BOUND))
 
 
-def wide_sums(cases: DataFrame, weights: DataFrame, axis: list[str]) -> DataFrame:
-    """row_id and s, the sums of evidence_sums as an array over the axis: one shuffle, combined before it."""
-    w = F.least(F.greatest("log_ratio", F.lit(-RATIO_BOUND)), F.lit(RATIO_BOUND))
-    by_token = weights.groupBy("token").agg(*[F.max(F.when(F.col("label") == k, w)).alias(f"w{i}") for i, k in enumerate(axis)])
-    sums = cases.join(by_token, "token").groupBy("row_id").agg(*[F.sum(f"w{i}").alias(f"w{i}") for i in range(len(axis))])
-    return sums.select("row_id", F.array(*[f"w{i}" for i in range(len(axis))]).alias("s"))
+def in_order(value: Column) -> Column:
+    """Aggregate: a value of each label as an array, in the order of labels."""
+    return F.transform(F.array_sort(F.collect_list(F.struct("label", value.alias("v")))), lambda z: z["v"])
 
 
-def scale_losses(sums: DataFrame, priors: DataFrame, truth: DataFrame, axis: list[str], grid: list[float], top: int = 5) -> DataFrame:
-    """row_id, tau, nll, top1, top5 (of ``top``) and entropy (bits) of every case and scale. sums: of wide_sums; truth: row_id, truth.
+def base_scores(priors: DataFrame) -> DataFrame:
+    """One row: axis, the labels in order, and base, the logs of their priors."""
+    return priors.agg(F.array_sort(F.collect_list("label")).alias("axis"), in_order(F.ln(F.greatest("p", F.lit(1e-9)))).alias("base"))
 
-    A case is one row; the scales are laid out in it, and nothing is shuffled after the truth has been joined.
-    """
-    logs = {r["label"]: r["lp"] for r in priors.select("label", F.ln(F.greatest("p", F.lit(1e-9))).alias("lp")).collect()}  # a row per label
-    base = F.array(*[F.lit(float(logs.get(k, -20.7))) for k in axis])
-    at = F.array_position(F.array(*[F.lit(k) for k in axis]), F.col("truth")).cast("int") - 1
-    rows = sums.join(truth, "row_id").select("row_id", "s", at.alias("at")).filter("at >= 0")
-    rows = rows.withColumn("tau", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-    rows = rows.withColumn("z", F.zip_with(base, "s", lambda a, b: a + F.col("tau") * b))
-    rows = rows.withColumn("m", F.array_max("z")).withColumn("e", F.transform("z", lambda x: F.exp(x - F.col("m"))))
-    rows = rows.withColumn("t", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
-    rows = rows.withColumn("p", F.transform("e", lambda x: x / F.col("t"))).withColumn("own", F.get("p", F.col("at")))
-    above = F.size(F.filter("p", lambda x, i: (x > F.col("own")) | ((x == F.col("own")) & (i < F.col("at")))))
-    h = F.aggregate(F.transform("p", lambda x: F.when(x > 0, -x * F.log2(x)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-    return rows.select("row_id", "tau", (-F.ln(F.greatest("own", F.lit(LOSS_FLOOR)))).alias("nll"), (above == 0).cast("int").alias("top1"), (above < top).cast("int").alias("top5"), h.alias("entropy"))
 
+def wide_sums(cases: DataFrame, weights: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """row_id, the columns of keep (the same on all rows of a case) and s: the sums of evidence_sums as an array over the
+    labels in order. weights has a row for every label and token. One shuffle of the cases' tokens."""
+    keep = keep or []
+    by_token = weights.groupBy("token").agg(in_order(bounded()).alias("w"))  # the labels
+    own = cases.select("row_id", "token", *keep).join(by_token, "token").groupBy("row_id", *keep).agg(F.collect_list("w").alias("ws"))  # the tokens of a case
+    zero = F.transform(F.get("ws", F.lit(0)), lambda x: F.lit(0.0))
+    return own.select("row_id", *keep, F.aggregate("ws", zero, lambda s, w: F.zip_with(s, w, lambda a, b: a + b)).alias("s"))
 
-def scale_trace(losses: DataFrame, by: list[str]) -> DataFrame:
-    """by, tau and the means of a scale's losses: nll, error, top1, top5, entropy, and the number of cases."""
-    return losses.groupBy(*by, "tau").agg(F.count("*").alias("n"), F.avg("nll").alias("nll"), (1 - F.avg("top1")).alias("error"), F.avg("top1").alias("top1"), F.avg("top5").alias("top5"), F.avg("entropy").alias("entropy"))
 
+#: Numbers that a task works on at once.
+AT_ONCE = 1 << 21
 
-def fitted_scale(trace: DataFrame, by: list[str], objective: str = "nll") -> DataFrame:
-    """by and tau, the scale of the least loss; of equal ones (to nine digits) the smallest."""
-    return trace.groupBy(*by).agg(F.min_by("tau", F.struct(F.round(objective, 9), "tau")).alias("tau"))
 
+def case_losses(s: np.ndarray, base: np.ndarray, at: np.ndarray, grid: np.ndarray, top: int) -> np.ndarray:
+    """nll, hits at the top and among ``top``, and entropy (bits) of cases (rows of s) at each scale: an array of scales x 4 x cases.
+
+    Of equal scores the earlier label is the higher one.
+    """
+    z = base + grid[:, None, None] * s[None]
+    e = np.exp(z - z.max(-1, keepdims=True))
+    p = e / e.sum(-1, keepdims=True)
+    own = np.take_along_axis(p, np.broadcast_to(at[None, :, None], (len(grid), len(at), 1)), -1)
+    above = ((p > own) | ((p == own) & (np.arange(p.shape[-1]) < at[:, None]))).sum(-1)
+    entropy = -(p * np.log2(np.where(p > 0, p, 1.0))).sum(-1)
+    return np.stack([-np.log(np.maximum(own[..., 0], LOSS_FLOOR)), above == 0, above < top, entropy], axis=1)
 
-def invariance(cases: DataFrame, weights: DataFrame, priors: DataFrame, axis: list[str], orders: int) -> DataFrame:
+
+def scale_trace(sums: DataFrame, priors: DataFrame, truth: str, grid: list[float], by: list[str] | None = None, top: int = 5) -> DataFrame:
+    """by, tau, n and the means over cases of nll, error, top1, a column named after ``top``, and entropy, at each scale.
+
+    sums: of wide_sums, with the columns truth and by; top: two or more. Cases whose truth is no label are left out. One pass: a case stays
+    one row, its scales are laid out in the task, and a row per group and scale leaves it.
+    """
+    by, types = by or [], dict(sums.dtypes)
+    sums = sums.crossJoin(F.broadcast(base_scores(priors)))  # one row
+    rows = sums.withColumn("at", F.array_position("axis", F.col(truth)).cast("int") - 1).filter("at >= 0").select(*by, "s", "base", "at")
+    kinds = [sums.schema[c].dataType for c in by]
+    names = ["nll", "top1", f"top{top}", "entropy"]
+
+    def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        totals: dict[tuple, np.ndarray] = {}
+        scales = np.array(grid)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s = batch.column("s").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            base, at = np.array(batch.column("base")[0].as_py()), batch.column("at").to_numpy(zero_copy_only=False)
+            groups: dict[tuple, list[int]] = {}
+            for i, group in enumerate(zip(*[batch.column(c).to_pylist() for c in by], strict=True) if by else [()] * len(at)):
+                groups.setdefault(group, []).append(i)
+            most = max(1, AT_ONCE // (len(grid) * s.shape[1]))
+            for group, own in groups.items():
+                total = totals.setdefault(group, np.zeros((len(grid), 5)))
+                for k in range(0, len(own), most):
+                    part = own[k : k + most]
+                    total[:, 0] += len(part)
+                    total[:, 1:] += case_losses(s[part], base, at[part], scales, top).sum(-1)
+        for group, total in totals.items():
+            own = [pa.array([v] * len(grid), to_arrow_type(t)) for v, t in zip(group, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(scales), *map(pa.array, total.T)], names=[*by, "tau", "n", *names])
+
+    schema = ", ".join([f"`{c}` {types[c]}" for c in by] + [f"{c} double" for c in ("tau", "n", *names)])
+    total = rows.mapInArrow(traced, schema).groupBy(*by, "tau").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
+    mean = {c: F.col(c) / F.col("n") for c in names}
+    return total.select(*by, "tau", F.col("n").cast("long").alias("n"), mean["nll"].alias("nll"), (1 - mean["top1"]).alias("error"), *[mean[c].alias(c) for c in names[1:]])
+
+
+def with_fitted(trace: DataFrame, by: list[str], name: str, objective: str = "nll") -> DataFrame:
+    """trace with the scale of the least loss of its group; of equal ones (to nine digits) the smallest. A window holds
+    the scales of a group."""
+    return trace.withColumn(name, F.min_by("tau", F.struct(F.round(objective, 9), "tau")).over(Window.partitionBy(*by)))
+
+
+def invariance(cases: DataFrame, weights: DataFrame, priors: DataFrame, orders: int) -> DataFrame:
     """row_id, mean_jsd and max_deviation of the fused vectors over hash-ordered permutations of a case's tokens.
 
-    Sums run in the order of each permutation, so what is left is rounding. cases: row_id, token.
+    Sums run in the order of each permutation, so what is left is rounding. cases: row_id, token; weights as in wide_sums.
     """
     from tallyloom.functions.vectors import jsd, softmax
 
-    w = F.least(F.greatest("log_ratio", F.lit(-RATIO_BOUND)), F.lit(RATIO_BOUND))
-    by_token = weights.groupBy("token").agg(F.array(*[F.max(F.when(F.col("label") == k, w)) for k in axis]).alias("w"))
-    logs = {r["label"]: r["lp"] for r in priors.select("label", F.ln(F.greatest("p", F.lit(1e-9))).alias("lp")).collect()}  # a row per label
-    base = F.array(*[F.lit(float(logs[k])) for k in axis])
+    by_token = weights.groupBy("token").agg(in_order(bounded()).alias("w"))  # the labels
     own = cases.join(by_token, "token").groupBy("row_id").agg(F.collect_list(F.struct("token", "w")).alias("ts"))  # the tokens of a case
-    own = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))))
+    own = own.crossJoin(F.broadcast(base_scores(priors))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))))  # one row
     keyed = F.array_sort(F.transform("ts", lambda t: F.struct(F.sha1(F.concat_ws("|", F.lit("v"), F.col("row_id").cast("string"), F.col("j").cast("string"), t["token"])).alias("h"), t["w"].alias("w"))))
-    own = own.select("row_id", "j", softmax(F.aggregate(keyed, base, lambda s, t: F.zip_with(s, t["w"], lambda a, b: a + b))).alias("p"))
+    own = own.select("row_id", "j", softmax(F.aggregate(keyed, F.col("base"), lambda s, t: F.zip_with(s, t["w"], lambda a, b: a + b))).alias("p"))
     side = lambda k: own.select("row_id", F.col("j").alias(f"j_{k}"), F.col("p").alias(f"p_{k}"))
     far = F.array_max(F.zip_with("p_a", "p_b", lambda a, b: F.abs(a - b)))
     return side("a").join(side("b"), "row_id").filter("j_a < j_b").groupBy("row_id").agg(F.avg(jsd(F.col("p_a"), F.col("p_b"))).alias("mean_jsd"), F.max(F.when(F.col("j_a") == 0, far)).alias("max_deviation"))

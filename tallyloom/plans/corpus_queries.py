@@ -37,7 +37,7 @@ def tau_sql(grid):
 
 
 TAU = tau_sql(GRID)
-TRACE = ["nll", "error", "top1", "top5", "entropy"]
+TRACE = ["nll", "error", "top1", "top2", "entropy"]
 
 
 def frames(spark, d):
@@ -177,12 +177,11 @@ def evidence_sums(spark, d):
     return K.evidence_sums(tokens.select("row_id", "token"), K.count_ratio(tokens, rows)).withColumn("s", F.round("s", 5))
 
 
-def losses(spark, d, grid=GRID):
-    """Losses by row and scale, with two labels in place of the top five: there are five."""
+def trace(spark, d, grid=GRID, by=None, fold=None):
+    """Mean losses by scale (and by): hits among two labels in place of five, since there are five."""
     rows, tokens = frames(spark, d)
-    axis = K.label_axis(rows)
-    sums = K.wide_sums(tokens.select("row_id", "token"), K.count_ratio(tokens, rows), axis)
-    return K.scale_losses(sums, K.prior(rows), rows.select("row_id", F.col("label").alias("truth")), axis, grid, top=2)
+    cases = tokens if fold is None else tokens.withColumn("fold", fold)
+    return K.scale_trace(K.wide_sums(cases, K.count_ratio(tokens, rows), ["label", *(by or [])]), K.prior(rows), "label", grid, by, top=2)
 
 
 @query("o083_scaled_fusion", f"WITH {L}, z AS (SELECT row_id, label, ln(greatest(p, 1e-9)) + 0.5 * s AS g FROM es JOIN pr USING (label)) SELECT row_id, label, round(exp(g) / sum(exp(g)) OVER (PARTITION BY row_id), 5) AS p FROM z")
@@ -195,18 +194,17 @@ def scaled_fusion(spark, d):
     b AS (SELECT min_by(tau, struct_pack(a := round(nll, 9), b := tau)) AS by_nll, min_by(tau, struct_pack(a := round(error, 9), b := tau)) AS by_error FROM tr)
     SELECT tau, round(nll, 5) AS nll, round(error, 6) AS error, by_nll, by_error FROM tr, b""")
 def tau_grid(spark, d):
-    trace = K.scale_trace(losses(spark, d), [])
-    best = K.fitted_scale(trace, []).select(F.col("tau").alias("by_nll")).crossJoin(K.fitted_scale(trace, [], "error").select(F.col("tau").alias("by_error")))  # a row each
-    return trace.crossJoin(F.broadcast(best)).select("tau", F.round("nll", 5).alias("nll"), r6(F.col("error")).alias("error"), "by_nll", "by_error")
+    fitted = K.with_fitted(K.with_fitted(trace(spark, d), [], "by_nll"), [], "by_error", "error")
+    return fitted.select("tau", F.round("nll", 5).alias("nll"), r6(F.col("error")).alias("error"), "by_nll", "by_error")
 
 
 @query("o085_cross_fit", f"""WITH {TAU}, f AS (SELECT tau, (('0x' || substr(sha1(row_id::VARCHAR), 1, 1))::INT % 2)::INT AS fold, nll FROM ls), gg AS (SELECT fold, tau, avg(nll) AS nll FROM f GROUP BY 1, 2),
     b AS (SELECT fold AS fit_fold, min_by(tau, struct_pack(a := round(nll, 9), b := tau)) AS tau FROM gg GROUP BY 1) SELECT gg.fold, gg.tau, round(gg.nll, 5) AS nll FROM gg JOIN b ON b.fit_fold <> gg.fold AND b.tau = gg.tau""")
 def cross_fit(spark, d):
-    fold = (F.conv(F.substring(F.sha1(F.col("row_id").cast("string")), 1, 1), 16, 10).cast("int") % 2).alias("fold")
-    g = K.scale_trace(losses(spark, d).withColumn("fold", fold), ["fold"])
-    best = K.fitted_scale(g, ["fold"]).select(F.col("fold").alias("fit_fold"), F.col("tau").alias("best"))
-    return g.join(best, (F.col("fold") != F.col("fit_fold")) & (F.col("tau") == F.col("best"))).select("fold", "tau", F.round("nll", 5).alias("nll"))
+    fold = F.conv(F.substring(F.sha1(F.col("row_id").cast("string")), 1, 1), 16, 10).cast("int") % 2
+    g = K.with_fitted(trace(spark, d, by=["fold"], fold=fold), ["fold"], "best")
+    other = F.max(F.when(F.col("fold") == 0, F.col("best"))).over(Window.partitionBy()), F.max(F.when(F.col("fold") == 1, F.col("best"))).over(Window.partitionBy())  # two folds of a few scales
+    return g.withColumn("given", F.when(F.col("fold") == 0, other[1]).otherwise(other[0])).filter("tau = given").select("fold", "tau", F.round("nll", 5).alias("nll"))
 
 
 @query("o089_coverage", f"WITH {L} SELECT round(avg((n_de >= 100)::INT), 6) AS coverage, count(*) AS n FROM lk")
@@ -229,7 +227,7 @@ def band_prior(spark, d):
     return rows.join(known, F.col("age").between(F.col("lo"), F.col("hi")) & (F.col("sex") == F.col("s")), "left").crossJoin(fallback).select("row_id", r6(F.coalesce("p", "q")).alias("p"))
 
 
-@query("o108_frontier", f"WITH {tau_sql(K.FRONTIER_GRID)} SELECT tau, count(*) AS n, round(avg(nll), 5) AS nll, round(1 - avg(top1), 6) AS error, round(avg(top1), 6) AS top1, round(avg(top2), 6) AS top5, round(avg(entropy), 5) AS entropy FROM ls GROUP BY 1")
+@query("o108_frontier", f"WITH {tau_sql(K.FRONTIER_GRID)} SELECT tau, count(*) AS n, round(avg(nll), 5) AS nll, round(1 - avg(top1), 6) AS error, round(avg(top1), 6) AS top1, round(avg(top2), 6) AS top2, round(avg(entropy), 5) AS entropy FROM ls GROUP BY 1")
 def frontier(spark, d):
-    t = K.scale_trace(losses(spark, d, K.FRONTIER_GRID), [])
+    t = trace(spark, d, K.FRONTIER_GRID)
     return t.select("tau", "n", *[F.round(c, 5 if c in ("nll", "entropy") else 6).alias(c) for c in TRACE])

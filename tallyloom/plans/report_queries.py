@@ -123,21 +123,20 @@ def redundancy_summary(spark, d):
 # weights of two kinds, named answers, scoring rules
 
 ABLATION_GRID = [0.02, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8, 1.0, 1.5, 2.0]
-ABLATION = f"""SELECT tau, count(*) AS n, avg(nll) AS nll, avg(top1) AS top1, avg(top2) AS top5, avg(entropy) AS entropy FROM ls GROUP BY 1"""
+ABLATION = f"""SELECT tau, count(*) AS n, avg(nll) AS nll, avg(top1) AS top1, avg(top2) AS top2, avg(entropy) AS entropy FROM ls GROUP BY 1"""
 
 
 @query("o109_weight_ablation", f"""WITH a AS (WITH {tau_sql(ABLATION_GRID)} {ABLATION}), b AS (WITH {tau_sql(ABLATION_GRID).replace("FROM t JOIN cr w", "FROM t JOIN mr w")} {ABLATION}),
     u AS (SELECT 'counts' AS weights, * FROM a UNION ALL SELECT 'mixture', * FROM (SELECT * FROM b ORDER BY round(nll, 9), tau LIMIT 1))
-    SELECT weights, tau, n, round(nll, 5) AS nll, round(top1, 6) AS top1, round(top5, 6) AS top5, round(entropy, 5) AS entropy FROM u""")
+    SELECT weights, tau, n, round(nll, 5) AS nll, round(top1, 6) AS top1, round(top2, 6) AS top2, round(entropy, 5) AS entropy FROM u""")
 def weight_ablation(spark, d):
     """Weights from counts at every scale, and those of the mixture at the scale of their least loss."""
     rows, tokens = frames(spark, d)
-    axis, truth, priors = K.label_axis(rows), rows.select("row_id", F.col("label").alias("truth")), K.prior(rows)
-    trace = lambda w: K.scale_trace(K.scale_losses(K.wide_sums(tokens.select("row_id", "token"), w, axis), priors, truth, axis, ABLATION_GRID, top=2), [])
-    other = trace(K.mixture_ratio(K.likelihoods(tokens, rows)))
-    best = other.join(K.fitted_scale(other, []), "tau")
+    priors = K.prior(rows)
+    trace = lambda w: K.scale_trace(K.wide_sums(tokens, w, ["label"]), priors, "label", ABLATION_GRID, top=2)
+    best = K.with_fitted(trace(K.mixture_ratio(K.likelihoods(tokens, rows))), [], "best").filter("tau = best").drop("best")
     out = trace(K.count_ratio(tokens, rows)).withColumn("weights", F.lit("counts")).unionByName(best.withColumn("weights", F.lit("mixture")))
-    return out.select("weights", "tau", "n", F.round("nll", 5).alias("nll"), r6(F.col("top1")).alias("top1"), r6(F.col("top5")).alias("top5"), F.round("entropy", 5).alias("entropy"))
+    return out.select("weights", "tau", "n", F.round("nll", 5).alias("nll"), r6(F.col("top1")).alias("top1"), r6(F.col("top2")).alias("top2"), F.round("entropy", 5).alias("entropy"))
 
 
 def rates_sql(hits, by, seed):
@@ -243,9 +242,8 @@ def gap_ratio(spark, d):
     SELECT sex, best_tau, round(best, 6) AS best, round(direct, 6) AS direct, round(best / direct, 6) AS retention, round((SELECT corr(direct, best / direct) FROM b), 5) AS pearson FROM b""")
 def retention(spark, d):
     rows, tokens = frames(spark, d)
-    axis = K.label_axis(rows)
-    losses = K.scale_losses(K.wide_sums(tokens.select("row_id", "token"), K.count_ratio(tokens, rows), axis), K.prior(rows), rows.select("row_id", F.col("label").alias("truth")), axis, ABLATION_GRID, top=2)
-    out = R.retention(K.scale_trace(losses.join(rows.select("row_id", "sex"), "row_id"), ["sex"]), "sex")
+    cases = tokens.join(rows.select("row_id", "sex"), "row_id")
+    out = R.retention(K.scale_trace(K.wide_sums(cases, K.count_ratio(tokens, rows), ["label", "sex"]), K.prior(rows), "label", ABLATION_GRID, ["sex"], top=2), "sex")
     return out.select("sex", "best_tau", *[r6(F.col(c)).alias(c) for c in ("best", "direct", "retention")], F.round("pearson", 5).alias("pearson"))
 
 
@@ -264,9 +262,11 @@ NOISE = """lw AS (SELECT l_orderkey, l_linenumber, [l_quantity, l_extendedprice
 def shipped(spark, d):
     """row_id and shipped, the labels' shares among the orders of the row's customer."""
     rows, _ = frames(spark, d)
-    axis, orders = K.label_axis(rows), table(spark, d, "orders")
-    own = orders.groupBy("o_custkey").agg(F.array(*[F.count_if(F.col("o_orderpriority") == k).cast("double") for k in axis]).alias("n"))
-    return orders.join(own, "o_custkey").select(F.col("o_orderkey").alias("row_id"), V.normalised(F.col("n")).alias("shipped"))
+    axis, orders = K.base_scores(K.prior(rows)).select("axis"), table(spark, d, "orders")
+    own = orders.groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n")).groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderpriority", "n"))).alias("own"))  # the labels
+    n = F.transform("axis", lambda k: F.coalesce(F.try_element_at("own", k), F.lit(0).cast("long")).cast("double"))
+    own = own.crossJoin(F.broadcast(axis)).select("o_custkey", V.normalised(n).alias("shipped"))  # one row
+    return orders.join(own, "o_custkey").select(F.col("o_orderkey").alias("row_id"), "shipped")
 
 
 def reconstruction(spark, d):
@@ -351,7 +351,7 @@ def findings(spark, d):
     SELECT count(*) AS n, round(avg(jsd), 9) AS mean_jsd, round(max(far), 9) AS max_deviation FROM m""")
 def invariance(spark, d):
     rows, tokens = frames(spark, d)
-    out = K.invariance(tokens.select("row_id", "token"), K.count_ratio(tokens, rows), K.prior(rows), K.label_axis(rows), 3)
+    out = K.invariance(tokens.select("row_id", "token"), K.count_ratio(tokens, rows), K.prior(rows), 3)
     return out.agg(F.count("*").alias("n"), F.round(F.avg("mean_jsd"), 9).alias("mean_jsd"), F.round(F.max("max_deviation"), 9).alias("max_deviation"))
 
 

@@ -140,17 +140,21 @@ def test_scales_against_a_loop(spark, corpus):
     weights = K.count_ratio(tokens, df)
     w = {(r.token, r.label): max(-7, min(7, r.log_ratio)) for r in weights.collect()}
     prior = {k: sum(y == k for _, y, _ in rows) / len(rows) for k in "xy"}
-    losses = K.scale_losses(K.wide_sums(tokens.select("row_id", "token"), weights, ["x", "y"]), K.prior(df), df.select("row_id", F.col("label").alias("truth")), ["x", "y"], [0.0, 0.7], top=1)
-    got = {(r.row_id, r.tau): r for r in losses.collect()}
+    sums = K.wide_sums(tokens, weights, ["label"])
+    got = {(r.row_id, r.tau): r for r in K.scale_trace(sums, K.prior(df), "label", [0.0, 0.7], ["row_id"], top=2).collect()}
+    whole = {r.tau: r for r in K.scale_trace(sums, K.prior(df), "label", [0.0, 0.7], top=2).collect()}
     for (i, y, ts), tau in itertools.product(rows, [0.0, 0.7]):
         z = np.array([math.log(prior[k]) + tau * sum(w[t, k] for t in ts) for k in "xy"])
         p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
         own = p["xy".index(y)]
-        assert got[i, tau].nll == pytest.approx(-math.log(own)) and got[i, tau].top1 == int(p.argmax() == "xy".index(y)) == got[i, tau].top5
-        assert got[i, tau].entropy == pytest.approx(-(p * np.log2(p)).sum())
-    best = K.fitted_scale(K.scale_trace(losses, []), []).first().tau
+        assert got[i, tau].nll == pytest.approx(-math.log(own)) and got[i, tau].top1 == int(p.argmax() == "xy".index(y)) == 1 - got[i, tau].error
+        assert got[i, tau].entropy == pytest.approx(-(p * np.log2(p)).sum()) and got[i, tau].n == 1
+    for tau, r in whole.items():
+        assert r.n == len(rows) and r.nll == pytest.approx(np.mean([got[i, tau].nll for i, _, _ in rows])) and r.top2 == 1
+    assert K.scale_trace(sums.withColumn("label", F.lit("other")), K.prior(df), "label", [0.7]).count() == 0
+    best = K.with_fitted(K.scale_trace(sums, K.prior(df), "label", [0.0, 0.7]), [], "best").first().best
     assert best == 0.7
-    turned = K.invariance(tokens.select("row_id", "token"), weights, K.prior(df), ["x", "y"], 4).agg(F.max("max_deviation"), F.max("mean_jsd"), F.count("*")).first()
+    turned = K.invariance(tokens.select("row_id", "token"), weights, K.prior(df), 4).agg(F.max("max_deviation"), F.max("mean_jsd"), F.count("*")).first()
     assert turned[0] < 1e-12 and turned[1] < 1e-12 and turned[2] == 63
 
 
