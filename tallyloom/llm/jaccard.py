@@ -171,15 +171,15 @@ def token_sets(texts: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def counted_keys(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, text_hash, size and n, the number of distinct shingles, of every row."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    """doc_id, text_hash, other_hash, size and n, the number of distinct shingles, of every row."""
+    id_type, plain = docs.schema["doc_id"].dataType.simpleString(), ["doc_id", "text_hash", "other_hash", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = [len(shingles(t, words)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), b.column("size"), pa.array(n, pa.int64())], names=["doc_id", "text_hash", "size", "n"])
+            yield pa.RecordBatch.from_arrays([*map(b.column, plain), pa.array(n, pa.int64())], names=[*plain, "n"])
 
-    return docs.select("doc_id", "text_hash", "size", "text").mapInArrow(run, f"doc_id {id_type}, text_hash long, size int, n long")
+    return docs.select(*plain, "text").mapInArrow(run, f"doc_id {id_type}, text_hash long, other_hash long, size int, n long")
 
 
 def most_apart(n1: Column, n2: Column, percent: int) -> Column:
@@ -247,25 +247,42 @@ def opened(queries: DataFrame, members: DataFrame, facts: DataFrame, percent: in
     rows = held.unionByName(asking).repartition("grp", "run").sortWithinPartitions("grp", "run", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, table, union = None, [], None, set()
+        key, held, table, union = None, [], None, []
         for batch in sliced(batches):
             out: list[tuple[int, int, int, int, int]] = []
-            for grp, part, node, component, n, cells, asks, kind in zip(*(batch.column(k).to_pylist() for k in [*columns, "kind"]), strict=True):
+            asks, cells = batch.column("asks"), batch.column("sketch")
+            # lists stay arrays: where a row's asks, an ask's tokens and a row's sketch begin
+            ask_at, need = asks.offsets.to_numpy(), asks.values.field("need").to_numpy()
+            lists = asks.values.field("tokens")
+            token_at, token = lists.offsets.to_numpy(), lists.values.to_numpy()
+            cell_at, cell = cells.offsets.to_numpy(), cells.values.to_numpy()
+            plain = [batch.column(k).to_pylist() for k in ("grp", "run", "node", "component", "n", "kind")]
+            for i, (grp, part, node, component, n, kind) in enumerate(zip(*plain, strict=True)):
                 if (grp, part) != key:
-                    key, held, table, union = (grp, part), [], None, set()
+                    key, held, table, union = (grp, part), [], None, []
                 if not kind:
-                    held.append((node, component, n, cells))
-                    for ask in asks:
-                        union.update(ask["tokens"])
+                    held.append((node, component, n, cell[cell_at[i] : cell_at[i + 1]].copy()))
+                    if ask_at[i] < ask_at[i + 1]:
+                        union.append(np.unique(token[token_at[ask_at[i]] : token_at[ask_at[i + 1]]]))
                     continue
-                if not any(sum(map(union.__contains__, ask["tokens"])) >= ask["need"] for ask in asks):
+                if len(union) > 1:
+                    union = [np.unique(np.concatenate(union))]
+                if not union:
+                    continue
+                (known,) = union
+
+                def shares(j: int) -> bool:
+                    x = token[token_at[j] : token_at[j + 1]]  # noqa: B023
+                    return int((known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x).sum()) >= need[j]  # noqa: B023
+
+                if not any(map(shares, range(ask_at[i], ask_at[i + 1]))):
                     continue
                 if table is None:
                     by_width: dict[int, list] = {}
                     for m in held:
                         by_width.setdefault(len(m[3]), []).append(m)
                     table = [[np.array([m[k] for m in ms], np.int64) for k in range(4)] for ms in by_width.values()]
-                own = np.array(cells, np.int64).view(U)
+                own = cell[cell_at[i] : cell_at[i + 1]].view(U)
                 for nodes, parts, sizes, sketches in table:
                     width = min(len(own), sketches.shape[1])
                     # as unsigned numbers: bits of signed ones are counted in their absolute value
@@ -280,8 +297,9 @@ def opened(queries: DataFrame, members: DataFrame, facts: DataFrame, percent: in
 
 def set_table(docs: DataFrame, classes: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """node, n, sketch and set for the given nodes, from the text of the first document of each."""
-    wanted = nodes.join(classes.select("node", F.col("doc_id").alias("w_doc"), F.col("text_hash").alias("w_hash")), "node")
-    rows = wanted.join(docs, F.col("w_doc").eqNullSafe(F.col("doc_id")) & (F.col("w_hash") == F.col("text_hash"))).select("node", "text")
+    wanted = nodes.join(classes.select("node", F.col("doc_id").alias("w_doc"), F.col("text_hash").alias("w_hash"), F.col("other_hash").alias("w_other")), "node")
+    same = F.col("w_doc").eqNullSafe(F.col("doc_id")) & (F.col("w_hash") == F.col("text_hash")) & (F.col("w_other") == F.col("other_hash"))
+    rows = wanted.join(docs, same).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -334,6 +352,23 @@ def joined(parts: DataFrame, more: DataFrame) -> DataFrame:
     return written(moved.unionByName(alone), "parts")
 
 
+def other_hash(text: str) -> Column:
+    """A second hash of a text: texts are told apart by both, 128 bits, and their sizes."""
+    return F.xxhash64(F.lit("other"), text)
+
+
+def node_code(classes: DataFrame, bits: int = 62) -> Column:
+    """A number for each class, from its hashes. Classes that would get the same number, a few among 2**31 and more
+    texts, get another one from their hashes the other way round."""
+    code = lambda *by: F.shiftrightunsigned(F.xxhash64(*by), 64 - bits)
+    own, other = code("text_hash", "other_hash", "size"), code("other_hash", "text_hash", "size", F.lit("again"))
+    twice = [r[0] for r in classes.groupBy(own.alias("c")).count().filter("count > 1").select("c").collect()]  # about n * n / 2 ** 63
+    out = F.when(own.isin(twice), other).otherwise(own) if twice else own
+    if twice and classes.filter(own.isin(twice)).groupBy(out.alias("c")).count().filter("count > 1").limit(1).count():
+        raise ValueError("classes can't be told apart by their numbers")
+    return out
+
+
 def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", counted: bool = True) -> DataFrame:
     """doc_id, text_hash, n_shingles and component of every row; component is null for texts without words.
 
@@ -343,17 +378,19 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, do
     Null texts are empty and link with nothing. Repeated rows and ids are rows of their own; ids may be null.
     Without ``counted`` n_shingles is only 0 or 1, for texts with words.
     """
-    docs = narrowed(docs, doc_id=doc_id, text=text).withColumn("text_hash", F.xxhash64("text")).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(-1)))
+    docs = narrowed(docs, doc_id=doc_id, text=text).withColumn("text_hash", F.xxhash64("text")).withColumn("other_hash", other_hash("text")).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(-1)))
     worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]").cast("long")
     with tidied(docs.sparkSession) as kept:
-        keys = written(counted_keys(docs, words) if counted else docs.select("doc_id", "text_hash", "size", worded.alias("n")), "keys")
+        keys = written(counted_keys(docs, words) if counted else docs.select("doc_id", "text_hash", "other_hash", "size", worded.alias("n")), "keys")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
-        classes = keys.groupBy("text_hash", "size").agg(F.count("*").alias("copies"), first).select("text_hash", "size", "copies", F.col("first.doc_id").alias("doc_id"))
+        same = ["text_hash", "other_hash", "size"]
+        classes = keys.groupBy(*same).agg(F.count("*").alias("copies"), first).select(*same, "copies", F.col("first.doc_id").alias("doc_id"))
         hot = (F.col("copies") > 1) & (F.col("copies") * HOT_PART >= keys.count())
-        code = F.shiftrightunsigned(F.xxhash64("text_hash", "size"), 2)
-        classes = written(classes.withColumn("hot", hot).withColumn("node", F.when(F.col("hot"), code).otherwise(code + (1 << 62))), "classes")
-        hot = F.broadcast(classes.filter("hot").select(F.col("text_hash").alias("h_hash"), F.col("size").alias("h_size"), F.col("doc_id").alias("h_doc")))  # at most HOT_PART rows
-        is_hot = (F.col("text_hash") == F.col("h_hash")) & F.col("size").eqNullSafe(F.col("h_size"))
+        classes = written(classes.withColumn("hot", hot), "classes")
+        code = node_code(classes)
+        classes = classes.withColumn("node", F.when(F.col("hot"), code).otherwise(code + (1 << 62)))
+        hot = F.broadcast(classes.filter("hot").select(F.col("text_hash").alias("h_hash"), F.col("other_hash").alias("h_other"), F.col("size").alias("h_size"), F.col("doc_id").alias("h_doc")))  # at most HOT_PART rows
+        is_hot = (F.col("text_hash") == F.col("h_hash")) & (F.col("other_hash") == F.col("h_other")) & F.col("size").eqNullSafe(F.col("h_size"))
         texts = docs.join(hot, is_hot, "left").filter(F.col("h_hash").isNull() | F.col("doc_id").eqNullSafe(F.col("h_doc")))
         texts = texts.select(F.when(F.col("h_hash").isNotNull(), code).otherwise(code + (1 << 62)).alias("node"), "text")
         every = written(token_sets(texts, words, percent), "token-sets").select("node", "tag", "need", F.explode("tokens").alias("token"))
@@ -390,8 +427,8 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, do
         parts = joined(parts, components(found.select(F.col("own").alias("a"), F.col("other").alias("b"))))
         final = parts.select(F.col("node").alias("l_node"), "component")
 
-        nodes = classes.join(final, F.col("node") == F.col("l_node"), "left").select("text_hash", "size", "hot", F.coalesce("component", "node").alias("component"))
-        out = hot_join(keys, nodes, ["text_hash", "size"])
+        nodes = classes.join(final, F.col("node") == F.col("l_node"), "left").select(*same, "hot", F.coalesce("component", "node").alias("component"))
+        out = hot_join(keys, nodes, same)
         kept.append(written(out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).alias("component")), "components"))
         return kept[0]
 

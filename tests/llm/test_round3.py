@@ -217,3 +217,16 @@ def test_packed_numbers():
     for ranges in (1, 3, 51, 1000):
         low = [language.lowest(r, ranges) for r in range(ranges)]
         assert all(((x >> 32) * ranges >> 32) == r and (r == 0 or ((x - 1 >> 32) * ranges >> 32) == r - 1) for r, x in enumerate(low))
+
+
+def test_numbers_of_classes_that_collide(spark):
+    from tallyloom.llm import jaccard
+
+    classes = spark.createDataFrame([(i * 7919, i * 104729, i % 9) for i in range(40)], "text_hash long, other_hash long, size int")
+    plain = F.shiftrightunsigned(F.xxhash64("text_hash", "other_hash", "size"), 64 - 9)
+    assert classes.select(plain.alias("c")).distinct().count() < 40  # some share 9 bits
+    try:
+        assert classes.select(jaccard.node_code(classes, 9).alias("c")).distinct().count() == 40
+    except ValueError as e:
+        assert "told apart" in str(e)
+    assert classes.select(jaccard.node_code(classes).alias("c")).distinct().count() == 40
