@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import vectors as V
-from tallyloom.operators.conditioning import log_odds
+from tallyloom.operators.conditioning import base_scores, log_odds
 
 #: (method, half, arm, first, last): the rows of an arm, by idx, whose mean is one half of a method's comparison.
 HALVES = [
@@ -62,6 +62,67 @@ def averaging_gain(rows: DataFrame) -> DataFrame:
     return against("single").join(against("self_consistency"), "case_id").withColumn("gain", F.col("single") - F.col("averaged"))
 
 
+#: What is known of methods beside their figures: whether order cannot matter to them, and whether each finding's share shows.
+INVARIANT = {"direct": "no", "self_consistency": "no", "prior_only": "exact", "oracle": "exact", "fusion": "exact", "fusion_calibrated": "exact"}
+AUDITABLE = ("fusion", "fusion_calibrated")
+
+
+def mean_of(vectors: Column) -> Column:
+    """Mean of an array of vectors, entry by entry."""
+    total = F.aggregate(vectors, F.transform(F.get(vectors, F.lit(0)), lambda x: F.lit(0.0)), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    return F.transform(total, lambda x: x / F.size(vectors))
+
+
+def elicited_methods(rows: DataFrame, sizes: list[int], least: int = 4) -> DataFrame:
+    """case_id, method, v, residual and queries of what is made from a case's answers (case_id, arm, idx, v).
+
+    direct is the first permutation, beside the second; self_consistency the retests' mean, beside each other's halves,
+    of two retests or more; ensemble_k the mean of the first k permutations, beside that of the next k. Cases of fewer
+    than ``least`` permutations have none. Answers of a case, a bounded number, are arrays.
+    """
+    arm = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("arm") == k, F.struct("idx", "v")))), lambda z: z["v"])
+    own = rows.groupBy("case_id").agg(arm("permutation").alias("p"), arm("retest").alias("r")).filter(F.size("p") >= least)
+    part = lambda c, at, n: mean_of(F.slice(c, F.lit(1) + at, n))
+    half = F.floor(F.size("r") / 2).cast("int")
+    made = lambda name, when, v, a, b, queries: F.when(when, F.struct(F.lit(name).alias("method"), v.alias("v"), V.jsd(a, b).alias("residual"), F.lit(queries).cast("int").alias("queries")))
+    ways = [made("direct", F.size("p") >= 2, F.get("p", F.lit(0)), F.get("p", F.lit(0)), F.get("p", F.lit(1)), 1)]
+    ways.append(made("self_consistency", F.size("r") >= 2, mean_of(F.col("r")), part("r", F.lit(0), half), part("r", half, half), F.size("r")))
+    ways += [made(f"ensemble_{k}", F.size("p") >= 2 * k, part("p", F.lit(0), F.lit(k)), part("p", F.lit(0), F.lit(k)), part("p", F.lit(k), F.lit(k)), k) for k in sizes]
+    return own.select("case_id", F.inline(F.array_compact(F.array(*ways))))
+
+
+def fused_methods(sums: DataFrame, priors: DataFrame, scales: DataFrame, fold: Column) -> DataFrame:
+    """row_id, method, v of fusion (scale 1) and fusion_calibrated, at the scale that the other fold fits best.
+
+    sums: of wide_sums; scales: fold, best (a row for each of two folds); fold: 0 or 1 from a case's columns.
+    """
+    other = scales.select((1 - F.col("fold")).alias("__fold"), "best")
+    rows = sums.crossJoin(F.broadcast(base_scores(priors))).withColumn("__fold", fold).join(F.broadcast(other), "__fold")  # one row; two rows
+    at = lambda scale: V.softmax(F.zip_with("base", "s", lambda a, b: a + scale * b))
+    ways = F.array(*[F.struct(F.lit(k).alias("method"), at(x).alias("v")) for k, x in (("fusion", F.lit(1.0)), ("fusion_calibrated", F.col("best")))])
+    return rows.select("row_id", F.inline(ways))
+
+
+def method_table(answers: DataFrame, cases: DataFrame, top: int = 5) -> DataFrame:
+    """A row per method over the cases that every method has answered: n_cases, residual, order_invariant, queries,
+    auditable, top1, hits among ``top``, jsd_to_shipped and entropy.
+
+    answers: case_id, method, v, residual and queries, from any sources; cases: case_id, truth (a place in v) and shipped
+    (a vector). queries is the most that a case of the method took.
+    """
+    methods = answers.agg(F.count_distinct("method").alias("methods"))
+    common = answers.groupBy("case_id").agg(F.count_distinct("method").alias("n")).crossJoin(F.broadcast(methods)).filter("n = methods").select("case_id")  # one row
+    rows = answers.join(common, "case_id").join(cases.select("case_id", "truth", "shipped"), "case_id").withColumn("own", F.get("v", F.col("truth")))
+    above = F.size(F.filter("v", lambda x, i: (x > F.col("own")) | ((x == F.col("own")) & (i < F.col("truth")))))
+    rows = rows.withColumn("above", above)
+    known = F.create_map(*[F.lit(x) for kv in INVARIANT.items() for x in kv])
+    figures = rows.groupBy("method").agg(
+        F.count("*").alias("n_cases"), F.avg("residual").alias("residual"), F.max("queries").alias("queries"), F.avg((F.col("above") == 0).cast("int")).alias("top1"), F.avg((F.col("above") < top).cast("int")).alias(f"top{top}"),
+        F.avg(V.jsd(F.col("shipped"), F.col("v"))).alias("jsd_to_shipped"), F.avg(V.entropy(F.col("v"), 0.0)).alias("entropy"),
+    )
+    return figures.withColumn("order_invariant", F.coalesce(F.try_element_at(known, F.col("method")), F.lit("approx"))).withColumn("auditable", F.col("method").isin(*AUDITABLE))
+
+
 def paired_delta(rows: DataFrame, a: str, b: str, z: float = 1.96) -> DataFrame:
     """n, mean of a - b with a normal interval, and the share of rows in which a is larger; rows with a null are left out."""
     d = F.col(a) - F.col(b)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import vectors as V
@@ -327,6 +328,58 @@ def oracle_vs_shipped(spark, d):
     return out.select("n", F.round("jsd_mean", 5).alias("jsd_mean"), F.round("jsd_median", 5).alias("jsd_median"), "median_support")
 
 
+LINES = "[l_quantity::DOUBLE, l_extendedprice / 1000, l_discount * 100, l_tax * 100, (l_suppkey % 50)::DOUBLE]"
+FOLD_SQL = "(('0x' || substr(sha1(row_id::VARCHAR), 1, 1))::INT % 2)::INT"
+
+
+@query("o107_methods", f"""WITH {tau_sql(ABLATION_GRID)}, {SHIPPED.removeprefix(L + ", ")},
+    bt AS (SELECT 1 - fold AS fold, min_by(tau, struct_pack(a := round(nll, 9), b := tau)) AS tau FROM (SELECT {FOLD_SQL} AS fold, tau, avg(nll) AS nll FROM ls GROUP BY 1, 2) GROUP BY 1),
+    li AS (SELECT l_orderkey AS row_id, {LINES} AS w, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS n FROM lineitem),
+    le AS (SELECT row_id, n, unnest(list_transform(w, lambda x: x / list_sum(w))) AS x, unnest(range(5)) AS i FROM li WHERE n <= 7),
+    mh(method, half, lo, hi) AS (VALUES ('direct', 0, 1, 1), ('direct', 1, 2, 2), ('self_consistency', 0, 5, 5), ('self_consistency', 1, 6, 6), ('self_consistency', 2, 5, 7), ('ensemble_2', 0, 1, 2), ('ensemble_2', 1, 3, 4)),
+    ok AS (SELECT row_id, max(n) AS n FROM li GROUP BY 1 HAVING max(n) >= 6),
+    hv AS (SELECT row_id, method, half, i, avg(x) AS x FROM le JOIN mh ON n BETWEEN lo AND hi WHERE row_id IN (SELECT row_id FROM ok) GROUP BY ALL),
+    rs AS (SELECT a.row_id, a.method, {JSD} AS residual FROM hv a JOIN hv b ON a.row_id = b.row_id AND a.method = b.method AND a.i = b.i AND a.half = 0 AND b.half = 1 GROUP BY 1, 2),
+    ax AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS i FROM pr),
+    fu AS (SELECT row_id, label, method, ln(greatest(p, 1e-9)) + z.tau * s AS z FROM es JOIN pr USING (label) JOIN (SELECT row_id, method, CASE WHEN method = 'fusion' THEN 1.0::DOUBLE ELSE bt.tau END AS tau FROM c JOIN bt ON bt.fold = {FOLD_SQL}, (VALUES ('fusion'), ('fusion_calibrated')) q(method)) z USING (row_id)),
+    ev AS (SELECT row_id, list(token ORDER BY token) AS ev FROM t GROUP BY 1), sb AS (SELECT label, list_filter(ev, lambda x, i: (m >> (i - 1)) & 1 = 1) AS ev FROM (SELECT label, ev, unnest(range(1, 1 << len(ev))) AS m FROM ev JOIN c USING (row_id))),
+    oc AS (SELECT ev, label, count(*) AS n FROM sb WHERE ev IN (SELECT ev FROM ev) GROUP BY 1, 2), oq AS (SELECT ev, sum(n) AS n FROM oc GROUP BY 1),
+    mt AS (SELECT row_id, method, i, x FROM hv WHERE half = CASE WHEN method = 'self_consistency' THEN 2 ELSE 0 END
+      UNION ALL SELECT row_id, method, i, exp(z - max(z) OVER w) / sum(exp(z)) OVER w * exp(max(z) OVER w) FROM fu JOIN ax USING (label) WINDOW w AS (PARTITION BY row_id, method)
+      UNION ALL SELECT row_id, 'prior_only', i, p FROM c CROSS JOIN pr JOIN ax ON ax.label = pr.label
+      UNION ALL SELECT row_id, 'oracle', i, coalesce(oc.n, 0) / oq.n FROM ev JOIN oq USING (ev) CROSS JOIN ax LEFT JOIN oc ON oc.ev = ev.ev AND oc.label = ax.label),
+    rk2 AS (SELECT mt.*, row_number() OVER (PARTITION BY mt.row_id, method ORDER BY x DESC, i) AS k FROM mt WHERE mt.row_id IN (SELECT row_id FROM ok)),
+    js AS (SELECT rk2.row_id, method, {JSD.replace("a.x", "rk2.x").replace("b.x", "sv.x")} AS jsd, sum(CASE WHEN rk2.x > 0 THEN -rk2.x * log2(rk2.x) ELSE 0 END) AS entropy, max((k = 1 AND ax.label = c.label)::INT) AS top1, max((k <= 2 AND ax.label = c.label)::INT) AS top2
+      FROM rk2 JOIN ax USING (i) JOIN sv ON sv.row_id = rk2.row_id AND sv.label = ax.label JOIN c ON c.row_id = rk2.row_id GROUP BY 1, 2)
+    SELECT method, count(*) AS n_cases, round(avg(coalesce(residual, 0)), 5) AS residual, CASE WHEN method IN ('direct', 'self_consistency') THEN 'no' WHEN method LIKE 'ensemble%' THEN 'approx' ELSE 'exact' END AS order_invariant,
+      max(CASE method WHEN 'direct' THEN 1 WHEN 'ensemble_2' THEN 2 WHEN 'self_consistency' THEN least(ok.n, 7) - 4 ELSE 0 END)::INT AS queries, method LIKE 'fusion%' AS auditable,
+      round(avg(top1), 6) AS top1, round(avg(top2), 6) AS top2, round(avg(jsd), 5) AS jsd_to_shipped, round(avg(entropy), 5) AS entropy FROM js JOIN ok USING (row_id) LEFT JOIN rs USING (row_id, method) GROUP BY 1""")
+def methods(spark, d):
+    """Answers from an order's lines (four permutations, up to three retests), fused ones, the prior and the data's own
+    posterior, beside the shares of the customer's orders. Cases are orders that all of them answer."""
+    rows, tokens = frames(spark, d)
+    weights, priors = K.count_ratio(tokens, rows), K.prior(rows)
+    w = F.array(F.col("l_quantity").cast("double"), F.col("l_extendedprice") / 1000, F.col("l_discount") * 100, F.col("l_tax") * 100, (F.col("l_suppkey") % 50).cast("double"))
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order))  # the lines of an order
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), line.alias("n"), V.normalised(w).alias("v")).filter("n <= 7")
+    answers = M.elicited_methods(lines.select("case_id", F.when(F.col("n") <= 4, "permutation").otherwise("retest").alias("arm"), F.col("n").alias("idx"), "v"), [2])
+    fold = F.conv(F.substring(F.sha1(F.col("row_id").cast("string")), 1, 1), 16, 10).cast("int") % 2
+    sums = K.wide_sums(tokens.withColumn("fold", fold), weights, ["label", "fold"])
+    scales = K.with_fitted(K.scale_trace(sums, priors, "label", ABLATION_GRID, ["fold"], top=2), ["fold"], "best").select("fold", "best").distinct()
+    fused = M.fused_methods(sums, priors, scales, F.col("fold"))
+    base = K.base_scores(priors)
+    floor = rows.select("row_id").crossJoin(F.broadcast(base)).select("row_id", F.lit("prior_only").alias("method"), F.transform("base", F.exp).alias("v"))  # one row
+    own = rows.select("row_id", F.array_join("tokens", "|").alias("item_id"), F.col("tokens").alias("evidence"))
+    known = K.conditioned(own.select("item_id", "evidence").distinct(), tokens, rows).groupBy("item_id").agg(K.in_order(F.col("p")).alias("v"))
+    ceiling = own.join(known, "item_id").select("row_id", F.lit("oracle").alias("method"), "v")
+    free = fused.unionByName(floor).unionByName(ceiling).select(F.col("row_id").alias("case_id"), "method", "v", F.lit(0.0).alias("residual"), F.lit(0).alias("queries"))
+    truth = rows.select("row_id", "label").crossJoin(F.broadcast(base)).select("row_id", (F.array_position("axis", F.col("label")) - 1).cast("int").alias("truth"))  # one row
+    cases = truth.join(shipped(spark, d), "row_id").withColumnRenamed("row_id", "case_id")
+    out = M.method_table(answers.unionByName(free), cases, top=2)
+    return out.select("method", "n_cases", "order_invariant", "queries", "auditable", *[F.round(c, 5).alias(c) for c in ("residual", "jsd_to_shipped", "entropy")], r6(F.col("top1")).alias("top1"), r6(F.col("top2")).alias("top2"))
+
+
 @query("o144_findings", f"""WITH {VALID}, {NOISE}, f("check", severity, headline) AS (
     SELECT 'duplicates', 'minor', 'texts beyond the first: ' || sum(n - 1) FROM (SELECT text, count(*) AS n FROM documents GROUP BY 1)
     UNION ALL SELECT 'class_balance', 'info', 'labels: ' || count(*) FROM nd
