@@ -140,6 +140,20 @@ def numeric_target(x: Column) -> Column:
     return F.round(F.least(F.greatest(F.exp(F.least(F.greatest(x, F.lit(-BOUND)), F.lit(BOUND))), F.lit(LOW)), F.lit(HIGH)), 4)
 
 
+def held(x: Column) -> Column:
+    return F.least(F.greatest(x.cast("double"), F.lit(-BOUND)), F.lit(BOUND))
+
+
+def logodds_target(x: Column) -> Column:
+    """A log ratio held to +-7, with three digits."""
+    return F.round(held(x), 3)
+
+
+def ordinal_target(x: Column, bands: dict[str, float]) -> Column:
+    """The name of the band nearest to a log ratio held to +-7."""
+    return nearest_band(held(x), bands)
+
+
 def sections(note: Column, header: str = HEADER) -> Column:
     """Map of a note's headers to the text below them; the last of equal headers counts."""
     heads = F.transform(F.regexp_extract_all(note, F.lit(header), F.lit(1)), stripped)

@@ -125,8 +125,15 @@ def past(verb: Column) -> Column:
 
 
 def declarative(question: Column) -> Column:
-    """A yes-no question as a statement without its subject; null if no opening fits."""
-    q = T.stripped(F.regexp_replace(T.stripped(question), r"\?+$", ""))
+    """A yes-no question as a statement without its subject; null if no opening fits.
+
+    The stripped question is worked out once, as the only entry of an array, and the rules look at that.
+    """
+    return F.get(F.transform(F.array(T.stripped(F.regexp_replace(T.stripped(question), r"\?+$", ""))), worded), F.lit(0))
+
+
+def worded(q: Column) -> Column:
+    """The first rule that fits a question without its mark."""
     part = lambda opening, group: F.regexp_extract(q, rf"(?is)^{opening} (\w+)\b(.*)$", group)
     joined = lambda *cs: T.stripped(F.concat(*[F.lit(c) if isinstance(c, str) else c for c in cs]))
     out = F.when(q.rlike(r"(?i)^did you \w+\b"), joined(past(part("did you", 1)), part("did you", 2)))
@@ -153,18 +160,20 @@ def finding_phrases(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     dictionary: code, question, binary and meanings (a map of values), a row per code, of a vocabulary's size. Tokens of
     an unknown code have null phrases.
     """
-    rows = tokens.join(dictionary, "code", "left")
-    q, value = T.stripped(F.col("question")), T.shown(F.col("value"), F.col("meanings"))
-    pick = lambda k: F.try_element_at(F.create_map(*[F.lit(x) for name, both in ATTRIBUTES.items() for x in (name, both[k])]), q)
-    said = F.coalesce(declarative(q), F.concat(F.lit("reports "), without_mark(q)))
-    stated = F.concat(said, F.lit(" ("), value, F.lit(")"))
+    rows = tokens.join(dictionary, "code", "left").withColumn("__q", T.stripped(F.col("question"))).withColumn("__value", T.shown(F.col("value"), F.col("meanings")))
+    # a statement is a long expression that all phrases use: it is worked out once
+    rows = rows.withColumn("__said", F.coalesce(declarative(F.col("__q")), F.concat(F.lit("reports "), without_mark(F.col("__q")))))
+    value, labels = F.col("__value"), F.create_map(*[x for name, both in ATTRIBUTES.items() for x in (F.lit(name), F.array(*[F.lit(y) for y in both]))])
+    rows = rows.withColumn("__labels", F.try_element_at(labels, F.col("__q")))
+    plain = F.col("binary") & F.col("value").isNull()
+    no_travel = (F.col("code") == TRAVEL_CODE) & value.isin(*NO_TRAVEL)
+    stated = F.concat(F.col("__said"), F.lit(" ("), value, F.lit(")"))
 
     def phrase(labelled: Column) -> Column:
-        full = F.when(F.col("binary") & F.col("value").isNull(), T.depersonalised(said))
-        full = full.when((F.col("code") == TRAVEL_CODE) & value.isin(*NO_TRAVEL), F.lit(NOT_TRAVELLED))
-        return full.otherwise(T.depersonalised(F.coalesce(labelled, stated)))
+        said = T.depersonalised(F.when(plain, F.col("__said")).otherwise(F.coalesce(labelled, stated)))
+        return F.when(~F.coalesce(plain, F.lit(False)) & no_travel, F.lit(NOT_TRAVELLED)).otherwise(said)
 
-    bullet, prose = F.concat(pick(0), F.lit(": "), value), F.concat(pick(1), F.lit(" "), value)
+    bullet, prose = F.concat(F.get("__labels", F.lit(0)), F.lit(": "), value), F.concat(F.get("__labels", F.lit(1)), F.lit(" "), value)
     return rows.select(*tokens.columns, phrase(bullet).alias("bullet"), phrase(prose).alias("prose"))
 
 
@@ -191,3 +200,39 @@ def prompt(names: Column, who: Column, findings: Column, ask: str, prior: Column
     content = F.concat_ws("\n\n", F.lit("Candidates:"), candidate_block(names), *rates, F.concat(F.lit("Patient: "), who), findings, asked)
     message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     return F.array(message("system", F.lit(system)), message("user", content))
+
+
+#: What is asked, in our own words, and the keys of the answers, which text.probabilities, text.weights and text.index read.
+SCORES = 'Give each candidate a score from 0 (hardly possible) to 100 (nearly certain) for this person. Scores need no fixed sum, but must tell the candidates apart. Answer with a JSON object whose key "probabilities" holds {n} numbers in the order of the list.'
+REASONED = "First weigh in writing which candidates the findings speak for and which against. Then do as follows. "
+WEIGHTS = {
+    "numeric": "For each candidate, how many times as likely is this finding with it as without it? 1 tells nothing, more speaks for it, less against it.",
+    "logodds": "For each candidate, what is the natural logarithm of how many times as likely this finding is with it as without it? 0 tells nothing, positive speaks for it, negative against it.",
+    "ordinal": "For each candidate, how strongly does this finding speak for or against it? Use one of these labels: {labels}.",
+}
+WEIGHT_ANSWER = ' Answer with a JSON object whose key "weights" holds {n} values in the order of the list.'
+TOP_ANSWER = 'Which one candidate is the likeliest? Answer with a JSON object whose key "index" holds its number in the list.'
+
+
+def posterior_prompt(names: Column, who: Column, findings: Column, prior: Column | None = None) -> Column:
+    """Asks for a score of every candidate; with base rates if they are given."""
+    return prompt(names, who, findings, SCORES, prior)
+
+
+def reasoned_prompt(names: Column, who: Column, findings: Column, prior: Column | None = None) -> Column:
+    """Asks for reasons in words first and then for the same scores."""
+    return prompt(names, who, findings, REASONED + SCORES, prior)
+
+
+def weight_prompt(names: Column, who: Column, finding: Column, kind: str = "numeric") -> Column:
+    """Asks what a single finding says about every candidate, without any other finding, so that no order can matter.
+
+    kind: numeric, logodds or ordinal.
+    """
+    ask = WEIGHTS[kind].replace("{labels}", ", ".join(ORDINAL_BANDS)) + WEIGHT_ANSWER
+    return prompt(names, who, F.concat(F.lit("The only finding that is known: "), finding), ask)
+
+
+def top_prompt(names: Column, who: Column, findings: Column) -> Column:
+    """Asks for the number of the likeliest candidate alone."""
+    return prompt(names, who, findings, TOP_ANSWER)

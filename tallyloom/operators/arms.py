@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import vectors as V
 from tallyloom.operators import sampling as S
 from tallyloom.operators.conditioning import log_odds
+from tallyloom.operators.ranges import hash_placed
 
 
 def pairs(rows: DataFrame, case: str = "case_id", key: str = "vec_id", keep: tuple[str, ...] = ("arm", "idx")) -> DataFrame:
@@ -68,6 +69,22 @@ def ceiling(rows: DataFrame, parts: int = 16) -> DataFrame:
     return both.agg(F.avg(V.jsd(F.col("a_v"), F.col("b_v"))).alias("ceiling"), F.count("*").alias("n_pairs"))
 
 
+def drawn_ceiling(rows: DataFrame, draws: int = 20000, seed: str = "z") -> DataFrame:
+    """Mean JSD between the first permutations of different cases, over drawn pairs, and how many of these there are.
+
+    Anchors are numbered; a draw is two numbers from hashes, and one that hits a case twice falls away. Work grows with
+    the cases and the draws, not with the pairs of cases.
+    """
+    spark = rows.sparkSession
+    anchors = rows.filter((F.col("arm") == "permutation") & (F.col("idx") == 0) & V.informative(F.col("v"))).select("case_id", "v")
+    placed = hash_placed(anchors, "case_id", "place")
+    total = F.broadcast(anchors.agg(F.count("*").alias("all")))  # one row
+    at = lambda k: F.conv(F.substring(F.sha1(F.concat_ws("|", F.lit(f"{seed}{k}"), F.col("id").cast("string"))), 1, 13), 16, 10).cast("long") % F.nullif(F.col("all"), F.lit(0))
+    drawn = spark.range(draws).crossJoin(total).select(at("a").alias("a"), at("b").alias("b")).filter("a <> b")
+    side = lambda k: placed.select(F.col("place").alias(k), F.col("v").alias(f"v_{k}"))
+    return drawn.join(side("a"), "a").join(side("b"), "b").agg(F.avg(V.jsd(F.col("v_a"), F.col("v_b"))).alias("ceiling"), F.count("*").alias("n_pairs"))
+
+
 def instability(rows: DataFrame, severity: DataFrame, k: int = 5, most: int = 2) -> DataFrame:
     """Whether an entry of severity ``most`` or less is in some permutations' top k but not in all; unknown severity counts as 5."""
     own = rows.filter("arm = 'permutation'")

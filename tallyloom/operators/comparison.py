@@ -130,6 +130,28 @@ def paired_delta(rows: DataFrame, a: str, b: str, z: float = 1.96) -> DataFrame:
     return out.select("n", "delta", (F.col("delta") - F.col("half")).alias("low"), (F.col("delta") + F.col("half")).alias("high"), "share")
 
 
+def last_valid(answers: DataFrame, by: list[str], order: list[str], value: str = "v", valid: str = "valid") -> DataFrame:
+    """by and the value of the valid answer that came last, in the order of some columns; groups without a valid one are dropped.
+
+    Late repeats replace earlier answers, an invalid one replaces nothing.
+    """
+    return answers.filter(F.col(valid)).groupBy(*by).agg(F.max_by(value, F.struct(*order)).alias(value))
+
+
+def stated_changes(answers: DataFrame, axis: DataFrame, order: list[str]) -> DataFrame:
+    """item_id, label and stated_delta: the change of the log-odds from the last valid answer before to that after.
+
+    answers: item_id, phase (before or after), valid, v and the columns of order; axis: one row, the labels in order.
+    Items that lack a phase are dropped.
+    """
+    last = last_valid(answers, ["item_id", "phase"], order)
+    pick = lambda k: F.max_by("v", F.when(F.col("phase") == k, F.lit(1)))
+    both = last.groupBy("item_id").agg(pick("before").alias("a"), pick("after").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    moved = F.zip_with("a", "b", lambda x, y: log_odds(y) - log_odds(x))
+    z = F.explode(F.arrays_zip(F.col("axis").alias("label"), moved.alias("stated_delta"))).alias("z")
+    return both.crossJoin(F.broadcast(axis)).select("item_id", z).select("item_id", "z.label", "z.stated_delta")  # one row
+
+
 def change_points(before: DataFrame, after: DataFrame, stated: DataFrame, least_change: float = 0.05, least_count: int = 10) -> DataFrame:
     """item_id, label, true_delta, stated_delta, se for every label whose change can be scored.
 

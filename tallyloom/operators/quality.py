@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,6 +103,13 @@ def nearest_rank(df: DataFrame, by: list[str], value: str, share: float) -> Data
     return placed(df, by, value).filter((F.col("before") <= place) & (place < F.col("before") + F.col("n"))).select(*by, "value", F.col("all").alias("n"))
 
 
+def screened(df: DataFrame, text: str, screens: dict[str, list[str]]) -> DataFrame:
+    """screen and the columns of df, a row for every screen of which some part of a word occurs in the text, in either case."""
+    held = lambda parts: reduce(lambda a, b: a | b, [F.contains(F.lower(F.col(text)), F.lit(p.lower())) for p in parts], F.lit(False))
+    found = F.array_compact(F.array(*[F.when(held(parts), F.lit(name)) for name, parts in screens.items()]))
+    return df.select(F.explode(found).alias("screen"), *df.columns)
+
+
 def accuracy(rows: DataFrame, by: list[str], truth: str, predicted: str, z: float = 1.96) -> DataFrame:
     """Per group: answers, accuracy with its interval, ratio to chance, largest share of one answer, entropy of answers."""
     from tallyloom.operators.conditioning import wilson

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
-from tallyloom.operators import arms, jobs, quality as Q, sampling as S
+from tallyloom.operators import arms, figures, jobs, quality as Q, sampling as S
 from tallyloom.plans.bindings import C, corpus, query, r6, table
 
 
@@ -219,6 +219,22 @@ def histogram(spark, d):
     return table(spark, d, "events").groupBy("event_type", F.floor(F.col("value") / 5).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
+@query("o125_density", """WITH g AS (SELECT event_type, count(*) AS n, min(value) AS low, max(value) AS high, stddev_samp(value) AS sd FROM events GROUP BY 1), c AS (SELECT event_type, value AS v, count(*) AS k FROM events GROUP BY 1, 2),
+    w AS (SELECT *, sd * pow(n::DOUBLE, -0.2) AS h FROM g), x AS (SELECT c.event_type, v, k, n, h, point::INT AS point, low + (high - low) * point / 99 AS x FROM c JOIN w USING (event_type), range(100) r(point))
+    SELECT event_type, point, round(x, 6) AS x, round(sum(k * exp(-0.5 * pow((x - v) / h, 2)) / (n * h * sqrt(2 * pi()))), 8) AS density FROM x GROUP BY event_type, point, x""")
+def density(spark, d):
+    return figures.density(table(spark, d, "events"), ["event_type"], "value").select("event_type", "point", r6(F.col("x")).alias("x"), F.round("density", 8).alias("density"))
+
+
+@query("o125_matrix", """WITH m AS (SELECT l_linenumber AS line, avg(l_discount) AS discount, avg((l_returnflag = 'R')::INT) AS returned, avg((l_linestatus = 'O')::INT) AS opened FROM lineitem GROUP BY 1),
+    z AS (SELECT line, 'discount' AS measure, discount AS v FROM m UNION ALL SELECT line, 'returned', returned FROM m UNION ALL SELECT line, 'opened', abs(opened - 0.5) FROM m), s AS (SELECT line, measure, v / max(abs(v)) OVER (PARTITION BY measure) AS v FROM z),
+    t AS (SELECT line, measure, CASE WHEN measure = 'opened' THEN 1 - v ELSE v END AS v FROM s) SELECT line, measure, round(CASE WHEN measure = 'opened' THEN v / nullif(max(abs(v)) OVER (PARTITION BY measure), 0) ELSE v END, 5) AS value FROM t""")
+def matrix(spark, d):
+    flag = lambda c: F.avg(c.cast("int"))
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("line")).agg(F.avg("l_discount").alias("discount"), flag(F.col("l_returnflag") == "R").alias("returned"), flag(F.col("l_linestatus") == "O").alias("opened"))
+    return figures.one_scale(rows, "line", ["discount", "returned", "opened"], {"opened": 0.5}).select("line", "measure", F.round("value", 5).alias("value"))
+
+
 @query("o158_load_regression", f"WITH {C}, n AS (SELECT row_id, count(*) AS n FROM t GROUP BY 1), r AS (SELECT n, o_totalprice AS y FROM n JOIN orders ON o_orderkey = row_id), b AS (SELECT CASE WHEN n <= 2 THEN '1-2' WHEN n <= 4 THEN '3-4' ELSE '5+' END AS band, avg(y) AS m, count(*) AS k FROM r GROUP BY 1) SELECT band, k AS n, round(m, 3) AS mean, (SELECT round(regr_slope(y, n), 3) FROM r) AS slope, (SELECT round(corr(y, n), 6) FROM r) AS pearson FROM b")
 def load_regression(spark, d):
     r = corpus(spark, d).select(F.col("row_id").alias("o_orderkey"), F.size("tokens").alias("n")).join(table(spark, d, "orders"), "o_orderkey").select("n", F.col("o_totalprice").alias("y"))

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import audit_queries, bindings, comparison_queries, corpus_queries, report_queries, vector_queries  # noqa: F401
+from tallyloom.plans import audit_queries, bindings, comparison_queries, corpus_queries, report_queries, vector_queries, wording_queries  # noqa: F401
 
 QUERIES, ORACLES = bindings.QUERIES, bindings.ORACLES

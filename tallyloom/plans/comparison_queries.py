@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions import vectors as V
-from tallyloom.operators import arms, comparison as M, conditioning as K
-from tallyloom.plans.bindings import ARMS, C, JSD, P20, query, r6, responses
+from tallyloom.operators import arms, comparison as M, conditioning as K, figures
+from tallyloom.plans.bindings import ARMS, C, JSD, P20, query, r6, responses, table
 from tallyloom.plans.corpus_queries import COND, L, conditioned, frames
 from tallyloom.plans.vector_queries import EFFECT, RESP
 
@@ -32,6 +32,18 @@ def ensemble_curve(spark, d):
     return M.ensemble_curve(responses(spark, d), [1, 2, 3, 5], 20).groupBy("k").agg(F.count("*").alias("n"), r6(F.avg("jsd")).alias("residual"))
 
 
+@query("o125_root_reference", f"""WITH {P20}, o AS (SELECT label, vec_id, draw, row_number() OVER (PARTITION BY label, draw ORDER BY md5(draw || '|' || vec_id), vec_id) AS place FROM p, range(1, 21) z(draw) WHERE rn <= 10),
+    n AS (SELECT label, count(*) AS n FROM p WHERE rn <= 10 GROUP BY 1),
+    h AS (SELECT label, draw, vec_id, k, (place > k)::INT AS half FROM o JOIN n USING (label), (VALUES (1), (2), (3), (5)) y(k) WHERE place <= 2 * k AND 2 * k <= n.n),
+    m AS (SELECT h.label, draw, k, half, i, avg(x) AS x FROM h JOIN l USING (vec_id) GROUP BY ALL),
+    q AS (SELECT a.label, a.draw, a.k, {JSD} AS jsd FROM m a JOIN m b ON a.label = b.label AND a.draw = b.draw AND a.k = b.k AND a.i = b.i AND a.half = 0 AND b.half = 1 GROUP BY ALL),
+    c AS (SELECT k::INT AS k, avg(jsd) AS residual FROM q GROUP BY 1), f AS (SELECT k AS k1, residual AS r1 FROM c ORDER BY k LIMIT 1)
+    SELECT k, round(residual, 6) AS residual, round(r1 * sqrt(k1 / k), 6) AS reference, round(residual / (r1 * sqrt(k1 / k)), 6) AS ratio FROM c, f""")
+def root_reference(spark, d):
+    curve = M.ensemble_curve(responses(spark, d), [1, 2, 3, 5], 20).groupBy("k").agg(F.avg("jsd").alias("residual"))
+    return figures.root_reference(curve).select("k", *[r6(F.col(c)).alias(c) for c in ("residual", "reference", "ratio")])
+
+
 @query("o107_method_table", f"""WITH {P20}, mh(method, half, lo, hi) AS (VALUES {_HALVES}), ok AS (SELECT label FROM p WHERE rn <= 16 GROUP BY 1 HAVING count(*) = 16),
     mv AS (SELECT label, method, half, i, avg(x) AS x FROM l JOIN mh ON rn BETWEEN lo AND hi WHERE label IN (SELECT label FROM ok) GROUP BY ALL),
     q AS (SELECT a.label, a.method, {JSD} AS jsd FROM mv a JOIN mv b ON a.label = b.label AND a.method = b.method AND a.i = b.i AND a.half = 0 AND b.half = 1 GROUP BY ALL)
@@ -89,17 +101,45 @@ POINTS = f"""{COND}, {L.removeprefix(L.split(', nd AS')[0] + ', ')}, lo AS (SELE
     WHERE b.item_id <= 20 AND least(a.n, b.n) >= 3 AND abs(b.lo - a.lo) >= 0.05)"""
 
 
+def sides(spark, d):
+    """The posterior of each item before and after its second brand is known."""
+    q = conditioned(spark, d)
+    return q.filter("item_id between 101 and 120").withColumn("item_id", F.col("item_id") - 100), q.filter("item_id <= 20")
+
+
 def points(spark, d):
     """The change of a label's odds by a second brand, in the rows and by the brand's log ratio."""
     rows, tokens = frames(spark, d)
-    q = conditioned(spark, d)
     new = F.concat(F.lit("Brand#"), (F.col("item_id") % 20 + 1).cast("string"))
-    after = q.filter("item_id <= 20")
-    before = q.filter("item_id between 101 and 120").withColumn("item_id", F.col("item_id") - 100)
+    before, after = sides(spark, d)
     stated = after.select("item_id", "label", new.alias("token")).join(K.count_ratio(tokens, rows), ["label", "token"]).select("item_id", "label", F.col("log_ratio").alias("stated_delta"))
     return M.change_points(before, after, stated, least_count=3)
 
 
+LAST = """an AS (SELECT l_partkey % 20 + 1 AS item_id, l_linenumber % 2 AS odd, [l_quantity::DOUBLE, l_extendedprice / 1000, l_discount * 100, l_tax * 100, (l_suppkey % 50)::DOUBLE] AS w,
+      row_number() OVER (PARTITION BY l_partkey % 20, l_linenumber % 2 ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_extendedprice DESC, l_discount DESC) AS k FROM lineitem WHERE l_tax <> 0.03),
+  lv AS (SELECT item_id, odd, unnest(list_transform(w, lambda x: x / list_sum(w))) AS x, unnest(range(5)) AS i FROM an WHERE k = 1), lq AS (SELECT *, least(greatest(x, 1e-4), 1 - 1e-4) AS y FROM lv),
+  ax AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS i FROM pr),
+  st AS (SELECT b.item_id, ax.label, ln(a.y / (1 - a.y)) - ln(b.y / (1 - b.y)) AS stated FROM lq b JOIN lq a ON a.item_id = b.item_id AND a.i = b.i AND a.odd = 0 AND b.odd = 1 JOIN ax ON ax.i = a.i)"""
+
+
+@query("o099_last_valid", f"""WITH {POINTS}, {LAST} SELECT pt.item_id, pt.label, round(true_delta, 6) AS true_delta, round(stated, 6) AS stated_delta, round(se, 6) AS se FROM pt JOIN st ON st.item_id = pt.item_id AND st.label = pt.label""")
+def last_valid_points(spark, d):
+    """Lines answer for the item of their part, before or after by their number; a tax of 3 % makes an answer invalid, and
+    of the many others of a phase the one shipped last counts."""
+    rows, _ = frames(spark, d)
+    w = F.array(F.col("l_quantity").cast("double"), F.col("l_extendedprice") / 1000, F.col("l_discount") * 100, F.col("l_tax") * 100, (F.col("l_suppkey") % 50).cast("double"))
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_discount"]
+    phase = F.when(F.col("l_linenumber") % 2 == 0, "after").otherwise("before")
+    answers = table(spark, d, "lineitem").select((F.col("l_partkey") % 20 + 1).cast("int").alias("item_id"), phase.alias("phase"), (F.col("l_tax") != 0.03).alias("valid"), V.normalised(w).alias("v"), *order)
+    stated = M.stated_changes(answers, K.base_scores(K.prior(rows)).select("axis"), order)
+    return rounded_points(M.change_points(*sides(spark, d), stated, least_count=3))
+
+
+def rounded_points(points):
+    return points.select("item_id", "label", *[r6(F.col(c)).alias(c) for c in ("true_delta", "stated_delta", "se")])
+
+
 @query("o099_change_points", f"WITH {POINTS} SELECT item_id, label, round(true_delta, 6) AS true_delta, round(stated_delta, 6) AS stated_delta, round(se, 6) AS se FROM pt")
 def change_points(spark, d):
     return points(spark, d).select("item_id", "label", *[r6(F.col(c)).alias(c) for c in ("true_delta", "stated_delta", "se")])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators import conditioning as K
+from tallyloom.operators import conditioning as K, figures
 from tallyloom.plans.bindings import C, corpus, exploded, query, r6
 
 #: Evidence sets: consecutive brands, singles, an unknown token beside a known one, only unknown ones.
@@ -231,3 +231,10 @@ def band_prior(spark, d):
 def frontier(spark, d):
     t = trace(spark, d, K.FRONTIER_GRID)
     return t.select("tau", "n", *[F.round(c, 5 if c in ("nll", "entropy") else 6).alias(c) for c in TRACE])
+
+
+@query("o125_scale_extremes", f"""WITH {tau_sql(K.FRONTIER_GRID)}, tr AS (SELECT tau, avg(nll) AS nll, avg(top1) AS top1, avg(entropy) AS entropy FROM ls GROUP BY 1)
+    SELECT min_by(tau, struct_pack(a := round(-top1, 9), b := tau)) AS top1_at, round(max(top1), 6) AS top1, min_by(tau, struct_pack(a := round(nll, 9), b := tau)) AS nll_at, round(min(nll), 5) AS nll, min_by(tau, struct_pack(a := round(entropy, 9), b := tau)) AS entropy_at, round(min(entropy), 5) AS entropy FROM tr""")
+def scale_extremes(spark, d):
+    out = figures.extremes(trace(spark, d, K.FRONTIER_GRID), [], "tau", ["top1"], ["nll", "entropy"])
+    return out.select("top1_at", r6(F.col("top1")).alias("top1"), "nll_at", F.round("nll", 5).alias("nll"), "entropy_at", F.round("entropy", 5).alias("entropy"))

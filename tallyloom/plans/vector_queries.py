@@ -119,6 +119,14 @@ def ceiling(spark, d):
     return arms.ceiling(responses(spark, d)).select(r6(F.col("ceiling")).alias("ceiling"), "n_pairs")
 
 
+@query("o093_drawn_ceiling", f"""WITH {P20}, an AS (SELECT label, row_number() OVER (ORDER BY substr(sha1(label), 1, 3), label) - 1 AS place FROM (SELECT label FROM l WHERE rn = 1 GROUP BY 1 HAVING bool_or(abs(x - 1.0 / 64) > 1e-6 + 1e-5 / 64))),
+    d AS (SELECT d, ('0x' || substr(sha1('za|' || d), 1, 13))::BIGINT % (SELECT count(*) FROM an) AS a, ('0x' || substr(sha1('zb|' || d), 1, 13))::BIGINT % (SELECT count(*) FROM an) AS b FROM range(20000) r(d)),
+    q AS (SELECT d, {JSD} AS jsd FROM d JOIN an x ON x.place = d.a JOIN an y ON y.place = d.b JOIN l a ON a.label = x.label AND a.rn = 1 JOIN l b ON b.label = y.label AND b.rn = 1 AND b.i = a.i WHERE d.a <> d.b GROUP BY 1)
+    SELECT round(avg(jsd), 6) AS ceiling, count(*) AS n_pairs FROM q""")
+def drawn_ceiling(spark, d):
+    return arms.drawn_ceiling(responses(spark, d)).select(r6(F.col("ceiling")).alias("ceiling"), "n_pairs")
+
+
 @query("o095_informative_by_arm", f"WITH {P20}, t AS (SELECT vec_id, rn, bool_or(abs(x - 1.0 / 64) > 1e-6 + 1e-5 / 64) AS told FROM l WHERE rn <= 20 GROUP BY 1, 2) SELECT {ARM_SQL} AS arm, round(avg(told::INT), 6) AS informative_rate FROM t GROUP BY 1")
 def by_arm(spark, d):
     return responses(spark, d).groupBy("arm").agg(r6(F.avg(V.informative(F.col("v")).cast("int"))).alias("informative_rate"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.operators.ranges import upto
+from tallyloom.operators.ranges import hash_placed
 
 #: A text in single or double quotes with backslash escapes, a number, and what stands for one of them in a cell's outline.
 TEXT = r"""'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+\""""
@@ -139,16 +139,8 @@ def completed_tasks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def chunked(jobs: DataFrame, key: str, size: int) -> DataFrame:
-    """jobs with place (from 0, without gaps) and chunk_id, ``size`` places each, in an order that only the keys decide.
-
-    Keys come by the first digits of their hashes and then by themselves: a window numbers one 4096th of the jobs.
-    """
-    group = F.substring(F.sha1(F.col(key).cast("string").cast("binary")), 1, 3)
-    rows = jobs.withColumn("__group", F.coalesce(group, F.lit("")))
-    base = rows.groupBy("__group").agg(F.count("*").alias("n")).select("__group", upto("n", [], "__group").alias("__base"))
-    inner = F.row_number().over(Window.partitionBy("__group").orderBy(key)) - 1
-    placed = rows.withColumn("__in", inner).join(base, "__group").withColumn("place", F.col("__base") + F.col("__in"))
-    return placed.select(*jobs.columns, "place", F.expr(f"place div {size}").alias("chunk_id"))
+    """jobs with place (from 0, without gaps) and chunk_id, ``size`` places each, in an order that only the keys decide."""
+    return hash_placed(jobs, key, "place").withColumn("chunk_id", F.expr(f"place div {size}"))
 
 
 def removed(spark: SparkSession, path: str) -> None:
