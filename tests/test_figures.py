@@ -47,7 +47,7 @@ def test_last_valid_answer_wins(spark):
 
 def test_drawn_pairs_are_near_all_pairs(spark):
     g = np.random.default_rng(2)
-    rows = [(f"c{i}", "permutation", 0, (v / v.sum()).tolist()) for i, v in enumerate(g.random((40, 6)) ** 3)] + [("u", "permutation", 0, [1 / 6] * 6), ("c1", "retest", 0, [1.0, 0, 0, 0, 0, 0])]
+    rows = [(f"c{i}", "permutation", 0, (v / v.sum()).tolist()) for i, v in enumerate(g.random((40, 6)) ** 3)] + [("u", "permutation", 0, [1 / 6] * 6), ("c1", "retest", 0, [1.0] + [0.0] * 5)]
     df = spark.createDataFrame(rows, "case_id string, arm string, idx int, v array<double>")
     every, drawn = arms.ceiling(df).first(), arms.drawn_ceiling(df, 4000).first()
     assert every.n_pairs == 780 and 3800 < drawn.n_pairs < 4000 and drawn.ceiling == pytest.approx(every.ceiling, rel=0.05)
