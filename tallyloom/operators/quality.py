@@ -33,15 +33,24 @@ def replicate_pairs(df: DataFrame, key: list[str], value: str) -> DataFrame:
     return groups.agg(F.sum(pairs).alias("n_pairs"), F.sum(pairs - F.col("same")).alias("n_differ"))
 
 
+def vector_pairs(rows: DataFrame, key: list[str], value: str = "v") -> DataFrame:
+    """a, b and times: the pairs of vectors inside groups of equal keys, equal pairs once with their number.
+
+    Equal vectors of a group are counted before they meet, so a group costs the square of its different vectors.
+    """
+    cells = rows.groupBy(*key, value).agg(F.count("*").alias("n"))
+    side = lambda k: cells.select(*key, F.col(value).alias(k), F.col("n").alias(f"n_{k}"))
+    apart = side("a").join(side("b"), key).filter("a < b").select("a", "b", (F.col("n_a") * F.col("n_b")).alias("times"))
+    same = cells.filter("n > 1").select(F.col(value).alias("a"), F.col(value).alias("b"), F.expr("n * (n - 1) div 2").alias("times"))
+    return apart.unionByName(same)
+
+
 def replicate_noise(rows: DataFrame) -> DataFrame:
-    """One row, mean_jsd over the pairs of equal case_id. Equal vectors of a case are one row with a count before they meet."""
+    """One row, mean_jsd over the pairs of equal case_id."""
     from tallyloom.functions.vectors import jsd
 
-    cells = rows.groupBy("case_id", "v").agg(F.count("*").alias("n"))
-    side = lambda k: cells.select("case_id", F.col("v").alias(f"v_{k}"), F.col("n").alias(f"n_{k}"))
-    apart = side("a").join(side("b"), "case_id").filter("v_a < v_b").groupBy().agg(F.sum(jsd(F.col("v_a"), F.col("v_b")) * F.col("n_a") * F.col("n_b")).alias("s"))
-    pairs = cells.groupBy("case_id").agg(F.sum("n").alias("n")).agg(F.sum(F.expr("n * (n - 1) div 2")).alias("pairs"))
-    return apart.crossJoin(F.broadcast(pairs)).select((F.coalesce("s", F.lit(0.0)) / F.nullif(F.col("pairs"), F.lit(0))).alias("mean_jsd"))  # a row each
+    pairs = vector_pairs(rows, ["case_id"])
+    return pairs.agg((F.sum(jsd(F.col("a"), F.col("b")) * F.col("times")) / F.nullif(F.sum("times"), F.lit(0))).alias("mean_jsd"))
 
 
 def stability_index(df: DataFrame, split: Column, category: Column, base: str) -> DataFrame:
@@ -60,9 +69,9 @@ def balance(df: DataFrame, label: str) -> DataFrame:
     return n.crossJoin(F.broadcast(tot)).select(label, "n", (F.col("n") / F.col("all")).alias("share"), "imbalance", "entropy")  # one row
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
-    """by and a column for each of at (name: share): the group's exact quantile, interpolated between two places."""
-    cells = placed(df, by, value)
+def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float], times: str | None = None) -> DataFrame:
+    """by and a column for each of at (name: share): the group's exact quantile, interpolated between two places. times: see placed."""
+    cells = placed(df, by, value, times)
     here = lambda i: F.max(F.when((F.col("before") <= i) & (i < F.col("before") + F.col("n")), F.col("value").cast("double")))
     h = lambda q: (F.col("all") - 1) * F.lit(q)
     # products like 0.07 * 100 that miss a whole number by an ulp are taken as that number

@@ -37,11 +37,13 @@ def with_steps(df: DataFrame, value: str) -> DataFrame:
     return df.withColumn("__a", a).withColumn("__b", b)
 
 
-def placed(df: DataFrame, by: list[str], value: str) -> DataFrame:
+def placed(df: DataFrame, by: list[str], value: str, times: str | None = None) -> DataFrame:
     """by, value, n, before and all: the distinct values of each group with their counts, the rows with smaller ones and
-    the group's rows. Null values and NaN are left out, and groups with a null key."""
-    rows = df.select(*by, F.col(value).alias("value")).filter(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")))
-    cells = with_steps(rows.groupBy(*by, "value").agg(F.count("*").alias("n")), "value")
+    the group's rows. Null values and NaN are left out, and groups with a null key. times: a column that says how many
+    rows a row stands for."""
+    n = F.lit(1) if times is None else F.col(times)
+    rows = df.select(*by, F.col(value).alias("value"), n.cast("long").alias("n")).filter(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")) & (F.col("n") > 0))
+    cells = with_steps(rows.groupBy(*by, "value").agg(F.sum("n").alias("n")), "value")
     at = [*by, "__a", "__b"]
     return cells.withColumn("__in", upto("n", at, "value")).join(before_steps(cells, by), at).select(*by, "value", "n", (F.col("__base") + F.col("__in")).alias("before"), "all")
 

@@ -107,12 +107,12 @@ def replicates(spark, d):
 
     w = F.array("l_quantity", F.col("l_extendedprice") / 1000, F.col("l_discount") * 100, F.col("l_tax") * 100)
     key = ["l_orderkey", "l_linenumber"]
-    rows = table(spark, d, "lineitem").select(*key, "l_partkey", "l_suppkey", w.alias("w"))
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("l_partkey", "l_suppkey", "w"))).select(*key, "k", normalised(F.col("w")).alias("v"))
-    p = rows.join(rows.select(*key, F.col("k").alias("kk"), F.col("v").alias("u")), key).filter("k < kk").select(jsd(F.col("v"), F.col("u")).alias("jsd"), l1(F.col("v"), F.col("u")).alias("l1"), (top1(F.col("v")) != top1(F.col("u"))).cast("int").alias("flip"))
-    j = F.col("jsd")
-    means = p.agg(F.count("*").alias("n_pairs"), F.count_if(j > 1e-9).alias("n_differ"), r6(F.avg(j)).alias("mean_jsd"), r6(F.max(j)).alias("max_jsd"), r6(F.avg("l1")).alias("mean_l1"), r6(F.avg("flip")).alias("flip_rate"))
-    places = Q.quantiles(p, [], "jsd", {"median_jsd": 0.5, "p90": 0.9, "p99": 0.99})
+    rows = table(spark, d, "lineitem").select(*key, normalised(w).alias("v"))
+    a, b, n = F.col("a"), F.col("b"), F.col("times")
+    p = Q.vector_pairs(rows, key).select(n, jsd(a, b).alias("jsd"), l1(a, b).alias("l1"), (top1(a) != top1(b)).cast("int").alias("flip"))
+    j, mean = F.col("jsd"), lambda c: r6(F.sum(F.col(c) * n) / F.sum(n))
+    means = p.agg(F.sum(n).alias("n_pairs"), F.sum(F.when(j > 1e-9, n).otherwise(0)).alias("n_differ"), mean("jsd").alias("mean_jsd"), r6(F.max(j)).alias("max_jsd"), mean("l1").alias("mean_l1"), mean("flip").alias("flip_rate"))
+    places = Q.quantiles(p, [], "jsd", {"median_jsd": 0.5, "p90": 0.9, "p99": 0.99}, "times")
     return means.crossJoin(F.broadcast(places.select(*[r6(F.col(c)).alias(c) for c in places.columns])))  # a row each
 
 
