@@ -112,11 +112,12 @@ def train_rows(labels: DataFrame, label: str, doc_id: str = "doc_id") -> DataFra
 def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 6000, cost: float = 0.5, rounds: int = 12, smooth: float = 1.0, seed: int = 7) -> Model:
     """A model from at most ``max_fit_rows`` labelled documents, those with the smallest hash of their id.
 
-    docs: doc_id and text; labels: doc_id and label (0 or 1). The bound keeps what is gathered here the same at
+    docs: doc_id and text; labels: doc_id and label (0 or 1), one per id. Of rows with one id the smallest text counts. A
+    text has at most 2 ** BITS indicators of 4 bytes, however long it is. The bound keeps what is gathered here the same at
     every size of corpus. With rows of one class only, or none, every score is that class's smoothed share.
     """
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_rows)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # at most max_fit_rows rows
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # at most max_fit_rows rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << BITS, np.int32)
@@ -149,7 +150,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", t
 
     Only the text is scored. Rows of ``labels`` with a null id or label are left out, the larger label counts where
     a document has several, and labels without a document are ignored. Null and empty texts get the model's score
-    of a text without n-grams. A null id is not held out. Repeated rows each get their score; no rows give none.
+    of a text without n-grams. A null id is not held out. Repeated rows each get their score; no rows give none. Texts
+    of any length are read whole, one at a time.
     """
     own = narrowed(docs, doc_id=doc_id, text=text)
     model = fit(own, train_rows(labels, label), **settings)

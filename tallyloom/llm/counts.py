@@ -179,7 +179,8 @@ def edited_counts(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
 def leaf_table(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, leaf (from 0), text, chars and tokens of every leaf: the text of a document is that of its leaves in order.
 
-    Null and empty texts have one empty leaf. Ids should be distinct: leaves of rows with one id are not told apart.
+    Null and empty texts have one empty leaf, a very long text as many as it needs; an empty table has none. Leaves of
+    rows with one id are not told apart: edited_leaves refuses to change them. Leaves of null ids are never changed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +207,8 @@ def edited_leaves(leaves: DataFrame, edits: DataFrame, tokenizer_path: str) -> D
 
     Only sizes are read of the leaves that an edit does not touch; those from the one before it to the one after it are
     put together, changed, cut into segments and counted again. Positions and lengths beyond a text are held to it, null
-    ones are 0 and a null insertion is empty. A document may have one edit; further ones are made on the result.
+    ones are 0 and a null insertion is empty. A document may have one edit; further ones are made on the result. Edits of
+    null and unknown ids change nothing; leaves that several rows of one id gave stop the query when an edit reaches them.
     """
     by = Window.partitionBy("doc_id").orderBy("leaf")
     sizes = leaves.select("doc_id", "leaf", "chars").join(edits.select("doc_id"), "doc_id", "left_semi")
@@ -225,6 +227,8 @@ def edited_leaves(leaves: DataFrame, edits: DataFrame, tokenizer_path: str) -> D
 
         def changed(doc: list[dict]) -> Iterator[tuple]:
             first = doc[0]
+            if len({r["leaf"] for r in doc}) < len(doc):
+                raise ValueError(f"several rows or edits have the id {first['doc_id']!r}")
             text, a, b = "".join(r["text"] for r in doc), first["at"] - first["before"], first["end"] - first["before"]
             parts = segments(text[:a] + first["inserted"] + text[b:])
             n, share = count.counts(parts), -(-len(parts) // len(doc)) if parts else 1

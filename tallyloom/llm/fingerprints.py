@@ -73,7 +73,8 @@ def edited_fingerprints(docs: DataFrame, words: int = 5, doc_id: str = "doc_id",
 
     A null text is empty; texts without words have an empty fingerprint. Null ids come last. Rows with the same id
     share their next document; where several rows have the next id, the edit takes the smallest text and near_next
-    the smallest fingerprint. An empty table gives no rows.
+    the smallest fingerprint. Every shingle of a very long text counts; its hashes are one array. An empty table gives no
+    rows.
     """
     spark = docs.sparkSession
     own = narrowed(docs, doc_id=doc_id, text=text).withColumn("text", F.coalesce("text", F.lit("")))

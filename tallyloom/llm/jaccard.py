@@ -375,7 +375,8 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, do
     Two rows link when 100 * intersection >= percent * union of their sets of ``words``-word shingles, A-Z
     lower-cased; rows with equal texts always do. component is a number of the class that stands for it.
 
-    Null texts are empty and link with nothing. Repeated rows and ids are rows of their own; ids may be null.
+    Null texts are empty and link with nothing. Repeated rows and ids are rows of their own; ids may be null. The shingles
+    of a very long text are an array in the task that reads it, and none is left out; an empty table gives no rows.
     Without ``counted`` n_shingles is only 0 or 1, for texts with words.
     """
     docs = narrowed(docs, doc_id=doc_id, text=text).withColumn("text_hash", F.xxhash64("text")).withColumn("other_hash", other_hash("text")).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(-1)))

@@ -122,7 +122,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
     last is full.
 
     A null text counts as empty and gives the end token alone. Repeated rows, repeated and null ids are packed as
-    rows of their own; no rows give no pieces. Columns other than the two named are ignored.
+    rows of their own; no rows give no pieces. A very long text is encoded whole, alone, and cut into as many pieces as it
+    needs. Columns other than the two named are ignored.
     """
     table = written(token_table(narrowed(docs, doc_id=doc_id, text=text), tokenizer_path, end_id), "tokens")
     totals = written(table.groupBy("part").agg(F.sum("n").alias("total")), "totals")

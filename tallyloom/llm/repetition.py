@@ -9,6 +9,7 @@ is the covered part of a document, the largest prefix its longest repeat.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -162,19 +163,24 @@ def repetition_rules(
 
     id_type = docs.schema[doc_id].dataType.simpleString()
     found = narrowed(docs, doc_id=doc_id, text=text).mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{k} long" for k in names))
-    failed = (F.col("n_words") < fewest_words) | (100 * F.col("n_repeat_words") > round(100 * most_covered) * F.col("n_words"))
+    share = Fraction(str(most_covered))
+    failed = (F.col("n_words") < fewest_words) | (share.denominator * F.col("n_repeat_words") > share.numerator * F.col("n_words"))
     return found.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("longest_repeat") <= most_longest))
 
 
 def kept_documents(docs: DataFrame, min_words: int = 5, fewest_words: int = 10, most_covered: float = 0.2, most_longest: int = 100, text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that repetition_rules would keep."""
-    at = docs.columns.index(text)
+    """The rows of docs, with all their columns, that repetition_rules would keep; see there.
+
+    Rows with null and empty texts go. Rows with equal texts stay or go alike, repeated rows and null ids too. A very long
+    text is judged whole, alone in memory; an empty table stays empty. The names of docs' columns are free.
+    """
+    at, share = docs.columns.index(text), Fraction(str(most_covered))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = measure(b.column(at).to_pylist(), min_words)
             n, covered = got["n_words"], got["n_repeat_words"]
-            keep = (n >= fewest_words) & (100 * covered <= round(100 * most_covered) * n) & (got["longest_repeat"] <= most_longest)
+            keep = (n >= fewest_words) & (share.denominator * covered <= share.numerator * n) & (got["longest_repeat"] <= most_longest)
             yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

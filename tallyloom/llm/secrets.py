@@ -115,7 +115,10 @@ def joined(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, scope: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row; nulls and repeats as in secret_spans."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row; nulls and repeats as in secret_spans.
+
+    A text of any length is searched whole; an empty table gives no rows.
+    """
     marks, spans = secret_spans(docs, scope, doc_id, text)
     one = F.struct("start", choose(F.col("kind"), {k[0]: i for i, k in enumerate(KINDS)}).alias("order"), "kind", "end")
     counts = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in STRONG]

@@ -160,10 +160,12 @@ def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", te
     """doc_id, size (UTF-8 bytes and 1), text_crc32, shard and slot of every row; equal texts are kept together.
 
     A null text counts as empty and, like the empty text, is linked with other empty ones. Null and repeated ids are
-    placed like any other row.
+    placed like any other row. A text of any length is one value; an empty table gives no rows. n_edges and n_cut, on every
+    row, are the pairs of rows with equal texts and those of them that lie in two shards.
     """
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("text_hash"))
     with tidied(docs.sparkSession) as kept:
         kept.append(assign_shards(written(rows, "rows"), ["text_hash", "text_crc32", "size"], "doc_id", shards))
-    return kept[0].drop("text_hash")
+    edges = cut_edges(kept[0], ["text_hash", "text_crc32", "size"])
+    return kept[0].drop("text_hash").crossJoin(F.broadcast(edges))  # one row

@@ -37,7 +37,8 @@ def apply_rules(pages: DataFrame, rules: DataFrame, default: str = "allow", page
     ``rules`` has host, path and verdict. A rule fits its host and all subdomains where the url's path starts with
     the rule's; the longest (host and path together) wins, then the longer host, then block before allow. Without a
     fitting rule the verdict is ``default`` and rule is null. Null urls, urls without ``://`` and empty ones have an
-    empty host and path, which a rule never fits; empty rule tables, repeated pages and repeated rules are fine.
+    empty host and path, which a rule never fits; empty tables, repeated pages and repeated rules are fine.
+    Of a very long url the beginnings of the path that are as long as some rule's are looked up: no other can fit.
     """
     rules = rules.select(
         F.translate(F.coalesce("host", F.lit("")), UPPER, LOWER).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("verdict").alias("rule_verdict")

@@ -230,3 +230,39 @@ def test_numbers_of_classes_that_collide(spark):
     except ValueError as e:
         assert "told apart" in str(e)
     assert classes.select(jaccard.node_code(classes).alias("c")).distinct().count() == 40
+
+
+def test_leaves_of_repeated_ids_are_refused(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tallyloom.llm import counts
+
+    path = P.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(1, "a b c"), (1, "d e f"), (2, "x y"), (None, "n")], "doc_id long, text string")
+    leaves = counts.leaf_table(docs, path)
+    edit = lambda i: spark.createDataFrame([(i, 0, 1, "q")], "doc_id long, position long, deleted long, inserted string")
+    with pytest.raises(Exception, match="several rows or edits"):
+        counts.edited_leaves(leaves, edit(1), path).count()
+    got = sorted((str(r.doc_id), r.text) for r in counts.edited_leaves(leaves, edit(2), path).collect())
+    assert got == [("1", "a b c"), ("1", "d e f"), ("2", "q y"), ("None", "n")]
+    assert counts.edited_leaves(leaves, edit(7), path).count() == 4 and counts.edited_leaves(leaves.limit(0), edit(1), path).count() == 0
+
+
+def test_share_of_repeats_is_taken_as_it_is(spark):
+    from tallyloom.llm import repetition
+
+    words = [f"w{i}" for i in range(5)] * 2 + [f"u{i}" for i in range(54)]  # 10 of 64 words: 15.625 %
+    df = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    for most, kept in ((0.155, False), (0.157, True)):
+        assert repetition.repetition_rules(df, most_covered=most).first().kept == kept and repetition.kept_documents(df, most_covered=most).count() == kept
+
+
+def test_two_queries_at_once_keep_their_tables(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tallyloom.llm.queries import QUERIES
+
+    names = ["op4_secrets", "op9_sharding", "op11_trie"]
+    run = lambda n: QUERIES[n](spark, "/root/testdata/sf0.001").count()
+    with ThreadPoolExecutor(3) as pool:
+        got = list(pool.map(run, names * 2))
+    assert got[:3] == got[3:] and min(got) > 0
