@@ -213,7 +213,9 @@ def edited_leaves(leaves: DataFrame, edits: DataFrame, tokenizer_path: str) -> D
     by = Window.partitionBy("doc_id").orderBy("leaf")
     sizes = leaves.select("doc_id", "leaf", "chars").join(edits.select("doc_id"), "doc_id", "left_semi")
     sizes = sizes.withColumn("before", F.sum("chars").over(by) - F.col("chars"))
-    total = sizes.groupBy("doc_id").agg(F.sum("chars").alias("total"))
+    one = F.count("*") == F.max("leaf") + 1
+    refused = F.raise_error(F.concat(F.lit("several rows have the id "), F.col("doc_id").cast("string"))).cast("long")
+    total = sizes.groupBy("doc_id").agg(F.when(one, F.sum("chars")).otherwise(refused).alias("total"))
     at = F.least(F.greatest(F.coalesce("position", F.lit(0)), F.lit(0)), F.col("total"))
     own = edits.join(total, "doc_id").select("doc_id", at.cast("long").alias("at"), F.greatest(F.coalesce("deleted", F.lit(0)), F.lit(0)).alias("deleted"), F.coalesce("inserted", F.lit("")).alias("inserted"), "total")
     own = own.withColumn("end", F.least(F.col("total"), F.col("at") + F.col("deleted")).cast("long")).drop("deleted", "total")
@@ -228,7 +230,7 @@ def edited_leaves(leaves: DataFrame, edits: DataFrame, tokenizer_path: str) -> D
         def changed(doc: list[dict]) -> Iterator[tuple]:
             first = doc[0]
             if len({r["leaf"] for r in doc}) < len(doc):
-                raise ValueError(f"several rows or edits have the id {first['doc_id']!r}")
+                raise ValueError(f"several edits have the id {first['doc_id']!r}")
             text, a, b = "".join(r["text"] for r in doc), first["at"] - first["before"], first["end"] - first["before"]
             parts = segments(text[:a] + first["inserted"] + text[b:])
             n, share = count.counts(parts), -(-len(parts) // len(doc)) if parts else 1
