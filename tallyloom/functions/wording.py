@@ -74,7 +74,6 @@ OPENINGS = [
     ("were you born", "was born"),
     ("in the last month, have you been", "in the last month has been"),
     ("did your", "their"),
-    ("did you previously", "previously"),
 ]
 #: Verbs after "do you" that OPENINGS treats.
 OPENED = ["have", "feel", "live", "take", "suffer", "work", "regularly", "currently"]

@@ -36,9 +36,11 @@ def replicate_pairs(df: DataFrame, key: list[str], value: str) -> DataFrame:
 def vector_pairs(rows: DataFrame, key: list[str], value: str = "v") -> DataFrame:
     """a, b and times: the pairs of vectors inside groups of equal keys, equal pairs once with their number.
 
-    Equal vectors of a group are counted before they meet, so a group costs the square of its different vectors.
+    Rows that are alone in their group are dropped by their keys first. Equal vectors of a group are counted before they
+    meet, so a group costs the square of its different vectors.
     """
-    cells = rows.groupBy(*key, value).agg(F.count("*").alias("n"))
+    several = rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key)
+    cells = rows.join(several, key, "left_semi").groupBy(*key, value).agg(F.count("*").alias("n"))
     side = lambda k: cells.select(*key, F.col(value).alias(k), F.col("n").alias(f"n_{k}"))
     apart = side("a").join(side("b"), key).filter("a < b").select("a", "b", (F.col("n_a") * F.col("n_b")).alias("times"))
     same = cells.filter("n > 1").select(F.col(value).alias("a"), F.col(value).alias("b"), F.expr("n * (n - 1) div 2").alias("times"))

@@ -7,16 +7,22 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
 
+#: Keys that become columns without being declared, at most.
+MOST_KEYS = 1000
+
 
 def expanded(df: DataFrame, meta: str = "meta", fields: str | None = None) -> DataFrame:
     """df with its JSON column expanded into one column per key, after the others.
 
     ``fields`` declares keys and types (``case_id string, k int``); without it every key that occurs becomes a text
-    column, in the order of names. Keys that a row lacks are null. Nulls and what does not parse give nulls.
+    column, in the order of names, and more than MOST_KEYS of them are an error. Keys that a row lacks are null. Nulls
+    and what does not parse give nulls.
     """
     if fields is not None:
         return df.withColumn(meta, F.from_json(meta, fields)).select(*[c for c in df.columns if c != meta], f"{meta}.*")
-    names = df.select(F.explode(F.json_object_keys(meta)).alias("k")).distinct().orderBy("k").collect()  # the keys that occur
+    names = df.select(F.explode(F.json_object_keys(meta)).alias("k")).distinct().orderBy("k").limit(MOST_KEYS + 1).collect()  # the keys that occur
+    if len(names) > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} keys in {meta}: declare the fields that are wanted")
     return df.select(*[c for c in df.columns if c != meta], *[F.get_json_object(meta, f"$['{r['k']}']").alias(r["k"]) for r in names])
 
 
