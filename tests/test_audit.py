@@ -28,7 +28,11 @@ def test_depersonalise_takes_the_whole_text(spark, tmp_path):
 
 
 def poisson(seed, replicate, unit):
-    u = int(hashlib.sha1(f"{seed}|{replicate}|{unit}".encode()).hexdigest()[:8], 16) / 2**32
+    """The rule of draws: 32 bits of the unit's SHA-1 mixed with the replicate's number, read as a Poisson number of mean 1."""
+    x = int(hashlib.sha1(f"{seed}|{unit}".encode()).hexdigest()[:8], 16) ^ (replicate * 0x7FEB352D) % 2**32
+    for _ in range(2):
+        x = ((x >> 16) ^ x) * 0x45D9F3B % 2**32
+    u = ((x >> 16) ^ x) / 2**32
     return sum(u >= sum(1 / math.factorial(i) for i in range(k + 1)) / math.e for k in range(9))
 
 
@@ -40,7 +44,7 @@ def test_bootstrap_draws_every_customer_when_keys_have_gaps(spark, tmp_path):
         if x is not None:
             values.setdefault(k, []).append(x)
     means = []
-    for r in range(50):
+    for r in range(2000):
         w = {k: poisson("b", r, k) for k in values}
         means.append(sum(w[k] * sum(v) for k, v in values.items()) / sum(w[k] * len(v) for k, v in values.items()))
     got = Q["o094_bootstrap"](spark, str(tmp_path)).first()
