@@ -364,7 +364,7 @@ def node_code(classes: DataFrame, bits: int = 62) -> Column:
     own, other = code("text_hash", "other_hash", "size"), code("other_hash", "text_hash", "size", F.lit("again"))
     twice = [r[0] for r in classes.groupBy(own.alias("c")).count().filter("count > 1").select("c").collect()]  # about n * n / 2 ** 63
     out = F.when(own.isin(twice), other).otherwise(own) if twice else own
-    if twice and classes.filter(own.isin(twice)).groupBy(out.alias("c")).count().filter("count > 1").limit(1).count():
+    if twice and classes.groupBy(out.alias("c")).count().filter("count > 1").limit(1).count():
         raise ValueError("classes can't be told apart by their numbers")
     return out
 
