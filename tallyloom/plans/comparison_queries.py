@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import vectors as V
 from tallyloom.operators import arms, comparison as M, conditioning as K, figures
+from tallyloom.operators.kept import kept
 from tallyloom.plans.bindings import ARMS, C, JSD, P20, query, r6, responses, table
 from tallyloom.plans.corpus_queries import COND, L, conditioned, frames
 from tallyloom.plans.vector_queries import EFFECT, RESP
@@ -80,7 +81,7 @@ PAIRS = f"""{L}, o AS (SELECT label, token, count(*) AS c FROM t GROUP BY 1, 2),
 
 def correction(spark, d):
     rows, tokens = frames(spark, d)
-    return M.pair_correction(tokens, tokens, rows, 100)
+    return M.pair_correction(rows, tokens, rows, 100)
 
 
 @query("o086_pair_correction", f"WITH {PAIRS} SELECT row_id, label, round(s2, 5) AS s2 FROM s2")
@@ -180,7 +181,7 @@ def feasibility(spark, d):
     rows, tokens = frames(spark, d)
     drawn = M.drawn_subsets(tokens, SUBSETS)
     key = F.array_join("evidence", "|")
-    items = drawn.select(key.alias("item_id"), "evidence").distinct()
+    items = kept(drawn.select(key.alias("item_id"), "evidence").distinct())
     support = K.supports(items, tokens, rows)
     s = F.col("support")
     return drawn.select("k", key.alias("item_id")).join(support, "item_id").groupBy("k").agg(F.count("*").alias("n"), F.median(s).alias("median_support"), F.percentile(s, 0.1).alias("p10_support"), r6(F.avg((s >= 500).cast("int"))).alias("share"))

@@ -34,3 +34,54 @@ def uneven(tmp_path_factory):
 
 def test_instability_of_cases_with_one_permutation(spark, uneven):
     assert agrees(spark, uneven, "o097_instability")
+
+
+def test_counts_of_short_and_long_sets_and_pairs(spark):
+    """Short sets are counted by their subsets and longer ones by blocks; both give what plain Python does, and no pair of rows is made."""
+    from itertools import combinations
+
+    from tallyloom.operators import support as P
+
+    g = np.random.default_rng(5)
+    rows = [(i, "xy"[i % 2], sorted({f"t{k}" for k in g.integers(0, 14, size=n)})) for i, n in enumerate(g.integers(1, 16, size=300))]
+    df = spark.createDataFrame(rows, "row_id int, label string, tokens array<string>")
+    tokens = df.selectExpr("row_id", "label", "explode(tokens) AS token")
+    evidence = [list(c) for n in (0, 1, 2, 3) for c in combinations([f"t{k}" for k in range(6)], n)]
+    items = spark.createDataFrame(list(enumerate(evidence)), "item_id int, evidence array<string>")
+    want = {}
+    for i, e in enumerate(evidence):
+        for _, label, ts in rows:
+            if set(e) <= set(ts):
+                want[i, label] = want.get((i, label), 0) + 1
+    assert min(len(r[2]) for r in rows) <= P.FEW < max(len(r[2]) for r in rows)
+    for given in (None, df):
+        assert {(r.item_id, r.label): r.n for r in P.counts(items, tokens, given).collect()} == want
+    pairs = {}
+    for _, label, ts in rows:
+        for a, b in combinations(ts, 2):
+            pairs[label, a, b] = pairs.get((label, a, b), 0) + 1
+    assert {(r.label, r.a, r.b): r.n for r in P.counted_pairs(P.counted_sets(tokens, df)).collect()} == pairs
+
+
+def shuffles(df):
+    """The shuffles in the plan of a query, before it runs."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_arms_and_draws_shuffle_no_case_for_its_orders(spark):
+    from tallyloom.operators import battery as B, comparison as M
+
+    cases = spark.createDataFrame([(i, ["a", "b", "c"]) for i in range(4)], "row_id int, tokens array<string>")
+    tokens = cases.selectExpr("row_id", "explode(tokens) AS token")
+    assert shuffles(B.arms(cases, tokens, "row_id").filter("arm <> 'shuffled'")) == 0
+    answers = spark.createDataFrame([(1, "permutation", i, i, [1.0, 0.0]) for i in range(4)], "case_id int, arm string, idx int, vec_id long, v array<double>")
+    assert shuffles(M.ensemble_curve(answers, [1, 2], 20)) == 1
+
+
+def test_kept_tables_follow_changed_files(spark, tmp_path):
+    from tallyloom.operators.kept import kept
+
+    path = str(tmp_path / "t.parquet")
+    for n in (3, 5):
+        pq.write_table(pa.table({"x": list(range(n))}), path)
+        assert kept(spark.read.parquet(path)).selectExpr("sum(x) AS s").first()["s"] == sum(range(n))
