@@ -33,25 +33,27 @@ def replicate_pairs(df: DataFrame, key: list[str], value: str) -> DataFrame:
     return groups.agg(F.sum(pairs).alias("n_pairs"), F.sum(pairs - F.col("same")).alias("n_differ"))
 
 
-def vector_pairs(rows: DataFrame, key: list[str], value: str = "v") -> DataFrame:
-    """a, b and times: the pairs of vectors inside groups of equal keys, equal pairs once with their number.
+def vector_pairs(rows: DataFrame, key: list[str], value: str | Column = "v") -> DataFrame:
+    """a, b and times: the pairs of vectors inside groups of equal keys, equal pairs once with their number. value: the
+    vector, which is made only where a group has several rows.
 
     Rows that are alone in their group are dropped by their keys first. Equal vectors of a group are counted before they
     meet, so a group costs the square of its different vectors.
     """
     several = rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key)
-    cells = rows.join(several, key, "left_semi").groupBy(*key, value).agg(F.count("*").alias("n"))
-    side = lambda k: cells.select(*key, F.col(value).alias(k), F.col("n").alias(f"n_{k}"))
+    made = F.col(value) if isinstance(value, str) else value
+    cells = rows.join(several, key, "left_semi").select(*key, made.alias("v")).groupBy(*key, "v").agg(F.count("*").alias("n"))
+    side = lambda k: cells.select(*key, F.col("v").alias(k), F.col("n").alias(f"n_{k}"))
     apart = side("a").join(side("b"), key).filter("a < b").select("a", "b", (F.col("n_a") * F.col("n_b")).alias("times"))
-    same = cells.filter("n > 1").select(F.col(value).alias("a"), F.col(value).alias("b"), F.expr("n * (n - 1) div 2").alias("times"))
+    same = cells.filter("n > 1").select(F.col("v").alias("a"), F.col("v").alias("b"), F.expr("n * (n - 1) div 2").alias("times"))
     return apart.unionByName(same)
 
 
-def replicate_noise(rows: DataFrame) -> DataFrame:
-    """One row, mean_jsd over the pairs of equal case_id."""
+def replicate_noise(rows: DataFrame, key: list[str] | None = None, value: str | Column = "v") -> DataFrame:
+    """One row, mean_jsd over the pairs of equal keys, case_id if none are given."""
     from tallyloom.functions.vectors import jsd
 
-    pairs = vector_pairs(rows, ["case_id"])
+    pairs = vector_pairs(rows, key or ["case_id"], value)
     return pairs.agg((F.sum(jsd(F.col("a"), F.col("b")) * F.col("times")) / F.nullif(F.sum("times"), F.lit(0))).alias("mean_jsd"))
 
 

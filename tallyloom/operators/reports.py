@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import vectors as V
 from tallyloom.operators import quality as Q, sampling as S
+from tallyloom.operators.kept import kept
 
 #: The least standard error in a weight, and how near 0 a stated change is a tie.
 LEAST_ERROR, TIE = 1e-3, 1e-8
@@ -74,7 +75,7 @@ def redundancy_summary(items: DataFrame, floor: DataFrame) -> DataFrame:
 def validation(pairs: DataFrame, k: int) -> DataFrame:
     """One row over pairs of vectors (made, shipped): n, jsd_mean, jsd_median, jsd_p90, top1_agreement, top_k_jaccard."""
     a, b = F.col("shipped"), F.col("made")
-    rows = pairs.select(V.jsd(a, b).alias("jsd"), (V.top1(a) == V.top1(b)).cast("int").alias("same"), V.jaccard(V.top_k(a, k), V.top_k(b, k)).alias("shared"))
+    rows = kept(pairs.select(V.jsd(a, b).alias("jsd"), (V.top1(a) == V.top1(b)).cast("int").alias("same"), V.jaccard(V.top_k(a, k), V.top_k(b, k)).alias("shared")))
     own = rows.agg(F.count("*").alias("n"), F.avg("jsd").alias("jsd_mean"), F.avg("same").alias("top1_agreement"), F.avg("shared").alias("top_k_jaccard"))
     return own.crossJoin(F.broadcast(Q.quantiles(rows, [], "jsd", {"jsd_median": 0.5, "jsd_p90": 0.9})))  # a row each
 
