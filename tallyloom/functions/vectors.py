@@ -84,9 +84,14 @@ def entropy(p: Column, cut: float = EPS) -> Column:
 
 
 def informative(p: Column) -> Column:
-    """Whether some entry differs from uniform; false for null."""
-    even = F.lit(1.0) / F.size(p)
-    return F.coalesce(F.exists(p, lambda x: F.abs(x - even) > F.lit(UNIFORM_ABS) + F.lit(UNIFORM_REL) * even), F.lit(False))
+    """Whether some entry differs from uniform; false for null. p is bound once: if it is made in place, it is not made
+    anew for each entry."""
+
+    def differs(v: Column) -> Column:
+        even = F.lit(1.0) / F.size(v)
+        return F.exists(v, lambda x: F.abs(x - even) > F.lit(UNIFORM_ABS) + F.lit(UNIFORM_REL) * even)
+
+    return F.coalesce(F.get(F.transform(F.array(p), differs), F.lit(0)), F.lit(False))
 
 
 def log_odds(p: Column, floor: float = 1e-4) -> Column:

@@ -124,3 +124,17 @@ def test_subsets_drawn_inside_the_row(spark):
     plain = lambda df: sorted(map(tuple, df.collect()))
     inside = M.drawn_subsets(tokens, [1, 3], rows=rows)
     assert plain(inside) == plain(M.drawn_subsets(tokens, [1, 3])) and plain(inside)
+
+
+def test_vectors_are_not_made_anew_for_each_entry(spark, uneven):
+    """The filter on informative vectors sinks below the projection that makes them: it holds a vector's making once for
+    each branch, not inside what runs for every entry."""
+    from tallyloom.functions import vectors as V
+
+    assert agrees(spark, uneven, "o091_informative_only")
+    plan = catalog.QUERIES["o091_informative_only"](spark, str(uneven))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line.count("embedding#") for line in plan.splitlines() if "exists(" in line]
+    assert filters and max(filters) <= 2
+    df = spark.createDataFrame([(0, [1.0, 1.0]), (1, [1.0, 3.0]), (2, [0.0, 0.0]), (3, None), (4, [2.0, 2.0000001])], "i int, x array<double>")
+    told = df.select("i", V.informative(V.normalised(df.x)).alias("told")).collect()
+    assert {r.i: r.told for r in told} == {0: False, 1: True, 2: False, 3: False, 4: False}
